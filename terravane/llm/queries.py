@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, records, sharding
+from . import langid, mixing, records, sharding
 
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     sharding.op4_hilbert_sharding,
     records.op6_token_records,
     langid.op7_language_id,
+    mixing.op8_soft_mixing,
 ]
 
 

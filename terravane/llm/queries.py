@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, records, sharding
+from . import langid, mixing, records, sharding, templates
 
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     sharding.op4_hilbert_sharding,
     records.op6_token_records,
     langid.op7_language_id,
     mixing.op8_soft_mixing,
+    templates.op9_line_templates,
 ]
 
 

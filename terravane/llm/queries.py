@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, records, sharding, templates
+from . import decontam, langid, mixing, pii, records, sharding, templates
 
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     sharding.op4_hilbert_sharding,
@@ -14,6 +14,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     langid.op7_language_id,
     mixing.op8_soft_mixing,
     templates.op9_line_templates,
+    pii.op3_personal_data,
     decontam.op10_winnowing,
 ]
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, pii, records, sharding, templates
+from . import decontam, langid, mixing, pii, records, sharding, templates, topk
 
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     sharding.op4_hilbert_sharding,
@@ -15,6 +15,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     mixing.op8_soft_mixing,
     templates.op9_line_templates,
     pii.op3_personal_data,
+    topk.op5_pivot_topk,
     decontam.op10_winnowing,
 ]
 

@@ -8,6 +8,7 @@ costs a task retry and nothing else.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 512
 
 _TABLES: list[str] = []
+_SCOPES: dict[str, list[str]] = {}
+_OPEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     _TABLES.append(path)
+    if _OPEN:
+        _SCOPES[_OPEN[-1]].append(path)
     return path
 
 
@@ -50,16 +55,35 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return the reread table."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, name: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    if name in _TABLES:
+        _TABLES.remove(name)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables written inside belong to ``name``; those of its last use are deleted on entry."""
+    for path in _SCOPES.pop(name, []):
+        delete(spark, path)
+    _SCOPES[name] = []
+    _OPEN.append(name)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables written so far.  Call only when nothing that reads them is still to run."""
-    sc = spark.sparkContext
-    while _TABLES:
-        path = sc._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    for path in list(_TABLES):
+        delete(spark, path)
 
 
 def _at_exit() -> None:

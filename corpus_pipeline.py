@@ -1,17 +1,89 @@
-"""Corpus pipeline: stages over documents, each over all that the one before kept."""
+"""Corpus pipeline: language ID, near-dedup, benchmark decontamination, source mixing, token records.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the
+columns of documents.  Its caller writes the result as Parquet before the next stage starts, so a stage begins by
+deleting the working tables of the stage before it.
+
+  language      drops documents without a language: null texts and texts without a letter
+  near_dedup    keeps the document with the smallest doc_id of each group of near-duplicates
+  decontaminate drops documents in which a window of a benchmark item occurs
+  mix           thins to the fitted rates; documents of the leading domain have rates near or above 1
+  tokens        writes token records and returns their index
+
+Rows with one doc_id count as one document for near_dedup; null doc_ids stay.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terravane.llm import common, decontam, langid, mixing, neardup, records
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(work: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with common.scope(spark, "pipeline"):
+            return work(spark, docs, sf_dir)
+
+    run_stage.__name__, run_stage.__doc__ = work.__name__, work.__doc__
+    return run_stage
+
+
+@_stage
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    known = langid.identify(docs, langid.train(docs))
+    return known.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
+@_stage
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = neardup.near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id")
+    return docs.join(common.stored(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+
+
+@_stage
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    key = F.xxhash64("doc_id", "text")
+    hits = decontam.contamination(docs.select(key.alias("row_key"), "text"), common.table(spark, sf_dir, "benchmark"))
+    hits = common.stored(hits.select("row_key"), "contaminated")
+    return docs.withColumn("row_key", key).join(hits, "row_key", "left_anti").select(*docs.columns)
+
+
+@_stage
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.kept_by_rate(docs, common.table(spark, sf_dir, "labels"))
+
+
+@_stage
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return records.encode_records(docs).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
+
 
-from terravane.llm import common
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("tokens", tokens),
+]
 
-STAGES = []
+#: Several stages train models or write files; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written and read again as the next one's input."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), "stage")
+        path = common.new_path(spark, f"pipeline-{name}")
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        if before:
+            common.delete(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, neardup, pii, records, sharding, templates, topk
+from . import decontam, langid, mixing, neardup, pii, records, sharding, substring, templates, topk
 
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     sharding.op4_hilbert_sharding,
@@ -17,6 +17,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     pii.op3_personal_data,
     topk.op5_pivot_topk,
     neardup.op2_circulant_minhash,
+    substring.op1_fm_substring,
     decontam.op10_winnowing,
 ]
 

@@ -221,7 +221,10 @@ def kept_by_rate(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     posts = common.stored(scored(docs.select("text"), model).drop("text"), "posteriors")
     rounds = fit_rates(posts, targets)
     names = docs.columns
-    return scored(docs, model).filter(rate_of(rounds) >= unit_of(F.col("doc_id"))).select(*names)
+    # The stage's own columns go by other names where the input has them too.
+    inner = docs.select(*(F.col(c).alias(f"_own_{c}" if c in ("n_tokens", "posterior", "rate") else c) for c in names))
+    kept = scored(inner, model).filter(rate_of(rounds) >= unit_of(F.col("doc_id")))
+    return kept.select(*(F.col(f"_own_{c}").alias(c) if f"_own_{c}" in inner.columns else F.col(c) for c in names))
 
 
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

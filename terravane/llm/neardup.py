@@ -10,7 +10,9 @@ still join two components:
   1. every class with the smallest class that it shares any bucket with,
   2. every class with the smallest class of each of its buckets, where their components differ,
   3. all pairs of a bucket whose components still differ.
-The third step leaves no candidate pair undecided, and groups of near copies are one component before it begins.
+The third step leaves no candidate pair undecided.  Buckets of at most SMALL_BUCKET classes give their pairs as rows.  Larger
+ones, with those that overlap them, are one group; its classes are dealt into blocks of about BLOCK, every two blocks
+meet in one task of bounded size, which compares all their full sets and returns a spanning forest of the links.
 
 Links and components stay distributed; components are found by alternating large-star and small-star steps.
 
@@ -36,6 +38,10 @@ PERCENT = 75
 ROWS = 5
 BANDS = 45
 STRIDE = 0x9E3779B1
+SMALL_BUCKET = 64
+BLOCK = 192
+#: Columns of the 0/1 matrices by which a task counts intersections.
+COLUMNS = 16_384
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -148,6 +154,86 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.stored(xy.mapInArrow(_linked, "a long, b long"), "links")
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of 0/1 matrices a slice of values at a time."""
+    n = len(sets)
+    values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    # A value of one set meets nothing.
+    place = np.cumsum(count > 1) - 1
+    shared = count[at] > 1
+    at, owner = place[at[shared]], owner[shared]
+    out = np.zeros((n, n), np.float64)
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        i, j = np.searchsorted(at, (first, first + COLUMNS))
+        x = np.zeros((n, int(at[j - 1]) - first + 1), np.float32)
+        x[owner[i:j], at[i:j] - first] = 1
+        out += x @ x.T
+    return out
+
+
+def _block_links(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets."""
+    size = np.array([len(s) for s in sets], float)
+    both = intersections(sets)
+    linked = np.triu(100 * both >= PERCENT * (size[:, None] + size[None, :] - both), 1)
+    root = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+        a, b = find(i), find(j)
+        if a != b:
+            root[b] = a
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pair, id, members) sorted by pair of blocks; each pair is compared as a whole."""
+
+    def compare(ids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(ids) > 1:
+            got = _block_links(ids, sets)
+            yield from common.as_batches({"a": [x for x, _ in got], "b": [y for _, y in got]}, _LINKS)
+
+    now, ids, sets = None, [], []
+    for b in batches:
+        for pair, i, members in zip(b.column("pair").to_pylist(), b.column("id").to_pylist(), b.column("members")):
+            if pair != now:
+                yield from compare(ids, sets)
+                now, ids, sets = pair, [], []
+            ids.append(i)
+            sets.append(np.frombuffer(members.as_buffer(), np.uint64).copy())
+    yield from compare(ids, sets)
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _grouped_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within groups of overlapping large buckets, from rows (bucket, id)."""
+    spark = rows.sparkSession
+    heads = common.stored(rows.groupBy("bucket").agg(F.min("id").alias("head")), "heads")
+    group = components(rows.join(heads, "bucket").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    member = rows.select("id").distinct().join(group, "id", "left").select("id", F.coalesce("label", "id").alias("g"))
+    member = common.stored(member, "members")
+    size = common.stored(member.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")), "sizes")
+    block = F.pmod(F.xxhash64("id"), F.col("k").cast("long")).cast("int")
+    dealt = member.join(size, "g").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("id", F.struct("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).alias("pair")).join(sets, "id")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.concat_ws(":", "pair.g", "pair.i", "pair.j").alias("pair")
+    return common.stored(dealt.select(key, "id", "members").repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(_blocks, "a long, b long"), "links")
+
+
 def _fits(n: Column, m: Column) -> Column:
     """Sizes that a linked pair can have."""
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
@@ -179,19 +265,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return rows.join(got, key, "left").withColumn(name, F.coalesce("_l", key)).drop("_l")
 
     for last in (False, True):
+        grouped = None
         if last:
             mine = common.stored(labelled(shared.select("bucket", "id", "n"), "id", "l"), "labelled")
-            mixed = common.stored(mine.groupBy("bucket").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo <> hi").select("bucket"), "mixed")
+            mixed = common.stored(mine.groupBy("bucket").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("bucket", "c"), "mixed")
             left = common.stored(mine.join(mixed, "bucket"), "left")
+            large = left.filter(F.col("c") > SMALL_BUCKET).select("bucket", "id")
+            if not large.isEmpty():
+                grouped = _grouped_links(large, sets)
+            left = left.filter(F.col("c") <= SMALL_BUCKET)
             x, y = left.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la")), left.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"))
             more = x.join(y, "bucket").filter((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _fits(F.col("na"), F.col("nb")))
         else:
             stars = shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
             more = labelled(labelled(stars, "a", "la"), "b", "lb").filter("la <> lb")
         more = common.stored(more.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
+        some = not more.isEmpty()
+        if some:
             done = done.unionByName(more)
             links = links.unionByName(_confirmed(more, sets))
+        if grouped is not None:
+            links = links.unionByName(grouped)
+        if some or grouped is not None:
             labels = components(links)
 
     # Components of classes, then of rows: both sides are stored, so a hot class can be split over tasks.

@@ -17,6 +17,7 @@ gives an empty index; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -32,9 +33,9 @@ from . import common
 END_ID = 2
 NULL_ID = -(1 << 63)
 #: Bytes of text a file holds.
-FILE_TEXT_BYTES = 32 << 20
-#: Pieces kept by the encoder of a worker.
-CACHE_PIECES = 400_000
+FILE_TEXT_BYTES = 16 << 20
+#: Pieces in a generation of a worker's encoder.
+CACHE_PIECES = 700_000
 
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qB")
@@ -72,16 +73,18 @@ def frames(content: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, with the pieces between plain spaces encoded once.
+    """Ids of whole texts by the tokenizers library, with the pieces between spaces encoded once.
 
     A byte-level pre-tokenizer that splits words with their leading space never joins text across a
-    space (or a line break) whose two neighbours are not white space; so each such piece is
-    encoded on its own, and the ids are those of the whole text.  Texts with any other white space are
+    space or a line feed whose two neighbours are not white space, so a text is cut before each of
+    those, and the ids of its pieces are those of the whole.  Texts with any other white space are
     cut only at single spaces between two non-white characters.
+
+    Pieces are kept in two generations of bounded size: what was met since the last change of
+    generation stays.
     """
 
-    odd = re.compile("[^\\S \\n]|\\s\\s|^\\s|\\s\\Z|᠎")
-    cut = re.compile("(?<=[^\\s᠎])(?= [^\\s᠎])")
+    cut = re.compile("(?<=[^\\s\u180e])(?= [^\\s\u180e])")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -89,32 +92,93 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.wide = 4 if self.tok.get_vocab_size() > 65536 else 2
-        self.known: dict[str, np.ndarray] = {}
         self.kind = np.uint16 if self.wide == 2 else np.uint32
-
-    def pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if self.odd.search(text):
-            return self.cut.split(text)
-        out = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + w for w in rest]
-        return out
+        #: By piece without its leading space; pieces that open a line have their line feed.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.feed = self.tok.encode("\n", add_special_tokens=False).ids
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: set[str]) -> None:
+        new, late, known = [], [], self.known
+        for p in pieces:
+            if (got := self.older.get(p)) is not None:
+                known[p] = got
+            # A stop or comma after an ASCII letter is cut off by the pre-tokenizer.
+            elif len(p) > 2 and p[-1] in ".," and p[-2].isascii() and p[-2].isalpha():
+                stem = p[:-1]
+                late.append(p)
+                if stem not in known and stem not in pieces:
+                    if (got := self.older.get(stem)) is None:
+                        new.append(stem)
+                    else:
+                        known[stem] = got
+            else:
+                new.append(p)
+        if late:
+            new = list(dict.fromkeys(new))
+            self._encode(new)
+            stops = dict(zip(".,", self.whole([".", ","])))
+            for p in late:
+                known[p] = known[p[:-1]] + stops[p[-1]]
+        else:
+            self._encode(new)
+
+    def _encode(self, new: list[str]) -> None:
+        if len(self.feed) != 1:
+            self.known.update(zip(new, self.whole([p if p[:1] == "\n" else " " + p for p in new])))
+            return
+        # A line feed between two pieces is one id of its own, so one call encodes many pieces.
+        mark = self.feed[0]
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            text = "\n".join(p[1:] if p[:1] == "\n" else " " + p for p in part)
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            at = np.flatnonzero(ids == mark)
+            if len(at) != len(part) - 1:
+                self.known.update(zip(part, self.whole([p if p[:1] == "\n" else " " + p for p in part])))
+                continue
+            raw, w = ids.tobytes(), self.wide
+            feed = ids.dtype.type(mark).tobytes()
+            for p, a, b in zip(part, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]):
+                self.known[p] = feed + raw[a * w : b * w] if p[:1] == "\n" else raw[a * w : b * w]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
+        out: list[np.ndarray] = []
+        heads, cuts, odd = [], [], []
+        for t in texts:
+            if not t:
+                heads.append("")
+                cuts.append([])
+            # Single spaces and line feeds are all the white space of a text that splits alike by both.
+            elif t.split() == t.replace("\n", " ").split(" ") and "\u180e" not in t:
+                pieces = t.replace("\n", " \n").split(" ")
+                heads.append(pieces[0])
+                cuts.append(pieces[1:])
+            else:
+                heads.append(None)
+                cuts.append([])
+                odd.append(t)
         if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        new = list({p for ps in cut for p in ps} - self.known.keys())
-        for p, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, self.kind).tobytes()
-        known, kind = self.known, self.kind
-        return [np.frombuffer(b"".join([known[p] for p in ps]), kind) for ps in cut]
+            self.known, self.older = {}, self.known
+        new: set[str] = set().union(*cuts)
+        self.learn(new - self.known.keys())
+        first = dict(zip(names := list({h for h in heads if h}), self.whole(names)))
+        first[""] = b""
+        rare = iter(self.odd_texts(odd))
+        get = self.known.__getitem__
+        for h, rest in zip(heads, cuts):
+            raw = next(rare) if h is None else first[h] + b"".join(map(get, rest))
+            out.append(np.frombuffer(raw, self.kind))
+        return out
+
+    def odd_texts(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut.split(t) for t in texts]
+        parts = list({p for ps in cut for p in ps})
+        ids = dict(zip(parts, self.whole(parts)))
+        return [b"".join([ids[p] for p in ps]) for ps in cut]
 
 
 def default_tokenizer() -> str:
@@ -123,11 +187,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _encoder(path: str | None) -> Encoder:
-    import os
+_ENCODERS: dict[str, Encoder] = {}
 
+
+def _encoder(path: str | None) -> Encoder:
+    """The encoder of this worker process, with the pieces that it has met in earlier tasks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(path or default_tokenizer())
+    path = path or default_tokenizer()
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, file_text_bytes: int = FILE_TEXT_BYTES) -> None:

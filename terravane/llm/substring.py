@@ -33,7 +33,7 @@ from .fmindex import FMIndex
 
 WINDOW = 50
 GRAM = 10
-HOT_ROWS = 2_000
+HOT_ROWS = 5_000
 #: Words in one FM-index; a single anchor's sequences are never split.
 INDEX_WORDS = 200_000
 
@@ -79,7 +79,28 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from common.as_batches({"h": h, "doc_id": np.asarray(b.column("doc_id"))[row], "row_key": np.asarray(b.column("row_key"))[row], "start": start, "hashes": hashes}, schema, 10_000)
 
 
-_RUNS = pa.schema([("row_key", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+#: Runs of n windows from each of the starts.
+_RUNS = pa.schema([("row_key", pa.int64()), ("h", pa.int64()), ("starts", pa.list_(pa.int32())), ("n", pa.int32())])
+_WINDOWS = pa.schema([("h", pa.int64()), ("w", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("starts", pa.list_(pa.int32()))])
+
+
+def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different window hash that a document has with a hot anchor, with all its places."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, doc, key, start = (np.asarray(b.column(c)) for c in ("h", "doc_id", "row_key", "start"))
+        sizes = [len(x) // 4 for x in b.column("hashes").to_pylist()]
+        whole = np.frombuffer(b"".join(b.column("hashes").to_pylist()), np.int32)
+        row = np.repeat(np.arange(len(h)), sizes)
+        place = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        by = np.lexsort((place, whole, h[row], key[row]))
+        row, whole, place = row[by], whole[by], place[by]
+        new = np.ones(len(row), bool)
+        new[1:] = (key[row[1:]] != key[row[:-1]]) | (h[row[1:]] != h[row[:-1]]) | (whole[1:] != whole[:-1])
+        cut = np.flatnonzero(new)
+        starts = pa.ListArray.from_arrays(pa.array(np.append(cut, len(row)), pa.int32()), pa.array(place, pa.int32()))
+        yield from common.as_batches({"h": h[row[cut]], "w": whole[cut], "doc_id": doc[row[cut]], "row_key": key[row[cut]], "starts": starts}, _WINDOWS)
 
 
 def _repeated(h: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, hashes: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -110,7 +131,7 @@ def _repeated(h: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)
         cut = np.flatnonzero(new)
-        yield from common.as_batches({"row_key": key[row[cut]], "h": h[row[cut]], "start": pos[cut], "n": np.diff(np.append(cut, len(row)))}, _RUNS)
+        yield from common.as_batches({"row_key": key[row[cut]], "h": h[row[cut]], "starts": pa.ListArray.from_arrays(pa.array(np.arange(len(cut) + 1), pa.int32()), pa.array(pos[cut], pa.int32())), "n": np.diff(np.append(cut, len(row)))}, _RUNS)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,21 +159,20 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_runs(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(row_key, h, start, n) of runs of windows that can repeat, from (doc_id, row_key, text)."""
+    """(row_key, h, starts, n) of runs of windows that can repeat, from (doc_id, row_key, text)."""
     hot = docs.select("text").mapInArrow(_anchor_keys, "h long").groupBy("h").count().filter(F.col("count") > hot_rows).select("h")
     hot = common.stored(hot, "hot")
     rows = docs.mapInArrow(_anchor_rows, "h long, doc_id long, row_key long, start int, hashes binary")
-    kind = "row_key long, h long, start int, n int"
+    kind = "row_key long, h long, starts array<int>, n int"
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     calm = rows.join(hot, "h", "left_anti").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_meet, kind)
     calm = common.stored(calm, "runs")
     if hot.isEmpty():
         return calm
-    size = F.expr("octet_length(hashes) div 4")
-    each = rows.join(hot, "h", "left_semi").select("h", "doc_id", "row_key", "start", F.posexplode(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(F.col("hashes"), i * 4 + 1, F.lit(4)))).alias("i", "w"))
-    each = common.stored(each.select("h", "w", "doc_id", "row_key", (F.col("start") + F.col("i")).alias("start")), "windows")
+    each = rows.join(hot, "h", "left_semi").mapInArrow(_hot_windows, "h long, w int, doc_id long, row_key long, starts array<int>")
+    each = common.stored(each, "windows")
     shared = common.stored(each.groupBy("h", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "w"), "shared")
-    return calm.unionByName(common.stored(each.join(shared, ["h", "w"]).select("row_key", "h", "start", F.lit(1).alias("n")), "runs"))
+    return calm.unionByName(common.stored(each.join(shared, ["h", "w"]).select("row_key", "h", "starts", F.lit(1).alias("n")), "runs"))
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +198,7 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = text.encode().split()
             # Windows of one anchor side by side, however they were found, make one sequence.
             joined: list[list[int]] = []
-            for h, start, n in sorted((r["h"], r["start"], r["n"]) for r in runs):
+            for h, start, n in sorted((r["h"], start, r["n"]) for r in runs for start in r["starts"]):
                 if joined and joined[-1][0] == h and joined[-1][1] + joined[-1][2] >= start:
                     joined[-1][2] = max(joined[-1][2], start + n - joined[-1][1])
                 else:
@@ -259,8 +279,8 @@ def remove_repeats(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
     runs = candidate_runs(docs.filter("doc_id is not null and text is not null"), hot_rows)
     # A row has at most one entry for each of its windows.
-    runs = common.stored(runs.groupBy("row_key").agg(F.collect_list(F.struct("h", "start", "n")).alias("runs")), "candidates")
-    kind = "doc_id long, row_key long, runs array<struct<h:long,start:int,n:int>>, text string, n_words long, kept_sha256 string"
+    runs = common.stored(runs.groupBy("row_key").agg(F.collect_list(F.struct("h", "starts", "n")).alias("runs")), "candidates")
+    kind = "doc_id long, row_key long, runs array<struct<h:long,starts:array<int>,n:int>>, text string, n_words long, kept_sha256 string"
     base = common.stored(docs.join(runs, "row_key", "left").select("doc_id", "row_key", "runs", "text").mapInArrow(_plain, kind), "base")
     open_rows = base.filter("kept_sha256 is null")
     seqs = open_rows.mapInArrow(_sequences, "row_key long, doc_id long, h long, start int, n int, seq_key binary, seq string")

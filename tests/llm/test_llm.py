@@ -172,6 +172,12 @@ def test_personal_data(spark, tmp_path):
         assert got[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest(), t[:80]
         assert [got[i][f"n_{k}"] for k in PATTERNS] == [sum(b.startswith(k) for b in base) for k in PATTERNS]
         assert set(base) <= set(got[i]["spans"].split(",")) | {""}
+    loose = [f"call me at ({200 + i}) 555-{1000 + i} or mail bob{i} [at] example [dot] com, or +1 ({300 + i}) 555-{2000 + i}, bob{i}@example.com" for i in range(40)]
+    found = pii.find_personal_data(documents(spark, loose + ["plain words only", "order 12345678 and version 1.2.3"] * 10)).collect()
+    for x in found:
+        text = (loose + [""] * 20)[x["doc_id"]]
+        want = {f"({200 + x['doc_id']}) 555-{1000 + x['doc_id']}", f"bob{x['doc_id']} [at] example [dot] com"} if text else set()
+        assert {text[a["start"] : a["end"]] for a in x["added"]} == want
     plan = pii.find_personal_data(documents(spark, ["x"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert pii.find_personal_data(documents(spark, [])).count() == 0

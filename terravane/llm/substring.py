@@ -84,16 +84,35 @@ _RUNS = pa.schema([("row_key", pa.int64()), ("h", pa.int64()), ("starts", pa.lis
 _WINDOWS = pa.schema([("h", pa.int64()), ("w", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("starts", pa.list_(pa.int32()))])
 
 
+def _anchor_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different anchor of a document, with the places and hashes of all its windows."""
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("places", pa.binary()), ("hashes", pa.binary())])
+    for b in batches:
+        row, h, start, count, whole = anchors(b.column("text"))
+        if not len(row):
+            continue
+        run = np.repeat(np.arange(len(row)), count)
+        place = (start[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+        by = np.lexsort((place, h[run], row[run]))
+        run, place, whole = run[by], place[by], whole[by]
+        new = np.ones(len(run), bool)
+        new[1:] = (row[run[1:]] != row[run[:-1]]) | (h[run[1:]] != h[run[:-1]])
+        cut = np.flatnonzero(new)
+        edge = (np.append(cut, len(run)) * 4).astype(np.int32)
+        cells = [pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(x.tobytes())]) for x in (place, whole)]
+        at = row[run[cut]]
+        yield from common.as_batches({"h": h[run[cut]], "doc_id": np.asarray(b.column("doc_id"))[at], "row_key": np.asarray(b.column("row_key"))[at], "places": cells[0], "hashes": cells[1]}, schema, 10_000)
+
+
 def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each different window hash that a document has with a hot anchor, with all its places."""
     for b in batches:
         if not b.num_rows:
             continue
-        h, doc, key, start = (np.asarray(b.column(c)) for c in ("h", "doc_id", "row_key", "start"))
-        sizes = [len(x) // 4 for x in b.column("hashes").to_pylist()]
-        whole = np.frombuffer(b"".join(b.column("hashes").to_pylist()), np.int32)
-        row = np.repeat(np.arange(len(h)), sizes)
-        place = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        h, doc, key = (np.asarray(b.column(c)) for c in ("h", "doc_id", "row_key"))
+        hashes = b.column("hashes").to_pylist()
+        whole, place = np.frombuffer(b"".join(hashes), np.int32), np.frombuffer(b"".join(b.column("places").to_pylist()), np.int32)
+        row = np.repeat(np.arange(len(h)), [len(x) // 4 for x in hashes])
         by = np.lexsort((place, whole, h[row], key[row]))
         row, whole, place = row[by], whole[by], place[by]
         new = np.ones(len(row), bool)
@@ -169,7 +188,8 @@ def candidate_runs(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     calm = common.stored(calm, "runs")
     if hot.isEmpty():
         return calm
-    each = rows.join(hot, "h", "left_semi").mapInArrow(_hot_windows, "h long, w int, doc_id long, row_key long, starts array<int>")
+    groups = docs.mapInArrow(_anchor_groups, "h long, doc_id long, row_key long, places binary, hashes binary")
+    each = groups.join(hot, "h", "left_semi").mapInArrow(_hot_windows, "h long, w int, doc_id long, row_key long, starts array<int>")
     each = common.stored(each, "windows")
     shared = common.stored(each.groupBy("h", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "w"), "shared")
     return calm.unionByName(common.stored(each.join(shared, ["h", "w"]).select("row_key", "h", "starts", F.lit(1).alias("n")), "runs"))

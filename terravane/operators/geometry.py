@@ -93,17 +93,40 @@ def cells_touching(cells: DataFrame, polygons: DataFrame) -> DataFrame:
     return hit.drop("cx", "cy", "rings")
 
 
+_BOUNDS = ("minx", "miny", "maxx", "maxy")
+
+
 def regions_meeting(regions: DataFrame, boxes: DataFrame) -> DataFrame:
     """Regions (region_id, minx, miny, maxx, maxy) that meet any box."""
-    b = boxes.select(*(F.col(k).alias(f"b_{k}") for k in ("minx", "miny", "maxx", "maxy")))
-    return regions.join(b, _boxes_meet(), "left_semi")
+    return regions.join(_extents_meeting(regions, boxes), list(_BOUNDS), "left_semi").select(*regions.columns)
 
 
 def boxes_without_region(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     """Boxes that meet no region."""
-    b = boxes.select(*(F.col(k).alias(f"b_{k}") if k in ("minx", "miny", "maxx", "maxy") else F.col(k) for k in boxes.columns))
-    out = b.join(regions, _boxes_meet(), "left_anti")
-    return out.select(*(F.col(f"b_{k}").alias(k) if f"b_{k}" in out.columns else F.col(k) for k in boxes.columns))
+    return boxes.join(_extents_meeting(boxes, regions), list(_BOUNDS), "left_anti").select(*boxes.columns)
+
+
+def _extents_meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct extents of ``left`` that meet one of ``right``.
+
+    A pair meets on cells of the larger one's level, so a box of any size takes few cells for each level of the other side.
+    """
+    level = F.ceil(F.log2(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(1e-9)))).cast("int")
+    a, b = (t.select(*(F.col(k).cast("double").alias(k) for k in _BOUNDS)).dropna().distinct().withColumn("level", level) for t in (left, right))
+    of_a, of_b = ([r[0] for r in t.select("level").distinct().collect()] for t in (a, b))
+    b = _on_levels(b, of_a).select("cx", "cy", F.col("level").alias("other"), F.col("other").alias("level"), *(F.col(k).alias(f"b_{k}") for k in _BOUNDS))
+    keys = ["level", "other", "cx", "cy"]
+    a = _on_levels(a, of_b).alias("a")
+    hit = a.join(b.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [_boxes_meet()], "left_semi")
+    return hit.select(*_BOUNDS).distinct()
+
+
+def _on_levels(boxes: DataFrame, levels: list[int]) -> DataFrame:
+    """A row for each of the other side's levels and each cell that a box meets at the higher level of the two."""
+    p = boxes.withColumn("other", F.explode(F.lit(levels).cast("array<int>")))
+    size = F.pow(F.lit(2.0), F.greatest("level", "other"))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size).cast("long"), F.floor(F.col(hi) / size).cast("long")))
+    return p.withColumn("cx", span("minx", "maxx")).withColumn("cy", span("miny", "maxy"))
 
 
 def _boxes_meet() -> Column:

@@ -156,6 +156,12 @@ def _boxes(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("lon").alias("minx"), F.col("lat").alias("miny"), (F.col("lon") + 0.7).alias("maxx"), (F.col("lat") + 0.3).alias("maxy"))
 
 
+def _regions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The subset of customers that the SQL of region_intersects and region_missing reads; the queries ending in _all read every one."""
+    g, b = _all_regions(spark, sf)
+    return g, b.filter("c_custkey < 400")
+
+
 _SNAP = f"WITH {LL}, s AS (SELECT DISTINCT CAST(floor(lon) AS BIGINT) AS minx, CAST(floor(lat) AS BIGINT) AS miny, CAST(ceil(lon + 0.7) AS BIGINT) AS maxx, CAST(ceil(lat + 0.3) AS BIGINT) AS maxy FROM ll)"
 _CELLS = _SNAP + ", x AS (SELECT *, unnest(range(minx, maxx)) AS x FROM s), g AS (SELECT DISTINCT x, unnest(range(miny, maxy)) AS y FROM x)"
 
@@ -437,14 +443,14 @@ def catchment_counts(spark, sf):
 
 _REGION = "g AS (SELECT n_nationkey AS region_id, -125 + n_nationkey * 2.0 AS minx, 25.0 AS miny, -124 + n_nationkey * 2.0 AS maxx, 35.0 AS maxy FROM nation)"
 _BOX = f"{LL}, b AS (SELECT c_custkey, lon AS bx0, lat AS by0, lon + 0.7 AS bx1, lat + 0.3 AS by1 FROM ll WHERE c_custkey < 400)"
+_ALL_BOXES = f"{LL}, b AS (SELECT c_custkey, lon AS bx0, lat AS by0, lon + 0.7 AS bx1, lat + 0.3 AS by1 FROM ll)"
 _MEET = "minx <= bx1 AND maxx >= bx0 AND miny <= by1 AND maxy >= by0"
 
 
-def _regions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _all_regions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("n_nationkey") * 2.0
     g = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("region_id"), (k - 125).alias("minx"), F.lit(25.0).alias("miny"), (k - 124).alias("maxx"), F.lit(35.0).alias("maxy"))
-    p = _lonlat(spark, sf).filter("c_custkey < 400")
-    return g, p.select("c_custkey", F.col("lon").alias("minx"), F.col("lat").alias("miny"), (F.col("lon") + 0.7).alias("maxx"), (F.col("lat") + 0.3).alias("maxy"))
+    return g, _lonlat(spark, sf).select("c_custkey", F.col("lon").alias("minx"), F.col("lat").alias("miny"), (F.col("lon") + 0.7).alias("maxx"), (F.col("lat") + 0.3).alias("maxy"))
 
 
 @query(f"WITH {_REGION}, {_BOX} SELECT region_id FROM g WHERE EXISTS (SELECT 1 FROM b WHERE {_MEET})")
@@ -458,6 +464,17 @@ def region_missing(spark, sf):
     return geometry.boxes_without_region(b, g).select("c_custkey")
 
 
+@query(f"WITH {_REGION}, {_ALL_BOXES} SELECT region_id FROM g WHERE EXISTS (SELECT 1 FROM b WHERE {_MEET})")
+def region_intersects_all(spark, sf):
+    return geometry.regions_meeting(*_all_regions(spark, sf)).select("region_id")
+
+
+@query(f"WITH {_REGION}, {_ALL_BOXES} SELECT c_custkey FROM b WHERE NOT EXISTS (SELECT 1 FROM g WHERE {_MEET})")
+def region_missing_all(spark, sf):
+    g, b = _all_regions(spark, sf)
+    return geometry.boxes_without_region(b, g).select("c_custkey")
+
+
 @query(f"WITH {LL} SELECT c_custkey, n_nationkey AS geom_id FROM ll JOIN nation ON lon >= -125 + n_nationkey * 2.0 AND lon < -122.5 + n_nationkey * 2.0 AND lat > 25.5 AND lat <= 35.5")
 def points_in_polygons(spark, sf):
     ring = lambda i: [[(-125 + i * 2.0, 25.5), (-122.5 + i * 2.0, 25.5), (-122.5 + i * 2.0, 35.5), (-125 + i * 2.0, 35.5), (-125 + i * 2.0, 25.5)]]

@@ -1,13 +1,16 @@
 """Line dedup by a log-template tree.
 
 Every line is parsed to a leaf of a tree of fixed depth: its token count, then its first ``DEPTH`` tokens,
-with tokens that hold a digit masked as ``<*>``.  Within a leaf, a token stays literal at its position where
-at least ``MIN_DOCS`` documents have it there, and is a variable field ``<*>`` elsewhere; that gives the line's
-template.  A template that at least ``MIN_DOCS`` documents have is recurring, and its lines are dropped from all of
-them, if it has ``MIN_TOKENS`` tokens and at most ``MAX_VARIABLE`` of them are variable.
+with tokens that hold a digit masked as ``<*>``.  Within a leaf, the tokens of a line are ranked by the documents
+that have them at their position.  A line has several templates: itself, and itself with its rarest tokens, those up
+to some rank, as variable fields ``<*>``; at most ``MAX_VARIABLE`` of a template's tokens are variable, and it has at
+least ``MIN_TOKENS`` tokens.  As ranks only compare tokens of one line, a field stays variable however often its values
+come back in a larger corpus.  Tokens that fewer than ``MIN_DOCS`` documents have are variable in every template, as no
+recurring one can hold them.  A template that at least ``MIN_DOCS`` documents have is recurring, and its lines are
+dropped from all of them.
 
-Only leaves that ``MIN_DOCS`` documents reach go on past the first count, and equal lines are counted before
-their tokens are dealt out, so a line that a third of all documents hold is one weighted row.
+Only leaves that ``MIN_DOCS`` documents reach go on past the first count, and documents with the same lines in a leaf are
+counted before their tokens are dealt out, so a line that a third of all documents hold is one weighted row.
 
 Defined results: lines end at a line feed; tokens are runs of anything but ASCII white space; a line without
 tokens is kept; null and empty texts have no lines and keep their text (null gives null); a document counts once for
@@ -33,7 +36,8 @@ MIN_TOKENS = 3
 MAX_VARIABLE = 0.34
 WILD = "<*>"
 
-_DIGIT = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+#: Tokens with a digit; the look-behind only keeps the search from starting again within a token.
+_DIGIT = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*")
 
 
 def masked_lines(text: str) -> list[tuple[int, int, str]]:
@@ -66,27 +70,31 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, max_variable: float = MAX_VARIABLE) -> DataFrame:
-    """(row_key, line_no, template, docs) of the lines to drop, from rows (row_key, text)."""
+    """(row_key, line_no, template, docs) of the lines to drop, a row for each recurring template, from rows (row_key, text)."""
     common.prepare(docs.sparkSession)
     texts = docs.select("text").filter("text is not null")
     leaves = texts.mapInArrow(_leaves, "leaf long").groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
     lines = docs.select("row_key", "text").filter("text is not null").mapInArrow(_lines, "row_key long, line_no int, leaf long, line string")
     lines = common.stored(lines.join(leaves, "leaf", "left_semi"), "lines")
-    distinct = lines.groupBy("leaf", "line").agg(F.count("*").alias("n"))
-    distinct = common.stored(distinct.withColumn("line_id", F.xxhash64("leaf", "line")), "distinct")
-    tokens = distinct.select("leaf", "line_id", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    literal = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("literal"))
-    seen = tokens.drop("n").join(literal, ["leaf", "pos", "token"], "left")
-    token = F.when(F.col("literal") & (F.col("token") != WILD), F.col("token")).otherwise(F.lit(WILD))
-    parts = F.array_sort(F.collect_list(F.struct("pos", token.alias("token"))))
+    distinct = common.stored(lines.select("leaf", "line", F.xxhash64("leaf", "line").alias("line_id")).distinct(), "distinct")
+    # Equal rows share a key; the rows over the line numbers are the number of such rows.  The lists are bounded by one document.
+    held = lines.groupBy("leaf", "row_key").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.expr("count(*) div size(collect_set(line_no))").alias("n"))
+    held = held.groupBy("leaf", "lines").agg(F.sum("n").alias("n"))
+    at = lambda line: F.transform(F.split(line, " "), lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
+    had = held.select("leaf", "n", F.explode(F.array_distinct(F.flatten(F.transform("lines", at)))).alias("at")).select("leaf", "n", "at.*").filter(F.col("token") != WILD)
+    had = had.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("had")).filter(F.col("had") >= min_docs)
+    tokens = distinct.select("leaf", "line_id", F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    tokens = tokens.join(had, ["leaf", "pos", "token"], "left").withColumn("had", F.coalesce("had", F.lit(0).cast("long")))
     # A line has as many rows here as it has tokens, so the lists are bounded by one line.
-    template = seen.groupBy("leaf", "line_id").agg(F.array_join(F.transform(parts, lambda p: p["token"]), " ").alias("template"))
-    wild = F.size(F.filter(F.split("template", " "), lambda t: t == WILD))
-    size = F.size(F.split("template", " "))
-    template = template.filter((size >= min_tokens) & (wild <= size * max_variable))
+    ranked = tokens.groupBy("leaf", "line_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "had"))).alias("parts"))
+    ranks = F.transform("parts", lambda p: p["had"])
+    # The lowest rank that is one variable field too many.
+    over = F.coalesce(F.get(F.array_sort(ranks), F.floor(F.size("parts") * max_variable).cast("int")), F.lit((1 << 63) - 1))
+    cuts = F.filter(F.array_union(F.array(F.lit(0).cast("long")), ranks), lambda r: r < F.col("over"))
+    named_at = lambda cut: F.array_join(F.transform("parts", lambda p: F.when(p["had"] > cut, p["token"]).otherwise(F.lit(WILD))), " ")
+    template = ranked.withColumn("over", over).filter(F.size("parts") >= min_tokens).select("leaf", "line_id", F.explode(F.transform(cuts, named_at)).alias("template"))
     named = common.stored(lines.select("row_key", "line_no", "leaf", F.xxhash64("leaf", "line").alias("line_id")).join(template, ["leaf", "line_id"]).select("row_key", "line_no", "leaf", "template"), "named")
     often = named.groupBy("leaf", "template", "row_key").agg(F.count("*").alias("c"), F.countDistinct("line_no").alias("lines"))
-    # Equal rows share a key; c / lines is the number of such rows.
     often = often.groupBy("leaf", "template").agg(F.sum(F.expr("c div lines")).alias("docs")).filter(F.col("docs") >= min_docs)
     return named.join(often, ["leaf", "template"]).select("row_key", "line_no", "template", "docs")
 

@@ -6,9 +6,16 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from terravane.llm import templates
 from terravane.operators import geometry
 
 SF = "/root/testdata/sf0.01"
+LETTERS = "abcdefghijklmnopqrst"
+NAMES, CITIES = [f"name{x}" for x in LETTERS], [f"city{x}" for x in LETTERS]
+
+
+def documents(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +54,20 @@ def test_boxes_of_all_sizes_meet_on_cells(spark):
     assert sorted(x["id"] for x in hit.collect()) == sorted(want) and sorted(x["id"] for x in free.collect()) == sorted(set(range(len(a))) - want)
     assert geometry.boxes_without_region(left, right.limit(0)).count() == len(a) and geometry.regions_meeting(left, right.limit(0)).count() == 0
     assert "NestedLoop" not in free._jdf.queryExecution().toString() and "NestedLoop" not in hit._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("docs", [80, 100, 400, 1000, 1600, 4000])
+def test_a_template_with_two_fields_recurs_at_every_size(spark, docs):
+    r = random.Random(docs)
+    other = [f"{''.join(r.choice('bcdfgh') for _ in range(7))} alone {''.join(r.choice('bcdfgh') for _ in range(7))} stays" for _ in range(docs)]
+    texts = [f"{other[i]}\nUser login from {NAMES[i % 20]} at {CITIES[i // 20 % 20]}" for i in range(docs)]
+    got = {x["doc_id"]: x["text"] for x in templates.drop_recurring_lines(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(other))
+
+
+def test_one_document_does_not_make_a_field_literal(spark):
+    # 2,000 lines of one document hold the field's value, more than the template has.
+    loud = "\n".join(f"User login from {NAMES[0]} via {''.join(CITIES[i // k % 20] for k in (1, 20, 400))}" for i in range(2000))
+    texts = [loud, *(f"User login from {NAMES[i % 20]} at {CITIES[i // 20]}" for i in range(400))]
+    got = {x["doc_id"]: x for x in templates.drop_recurring_lines(documents(spark, texts)).collect()}
+    assert all(got[i]["n_dropped"] == 1 for i in range(1, 401)) and got[0]["n_dropped"] == 0

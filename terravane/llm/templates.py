@@ -3,8 +3,8 @@
 Every line is parsed to a leaf of a tree of fixed depth: its token count, then its first ``DEPTH`` tokens,
 with tokens that hold a digit masked as ``<*>``.  Within a leaf, the tokens of a line are ranked by the documents
 that have them at their position.  A line has several templates: itself, and itself with its rarest tokens, those up
-to some rank, as variable fields ``<*>``; at most ``MAX_VARIABLE`` of a template's tokens are variable, and it has at
-least ``MIN_TOKENS`` tokens.  As ranks only compare tokens of one line, a field stays variable however often its values
+to some rank, as variable fields ``<*>``; at most ``MAX_VARIABLE`` of a template's tokens are variable, and one with
+variable fields has at least ``MIN_TOKENS`` tokens.  As ranks only compare tokens of one line, a field stays variable however often its values
 come back in a larger corpus.  Tokens that fewer than ``MIN_DOCS`` documents have are variable in every template, as no
 recurring one can hold them.  A template that at least ``MIN_DOCS`` documents have is recurring, and its lines are
 dropped from all of them.
@@ -90,9 +90,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
     ranks = F.transform("parts", lambda p: p["had"])
     # The lowest rank that is one variable field too many.
     over = F.coalesce(F.get(F.array_sort(ranks), F.floor(F.size("parts") * max_variable).cast("int")), F.lit((1 << 63) - 1))
-    cuts = F.filter(F.array_union(F.array(F.lit(0).cast("long")), ranks), lambda r: r < F.col("over"))
+    cuts = F.filter(F.array_union(F.array(F.lit(0).cast("long")), ranks), lambda r: (r < F.col("over")) & ((F.size("parts") >= min_tokens) | (r < F.array_min(ranks))))
     named_at = lambda cut: F.array_join(F.transform("parts", lambda p: F.when(p["had"] > cut, p["token"]).otherwise(F.lit(WILD))), " ")
-    template = ranked.withColumn("over", over).filter(F.size("parts") >= min_tokens).select("leaf", "line_id", F.explode(F.transform(cuts, named_at)).alias("template"))
+    template = ranked.withColumn("over", over).select("leaf", "line_id", F.explode(F.transform(cuts, named_at)).alias("template"))
     named = common.stored(lines.select("row_key", "line_no", "leaf", F.xxhash64("leaf", "line").alias("line_id")).join(template, ["leaf", "line_id"]).select("row_key", "line_no", "leaf", "template"), "named")
     often = named.groupBy("leaf", "template", "row_key").agg(F.count("*").alias("c"), F.countDistinct("line_no").alias("lines"))
     often = often.groupBy("leaf", "template").agg(F.sum(F.expr("c div lines")).alias("docs")).filter(F.col("docs") >= min_docs)

@@ -71,3 +71,11 @@ def test_one_document_does_not_make_a_field_literal(spark):
     texts = [loud, *(f"User login from {NAMES[i % 20]} at {CITIES[i // 20]}" for i in range(400))]
     got = {x["doc_id"]: x for x in templates.drop_recurring_lines(documents(spark, texts)).collect()}
     assert all(got[i]["n_dropped"] == 1 for i in range(1, 401)) and got[0]["n_dropped"] == 0
+
+
+def test_short_literal_lines_recur(spark):
+    texts = [f"own {LETTERS[i]}{LETTERS[-i]} words here\nLes.\nAnd ornd.\n{i}\npage {i}" for i in range(6)]
+    got = templates.drop_recurring_lines(documents(spark, texts)).collect()
+    assert {x["doc_id"]: x["text"] for x in got} == {i: f"own {LETTERS[i]}{LETTERS[-i]} words here\n{i}\npage {i}" for i in range(6)}
+    few = templates.drop_recurring_lines(documents(spark, ["Les."] * 4)).collect()
+    assert all(x["n_dropped"] == 0 for x in few)

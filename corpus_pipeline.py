@@ -7,7 +7,7 @@ deleting the working tables of the stage before it.
   language      drops documents without a language: null texts and texts without a letter
   near_dedup    keeps the document with the smallest doc_id of each group of near-duplicates
   decontaminate drops documents in which a window of a benchmark item occurs
-  mix           thins to the fitted rates; documents of the leading domain have rates near or above 1
+  mix           thins to rates fitted within 0 to 1, as no document stands twice; scarce domains stay below their targets
   tokens        writes token records and returns their index
 
 Rows with one doc_id count as one document for near_dedup; null doc_ids stay.

@@ -19,7 +19,9 @@ hash of doc_id.
 
 Defined results: null and empty texts have 0 words and the prior posterior; repeated rows and copies
 get equal rates; labels with nulls are left out; without usable labels every document is clean; a target
-for a domain that the corpus lacks is unreachable and left out.  An empty table gives no rows.  Columns of the
+for a domain that the corpus lacks is unreachable and left out.  A rate above one stands for copies of its document
+(``copies_of``); ``kept_by_rate`` has each row at most once, so there the fit is bounded to rates of 0 to 1, and a domain of
+which the corpus holds less than its target gets what there is.  An empty table gives no rows.  Columns of the
 input stay; ``n_tokens``, ``posterior`` and ``rate`` replace columns of those names.
 """
 
@@ -171,18 +173,19 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(score, schema)
 
 
-def rate_of(rounds: list[list[float]]) -> Column:
-    """A document's rate after the given rounds, from its posterior."""
+def rate_of(rounds: list[list[float]], most: float | None = None) -> Column:
+    """A document's rate after the given rounds, at most ``most`` in each, from its posterior."""
     steps = F.lit([]).cast("array<array<double>>") if not rounds else F.array(*(F.array(*(F.lit(float(x)) for x in e)) for e in rounds))
 
     def step(r: Column, e: Column) -> Column:
         pull = sum((F.col("posterior")[k] * e[k] for k in range(len(DOMAINS))), F.lit(0.0))
-        return F.greatest(F.lit(0.0), r - (pull + RIDGE * (r - 1)) / (1 + RIDGE))
+        r = F.greatest(F.lit(0.0), r - (pull + RIDGE * (r - 1)) / (1 + RIDGE))
+        return r if most is None else F.least(F.lit(float(most)), r)
 
     return F.aggregate(steps, F.lit(1.0), step)
 
 
-def fit_rates(posts: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS) -> list[list[float]]:
+def fit_rates(posts: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS, most: float | None = None) -> list[list[float]]:
     """The residual vectors of the projected-gradient rounds over (n_tokens, posterior) rows."""
     targets = targets or TARGETS
     sums = lambda r: posts.agg(*(F.coalesce(F.sum(r * F.col("n_tokens") * F.col("posterior")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(len(DOMAINS)))).first()
@@ -198,7 +201,7 @@ def fit_rates(posts: DataFrame, targets: dict[str, float] | None = None, rounds:
         if np.abs(e).max() < TOLERANCE:
             break
         out.append(e.tolist())
-        was, now = now, np.array(sums(rate_of(out)), float)
+        was, now = now, np.array(sums(rate_of(out, most)), float)
         if np.abs((now - was) / scale).max() < TOLERANCE / 10:
             break
     return out
@@ -209,6 +212,12 @@ def unit_of(doc_id: Column) -> Column:
     return (F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(1 << 30)) + 1) / float(1 << 30)
 
 
+def copies_of(rate: Column, doc_id: Column) -> Column:
+    """How often a document stands in the mix: its rate rounded down, and once more where the rest reaches its number."""
+    whole = F.floor(rate)
+    return (whole + F.when(rate - whole >= unit_of(doc_id), 1).otherwise(0)).cast("long")
+
+
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """doc_id, n_tokens, posterior and rate of every document."""
     posts = common.stored(scored(docs.select("doc_id", "text"), train(docs, labels)).drop("text"), "posteriors")
@@ -216,14 +225,14 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
 
 
 def kept_by_rate(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` thinned to their rates: a document stays where its rate reaches its fixed number in (0, 1]."""
+    """``docs`` thinned to rates of 0 to 1: a document stays where its rate reaches its fixed number in (0, 1]."""
     model = train(docs, labels)
     posts = common.stored(scored(docs.select("text"), model).drop("text"), "posteriors")
-    rounds = fit_rates(posts, targets)
+    rounds = fit_rates(posts, targets, most=1.0)
     names = docs.columns
     # The stage's own columns go by other names where the input has them too.
     inner = docs.select(*(F.col(c).alias(f"_own_{c}" if c in ("n_tokens", "posterior", "rate") else c) for c in names))
-    kept = scored(inner, model).filter(rate_of(rounds) >= unit_of(F.col("doc_id")))
+    kept = scored(inner, model).filter(rate_of(rounds, 1.0) >= unit_of(F.col("doc_id")))
     return kept.select(*(F.col(f"_own_{c}").alias(c) if f"_own_{c}" in inner.columns else F.col(c) for c in names))
 
 
@@ -231,5 +240,5 @@ def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_documents(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return out.select(
         "doc_id", "n_tokens", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate",
-        (F.col("rate") >= unit_of(F.col("doc_id"))).alias("kept"),
+        (F.col("rate") >= unit_of(F.col("doc_id"))).alias("kept"), copies_of(F.col("rate"), F.col("doc_id")).alias("copies"),
     )

@@ -36,7 +36,10 @@ def _stage(work: Stage) -> Stage:
 
 @_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    known = langid.identify(docs, langid.train(docs))
+    model = langid.train(docs)
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(langid.LETTER))
+    known = langid.identify(docs, model)
     return known.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 

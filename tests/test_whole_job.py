@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import corpus_pipeline
 from terravane.llm import mixing, templates
 from terravane.operators import geometry
 
@@ -104,3 +105,8 @@ def test_mixing_realises_what_it_fits(spark, tmp_path):
     assert max(fitted.values()) <= 1 and max(kept.values()) == 1 and set(range(12)) <= set(kept)
     for d in ("clean", "low"):
         assert abs(total(lambda i: kept[i], d) / total(lambda i: fitted[i], d) - 1) < 0.05
+
+
+def test_language_stage_without_any_label(spark, tmp_path):
+    docs = documents(spark, ["a text", None, "12 34 !", "", "\u00e9t\u00e9"]).selectExpr("*", "cast(null as string) as lang")
+    assert sorted(x["doc_id"] for x in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()) == [0, 4]

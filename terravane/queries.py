@@ -204,8 +204,8 @@ def align_bounds(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", *(_r(v).alias(n) for n, v in out.items()))
 
 
-def _wobbly(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "part").filter("p_partkey < 40").select(F.lit(10.0).alias("a"), F.lit(-10.0).alias("e"), (F.col("p_partkey") * 10.0).alias("c"), (F.col("p_partkey") * 20.0).alias("f"), F.lit(8).alias("height"), F.lit(9).alias("width"))
+def _wobbly(spark: SparkSession, sf: str, which: str = "p_partkey < 40") -> DataFrame:
+    return _t(spark, sf, "part").filter(which).select(F.lit(10.0).alias("a"), F.lit(-10.0).alias("e"), (F.col("p_partkey") * 10.0).alias("c"), (F.col("p_partkey") * 20.0).alias("f"), F.lit(8).alias("height"), F.lit(9).alias("width"))
 
 
 @query("""WITH m AS (SELECT 10.0 a, -10.0 e, p_partkey * 10.0 c, p_partkey * 20.0 f FROM part WHERE p_partkey < 40), x AS (SELECT min(c) x0, max(f) y1 FROM m)
@@ -214,6 +214,12 @@ def pixel_grid_alignment(spark, sf):
     return grid.grids_align(_wobbly(spark, sf))
 
 
+@query("""WITH m AS (SELECT 10.0 a, -10.0 e, p_partkey * 10.0 c, p_partkey * 20.0 f FROM part), x AS (SELECT min(c) x0, max(f) y1 FROM m)
+    SELECT count(DISTINCT (round((x0 - c) / a, 2) - floor(round((x0 - c) / a, 2)), round((y1 - f) / e, 2) - floor(round((y1 - f) / e, 2)))) <= 1 AS aligned FROM m, x""")
+def pixel_grid_alignment_all(spark, sf):
+    return grid.grids_align(_wobbly(spark, sf, "true"))
+
+
 @query(f"WITH {LL} SELECT c_custkey, CAST(floor((lon + 180) / 6) + 1 AS INTEGER) AS zone FROM ll")
 def utm_zone(spark, sf):
     return _lonlat(spark, sf).select("c_custkey", crs.utm_zone(F.col("lon")).alias("zone"))

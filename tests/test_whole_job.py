@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from terravane import queries as core
 from terravane.llm import mixing, templates
 from terravane.operators import geometry
 
@@ -110,3 +111,10 @@ def test_mixing_realises_what_it_fits(spark, tmp_path):
 def test_language_stage_without_any_label(spark, tmp_path):
     docs = documents(spark, ["a text", None, "12 34 !", "", "\u00e9t\u00e9"]).selectExpr("*", "cast(null as string) as lang")
     assert sorted(x["doc_id"] for x in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()) == [0, 4]
+
+
+def test_grid_alignment_of_every_part(spark, con, monkeypatch):
+    seen = []
+    monkeypatch.setattr(core.grid, "grids_align", lambda m, real=core.grid.grids_align: (seen.append(m.count()), real(m))[1])
+    got = entry.queries()["pixel_grid_alignment_all"](spark, SF).collect()
+    assert [tuple(x) for x in got] == con.sql(entry.oracle_sql()["pixel_grid_alignment_all"]).fetchall() and seen == [2000]

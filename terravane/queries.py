@@ -90,6 +90,14 @@ def stack_bands(spark, sf):
     return raster.stack(_pixels(spark, sf)).groupBy("row", "col").agg(*(F.max(F.when(F.col("band") == k + 1, F.col("value"))).alias(f"b{k}") for k in (1, 2, 3)))
 
 
+_BANDS = ", ".join(f"max(CASE WHEN source_ord = {k} THEN v END) AS b{k}" for k in range(1, 8))
+
+
+@query(f'WITH {PX} SELECT r AS "row", c AS col, {_BANDS} FROM px GROUP BY 1, 2')
+def stack_bands_all(spark, sf):
+    return raster.stack(_pixels(spark, sf)).groupBy("row", "col").agg(*(F.max(F.when(F.col("band") == k + 1, F.col("value"))).alias(f"b{k}") for k in range(1, 8)))
+
+
 def _meta(spark: SparkSession, crs_name: str = "EPSG:32614") -> DataFrame:
     return spark.createDataFrame([("0", 1.0, 0.0, 0.0, 0.0, -1.0, 64.0, 64, 64, crs_name)], "raster_id string, a double, b double, c double, d double, e double, f double, height long, width long, crs string")
 
@@ -138,6 +146,11 @@ def sample_points_multiband(spark, sf):
     return raster.sample(_places(spark, sf), raster.stack(_pixels(spark, sf).filter("source_ord <= 2")).withColumn("raster_id", F.lit("0")), _meta(spark)).select("point_id", "band", "value")
 
 
+@query(f"WITH {PX} SELECT s_suppkey AS point_id, CAST(source_ord + 1 AS INTEGER) AS band, v AS value FROM supplier LEFT JOIN px ON r = 63 - (s_suppkey * 7 % 70) AND c = s_suppkey % 70")
+def sample_points_multiband_all(spark, sf):
+    return raster.sample(_places(spark, sf), raster.stack(_pixels(spark, sf)).withColumn("raster_id", F.lit("0")), _meta(spark)).select("point_id", "band", "value")
+
+
 @query(f"WITH {_FIRST_SQL}, s AS (SELECT s_suppkey, 63 - (s_suppkey * 7 % 70) AS q, s_suppkey % 70 AS p FROM supplier) SELECT s_suppkey AS point_id, v AS value FROM s LEFT JOIN f ON r = CASE WHEN q < 0 THEN q + 64 ELSE q END AND c = p")
 def sample_points_wrapped(spark, sf):
     return raster.sample(_places(spark, sf), _one(spark, sf), _meta(spark), wrap_negative=True).select("point_id", "value")

@@ -118,3 +118,31 @@ def test_grid_alignment_of_every_part(spark, con, monkeypatch):
     monkeypatch.setattr(core.grid, "grids_align", lambda m, real=core.grid.grids_align: (seen.append(m.count()), real(m))[1])
     got = entry.queries()["pixel_grid_alignment_all"](spark, SF).collect()
     assert [tuple(x) for x in got] == con.sql(entry.oracle_sql()["pixel_grid_alignment_all"]).fetchall() and seen == [2000]
+
+
+@pytest.mark.parametrize("name", ["stack_bands_all", "sample_points_multiband_all"])
+def test_every_band(spark, con, name):
+    df = entry.queries()[name](spark, SF)
+    want = con.sql(entry.oracle_sql()[name])
+    got = [tuple(x) for x in df.select(*want.columns).collect()]
+    assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr)
+    bands = {x[1] for x in got} - {None} if "point" in name else {k for x in got for k, v in enumerate(x[2:], 2) if v is not None}
+    assert bands == set(range(2, 9))
+
+
+def test_minimal_cover_against_brute_force():
+    r = random.Random(8)
+    for _ in range(200):
+        span = lambda n: sorted(r.sample(range(n + 1), 2))
+        tiles = [(f"t{i}", (x0, y0, x1, y1)) for i in range(6) for (x0, x1), (y0, y1) in [(span(6), span(6))]]
+        boxes = [(x0, y0, x1, y1) for _ in range(2) for (x0, x1), (y0, y1) in [(span(6), span(6))]]
+        cells = lambda b: {(x, y) for x in range(b[0], b[2]) for y in range(b[1], b[3])}
+        need = set().union(*map(cells, boxes))
+        sets = [[t for i, t in enumerate(tiles) if m >> i & 1] for m in range(1, 64)]
+        least = min((len(p) for p in sets if need <= set().union(*(cells(t[1]) for t in p))), default=None)
+        if least is None:
+            with pytest.raises(ValueError):
+                geometry.minimal_cover(tiles, boxes)
+        else:
+            got = geometry.minimal_cover(tiles, boxes)
+            assert len(got) == least and need <= set().union(*(cells(b) for n, b in tiles if n in got))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,9 +41,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; on one machine a new one where that is unset, on a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         where = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -56,6 +59,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
+    """Partitions for a shuffle of about the rows of ``df``: the session's number, or more where they would be over ``bytes_each``.
+
+    The size is the planner's estimate from the files, which costs no job; tables of unknown size get the session's number.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 60 else max(least, -(-size // bytes_each))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return the reread table."""
     spark = df.sparkSession

@@ -5,17 +5,19 @@ document a posterior p over domains (clean, low, toxic).  With t its words, rate
 
     sum_k (sum_d r_d t_d p_dk - T_k)^2 / (2 C_k) + RIDGE / 2 * sum_d t_d (r_d - 1)^2
 
-where C_k = sum_d t_d p_dk is what the corpus holds and T_k the target.  Projected gradient in the
-metric of t: r <- max(0, r - (sum_k p_dk e_k + RIDGE (r - 1)) / (1 + RIDGE)), e_k = (sum_d r_d t_d p_dk - T_k) / C_k.
-As p sums to one, the step never overshoots.  A round is one aggregation of K sums over the stored
-(words, posterior) table; a document's rate is recomputed from the K-vectors e of the rounds so far, so no
-state of documents is kept or collected, and a lost executor costs a task retry.
+where C_k = sum_d t_d p_dk is what the corpus holds and T_k the target.  It is solved by projected gradient in its lazy
+form: gradients of the least-squares part add up in one vector of K numbers, lambda, and the projection of
+1 - p_d.lambda onto [0, most] is a document's rate.  A step is scaled by the K x K curvature over the documents that are at no
+bound and halved until the dual objective falls, so a handful of rounds reach the optimum.  A round is one aggregation
+of K + K (K + 1) / 2 + 1 sums over the stored (words, posterior) table; no state of documents is kept or
+collected, and a lost executor costs a task retry.  Rounds end where every domain's optimality residual is below TOLERANCE of its
+tokens; a fit that is not there after ROUNDS rounds raises.
 
 Features: hashed words (letters and digits, lower case) and runs of capitals and marks, with
 log counts scaled to length one.
 
 The sample takes at most ``SAMPLE_DOCS`` labelled documents of each domain, those with the smallest
-hash of doc_id.
+hash of doc_id.  The driver gets their features, at most FEATURES numbers a document, and never a text.
 
 Defined results: null and empty texts have 0 words and the prior posterior; repeated rows and copies
 get equal rates; labels with nulls are left out; without usable labels every document is clean; a target
@@ -44,8 +46,8 @@ TARGETS = {"clean": 0.97, "low": 0.03, "toxic": 0.0}
 SAMPLE_DOCS = 800
 FEATURES = 1 << 15
 RIDGE = 1e-3
-ROUNDS = 40
-TOLERANCE = 1e-4
+ROUNDS = 100
+TOLERANCE = 1e-9
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -94,36 +96,45 @@ def _logits(m: Model, row: np.ndarray, feature: np.ndarray, value: np.ndarray, n
     return np.stack([np.bincount(row, value * m.weights[feature, k], n) for k in range(len(m.bias))], 1) + m.bias
 
 
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        row, feature, value, _ = features(b.column("text"))
+        edge = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(edge, pa.array(x)) for x in (feature.astype(np.int32), value)]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "domain", "unit", "h")), *lists], ["_id", "domain", "unit", "h", "feature", "value"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Fit on a bounded sample: at most 2 * sample_docs + 20 texts of a domain come to the driver."""
+    """Fit on at most ``sample_docs`` labelled documents of each domain; of several texts with one doc_id one is taken."""
+    spark = docs.sparkSession
+    common.prepare(spark)
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 0)
-    known = labels.select(F.col("doc_id").alias("_id"), domain.alias("domain")).filter("_id is not null and domain is not null")
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), domain.alias("domain")).filter("_id is not null and domain is not null")
     counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     if not counts:
         return None
     unit = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    cut = F.coalesce(*(F.when(F.col("domain") == k, min(1.0, 2.0 * sample_docs / n)) for k, n in counts.items()))
-    wanted = known.withColumn("unit", unit).filter(F.col("unit") < cut).dropDuplicates(["_id", "domain"])
-    wanted = docs.sparkSession.createDataFrame(wanted.collect(), wanted.schema)
-    got = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select("domain", "unit", "text")
-    got = sorted(((r["domain"], r["unit"], r["text"] or "") for r in got.collect()))
-    texts, y, used = [], [], dict.fromkeys(counts, 0)
-    for k, _, text in got:
-        if used[k] < sample_docs:
-            used[k] += 1
-            texts.append(text)
-            y.append(k)
-    if not y:
+    known = known.distinct().withColumn("unit", unit)
+    picked = [r for k in counts for r in known.filter(F.col("domain") == k).orderBy("unit", "_id").limit(sample_docs).collect()]
+    wanted = spark.createDataFrame(picked, known.schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(wanted), "_id")  # at most sample_docs rows a domain
+    rows = rows.select("_id", "domain", "unit", F.xxhash64("text").alias("h"), "text").mapInArrow(_sparse, "_id long, domain int, unit double, h long, feature array<int>, value array<double>")
+    got = rows.groupBy("domain", "unit", "_id").agg(F.min_by(F.struct("feature", "value"), "h").alias("x")).collect()
+    got.sort(key=lambda r: (r["domain"], r["unit"], r["_id"]))
+    if not got:
         return None
-    return _fit(texts, np.array(y), np.array([float(counts.get(k, 0)) for k in range(len(DOMAINS))]))
+    y = np.array([r["domain"] for r in got])
+    sizes = [len(r["x"]["feature"]) for r in got]
+    feature = np.concatenate([np.array(r["x"]["feature"], np.int64) for r in got])
+    value = np.concatenate([np.array(r["x"]["value"], float) for r in got])
+    return _fit(np.repeat(np.arange(len(y)), sizes), feature, value, y, np.array([float(counts.get(k, 0)) for k in range(len(DOMAINS))]))
 
 
-def _fit(texts: list[str], y: np.ndarray, prior: np.ndarray, rounds: int = 150, rate: float = 20.0, decay: float = 1e-5) -> Model:
+def _fit(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, prior: np.ndarray, rounds: int = 150, rate: float = 20.0, decay: float = 1e-5) -> Model:
     """Gradient descent with momentum; classes weigh the same, then the bias takes the labels' shares.
 
     Every fifth text is held out to choose the temperature, so that posteriors are neither timid nor overconfident.
     """
-    row, feature, value, _ = features(pa.array(texts))
     n, k = len(y), len(DOMAINS)
     present = np.bincount(y, minlength=k) > 0
     aside = np.arange(n) % 5 == 4
@@ -173,38 +184,69 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(score, schema)
 
 
-def rate_of(rounds: list[list[float]], most: float | None = None) -> Column:
-    """A document's rate after the given rounds, at most ``most`` in each, from its posterior."""
-    steps = F.lit([]).cast("array<array<double>>") if not rounds else F.array(*(F.array(*(F.lit(float(x)) for x in e)) for e in rounds))
+class Fit(NamedTuple):
+    """Rates by ``pull`` (lambda above); expected totals, targets and optimality residuals by domain, the latter as shares of what the corpus holds."""
+
+    pull: list[float]
+    totals: list[float]
+    goals: list[float]
+    residuals: list[float]
+    rounds: int
 
-    def step(r: Column, e: Column) -> Column:
-        pull = sum((F.col("posterior")[k] * e[k] for k in range(len(DOMAINS))), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r - (pull + RIDGE * (r - 1)) / (1 + RIDGE))
-        return r if most is None else F.least(F.lit(float(most)), r)
 
-    return F.aggregate(steps, F.lit(1.0), step)
+def _free_rate(pull: list[float]) -> Column:
+    return F.lit(1.0) - sum((F.col("posterior")[k] * F.lit(float(x)) for k, x in enumerate(pull)), F.lit(0.0))
 
 
-def fit_rates(posts: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS, most: float | None = None) -> list[list[float]]:
-    """The residual vectors of the projected-gradient rounds over (n_tokens, posterior) rows."""
+def rate_of(fit: Fit, most: float | None = None) -> Column:
+    """A document's fitted rate, at most ``most``, from its posterior."""
+    rate = F.greatest(F.lit(0.0), _free_rate(fit.pull))
+    return rate if most is None else F.least(F.lit(float(most)), rate)
+
+
+def _round(posts: DataFrame, pull: np.ndarray, most: float | None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected totals, curvature over the documents at no bound, and the documents' part of the dual objective."""
+    k = range(len(DOMAINS))
+    x, t, p = _free_rate(pull.tolist()), F.col("n_tokens"), [F.col("posterior")[i] for i in k]
+    top = F.lit(float("inf") if most is None else float(most))
+    r = F.least(top, F.greatest(F.lit(0.0), x))
+    inside = F.when((x > 0) & (x < top), t).otherwise(0)
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0.0)).cast("double").alias(name)
+    got = posts.agg(
+        *(total(r * t * p[i], f"s{i}") for i in k), *(total(inside * p[i] * p[j], f"a{i}{j}") for i in k for j in k if i <= j),
+        total(t * F.when(x < top, r * r / 2).otherwise(F.lit(most or 0.0) * x - F.lit((most or 0.0) ** 2 / 2)), "psi"),
+    ).first()
+    return np.array([got[f"s{i}"] for i in k]), np.array([[got[f"a{min(i, j)}{max(i, j)}"] for j in k] for i in k]), got["psi"]
+
+
+def fit_rates(posts: DataFrame, targets: dict[str, float] | None = None, rounds: int = ROUNDS, most: float | None = None) -> Fit:
+    """Fit the rates of (n_tokens, posterior) rows to their optimum."""
     targets = targets or TARGETS
-    sums = lambda r: posts.agg(*(F.coalesce(F.sum(r * F.col("n_tokens") * F.col("posterior")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(len(DOMAINS)))).first()
-    held = np.array(sums(F.lit(1.0)), float)
+    pull = np.zeros(len(DOMAINS))
+    held = np.array(posts.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col("posterior")[k]), F.lit(0.0)) for k in range(len(DOMAINS)))).first(), float)
     share = np.array([targets.get(k, 0.0) for k in DOMAINS])
     lead = int(share.argmax())
     goal = share * held[lead] / share[lead] if share[lead] > 0 else share
-    scale = np.where(held > 1e-9, held, np.inf)
-    out: list[list[float]] = []
-    now = held
-    for _ in range(rounds):
-        e = (now - goal) / scale
-        if np.abs(e).max() < TOLERANCE:
-            break
-        out.append(e.tolist())
-        was, now = now, np.array(sums(rate_of(out, most)), float)
-        if np.abs((now - was) / scale).max() < TOLERANCE / 10:
-            break
-    return out
+    there = held > 1e-9 * max(held.sum(), 1e-300)
+    size = np.where(there, held, 1.0)
+    s, a, psi = _round(posts, pull, most)
+    for n in range(rounds):
+        # Gradient of the dual objective; zero where the rates are optimal.
+        g = np.where(there, RIDGE * size * pull + goal - s, 0.0)
+        left = np.abs(g) / size
+        if left.max() <= TOLERANCE:
+            return Fit(pull.tolist(), s.tolist(), goal.tolist(), left.tolist(), n)
+        step = np.zeros_like(pull)
+        step[there] = -np.linalg.solve((RIDGE * np.diag(size) + a)[np.ix_(there, there)], g[there])
+        value = psi + (goal * pull + RIDGE / 2 * size * pull * pull)[there].sum()
+        for half in range(40):
+            new = pull + step / 2**half
+            s2, a2, psi2 = _round(posts, new, most)
+            value2 = psi2 + (goal * new + RIDGE / 2 * size * new * new)[there].sum()
+            if value2 <= value + 1e-4 * (g @ step) / 2**half + 1e-12 * abs(value):
+                break
+        pull, s, a, psi = new, s2, a2, psi2
+    raise RuntimeError(f"rates are not at their optimum after {rounds} rounds")
 
 
 def unit_of(doc_id: Column) -> Column:
@@ -228,11 +270,11 @@ def kept_by_rate(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     """``docs`` thinned to rates of 0 to 1: a document stays where its rate reaches its fixed number in (0, 1]."""
     model = train(docs, labels)
     posts = common.stored(scored(docs.select("text"), model).drop("text"), "posteriors")
-    rounds = fit_rates(posts, targets, most=1.0)
+    fit = fit_rates(posts, targets, most=1.0)
     names = docs.columns
     # The stage's own columns go by other names where the input has them too.
     inner = docs.select(*(F.col(c).alias(f"_own_{c}" if c in ("n_tokens", "posterior", "rate") else c) for c in names))
-    kept = scored(inner, model).filter(rate_of(rounds, 1.0) >= unit_of(F.col("doc_id")))
+    kept = scored(inner, model).filter(rate_of(fit, 1.0) >= unit_of(F.col("doc_id")))
     return kept.select(*(F.col(f"_own_{c}").alias(c) if f"_own_{c}" in inner.columns else F.col(c) for c in names))
 
 

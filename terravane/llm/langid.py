@@ -6,11 +6,12 @@ no next step.  With n the parsed length, a language costs phrases * log2(referen
 character, and the cheapest wins.
 
 Text is lower-cased UTF-8; runs of bytes that are not letters count as one space.  Whole texts are
-parsed; parsing starts anew every ``LANE`` bytes, so that long and short texts share vector lanes.
+parsed, each as one sequence: the pieces of ``LANE`` bytes that share vector lanes are parsed ahead from the start state, and
+then taken up by the true state of the piece before until the two states agree, so LANE never changes a result.
 
-The reference of a language is taken from at most ``SAMPLE_DOCS`` labelled texts, of each at
-most ``PIECE_CHARS`` characters, and is at most ``REFERENCE_BYTES`` long (less where many languages
-share ``TOTAL_BYTES``); the texts are those with the smallest hash of the doc_id.
+The reference of a language is the whole texts of at most ``SAMPLE_DOCS`` labelled rows, in the order of a hash of
+the doc_id, as far as they fit into ``REFERENCE_BYTES`` (less where many languages share ``TOTAL_BYTES``); rows that do not
+fit are passed over.  A language whose every text is longer is learned from its shortest one.
 
 Defined results: null text and text without a letter give ``und`` and score 0; where no language was
 learned every text gives ``und``; equal costs go to the first language in alphabetical order; the
@@ -34,10 +35,11 @@ from pyspark.sql import types as T
 from . import common
 
 SAMPLE_DOCS = 80
-PIECE_CHARS = 1_000
-REFERENCE_BYTES = 30_000
+REFERENCE_BYTES = 40_000
 TOTAL_BYTES = 400_000
 LANE = 512
+#: Pieces that are parsed side by side.
+BLOCK = 2_048
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 
@@ -114,32 +116,31 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
     return table.ravel()
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, piece_chars: int = PIECE_CHARS, reference_bytes: int = REFERENCE_BYTES) -> Model:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, reference_bytes: int = REFERENCE_BYTES) -> Model:
     """Learn from (doc_id, text, lang) rows with text that has a letter and a non-null lang.
 
-    A row count for each language decides which hash range of doc_ids can hold its sample, so that the
-    texts that come to the driver are bounded by languages * sample_docs * piece_chars.
+    The driver gets at most ``sample_docs`` texts of at most ``reference_bytes`` bytes for each language.
     """
-    spark = docs.sparkSession
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    size = F.octet_length("text")
+    found = sorted(rows.groupBy("lang").agg(F.min(size).alias("least")).collect())
+    if not found:
         return Model([], np.zeros(256, np.int32), 1, [], [])
-    share = spark.createDataFrame([(k, min(1.0, (2.0 * sample_docs + 20) / n)) for k, n in counts.items()], "lang string, share double")
-    near = rows.withColumn("unit", unit).join(F.broadcast(share), "lang").filter(F.col("unit") < F.col("share"))
-    picked = near.select("lang", "unit", F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, piece_chars).alias("text")).collect()
-    pieces: dict[str, list[str]] = {k: [] for k in counts}
-    for r in sorted(picked, key=lambda r: (r["unit"], r["id"], r["text"])):
-        if len(pieces[r["lang"]]) < sample_docs:
-            pieces[r["lang"]].append(r["text"])
-    langs = sorted(k for k, v in pieces.items() if v)
+    langs = [r["lang"] for r in found]
     most = min(reference_bytes, max(500, TOTAL_BYTES // len(langs)))
+    # Rows of one language may be most of the table: the k first by hash are kept in every partition before they meet.
+    rank = F.struct(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), F.col("doc_id").cast("string").alias("id"))
     refs = []
-    for k in langs:
-        # Round-robin over pieces of 250 characters keeps many texts in a short reference.
-        parts = [t[i : i + 250] for i in range(0, piece_chars, 250) for t in pieces[k] if t[i : i + 250]]
-        refs.append(folded(pa.array([" ".join(parts)]))[1][:most])
+    for lang, least in found:
+        mine = rows.filter((F.col("lang") == lang) & (size <= max(most, least)))
+        picked = mine.orderBy(rank if least <= most else size, rank).limit(sample_docs if least <= most else 1).select("text").collect()
+        parts, room = [], most
+        for (text,) in picked:
+            folds = folded(pa.array([text]))[1]
+            if len(folds) + 1 <= room or not parts:
+                parts += [folds, np.zeros(1, np.uint8)]
+                room -= len(folds) + 1
+        refs.append(np.concatenate(parts))
     seen = np.unique(np.concatenate(refs))
     classes = np.full(256, len(seen) + 1, np.int32)
     classes[seen] = np.arange(1, len(seen) + 1)
@@ -155,25 +156,57 @@ def phrases(off: np.ndarray, codes: np.ndarray, steps: list[np.ndarray]) -> np.n
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
     start = off[owner] + nth * LANE
     size = np.minimum(LANE, off[owner + 1] - start)
-    order = np.argsort(-size, kind="stable")
-    start, size, owner = start[order], size[order], owner[order]
     out = np.zeros((len(steps), len(sizes)), np.int64)
-    if not len(owner):
-        return out
-    longest = int(size[0])
-    active = np.searchsorted(-size, -np.arange(longest), side="left")
-    at = np.minimum(start[None, :] + np.arange(longest)[:, None], len(codes) - 1)
-    grid = codes[at]
+    totals, ends = np.zeros((len(steps), len(owner)), np.int64), np.zeros(len(steps), np.int64)
+    for i in range(0, len(owner), BLOCK):
+        part = slice(i, i + BLOCK)
+        _block(start[part], size[part], nth[part], codes, steps, totals[:, part], ends)
+        closing = i + np.flatnonzero(nth[part] == lanes[owner[part]] - 1)
+        # The phrase that is open at the end of a text counts too.
+        out[:, owner[closing]] += totals[:, closing] & 1
+    if len(owner):
+        totals >>= 1
+        for k in range(len(steps)):
+            out[k] += np.bincount(owner, totals[k], len(sizes)).astype(np.int64)
+    return out
+
+
+def _block(start: np.ndarray, size: np.ndarray, nth: np.ndarray, codes: np.ndarray, steps: list[np.ndarray], totals: np.ndarray, ends: np.ndarray) -> None:
+    """Parse pieces that follow each other; ``totals`` gets 2 * phrases ended + whether one is open, ``ends`` carries states from block to block."""
+    order = np.argsort(-size, kind="stable")
+    first, sized = start[order], size[order]
+    longest = int(sized[0])
+    active = np.searchsorted(-sized, -np.arange(longest), side="left")
+    grid = codes[np.minimum(first[None, :] + np.arange(longest)[:, None], len(codes) - 1)]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    later = np.flatnonzero(nth > 0).tolist()
+    begin, length, column, code = start.tolist(), size.tolist(), place.tolist(), memoryview(codes)
+    states, counts = np.zeros((longest, len(order)), np.int32), np.zeros((longest, len(order)), np.int32)
     for k, table in enumerate(steps):
-        row = np.zeros(len(owner), np.int32)
-        ended = np.ones(len(owner), np.int32)
+        row, ended = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
         for t in range(longest):
             n = active[t]
             v = table[row[:n] + grid[t, :n]]
             ended[:n] += v & 3
             row[:n] = v >> 2
-        out[k] = np.bincount(owner, ended, len(sizes)).astype(np.int64)
-    return out
+            states[t], counts[t] = row, ended
+        total, last = ended[place].tolist(), row[place].tolist()
+        step, seen, upto = memoryview(table), memoryview(states), memoryview(counts)
+        for lane in later:
+            state, count, c, at = last[lane - 1] if lane else int(ends[k]), 0, column[lane], begin[lane]
+            for t in range(length[lane]):
+                v = step[state + code[at + t]]
+                count += v & 3
+                state = v >> 2
+                if state == seen[t, c]:
+                    # From here on both parses are one.
+                    count += total[lane] - upto[t, c]
+                    state = last[lane]
+                    break
+            total[lane], last[lane] = count, state
+        totals[k] = np.array(total) * 2 + (np.array(last) != 0)
+        ends[k] = last[-1]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -181,6 +214,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     common.prepare(spark)
     docs = docs.drop("lang_pred", "score")
+    flag = common.free_name(docs, "has_letter")
     shared = spark.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -191,7 +225,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             off, kinds = folded(text)
             sizes = np.diff(off)
             best, score = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
-            has = np.array(b.column("_has_letter").fill_null(False))
+            has = np.array(b.column(flag).fill_null(False))
             if m.langs:
                 cost = phrases(off, m.classes[kinds], m.steps) * np.array(m.bits)[:, None] / np.maximum(sizes, 1)
                 best = cost.argmin(0)
@@ -202,10 +236,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     score = np.ones(len(sizes))
             has &= bool(m.langs)
             pred = [m.langs[i] if ok else UNKNOWN for i, ok in zip(best, has)]
-            b = b.drop_columns(["_has_letter"])
+            b = b.drop_columns([flag])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(np.where(has, np.clip(score, 0, 1), 0.0))], [*b.schema.names, "lang_pred", "score"])
 
-    return docs.withColumn("_has_letter", F.col("text").rlike(LETTER)).mapInArrow(parse, schema)
+    return docs.withColumn(flag, F.col("text").rlike(LETTER)).mapInArrow(parse, schema)
 
 
 def held_out(doc_id: Column) -> Column:

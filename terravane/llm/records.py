@@ -1,7 +1,7 @@
 """Length-delimited binary records of token ids, with a separate offset index.
 
 Frame: u64 payload length, u32 masked CRC-32 of those 8 bytes, payload, u32 masked CRC-32 of the
-payload, one byte 0x0A; all little-endian.  Payload: i64 doc_id, u8 width (2 or 4), ids of that width.
+payload, one byte 0x0A; all little-endian.  Payload: i64 doc_id, u8 width (2 or 4, plus 128 where the doc_id is null), ids of that width.
 The mask is ((crc >> 15) | (crc << 17)) + 0xa282ead8, so that a checksum stored in data that is
 itself checksummed stays sound.  The closing byte lets Spark's own file writer (task commit, any
 Hadoop file system) end each frame; readers go by the lengths.
@@ -11,12 +11,13 @@ file.  The index (file, doc_id, seq, offset, length, n_tokens, ids_crc32, file_s
 table beside the data; ``read_records`` fetches any subset of it, in any order, for shuffled reads.
 
 Defined results: null and empty texts give the end id alone; equal texts and repeated rows give a
-frame each; rows with a null doc_id are stored first with the lowest long as their id; an empty table
+frame each; rows with a null doc_id are stored first and come back with a null doc_id; an empty table
 gives an empty index; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -25,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 END_ID = 2
-NULL_ID = -(1 << 63)
+#: Bit of the width byte that says that there is no doc_id.
+NO_ID = 128
 #: Bytes of text a file holds.
 FILE_TEXT_BYTES = 16 << 20
 #: Pieces in a generation of a worker's encoder.
@@ -46,13 +48,13 @@ def masked(crc: int) -> int:
     return ((((crc >> 15) | (crc << 17)) & 0xFFFFFFFF) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, ids: np.ndarray, width: int) -> bytes:
-    payload = _BODY.pack(doc_id, width) + ids.astype("<u2" if width == 2 else "<u4").tobytes()
+def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
+    payload = _BODY.pack(doc_id or 0, width | (NO_ID if doc_id is None else 0)) + ids.astype("<u2" if width == 2 else "<u4").tobytes()
     size = struct.pack("<Q", len(payload))
     return size + _TAIL.pack(masked(zlib.crc32(size))) + payload + _TAIL.pack(masked(zlib.crc32(payload))) + b"\n"
 
 
-def frames(content: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
+def frames(content: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
     """(offset, length, doc_id, ids) of each frame; raises ValueError where a checksum or a length is wrong."""
     at, end, view = 0, len(content), memoryview(content)
     while at < end:
@@ -67,6 +69,7 @@ def frames(content: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
         if masked(zlib.crc32(view[body : body + n])) != _TAIL.unpack_from(view, body + n)[0]:
             raise ValueError(f"payload checksum at {at}")
         doc_id, width = _BODY.unpack_from(view, body)
+        doc_id, width = None if width & NO_ID else doc_id, width & ~NO_ID
         ids = np.frombuffer(view, "<u2" if width == 2 else "<u4", (n - 9) // width, body + 9)
         yield at, n + 17, doc_id, ids
         at = body + n + 5
@@ -80,6 +83,9 @@ class Encoder:
     those, and the ids of its pieces are those of the whole.  Texts with any other white space are
     cut only at single spaces between two non-white characters.
 
+    That holds for a byte-level BPE without normaliser, prefix space or other rules (``splits``); with any other
+    tokenizer whole texts are encoded.
+
     Pieces are kept in two generations of bounded size: what was met since the last change of
     generation stays.
     """
@@ -97,6 +103,14 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.feed = self.tok.encode("\n", add_special_tokens=False).ids
+        self.splits = self._splits()
+
+    def _splits(self) -> bool:
+        rules = json.loads(self.tok.to_str())
+        before, model = rules.get("pre_tokenizer") or {}, rules["model"]
+        plain = not rules.get("normalizer") and not rules.get("truncation") and not any(t["content"].strip() != t["content"] or not t["special"] for t in rules.get("added_tokens", []))
+        level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        return bool(plain and level and model.get("type") == "BPE" and not model.get("dropout") and not model.get("unk_token"))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -146,6 +160,8 @@ class Encoder:
                 self.known[p] = feed + raw[a * w : b * w] if p[:1] == "\n" else raw[a * w : b * w]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.splits:
+            return [np.frombuffer(x, self.kind) for x in self.whole(texts)]
         out: list[np.ndarray] = []
         heads, cuts, odd = [], [], []
         for t in texts:
@@ -215,11 +231,16 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, file
             # Typed as a string only because Spark's line writer takes strings; it writes the bytes as they are and adds the closing byte.
             yield pa.RecordBatch.from_arrays([pa.array([f[:-1] for f in made], pa.binary()).view(pa.string())], ["value"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     rows.mapInArrow(encode, "value string").write.option("lineSep", "\n").text(f"{path}/data")
 
 
+def file_order(name: Column) -> Column:
+    """Place of a file among all: the number of the partition that wrote it, as a number (names grow wider from 100,000 files on)."""
+    return F.regexp_extract(name, r"^part-([0-9]+)", 1).cast("long")
+
+
 def index_records(spark: SparkSession, path: str) -> DataFrame:
     """Read the files back, verify each frame, write and return the offset index."""
 
@@ -242,7 +263,7 @@ def index_records(spark: SparkSession, path: str) -> DataFrame:
     index = spark.read.schema(index.schema).parquet(f"{path}/index")
     # One row for each file: where its first id stands in the whole sequence.
     sizes = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    sizes = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("file_start"))
+    sizes = sizes.select("file", (F.sum("n").over(Window.orderBy(file_order(F.col("file")), "file")) - F.col("n")).alias("file_start"))
     return index.join(sizes, "file").withColumn("start", F.col("file_start") + F.col("before")).drop("before")
 
 

@@ -14,8 +14,8 @@ input are ignored, whatever their names.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,46 +25,37 @@ BITS = 8
 N_SHARDS = 16
 
 
-def hilbert_distance(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Curve index of integer cells, shape (rows, dims), each below 2**bits (Skilling's transpose form)."""
-    x = cells.astype(np.int64).T.copy()
-    dims = len(x)
-    q = 1 << (bits - 1)
-    while q > 1:
-        low = q - 1
-        for i in range(dims):
-            on = (x[i] & q) != 0
-            swap = np.where(on, 0, (x[0] ^ x[i]) & low)
-            x[0] ^= np.where(on, low, swap)
-            x[i] ^= swap
-        q >>= 1
-    for i in range(1, dims):
-        x[i] ^= x[i - 1]
-    flip = np.zeros_like(x[0])
-    q = 1 << (bits - 1)
-    while q > 1:
-        flip ^= np.where((x[dims - 1] & q) != 0, q - 1, 0)
-        q >>= 1
-    x ^= flip
-    out = np.zeros_like(x[0])
-    for b in range(bits - 1, -1, -1):
-        for i in range(dims):
-            out = (out << 1) | ((x[i] >> b) & 1)
-    return out
-
-
-def curve(*cells: Column) -> Column:
-    """Curve index of cell columns, by Arrow batches."""
-
-    def index(rows: pd.DataFrame) -> pd.Series:
-        return pd.Series(hilbert_distance(rows.to_numpy()))
-
-    return F.pandas_udf(index, "long")(F.struct(*(c.alias(f"d{i}") for i, c in enumerate(cells))))
+def with_curve(df: DataFrame, name: str, *cells: Column, bits: int = BITS) -> DataFrame:
+    """``df`` with the Hilbert index of cells from 0 to 2**bits - 1 (Skilling's transpose form), by shifts and xors of columns.
+
+    Every step is a projection of its own, so that each reads the columns of the one before.
+    """
+    x = [common.free_name(df, f"cell{i}") for i in range(len(cells))]
+    set_in = lambda c, q: F.col(c).bitwiseAND(F.lit(q).cast("long")) != 0
+    out = df.withColumns({k: c.cast("long") for k, c in zip(x, cells)})
+    for b in range(bits - 1, 0, -1):
+        q, low = 1 << b, F.lit((1 << b) - 1).cast("long")
+        out = out.withColumn(x[0], F.when(set_in(x[0], q), F.col(x[0]).bitwiseXOR(low)).otherwise(F.col(x[0])))
+        for k in x[1:]:
+            # Bit set: invert the lower bits of the first cell; clear: swap them with this one's.
+            swap = F.col(x[0]).bitwiseXOR(F.col(k)).bitwiseAND(low)
+            out = out.withColumns({
+                x[0]: F.when(set_in(k, q), F.col(x[0]).bitwiseXOR(low)).otherwise(F.col(x[0]).bitwiseXOR(swap)),
+                k: F.when(set_in(k, q), F.col(k)).otherwise(F.col(k).bitwiseXOR(swap)),
+            })
+    xor = lambda cs: functools.reduce(lambda p, c: p.bitwiseXOR(c), cs)
+    out = out.withColumns({k: xor([F.col(c) for c in x[: i + 1]]) for i, k in enumerate(x)})
+    flip = xor([F.when(set_in(x[-1], 1 << b), F.lit((1 << b) - 1)).otherwise(F.lit(0)).cast("long") for b in range(bits - 1, 0, -1)])
+    turn = common.free_name(df, "turn")
+    out = out.withColumn(turn, flip)
+    bit = lambda k, b: F.shiftright(F.col(k).bitwiseXOR(F.col(turn)), b).bitwiseAND(F.lit(1).cast("long"))
+    index = sum((F.shiftleft(bit(k, b), b * len(x) + len(x) - 1 - i) for b in range(bits) for i, k in enumerate(x)), F.lit(0).cast("long"))
+    return out.withColumn(name, index).drop(*x, turn)
 
 
 def category_cell(c: Column) -> Column:
-    """Cell of a categorical dimension: a stable hash; null goes to cell 0."""
-    return F.when(c.isNull(), 0).otherwise(F.pmod(F.xxhash64(c.cast("string")), F.lit(1 << BITS))).cast("int")
+    """Cell of a categorical dimension: a byte of a stable hash; null goes to cell 0."""
+    return F.when(c.isNull(), 0).otherwise(F.conv(F.left(F.md5(c.cast("string").cast("binary")), F.lit(2)), 16, 10).cast("int"))
 
 
 def size_cell(c: Column) -> Column:
@@ -79,7 +70,7 @@ def ranked(df: DataFrame, order: list[str], tag: str) -> DataFrame:
     meets in one place is a row count for each partition.
     """
     spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = common.partitions(df)
     pos = F.monotonically_increasing_id()
     part = (
         df.repartitionByRange(n, *order)
@@ -105,7 +96,7 @@ def hilbert_shards(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
         F.col("source"),
         F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("length"),
     )
-    keyed = keyed.withColumn("curve", curve(category_cell(F.col("source")), category_cell(F.col("lang")), size_cell(F.col("length"))))
+    keyed = with_curve(keyed, "curve", category_cell(F.col("source")), category_cell(F.col("lang")), size_cell(F.col("length")))
     rows = ranked(keyed, ["curve", "text_crc32", "doc_id"], "curve")
     # First rank of shard s is ceil(s * total / n), so counts are floor or ceil of total / n.
     shard = F.expr(f"cast((rank * {n_shards}L) div total as int)")

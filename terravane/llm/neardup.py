@@ -9,17 +9,20 @@ Equal sets are one class from the start, so copies cost one row.  Of a bucket's
 still join two components:
   1. every class with the smallest class that it shares any bucket with,
   2. every class with the smallest class of each of its buckets, where their components differ,
-  3. all pairs of a bucket whose components still differ.
-The third step leaves no candidate pair undecided.  Buckets of at most SMALL_BUCKET classes give their pairs as rows.  Larger
-ones, with those that overlap them, are one group; its classes are dealt into blocks of about BLOCK, every two blocks
-meet in one task of bounded size, which compares all their full sets and returns a spanning forest of the links.
+  3. the pairs of a bucket whose components still differ.
+The third step leaves no candidate pair undecided.  Buckets of at most SMALL_BUCKET classes give their pairs as rows.  The
+classes of larger ones meet by an exact prefix filter instead: with shingles ordered from rare to frequent, two sets at 0.75 share one
+of their n - ceil(0.75 n) + 1 first shingles, so only classes with a common shingle there are compared, and only those of different
+components.  Shingles that over SMALL_BUCKET prefixes still share form groups; their classes are dealt into blocks of about BLOCK, a
+component of that size into blocks of its own, and every two blocks that hold different components meet in one task of
+bounded size, which compares their full sets and returns a spanning forest of the links.
 
 Links and components stay distributed; components are found by alternating large-star and small-star steps.
 
 Defined results: words are cut at ASCII white space after lower-casing A-Z; a text of fewer than SHINGLE words has one
 shingle, its whole sequence; null, empty and blank texts have an empty set and are linked with nothing; rows with
-a null doc_id likewise; rows with one doc_id and one text are one node; an empty table gives no rows; other
-columns are ignored.  Shingles are compared by 55-bit hashes.
+a null doc_id likewise; every different text is a node, so a doc_id that comes with several texts has the links of
+each on the row that holds it, and equal rows are one node; an empty table gives no rows; other columns are ignored.  Shingles are compared by 55-bit hashes.
 """
 
 from __future__ import annotations
@@ -87,17 +90,25 @@ def signatures(offsets: np.ndarray, values: np.ndarray, coordinates: int) -> np.
     return out
 
 
+def _set_keys(offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set; 0 for empty ones."""
+    full = np.diff(offsets) > 0
+    k1, k2 = np.zeros(len(full), np.uint64), np.zeros(len(full), np.uint64)
+    if full.any():
+        starts = offsets[:-1][full]
+        k1[full] = np.add.reduceat(common.mix(values ^ np.uint64(0x5BD1E995)), starts)
+        k2[full] = np.add.reduceat(common.mix(values * np.uint64(3) + np.uint64(11)), starts)
+    return k1, k2
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         offsets, values = shingle_sets(b.column("text"))
         n = np.diff(offsets)
         full = n > 0
-        k1, k2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+        k1, k2 = _set_keys(offsets, values)
         bands = np.zeros((len(n), BANDS), np.uint64)
         if full.any():
-            starts = offsets[:-1][full]
-            k1[full] = np.add.reduceat(common.mix(values ^ np.uint64(0x5BD1E995)), starts)
-            k2[full] = np.add.reduceat(common.mix(values * np.uint64(3) + np.uint64(11)), starts)
             sig = signatures(offsets, values, ROWS * BANDS).astype(np.uint64)
             for j in range(BANDS):
                 g = np.full(full.sum(), j + 1, np.uint64)
@@ -111,7 +122,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         offsets, values = shingle_sets(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([values[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])], pa.binary())], ["id", "members"])
+        k1, k2 = _set_keys(offsets, values)
+        members = pa.array([values[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), members], ["doc_id", "k1", "k2", "members"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of (id, members) rows."""
+    for b in batches:
+        values = np.frombuffer(b"".join(b.column("members").to_pylist()), np.int64)
+        ids = np.repeat(np.asarray(b.column("id")), [len(x) // 8 for x in b.column("members").to_pylist()])
+        yield from common.as_batches({"id": ids, "token": values}, pa.schema([("id", pa.int64()), ("token", pa.int64())]))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,20 +242,58 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _grouped_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within groups of overlapping large buckets, from rows (bucket, id)."""
-    spark = rows.sparkSession
-    heads = common.stored(rows.groupBy("bucket").agg(F.min("id").alias("head")), "heads")
-    group = components(rows.join(heads, "bucket").select(F.col("id").alias("a"), F.col("head").alias("b")))
-    member = rows.select("id").distinct().join(group, "id", "left").select("id", F.coalesce("label", "id").alias("g"))
-    member = common.stored(member, "members")
-    size = common.stored(member.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")), "sizes")
-    block = F.pmod(F.xxhash64("id"), F.col("k").cast("long")).cast("int")
-    dealt = member.join(size, "g").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("id", F.struct("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).alias("pair")).join(sets, "id")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.concat_ws(":", "pair.g", "pair.i", "pair.j").alias("pair")
-    return common.stored(dealt.select(key, "id", "members").repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(_blocks, "a long, b long"), "links")
+def _prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(token, id, n, l, c) of prefix shingles that classes of different components share; c classes have the shingle in their prefix."""
+    tokens = common.stored(members.select("id").join(sets, "id").mapInArrow(_tokens, "id long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
+    # Shingles of one set alone are its rarest and meet nothing, so they only take up room in its prefix.
+    mine = tokens.join(often, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    room = F.expr(f"n - (({PERCENT} * n + 99) div 100) + 1 - (n - size(t))").cast("int")
+    first = mine.join(members, "id").withColumn("room", room).filter("room > 0").select("id", "n", "l", F.explode(F.slice("t", 1, F.col("room"))["token"]).alias("token"))
+    first = common.stored(first, "prefixes")
+    mixed = first.groupBy("token").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("token", "c")
+    return common.stored(first.join(mixed, "token"), "meeting")
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """(id, pair) of the classes of rows (token, id, l), once for each pair of blocks in which it is compared."""
+    heads = common.stored(rows.groupBy("token").agg(F.min("id").alias("head")), "heads")
+    group = components(rows.join(heads, "token").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    member = common.stored(rows.select("id", "l").distinct().join(group, "id", "left").select("id", "l", F.coalesce("label", "id").alias("g")), "members")
+    each = member.groupBy("g", "l").agg(F.count("*").alias("c"))
+    whole = F.col("c") >= BLOCK
+    size = each.groupBy("g", F.when(whole, F.col("l")).alias("own")).agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("k"))
+    size = common.stored(size, "sizes")
+    own = member.join(each.filter(whole).select("g", "l", F.col("l").alias("own")), ["g", "l"], "left")
+    own = own.join(size.withColumnsRenamed({"g": "g2", "own": "own2"}), (F.col("g") == F.col("g2")) & F.col("own").eqNullSafe(F.col("own2")))
+    # Classes of one small component stay in one block.
+    block = F.pmod(F.when(F.col("own").isNull(), F.xxhash64("l")).otherwise(F.xxhash64("id")), F.col("k").cast("long")).cast("int")
+    own = common.stored(own.select("id", "g", F.coalesce("own", F.lit(-1)).alias("own"), block.alias("b")), "blocks")
+    blocks = own.select("g", "own", "b").distinct()
+    left, right = (blocks.select("g", F.struct("own", "b").alias(k)) for k in ("i", "j"))
+    pairs = left.join(right, "g").filter((F.col("i") <= F.col("j")) & ((F.col("i")["own"] != F.col("j")["own"]) | (F.col("i")["own"] < 0)))
+    pairs = common.stored(pairs.select("g", "i", "j", F.concat_ws(":", "g", "i.own", "i.b", "j.own", "j.b").alias("pair")), "block_pairs")
+    at = own.select("id", "g", F.struct("own", "b").alias("x"))
+    ends = pairs.select("g", F.col("i").alias("x"), "pair").unionByName(pairs.filter("i <> j").select("g", F.col("j").alias("x"), "pair"))
+    return at.join(ends, ["g", "x"]).select("id", "pair")
+
+
+def _grouped_links(members: DataFrame, sets: DataFrame, done: DataFrame, parts: int) -> DataFrame:
+    """Links between components of classes (id, n, l) of large buckets, beyond the pairs that are done."""
+    meeting = _prefixes(members, sets)
+    links = _confirmed(common.stored(_pairs_of(meeting.filter(F.col("c") <= SMALL_BUCKET), "token").join(done, ["a", "b"], "left_anti"), "pairs"), sets)
+    large = meeting.filter(F.col("c") > SMALL_BUCKET).select("token", "id", "l")
+    if large.isEmpty():
+        return links
+    dealt = _block_pairs(large).join(sets, "id").select("pair", "id", "members")
+    return links.unionByName(common.stored(dealt.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_blocks, "a long, b long"), "links"))
+
+
+def _pairs_of(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs (a, b) of classes of different components and fitting sizes that share a key, from rows (key, id, n, l) with bounded keys."""
+    x, y = rows.select(key, F.col("id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la")), rows.select(key, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"))
+    near = x.join(y, key).filter((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _fits(F.col("na"), F.col("nb")))
+    return near.select("a", "b").distinct()
 
 
 def _fits(n: Column, m: Column) -> Column:
@@ -245,19 +304,23 @@ def _fits(n: Column, m: Column) -> Column:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
     common.prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs, parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), common.partitions(docs)
     sketch = common.stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketch")
     able = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = common.stored(able.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = common.stored(able.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands"), "reps")
+    # A class is a text's set; its number is fixed once the table is written.
+    classes = able.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = common.stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    node = classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "id")
+    at = ["doc_id", "k1", "k2"]
+    reps = common.stored(able.join(node, at).dropDuplicates(at).select("id", F.col("n_shingles").alias("n"), "bands"), "reps")
 
     # Buckets with more than one class.
     spread = reps.select("id", "n", F.explode("bands").alias("bucket"))
     centres = common.stored(spread.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("far")).filter("centre <> far").drop("far"), "centres")
     shared = common.stored(spread.join(centres, "bucket"), "shared")
-    ids = shared.select("id").distinct()
-    # A doc_id that comes with several texts keeps the set of its sketch: the rows agree on (k1, k2) of the class.
-    sets = common.stored(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_full_sets, "id long, members binary").dropDuplicates(["id"]), "sets")
+    wanted = common.stored(node.join(shared.select("id").distinct(), "id"), "wanted")
+    sets = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, k1 long, k2 long, members binary")
+    sets = common.stored(sets.join(wanted, at).dropDuplicates(at).select("id", "members"), "sets")
 
     done = common.stored(shared.filter("id <> centre").groupBy("id").agg(F.min("centre").alias("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")), "pairs")
     links = _confirmed(done, sets)
@@ -273,12 +336,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             mine = common.stored(labelled(shared.select("bucket", "id", "n"), "id", "l"), "labelled")
             mixed = common.stored(mine.groupBy("bucket").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("bucket", "c"), "mixed")
             left = common.stored(mine.join(mixed, "bucket"), "left")
-            large = left.filter(F.col("c") > SMALL_BUCKET).select("bucket", "id")
+            large = left.filter(F.col("c") > SMALL_BUCKET).select("id", "n", "l").distinct()
             if not large.isEmpty():
-                grouped = _grouped_links(large, sets)
-            left = left.filter(F.col("c") <= SMALL_BUCKET)
-            x, y = left.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la")), left.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"))
-            more = x.join(y, "bucket").filter((F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _fits(F.col("na"), F.col("nb")))
+                grouped = _grouped_links(common.stored(large, "large"), sets, done, parts)
+            more = _pairs_of(left.filter(F.col("c") <= SMALL_BUCKET), "bucket")
         else:
             stars = shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
             more = labelled(labelled(stars, "a", "la"), "b", "lb").filter("la <> lb")
@@ -293,7 +354,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             labels = components(links)
 
     # Components of classes, then of rows: both sides are stored, so a hot class can be split over tasks.
-    named = common.stored(labelled(classes, "rep", "component_id").select("k1", "k2", "component_id"), "named")
+    named = common.stored(labelled(classes, "id", "l").select("k1", "k2", "rep", "l"), "labelled")
+    least = common.stored(named.groupBy("l").agg(F.min("rep").alias("component_id")), "least")
+    named = common.stored(named.join(least, "l").select("k1", "k2", "component_id"), "named")
     out = sketch.select("doc_id", "n_shingles", "k1", "k2").withColumn("able", F.expr("n_shingles > 0 and doc_id is not null"))
     out = out.join(named.withColumn("able", F.lit(True)), ["k1", "k2", "able"], "left")
     own = F.coalesce("component_id", "doc_id")

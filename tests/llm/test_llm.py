@@ -205,9 +205,9 @@ def test_sharding(spark, tmp_path):
     for s in range(16):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s]))
     assert all(r["size"] == len((texts[r["doc_id"]] or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) for r in rows)
-    cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
-    order = np.argsort(sharding.hilbert_distance(cells, 3))
-    assert (np.abs(np.diff(cells[order], axis=0)).sum(1) == 1).all()
+    cells = spark.range(512).selectExpr("id % 8 as a", "id div 8 % 8 as b", "id div 64 as c", "id as cell0")
+    at = np.array(sorted(tuple(r) for r in sharding.with_curve(cells, "d", *map(F.col, "abc"), bits=3).select("d", "a", "b", "c").collect()))
+    assert (at[:, 0] == np.arange(512)).all() and (np.abs(np.diff(at[:, 1:], axis=0)).sum(1) == 1).all()
     assert sharding.hilbert_shards(documents(spark, [])).count() == 0
     manifest = sharding.write_shards(docs, str(tmp_path / "out"), 4)
     assert manifest.agg(F.sum("rows")).first()[0] == len(texts) and 0 < sharding.prune(manifest, source="s1").count() <= 4
@@ -277,21 +277,27 @@ def test_language(spark):
     assert langid.identify(docs, langid.train(docs.limit(0))).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
-def test_cross_parsing_counts_phrases():
-    width, ref = 5, [1, 2, 3, 1, 2, 4]
-    table = langid.automaton(ref, width)
-    text = "".join(map(str, ref))
+@pytest.mark.parametrize("lane, block", [(512, 2048), (7, 3), (1, 1)])
+def test_cross_parsing_counts_phrases(monkeypatch, lane, block):
+    monkeypatch.setattr(langid, "LANE", lane)
+    monkeypatch.setattr(langid, "BLOCK", block)
     r = np.random.RandomState(0)
-    for _ in range(50):
-        q = r.randint(0, 5, 40)
-        n, i = 0, 0
-        while i < len(q):
-            j = i + 1
-            while j <= len(q) and "".join(map(str, q[i:j])) in text:
-                j += 1
-            n, i = n + 1, max(j - 1, i + 1)
-        got = langid.phrases(np.array([0, len(q)]), q.astype(np.int32), [table])[0, 0]
-        assert abs(got - n) <= 1
+    for _ in range(40):
+        refs = [r.randint(1, 5, r.randint(1, 60)).tolist() for _ in range(2)]
+        texts = [r.randint(0, 6, r.choice([0, 1, 3, 40, 90])).tolist() for _ in range(r.randint(0, 5))]
+        want = np.zeros((2, len(texts)), int)
+        for k, ref in enumerate(refs):
+            text = "".join(map(str, ref))
+            for m, q in enumerate(texts):
+                i = 0
+                while i < len(q):
+                    j = i + 1
+                    while j <= len(q) and "".join(map(str, q[i:j])) in text:
+                        j += 1
+                    want[k, m], i = want[k, m] + 1, max(j - 1, i + 1)
+        off = np.cumsum([0, *map(len, texts)])
+        got = langid.phrases(off, np.array(sum(texts, []), np.int32), [langid.automaton(x, 6) for x in refs])
+        assert (got == want).all()
 
 
 def test_mixing(spark):

@@ -1,7 +1,9 @@
-"""A compressed word-level FM-index: packed wavelet matrix, backward search, matching statistics.
+"""A compressed word-level FM-index and matching statistics of sequences that are streamed through it.
 
-The index text is a list of word sequences.  The Burrows-Wheeler transform is kept as a wavelet matrix of packed bits
-with a rank count for every 64 of them: about n * (log2(words) + 0.5 * log2(words)) bits.
+The Burrows-Wheeler transform of the indexed sequences is kept as a wavelet matrix of packed bits with a rank count for every
+64 of them, about 1.5 * log2(words) bits a word.  Beside it stand, for every suffix, the length of the prefix that it has in common
+with the one before it (one byte, more where sequences are longer) and the nearest suffixes with a shorter one (two
+32-bit numbers): the links by which a match that cannot go on is shortened.  Neither the text nor the order of suffixes is kept.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ class WaveletMatrix:
         self.words: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.zeros: list[int] = []
-        s = symbols.astype(np.int64)
+        s = symbols.astype(np.int32)
         for b in range(bits - 1, -1, -1):
             on = ((s >> b) & 1).astype(bool)
             packed = np.packbits(np.concatenate([on, np.zeros(-len(on) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
@@ -41,64 +43,76 @@ class WaveletMatrix:
         return i
 
 
-class FMIndex:
-    """Index over ``sequences`` of symbols from 1 on, for matches of ``depth`` symbols.
+def suffix_order(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes of sequences that end in a 0, and the common prefixes of neighbours, which end before the 0.
 
-    ``owner`` is a number for each sequence; ``least[interval]`` answers which smallest owner has a match.
+    ``left``: symbols before the next 0.  Suffixes that agree as far as that stay in the order of the text.
     """
+    n, longest = len(text), int(left.max()) + 1
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    ranks, step = [rank], 1
+    while step < longest:
+        key = rank * (n + 1)
+        key[: n - step] += rank[step:] + 1
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        step *= 2
+        ranks.append(rank)
+    order = np.argsort(rank, kind="stable")
+    i, j, same = order[:-1], order[1:], np.zeros(n - 1, np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        p, q = i + same, j + same
+        on = (p < n) & (q < n)
+        on[on] = ranks[k][p[on]] == ranks[k][q[on]]
+        same[on] += 1 << k
+    return order, np.minimum(same, np.minimum(left[i], left[j]))
+
+
+def nearest_less(x: np.ndarray) -> np.ndarray:
+    """For every place the nearest place before it with a smaller value; 0 where there is none."""
+    at = np.maximum(np.arange(len(x)) - 1, 0)
+    todo = np.flatnonzero((at > 0) & (x[at] >= x))
+    while len(todo):
+        at[todo] = at[at[todo]]
+        todo = todo[(at[todo] > 0) & (x[at[todo]] >= x[todo])]
+    return at.astype(np.int32)
+
 
-    def __init__(self, text: np.ndarray, owner: np.ndarray, depth: int):
-        """``text``: sequences, each followed by a 0; ``owner``: for every position."""
-        self.depth = depth
-        n = len(text)
-        rank = text.astype(np.int64)
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-        ranks, step = {1: rank}, 1
-        while step < depth:
-            key = rank * (n + 1)
-            key[: n - step] += rank[step:] + 1
-            rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-            step *= 2
-            ranks[step] = rank
-        self.order = np.argsort(rank, kind="stable")
-        # Runs of suffixes that agree in their first ``depth`` symbols: depth as a sum of powers of two.
-        new = np.zeros(n, bool)
-        new[0] = True
-        at, left = 0, depth
-        while left:
-            step = 1 << (left.bit_length() - 1)
-            pos = self.order + at
-            r = np.where(pos < n, ranks[step][np.minimum(pos, n - 1)], -1)
-            new[1:] |= r[1:] != r[:-1]
-            at, left = at + step, left - step
-        self.first = np.flatnonzero(new)
-        self.run = np.cumsum(new) - 1
-        self.least = np.minimum.reduceat(owner[self.order], self.first)
-        self.last = np.append(self.first[1:], n)
-        self.symbols = int(text.max()) + 1
-        bits = max(1, (self.symbols - 1).bit_length())
-        bwt = text[self.order - 1]
-        self.matrix = WaveletMatrix(bwt, bits)
-        count = np.bincount(text, minlength=self.symbols)
-        self.start = np.cumsum(count) - count
-        every = np.arange(self.symbols)
-        self.base = self.matrix.rank(every, np.zeros(self.symbols, np.int64))
-        self.n = n
+class FMIndex:
+    """Index over sequences of symbols from 1 on, each followed by a 0."""
+
+    def __init__(self, text: np.ndarray):
+        self.n = n = len(text)
+        ends = np.flatnonzero(text == 0)
+        left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+        order, same = suffix_order(text, left)
+        #: common[i]: prefix of suffixes i - 1 and i; 0 before the first and after the last.
+        self.common = np.concatenate([[0], same, [0]]).astype(np.min_scalar_type(int(left.max())))
+        self.before = nearest_less(self.common)
+        self.after = (n - nearest_less(self.common[::-1])[::-1]).astype(np.int32)
+        symbols = int(text.max()) + 1
+        self.matrix = WaveletMatrix(text[order - 1], max(1, (symbols - 1).bit_length()))
+        count = np.bincount(text, minlength=symbols)
+        self.shift = np.cumsum(count) - count - self.matrix.rank(np.arange(symbols), np.zeros(symbols, np.int64))
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the suffixes that begin with c and go on with one of [lo, hi)."""
         both = self.matrix.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
-        m, shift = len(c), self.start[c] - self.base[c]
-        return both[:m] + shift, both[m:] + shift
+        m = len(c)
+        return both[:m] + self.shift[c], both[m:] + self.shift[c]
+
+    def shorten(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The longest proper prefix of each match that more suffixes have: its interval and length."""
+        a, b = self.common[lo], self.common[hi]
+        m = np.maximum(a, b)
+        return np.where(a == m, self.before[lo], lo), np.where(b == m, self.after[hi], hi), m.astype(np.int64)
 
-    def windows(self, text: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Stream sequences text[first : first + size] from their ends through the index.
+    def matching(self, text: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Matching statistics of text[first : first + size]: for each position the longest match with the index that starts there.
 
-        Returns for every position of ``text`` the matching statistic, the longest match from there on, cut at ``depth``,
-        and the run of the interval where it reaches ``depth`` (-1 elsewhere).  Symbols that the index lacks are -1.
+        Every sequence is read from its end by backward search; where the interval would become empty, the match is shortened
+        until it can go on.  Symbols that the index lacks are -1.
         """
         length = np.zeros(len(text), np.int64)
-        runs = np.full(len(text), -1, np.int64)
         order = np.argsort(-size, kind="stable")
         first, size = first[order], size[order]
         lo, hi, m = np.zeros(len(size), np.int64), np.full(len(size), self.n, np.int64), np.zeros(len(size), np.int64)
@@ -108,34 +122,19 @@ class FMIndex:
             k = active[t]
             at = first[:k] + size[:k] - 1 - t
             c = text[at]
-            known = c >= 0
-            a, b = self.extend(lo[:k], hi[:k], np.maximum(c, 0))
-            ok = known & (a < b)
-            # A failed step drops words from the end of the match until it can go on.
-            for i in np.flatnonzero(~ok):
-                lo[i], hi[i], m[i] = self._shorter(text, at[i], int(m[i]))
-            lo[:k], hi[:k] = np.where(ok, a, lo[:k]), np.where(ok, b, hi[:k])
-            m[:k] += ok
-            # A match longer than ``depth`` widens to the run of its first ``depth`` symbols.
-            full = np.flatnonzero(m[:k] >= self.depth)
-            if len(full):
-                r = self.run[lo[full]]
-                lo[full], hi[full], m[full] = self.first[r], self.last[r], self.depth
-                runs[at[full]] = r
+            lost = np.flatnonzero(c < 0)
+            lo[lost], hi[lost], m[lost] = 0, self.n, 0
+            todo = np.flatnonzero(c >= 0)
+            while len(todo):
+                a, b = self.extend(lo[todo], hi[todo], c[todo])
+                ok = a < b
+                done = todo[ok]
+                lo[done], hi[done] = a[ok], b[ok]
+                m[done] += 1
+                todo = todo[~ok]
+                if len(todo):
+                    lo[todo], hi[todo], m[todo] = self.shorten(lo[todo], hi[todo])
+                    whole = m[todo] == 0
+                    lo[todo[whole]], hi[todo[whole]] = 0, self.n
             length[at] = m[:k]
-        return length, runs
-
-    def _shorter(self, text: np.ndarray, at: int, m: int) -> tuple[int, int, int]:
-        """Longest match of at most m symbols that starts at ``at``: searched anew from shorter ends."""
-        for size in range(m, 0, -1):
-            lo, hi = np.array([0]), np.array([self.n])
-            for c in text[at : at + size][::-1]:
-                if c < 0:
-                    lo = hi
-                    break
-                lo, hi = self.extend(lo, hi, np.array([c]))
-                if lo[0] >= hi[0]:
-                    break
-            if lo[0] < hi[0]:
-                return int(lo[0]), int(hi[0]), size
-        return 0, self.n, 0
+        return length

@@ -3,14 +3,17 @@
 A window is ``WINDOW`` consecutive words.  Every window has an anchor, its smallest ``GRAM``-word hash; equal windows have
 equal anchors, so a shard, the anchors of one hash range, can hold all occurrences of a window.
 
-  1. Candidates: windows whose 32-bit hash comes with the same anchor in two documents.  A window without such a
-     partner occurs nowhere else, so nothing is missed.  Anchors that over ``HOT_ROWS`` rows hold are counted window by window,
-     with map-side sums; the others are met in a stream sorted by anchor.
-  2. Runs of candidate windows with one anchor become word sequences.  Equal sequences are one index entry with its smallest doc_id.
-  3. Each shard builds compressed FM-indexes (``fmindex``) over its sequences and streams the sequences through them: backward search
-     over the wavelet matrix gives matching statistics, and every interval that reaches WINDOW words names the smallest
-     document with that window.  Words are compared as words here, not as hashes.
-  4. A document's windows whose smallest document is smaller cover its words, judged on the input.
+  1. Candidates: runs of windows with one anchor, where two documents have the anchor.  Anchors in over ``HOT_ROWS`` places
+     (a phrase that many documents have) keep of their windows only those whose 32-bit hash comes back in another document, counted
+     window by window with map-side sums.  Neither drops a window that repeats.
+  2. The words of a run are a sequence.  Equal sequences are one entry with its smallest doc_id.
+  3. A shard, the sequences of some anchors, decides by compressed FM-indexes (``fmindex``).  The documents of an anchor are halved by
+     doc_id: the sequences of the lower half are indexed, those of the upper half are streamed through the index, and both halves
+     go on alike, so every sequence meets every smaller document and never itself.  Backward search over the wavelet matrix gives
+     matching statistics; intervals that reach ``WINDOW`` words are repeats of a smaller document.  One index serves all anchors of a
+     shard at a level of halving.  Words are compared as words here, not as hashes.  An anchor with over ``GROUP`` sequences is
+     dealt into blocks, and every two blocks meet in a task of their own.
+  4. A document's windows that a smaller document has cover its words, judged on the input.
 
 Words are runs of anything but ASCII white space.  Defined results: null, empty and short texts lose nothing; a row
 with a null doc_id neither loses words nor takes them; rows with one doc_id do not take words from each other; a table
@@ -33,9 +36,13 @@ from .fmindex import FMIndex
 
 WINDOW = 50
 GRAM = 10
-HOT_ROWS = 5_000
-#: Words in one FM-index; a single anchor's sequences are never split.
-INDEX_WORDS = 200_000
+HOT_ROWS = 200
+#: Sequences of one anchor that one task takes.
+GROUP = 1_000
+#: Words in a shard's indexes; a group is never split.
+INDEX_WORDS = 400_000
+#: Windows in a sequence.
+LONGEST = 64
 
 
 def anchors(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,21 +73,18 @@ def anchors(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def _anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield from common.as_batches({"h": np.asarray(anchors(b.column("text"))[1], np.int64)}, pa.schema([("h", pa.int64())]))
+        row, h, *_ = anchors(b.column("text"))
+        yield from common.as_batches({"h": np.asarray(h, np.int64), "doc_id": np.asarray(b.column("doc_id"))[row]}, pa.schema([("h", pa.int64()), ("doc_id", pa.int64())]))
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("hashes", pa.binary())])
+    schema = pa.schema([("h", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
     for b in batches:
-        row, h, start, count, whole = anchors(b.column("text"))
+        row, h, start, count, _ = anchors(b.column("text"))
         if len(row):
-            edge = np.concatenate([[0], np.cumsum(count)]).astype(np.int32) * 4
-            hashes = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(whole.tobytes())])
-            yield from common.as_batches({"h": h, "doc_id": np.asarray(b.column("doc_id"))[row], "row_key": np.asarray(b.column("row_key"))[row], "start": start, "hashes": hashes}, schema, 10_000)
+            yield from common.as_batches({"h": h, "row_key": np.asarray(b.column("row_key"))[row], "start": start, "n": count}, schema)
 
 
-#: Runs of n windows from each of the starts.
-_RUNS = pa.schema([("row_key", pa.int64()), ("h", pa.int64()), ("starts", pa.list_(pa.int32())), ("n", pa.int32())])
 _WINDOWS = pa.schema([("h", pa.int64()), ("w", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("starts", pa.list_(pa.int32()))])
 
 
@@ -122,77 +126,20 @@ def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from common.as_batches({"h": h[row[cut]], "w": whole[cut], "doc_id": doc[row[cut]], "row_key": key[row[cut]], "starts": starts}, _WINDOWS)
 
 
-def _repeated(h: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, hashes: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Runs of windows that two documents have, from whole groups of anchors."""
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    group = np.cumsum(new) - 1
-    low, high = np.minimum.reduceat(doc, np.flatnonzero(new)), np.maximum.reduceat(doc, np.flatnonzero(new))
-    keep = np.flatnonzero((low < high)[group])
-    if not len(keep):
-        return
-    h, doc, key, start, group, hashes = h[keep], doc[keep], key[keep], start[keep], group[keep], hashes.take(pa.array(keep))
-    off, raw = common.utf8(hashes.view(pa.string()) if hashes.null_count == 0 else hashes)
-    whole, count = raw.view(np.uint32) if raw.flags.aligned and len(raw) % 4 == 0 else np.frombuffer(raw.tobytes(), np.uint32), np.diff(off) // 4
-    row = np.repeat(np.arange(len(h)), count)
-    pos = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + start[row]
-    window = (group[row].astype(np.uint64) << np.uint64(32)) | whole
-    by = np.lexsort((doc[row], window))
-    w, d = window[by], doc[row][by]
-    edge = np.ones(len(w), bool)
-    edge[1:] = w[1:] != w[:-1]
-    cut = np.flatnonzero(edge)
-    shared = d[cut] < d[np.append(cut[1:], len(w)) - 1]
-    flag = np.zeros(len(w), bool)
-    flag[by] = shared[np.cumsum(edge) - 1]
-    row, pos = row[flag], pos[flag]
-    if len(row):
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)
-        cut = np.flatnonzero(new)
-        yield from common.as_batches({"row_key": key[row[cut]], "h": h[row[cut]], "starts": pa.ListArray.from_arrays(pa.array(np.arange(len(cut) + 1), pa.int32()), pa.array(pos[cut], pa.int32())), "n": np.diff(np.append(cut, len(row)))}, _RUNS)
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor; a group that a batch cuts waits for the next one."""
-    held: list[pa.RecordBatch] = []
-
-    def flush(upto: int | None) -> Iterator[pa.RecordBatch]:
-        nonlocal held
-        t = pa.Table.from_batches(held).combine_chunks()
-        cols = t.to_batches()[0]
-        h = np.asarray(cols.column("h"))
-        cut = len(h) if upto is None else int(np.searchsorted(h, h[-1]))
-        held = [cols.slice(cut)] if cut < len(h) else []
-        if cut:
-            part = cols.slice(0, cut)
-            yield from _repeated(*(np.asarray(part.column(c)) for c in ("h", "doc_id", "row_key", "start")), part.column("hashes"))
-
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= 4_000:
-                yield from flush(1)
-    if held:
-        yield from flush(None)
-
-
 def candidate_runs(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(row_key, h, starts, n) of runs of windows that can repeat, from (doc_id, row_key, text)."""
-    hot = docs.select("text").mapInArrow(_anchor_keys, "h long").groupBy("h").count().filter(F.col("count") > hot_rows).select("h")
-    hot = common.stored(hot, "hot")
-    rows = docs.mapInArrow(_anchor_rows, "h long, doc_id long, row_key long, start int, hashes binary")
-    kind = "row_key long, h long, starts array<int>, n int"
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    calm = rows.join(hot, "h", "left_anti").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_meet, kind)
-    calm = common.stored(calm, "runs")
+    keys = docs.mapInArrow(_anchor_keys, "h long, doc_id long").groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c"))
+    met = common.stored(keys.filter("lo < hi").select("h", (F.col("c") > hot_rows).alias("hot")), "met")
+    hot = met.filter("hot").select("h")
+    rows = docs.mapInArrow(_anchor_rows, "h long, row_key long, start int, n int")
+    calm = rows.join(met.filter("not hot").select("h"), "h", "left_semi").select("row_key", "h", F.array("start").alias("starts"), "n")
     if hot.isEmpty():
         return calm
     groups = docs.mapInArrow(_anchor_groups, "h long, doc_id long, row_key long, places binary, hashes binary")
     each = groups.join(hot, "h", "left_semi").mapInArrow(_hot_windows, "h long, w int, doc_id long, row_key long, starts array<int>")
     each = common.stored(each, "windows")
     shared = common.stored(each.groupBy("h", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "w"), "shared")
-    return calm.unionByName(common.stored(each.join(shared, ["h", "w"]).select("row_key", "h", "starts", F.lit(1).alias("n")), "runs"))
+    return calm.unionByName(each.join(shared, ["h", "w"]).select("row_key", "h", "starts", F.lit(1).alias("n")))
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +166,7 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Windows of one anchor side by side, however they were found, make one sequence.
             joined: list[list[int]] = []
             for h, start, n in sorted((r["h"], start, r["n"]) for r in runs for start in r["starts"]):
-                if joined and joined[-1][0] == h and joined[-1][1] + joined[-1][2] >= start:
+                if joined and joined[-1][0] == h and joined[-1][1] + joined[-1][2] >= start and start + n - joined[-1][1] <= LONGEST:
                     joined[-1][2] = max(joined[-1][2], start + n - joined[-1][1])
                 else:
                     joined.append([h, start, n])
@@ -233,42 +180,90 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FOUND = pa.schema([("seq_key", pa.binary()), ("lo", pa.int64()), ("mask", pa.binary())])
 
 
-def match_sequences(keys: list[bytes], seqs: list[str], docs: list[int]) -> Iterator[tuple[bytes, int, bytes]]:
-    """For each sequence the mask of its windows that a document smaller than its own has, by one FM-index over all."""
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places first .. first + size - 1 of each, one after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def match_sequences(groups: list[int], seqs: list[str], docs: list[int]) -> list[np.ndarray]:
+    """For each sequence, which of its windows a sequence of its group with a smaller document has."""
     ids: dict[bytes, int] = {}
     cells, sizes = [], []
     for s in seqs:
         w = s.encode().split()
-        cells += [ids.setdefault(x, len(ids) + 1) for x in w]
-        cells.append(0)
+        cells += [ids.setdefault(x, len(ids)) for x in w]
         sizes.append(len(w))
-    text, size, owners = np.array(cells, np.int64), np.array(sizes), np.array(docs, np.int64)
-    first = np.cumsum(size + 1) - size - 1
-    index = FMIndex(text, np.repeat(owners, size + 1), WINDOW)
-    _, runs = index.windows(text, first, size)
-    for key, doc, a, n in zip(keys, docs, first.tolist(), (size - WINDOW + 1).tolist()):
-        r = runs[a : a + n]
-        yield key, doc, np.packbits((r >= 0) & (index.least[r] < doc)).tobytes()
+    words, size, owner = np.array(cells, np.int64), np.array(sizes, np.int64), np.array(docs, np.int64)
+    first = np.cumsum(size) - size
+    found = np.zeros(len(words), bool)
+    node = np.unique(np.array(groups, np.int64), return_inverse=True)[1]
+    here = np.arange(len(size))
+    while True:
+        # Ranks of the documents within their node; nodes of one document are done.
+        by = np.lexsort((owner[here], node))
+        here, node = here[by], node[by]
+        opens = np.ones(len(here), bool)
+        opens[1:] = node[1:] != node[:-1]
+        step = opens.copy()
+        step[1:] |= owner[here[1:]] != owner[here[:-1]]
+        rank = np.cumsum(step) - 1
+        rank -= rank[np.maximum.accumulate(np.where(opens, np.arange(len(here)), 0))]
+        docs_in = np.maximum.reduceat(rank, np.flatnonzero(opens))[np.cumsum(opens) - 1] + 1 if len(here) else rank
+        keep = docs_in > 1
+        here, node, upper = here[keep], node[keep], (rank >= (docs_in + 1) // 2)[keep]
+        if not len(here):
+            break
+        _stream(words, first, size, here[~upper], node[~upper], here[upper], node[upper], len(ids), found)
+        node = node * 2 + upper
+        node = np.unique(node, return_inverse=True)[1]
+    return [found[a : a + n - WINDOW + 1] for a, n in zip(first.tolist(), size.tolist())]
+
+
+def _stream(words: np.ndarray, first: np.ndarray, size: np.ndarray, low: np.ndarray, low_node: np.ndarray, high: np.ndarray, high_node: np.ndarray, symbols: int, found: np.ndarray) -> None:
+    """Index the sequences ``low``, stream ``high`` and mark places in ``found`` where a window of a sequence of the same node starts."""
+    at, to = _ranges(first[low], size[low]), _ranges(first[high], size[high])
+    # A word is one symbol for each node, so that nodes do not meet.
+    have, text = np.unique(words[at] + np.repeat(low_node, size[low]) * symbols, return_inverse=True)
+    want = words[to] + np.repeat(high_node, size[high]) * symbols
+    near = np.minimum(np.searchsorted(have, want), len(have) - 1)
+    query = np.where(have[near] == want, near + 1, -1)
+    ends = np.cumsum(size[low] + 1) - 1
+    padded = np.zeros(len(text) + len(low), np.int64)
+    padded[np.setdiff1d(np.arange(len(padded)), ends, assume_unique=True)] = text + 1
+    length = FMIndex(padded).matching(query, np.cumsum(size[high]) - size[high], size[high])
+    found[to[length >= WINDOW]] = True
 
 
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group; a shard is as many groups as have INDEX_WORDS words."""
     held: list[tuple] = []
-    words, anchor = 0, None
+    words, group = 0, None
+
+    def decided() -> Iterator[pa.RecordBatch]:
+        groups, keys, seqs, docs = map(list, zip(*held))
+        masks = match_sequences(groups, seqs, docs)
+        yield from common.as_batches({"seq_key": keys, "lo": docs, "mask": [np.packbits(m).tobytes() for m in masks]}, _FOUND)
+
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("h", "seq_key", "seq", "lo"))):
-            if words >= INDEX_WORDS and row[0] != anchor:
-                yield from common.as_batches(_columns(held), _FOUND)
+        for row in zip(*(b.column(c).to_pylist() for c in ("deal", "seq_key", "seq", "lo"))):
+            if words >= INDEX_WORDS and row[0] != group:
+                yield from decided()
                 held, words = [], 0
-            anchor = row[0]
-            held.append(row[1:])
+            group = row[0]
+            held.append(row)
             words += row[2].count(" ") + 2
     if held:
-        yield from common.as_batches(_columns(held), _FOUND)
+        yield from decided()
 
 
-def _columns(held: list[tuple]) -> dict[str, list]:
-    got = list(zip(*match_sequences(*map(list, zip(*held)))))
-    return {"seq_key": list(got[0]), "lo": list(got[1]), "mask": list(got[2])}
+def _dealt(distinct: DataFrame, group: int) -> DataFrame:
+    """``distinct`` with ``deal``, the group that a row is compared in: its anchor, or every pair of blocks with its own of a large anchor."""
+    large = common.stored(distinct.groupBy("h").agg(F.ceil(F.count("*") / group).cast("int").alias("k")).filter("k > 1"), "large")
+    calm = distinct.join(large.select("h"), "h", "left_anti").withColumn("deal", F.col("h"))
+    i = F.pmod(F.xxhash64("seq_key"), F.col("k").cast("long")).cast("int")
+    dealt = distinct.join(large, "h").withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.withColumn("deal", F.xxhash64("h", F.least("i", "j"), F.greatest("i", "j")))
+    return calm.unionByName(dealt.select(*calm.columns))
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,9 +288,10 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, span), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_rows: int = HOT_ROWS, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (removed word ranges) and kept (null where nothing can repeat) of (doc_id, text) rows."""
     common.prepare(docs.sparkSession)
+    parts = common.partitions(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
     runs = candidate_runs(docs.filter("doc_id is not null and text is not null"), hot_rows)
     # A row has at most one entry for each of its windows.
@@ -303,12 +299,10 @@ def remove_repeats(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     kind = "doc_id long, row_key long, runs array<struct<h:long,starts:array<int>,n:int>>, text string, n_words long, kept_sha256 string"
     base = common.stored(docs.join(runs, "row_key", "left").select("doc_id", "row_key", "runs", "text").mapInArrow(_plain, kind), "base")
     open_rows = base.filter("kept_sha256 is null")
-    seqs = open_rows.mapInArrow(_sequences, "row_key long, doc_id long, h long, start int, n int, seq_key binary, seq string")
-    seqs = common.stored(seqs.dropDuplicates(["row_key", "h", "start"]) if False else seqs, "sequences")
-    distinct = seqs.groupBy("h", "seq_key", "seq").agg(F.min("doc_id").alias("lo"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = distinct.repartition(n, "h").sortWithinPartitions("h", "seq_key")
-    found = common.stored(shards.mapInArrow(_shard, "seq_key binary, lo long, mask binary"), "found")
+    seqs = common.stored(open_rows.mapInArrow(_sequences, "row_key long, doc_id long, h long, start int, n int, seq_key binary, seq string"), "sequences")
+    distinct = common.stored(seqs.groupBy("h", "seq_key", "seq").agg(F.min("doc_id").alias("lo")), "distinct")
+    shards = _dealt(distinct, group).repartition(parts, "deal").sortWithinPartitions("deal", "seq_key")
+    found = common.stored(shards.select("deal", "seq_key", "seq", "lo").mapInArrow(_shard, "seq_key binary, lo long, mask binary"), "found")
     hits = seqs.drop("seq").join(found, "seq_key").select("row_key", F.struct("start", "n", F.when(F.col("doc_id") <= F.col("lo"), F.col("mask")).alias("mask")).alias("f"))
     hits = common.stored(hits.groupBy("row_key").agg(F.collect_list("f").alias("found")), "hits")
     done = open_rows.join(hits, "row_key", "left").select("doc_id", "n_words", "text", "found").mapInArrow(

@@ -72,10 +72,10 @@ def repeats(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
-def test_substring_removal(spark, hot):
+@pytest.mark.parametrize("hot, group", [(2000, 1000), (2, 1000), (2000, 2)])
+def test_substring_removal(spark, hot, group):
     texts = sample_texts() + ["x y " * 60, "x y " * 40, "y x " * 45]
-    got = substring.remove_repeats(documents(spark, texts), hot).collect()
+    got = substring.remove_repeats(documents(spark, texts), hot, group).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == repeats(list(enumerate(texts)))
     assert substring.remove_repeats(documents(spark, [])).count() == 0
     odd = spark.createDataFrame([(None, texts[-3]), (1, texts[-3]), (1, texts[-3])], "doc_id long, text string")
@@ -84,24 +84,47 @@ def test_substring_removal(spark, hot):
 
 def test_fm_index_matches_brute_force():
     r = np.random.RandomState(3)
-    seqs = [r.randint(1, 4, r.randint(6, 40)) for _ in range(12)]
-    text, owner = np.concatenate([np.append(s, 0) for s in seqs]), np.repeat(np.arange(12), [len(s) + 1 for s in seqs])
-    index = FMIndex(text, owner, 5)
-    query = r.randint(1, 5, 300)
-    query[query == 4] = -1
-    length, runs = index.windows(query, np.array([0, 150]), np.array([150, 150]))
-    for i in range(300):
-        end, best = 150 if i < 150 else 300, 0
-        for m in range(1, 6):
-            if i + m <= end and any((text[k : k + m] == query[i : i + m]).all() for k in range(len(text) - m + 1)):
-                best = m
-        assert length[i] == best
-        if best == 5:
-            assert index.least[runs[i]] == min(owner[k] for k in range(len(text) - 4) if (text[k : k + 5] == query[i : i + 5]).all())
+    for trial in range(60):
+        seqs = [r.randint(1, r.choice([3, 5, 20]), r.randint(1, 40)) for _ in range(r.randint(1, 12))]
+        text = np.concatenate([np.append(s, 0) for s in seqs])
+        queries = [r.randint(1, 5, r.randint(1, 60)) for _ in range(5)] + [np.concatenate([seqs[0], seqs[-1]])]
+        query, size = np.concatenate(queries), np.array([len(q) for q in queries])
+        got = FMIndex(text).matching(np.where(np.isin(query, text), query, -1), np.cumsum(size) - size, size)
+        want = []
+        for q in queries:
+            for i in range(len(q)):
+                m = 0
+                while i + m < len(q) and any((s[k : k + m + 1] == q[i : i + m + 1]).all() for s in seqs for k in range(len(s) - m)):
+                    m += 1
+                want.append(m)
+        assert got.tolist() == want
     w = WaveletMatrix(np.array([3, 1, 3, 0, 2, 3]), 2)
     assert (w.rank(np.array([3]), np.array([6])) - w.rank(np.array([3]), np.array([0])))[0] == 3
 
 
+def test_only_other_documents_are_matched(monkeypatch):
+    """Sequences are streamed through indexes of smaller documents only; steps fail and matches are shortened."""
+    seen, short = [], []
+    monkeypatch.setattr(substring.FMIndex, "matching", lambda self, text, first, size, real=FMIndex.matching: (seen.append((self.n, real(self, text, first, size), size)), seen[-1][1])[1])
+    monkeypatch.setattr(substring.FMIndex, "shorten", lambda self, lo, hi, real=FMIndex.shorten: (short.append(len(lo)), real(self, lo, hi))[1])
+    r = random.Random(2)
+    passage = [r.choice("abcdefgh") for _ in range(70)]
+    seqs, docs = [], []
+    for doc in range(7):
+        w = list(passage)
+        w[r.choice((2, 35, 68))] = r.choice("abcdefgh")
+        seqs.append(" ".join(w))
+        docs.append(doc // 2 * 2)
+    got = substring.match_sequences([1] * 7 + [2], [*seqs, seqs[0]], [*docs, 9])
+    for k, s in enumerate(seqs):
+        w = s.split()
+        want = [any(" ".join(w[i : i + 50]) in " ".join(t.split()[j : j + 50]) for t, d in zip(seqs, docs) if d < docs[k] for j in range(21)) for i in range(21)]
+        assert got[k].tolist() == want
+    assert not got[7].any() and short and sum(n for n, *_ in seen) < 2 * 71 * 8
+    # Statistics are not the lengths left, so they come from the search.
+    assert any((length != np.concatenate([np.arange(n, 0, -1) for n in size])).any() for _, length, size in seen)
+
+
 def classes(rows):
     sets = {}
     for i, t in rows:

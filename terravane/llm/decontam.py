@@ -3,11 +3,13 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  A window is ``WINDOW`` consecutive words
 of an item; an item of fewer words, but not none, is one window.  Of every ``WINDOW`` consecutive words the smallest
 hash of their ``GRAM``-word grams is kept as a fingerprint, with its position, on both sides.  Equal windows have
-equal smallest grams at equal offsets, so every shared window is met in the join of the fingerprints.  Each meeting
-is extended word by word to both sides on the texts themselves, and runs as long as a window are hits.
+equal smallest grams at equal offsets, so every shared window is met in the join of the fingerprints.  A gram that many
+documents and items have would give every pair of them; so only meetings count whose SIDE words before, or after, the gram agree
+as well, as those of a shared window do on one side at least.  Each meeting is extended word by word to both sides on the texts themselves, and runs as long as a window are hits.
 
 Items shorter than a window have one fingerprint for each of their lengths that occurs (at most WINDOW - 1
-lengths): the hash of all their words, joined with every run of that length.
+lengths): the hash of all their words, joined with every run of that length.  Fingerprints of all kinds come from one
+pass over the texts.
 
 Defined results: null and empty texts have no words and no hits; an item without words is never hit; an item_id that
 is null counts as no item; equal items are all listed; repeated rows get equal results; empty tables give no rows
@@ -25,6 +27,8 @@ from . import common
 
 WINDOW = 10
 GRAM = 5
+#: Half of the words of a window beside its gram, rounded up.
+SIDE = (WINDOW - GRAM + 1) // 2
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -62,6 +66,32 @@ def winnowed(grams: Column, window: int = WINDOW - GRAM + 1) -> Column:
     return bound(grams, selected)
 
 
+def fingerprints(words: Column, lengths: list[int], whole: bool = False) -> Column:
+    """array<(n, pos, hash, before, after)>: winnowed grams with the hashes of the words beside them (n = WINDOW), and runs of each of the lengths.
+
+    With ``whole`` runs are those that are all words.
+    """
+
+    def run_of(codes: Column, n: int) -> Column:
+        runs = gram_hashes(codes, n)
+        if whole:
+            runs = F.when(F.size(codes) == n, runs).otherwise(F.array().cast("array<bigint>"))
+        none = F.lit(None).cast("long")
+        return F.transform(runs, lambda h, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), h.alias("hash"), none.alias("before"), none.alias("after")))
+
+    def kinds(codes: Column) -> Column:
+        side = gram_hashes(codes, SIDE)
+
+        def beside(s: Column) -> Column:
+            prints = F.transform(winnowed(gram_hashes(codes, GRAM)), lambda p: F.struct(
+                F.lit(WINDOW).alias("n"), p["pos"].alias("pos"), p["hash"].alias("hash"), F.get(s, p["pos"] - SIDE).alias("before"), F.get(s, p["pos"] + GRAM).alias("after")))
+            return F.concat(prints, *(run_of(codes, n) for n in lengths))
+
+        return bound(side, beside)
+
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), kinds)
+
+
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(row_key, spans, item_ids) of the documents with hits, from docs (row_key, text) and items (item_id, text).
 
@@ -70,22 +100,18 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = docs.select("row_key", words_of(F.col("text")).alias("words"))
     items = items.filter("item_id is not null").select(F.col("item_id").alias("item"), words_of(F.col("text")).alias("item_words"))
     items = common.stored(items.filter(F.size("item_words") > 0), "items")
-
-    doc_prints = docs.select("row_key", F.inline(winnowed(gram_hashes(F.col("words"), GRAM))))
-    item_prints = items.filter(F.size("item_words") >= WINDOW).select("item", F.inline(winnowed(gram_hashes(F.col("item_words"), GRAM))))
-    meets = doc_prints.join(item_prints.withColumnRenamed("pos", "item_pos"), "hash").select("row_key", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos")
-
     # At most WINDOW - 1 rows, whatever the size of the tables.
-    lengths = [r[0] for r in items.filter(F.size("item_words") < WINDOW).select(F.size("item_words")).distinct().collect()]
-    for n in sorted(lengths):
-        runs = docs.select("row_key", F.posexplode(gram_hashes(F.col("words"), n)).alias("pos", "hash"))
-        short = items.filter(F.size("item_words") == n).select("item", F.xxhash64(F.slice("item_words", 1, n)).alias("hash"))
-        meets = meets.unionByName(runs.join(short, "hash").select("row_key", "item", F.col("pos").alias("shift"), F.lit(0).alias("item_pos")))
+    lengths = sorted(r[0] for r in items.filter(F.size("item_words") < WINDOW).select(F.size("item_words")).distinct().collect())
+
+    mine = docs.select("row_key", F.inline(fingerprints(F.col("words"), lengths)))
+    theirs = items.select("item", F.inline(fingerprints(F.col("item_words"), lengths, whole=True)))
+    theirs = theirs.withColumnsRenamed({"pos": "item_pos", "before": "item_before", "after": "item_after"})
+    agree = (F.col("n") < WINDOW) | F.coalesce(F.col("before") == F.col("item_before"), F.lit(False)) | F.coalesce(F.col("after") == F.col("item_after"), F.lit(False))
+    meets = mine.join(theirs, ["n", "hash"]).filter(agree).select("row_key", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
 
     meets = common.stored(meets.distinct(), "meets")
     texts = docs.join(meets.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
-    pairs = meets.groupBy("row_key", "item", "shift").agg(F.array_sort(F.collect_set("item_pos")).alias("anchors"))
-    return _extended(pairs.join(texts, "row_key").join(items, "item"))
+    return _extended(meets.join(texts, "row_key").join(items, "item"))
 
 
 def _extended(pairs: DataFrame) -> DataFrame:

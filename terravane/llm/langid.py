@@ -13,10 +13,13 @@ The reference of a language is the whole texts of at most ``SAMPLE_DOCS`` labell
 the doc_id, as far as they fit into ``REFERENCE_BYTES`` (less where many languages share ``TOTAL_BYTES``); rows that do not
 fit are passed over.  A language whose every text is longer is learned from its shortest one.
 
-Defined results: null text and text without a letter give ``und`` and score 0; where no language was
+A text ``fits`` where its cost is at most that of spelling it out, log2(alphabet) bits a symbol, with SLACK phrases to
+spare, so that short texts are not held to it: what no learned language describes better is in none of them.
+
+Defined results: null text and text without a letter give ``und``, score 0 and do not fit; where no language was
 learned every text gives ``und``; equal costs go to the first language in alphabetical order; the
 score is 1 - best cost / second cost (1 where one language was learned).  Repeated rows are
-scored alike.  Empty tables give no rows.  Columns of the input stay; ``lang_pred`` and ``score`` replace
+scored alike.  Empty tables give no rows.  Columns of the input stay; ``lang_pred``, ``score`` and ``fits`` replace
 columns of those names.
 """
 
@@ -40,6 +43,7 @@ TOTAL_BYTES = 400_000
 LANE = 512
 #: Pieces that are parsed side by side.
 BLOCK = 2_048
+SLACK = 8
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 
@@ -210,13 +214,13 @@ def _block(start: np.ndarray, size: np.ndarray, nth: np.ndarray, codes: np.ndarr
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score."""
+    """``docs`` with lang_pred, score and fits."""
     spark = docs.sparkSession
     common.prepare(spark)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "fits")
     flag = common.free_name(docs, "has_letter")
     shared = spark.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fits", T.BooleanType())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -224,11 +228,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             text = b.column("text")
             off, kinds = folded(text)
             sizes = np.diff(off)
-            best, score = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
+            best, score, fits = np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), np.zeros(len(sizes), bool)
             has = np.array(b.column(flag).fill_null(False))
             if m.langs:
                 cost = phrases(off, m.classes[kinds], m.steps) * np.array(m.bits)[:, None] / np.maximum(sizes, 1)
                 best = cost.argmin(0)
+                fits = (cost.min(0) - np.log2(m.width)) * sizes <= SLACK * np.array(m.bits)[best]
                 if len(m.langs) > 1:
                     two = np.partition(cost, 1, axis=0)
                     score = np.where(two[1] > 0, 1 - two[0] / np.where(two[1] > 0, two[1], 1), 0)
@@ -237,7 +242,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             has &= bool(m.langs)
             pred = [m.langs[i] if ok else UNKNOWN for i, ok in zip(best, has)]
             b = b.drop_columns([flag])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(np.where(has, np.clip(score, 0, 1), 0.0))], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(np.where(has, np.clip(score, 0, 1), 0.0)), pa.array(has & fits)], [*b.schema.names, "lang_pred", "score", "fits"])
 
     return docs.withColumn(flag, F.col("text").rlike(LETTER)).mapInArrow(parse, schema)
 

@@ -1,13 +1,15 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Base spans come from the four fixed patterns below (email, ip, card, phone), leftmost and non-overlapping for each
-kind; matches that fail their check are dropped.  The method adds spans.  Loose patterns give candidates; four
-labelers vote on each (1 for, -1 against, 0 abstains): the strict pattern, a gazetteer (top-level domains, card
-issuers, address ranges, area codes), the words to the left, and the shape.  Votes are counted by pattern, a table
-of at most kinds * 3**4 * features rows; expectation-maximisation over it estimates for each kind the prior and every
-labeler's reliability; the posteriors train a logistic span classifier on length, share of digits and
-neighbouring characters.  A candidate that the classifier accepts, that has a vote for it and that overlaps no base
-span is added.
+kind; matches that fail their check are dropped.  The method adds spans: addresses spelled with (at) and [dot], ip numbers with
+guarded dots, cards in a row of digits that fails as a whole or with other separators, phones without a plus.  Loose patterns give
+candidates; four labelers vote on each (1 for, -1 against, 0 abstains): the strict pattern with its check, a gazetteer (top-level
+domains, card issuers, address ranges, area codes), the words to the left, and the shape.  Votes are counted by pattern;
+expectation-maximisation over the counts estimates for each kind the prior and every labeler's reliability.  The posteriors train
+the span classifier, a log-linear model over length, share of digits, neighbouring characters, check, gazetteer, the hashed
+word before and the hashed shape.  Counts by kind, votes, feature and value are all that is collected, at most
+4 * 3**4 * (number of feature values) rows.  A candidate is added where the classifier's posterior reaches ACCEPT and it overlaps
+no base span.
 
 Candidates stay in an array beside the base spans of their document, so there is one scan of the texts and no join;
 what is collected is the table of counts.
@@ -44,10 +46,13 @@ STRICT = {
 #: Candidates.
 LOOSE_EMAIL = rf"{_START}{_LOCAL}++(?:@|\x20?\(at\)\x20?|\x20?\[at\]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?\(dot\)\x20?|\x20?\[dot\]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++"
 LOOSE_NUMBER = r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().-]{0,2}+[0-9])++(?![0-9A-Za-z])"
+LOOSE_CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20.-][0-9]{4}){3}|3[0-9]{3}[\x20.-][0-9]{6}[\x20.-][0-9]{5})(?![0-9])"
+_DOT = r"(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?|\x20dot\x20)"
+LOOSE_IP = rf"(?<![0-9])[0-9]{{1,3}}+(?:{_DOT}[0-9]{{1,3}}+){{3}}(?![0-9])"
 
 #: Gazetteers (fixed values).
 TOP_LEVEL = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|ca|ch|at|it|nl"
-ISSUERS = "^(?:4|5[1-5]|2[2-7]|3[47]|35|6011|65)"
+ISSUERS = "^(?:4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|35|6011|65)"
 CUES = {
     "email": ("mail|contact|write|reach|send", "version"),
     "ip": (r"\bip\b|host|server|addr|ping|login", r"version|section|release|chapter"),
@@ -138,68 +143,67 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, 1).otherwise(against)
 
 
-def _votes(kind: Column, s: Column) -> list[Column]:
-    """Strict pattern, gazetteer, context and shape on candidate ``s``."""
+def _votes(kind: str, s: Column) -> list[Column]:
+    """Strict pattern and check, gazetteer, context and shape on candidate ``s``."""
     v, d, left = s["value"], digits(s["value"]), F.lower(s["left"])
     n = F.length(d)
-    host = F.regexp_extract(F.lower(v), r"([a-z0-9-]+)$", 1)
-    four = v.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
-    by = {
-        "email": (
-            _vote(v.rlike(rf"^{_LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$")),
-            _vote(host.rlike(f"^(?:{TOP_LEVEL})$"), ~host.rlike(f"^(?:{TOP_LEVEL})$")),
-            _vote(v.rlike(r"^.{2,40}(?:@|at)") & host.rlike("[a-z]"), ~host.rlike("[a-z]")),
-        ),
-        "ip": (
-            _vote(four & octets(v), ~four),
-            _vote(v.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\."), v.rlike(r"^(?:0|22[4-9]|2[3-9][0-9])")),
-            _vote(~v.rlike(r"(?:^|\.)0[0-9]"), v.rlike(r"(?:^|\.)0[0-9]")),
-        ),
-        "card": (
-            _vote(F.when(n.between(13, 19), bound(d, luhn)).otherwise(False), F.lit(True)),
-            _vote(d.rlike(ISSUERS), F.lit(True)),
-            _vote(v.rlike(r"^[0-9]+$|^[0-9]{4}(?:[\x20-][0-9]{2,7})+$"), F.lit(True)),
-        ),
-        "phone": (
-            _vote(v.startswith("+") & n.between(9, 15)),
-            _vote(v.rlike(r"^(?:\+[1-9][0-9]{0,2}[\x20.-]?)?\(?[2-9][0-9]{2}\)?[\x20.-]"), F.lit(True)),
-            _vote(v.rlike(r"[0-9][\x20().-]+[0-9]+[\x20().-]+[0-9]") & n.between(9, 15), F.lit(True)),
-        ),
-    }
-    case = lambda pick: F.coalesce(*(F.when(kind == k, pick(name)) for k, name in enumerate(KINDS)), F.lit(0)).cast("byte")
-    return [case(lambda x: by[x][0]), case(lambda x: by[x][1]), case(lambda x: _vote(left.rlike(CUES[x][0]), left.rlike(CUES[x][1]))), case(lambda x: by[x][2])]
-
-
-#: Sizes of the classifier's features.
-_FEATURES = (8, 4, 3, 3)
-
-
-def _feature(s: Column) -> Column:
-    """Index of length, share of digits, character before and character after."""
+    if kind == "email":
+        host = F.regexp_extract(F.lower(v), r"([a-z0-9-]+)$", 1)
+        strict = _vote(v.rlike(rf"^{_LOCAL}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"))
+        known = _vote(host.rlike(f"^(?:{TOP_LEVEL})$"), F.lit(True))
+        shape = _vote(v.rlike(r"^.{2,40}(?:@|at)") & host.rlike("[a-z]"), ~host.rlike("[a-z]"))
+    elif kind == "ip":
+        dotted = F.regexp_replace(v, "[^0-9]+", ".")
+        strict = _vote(octets(dotted), F.lit(True))
+        known = _vote(dotted.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\."), dotted.rlike(r"^(?:0|22[4-9]|2[3-9][0-9])"))
+        shape = _vote(~dotted.rlike(r"(?:^|\.)0[0-9]"), dotted.rlike(r"(?:^|\.)0[0-9]"))
+    elif kind == "card":
+        strict = _vote(bound(d, luhn), F.lit(True))
+        known = _vote(d.rlike(ISSUERS), F.lit(True))
+        shape = _vote(n.isin(15, 16) | v.rlike("[^0-9]"))
+    else:
+        strict = _vote(v.startswith("+") & n.between(9, 15))
+        known = _vote(v.rlike(r"^(?:\+[1-9][0-9]{0,2}[\x20.-]?)?\(?[2-9][0-9]{2}\)?[\x20.-]"), F.lit(True))
+        shape = _vote(v.rlike(r"[0-9][\x20().-]+[0-9]+[\x20().-]+[0-9]") & n.between(9, 15), F.lit(True))
+    context = _vote(left.rlike(CUES[kind][0]), left.rlike(CUES[kind][1]))
+    return [x.cast("int") for x in (strict, known, context, shape)]
+
+
+#: Values of the classifier's features: length, share of digits, character before and after, check, gazetteer, word before, shape.
+_FEATURES = (8, 4, 3, 3, 3, 3, 64, 64)
+
+
+def _features(s: Column, votes: list[Column]) -> Column:
     size = F.greatest(F.length(s["value"]), F.lit(1))
-    long = F.least(F.lit(7), F.floor(size / 4)).cast("int")
-    share = F.least(F.lit(3), F.floor(F.length(digits(s["value"])) * 4 / size)).cast("int")
     side = lambda c: F.when(c.rlike(r"^\s?$"), 0).when(c.rlike(r"^[\p{L}0-9]$"), 2).otherwise(1)
-    return ((long * 4 + share) * 3 + side(F.right(s["left"], F.lit(1)))) * 3 + side(s["right"])
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(64))
+    word = F.regexp_extract(F.lower(s["left"]), r"(\p{L}*)[^\p{L}]*$", 1)
+    shape = F.regexp_replace(F.regexp_replace(s["value"], "[A-Za-z]+", "a"), "[0-9]+", "9")
+    cells = (F.least(F.lit(7), F.floor(size / 4)), F.least(F.lit(3), F.floor(F.length(digits(s["value"])) * 4 / size)), side(F.right(s["left"], F.lit(1))), side(s["right"]), votes[0] + 1, votes[1] + 1, hashed(word), hashed(shape))
+    return F.array(*(c.cast("int") for c in cells))
 
 
 def candidates(text: Column) -> Column:
-    """Loose matches with kind, offsets, votes and feature index."""
+    """Loose matches with kind, offsets, votes and features."""
+    digit = text.rlike("[0-9]")
     hidden = F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]|\x20dot\x20")
-    number = F.filter(located(text, LOOSE_NUMBER, text.rlike("[0-9]")), lambda s: F.length(digits(s["value"])) >= 7)
-
-    def judged(kind: Callable[[Column], Column]) -> Callable[[Column], Column]:
-        def one(s: Column) -> Column:
-            v = _votes(kind(s), s)
-            return F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *(x.alias(f"v{i}") for i, x in enumerate(v)), _feature(s).cast("int").alias("f"))
-
-        return one
-
-    def number_kind(s: Column) -> Column:
-        n = F.length(digits(s["value"]))
-        return F.when(s["value"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), 1).when(n >= 13, 2).otherwise(3)
-
-    return F.concat(F.transform(located(text, LOOSE_EMAIL, hidden), judged(lambda _: F.lit(0))), F.transform(number, judged(number_kind)))
+    guarded = digit & text.rlike(r"[0-9]\x20?[(\[](?:\.|dot)[)\]]|[0-9]\x20dot\x20[0-9]")
+
+    def found(kind: str, pattern: str, guard: Column, keep: Callable[[Column], Column]) -> Column:
+        def judged(s: Column) -> Column:
+            votes = _votes(kind, s)
+            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *(x.alias(f"v{i}") for i, x in enumerate(votes)), _features(s, votes).alias("f"))
+
+        return F.transform(F.filter(located(text, pattern, guard), keep), judged)
+
+    dotted = r"^[0-9]+(?:\.[0-9]+){3}$"
+    # A phone has separators or a leading mark; plain runs of digits are no candidates.
+    phone = lambda s: F.length(digits(s["value"])).between(9, 15) & s["value"].rlike("[^0-9]") & ~s["value"].rlike(dotted) & ~s["value"].rlike(f"^{LOOSE_CARD}$")
+    plain = lambda _: F.lit(True)
+    return F.concat(
+        found("email", LOOSE_EMAIL, hidden, plain), found("ip", LOOSE_IP, guarded, plain), found("ip", STRICT["ip"], digit & F.contains(text, F.lit(".")), plain),
+        found("card", LOOSE_CARD, digit, plain), found("phone", LOOSE_NUMBER, digit, phone),
+    )
 
 
 def reliabilities(counts: dict[tuple[int, ...], float], rounds: int = ROUNDS) -> tuple[dict, dict]:
@@ -225,58 +229,51 @@ def reliabilities(counts: dict[tuple[int, ...], float], rounds: int = ROUNDS) ->
     return post, out
 
 
-def _split(f: int) -> list[int]:
-    parts = []
-    for size in reversed(_FEATURES):
-        f, r = divmod(f, size)
-        parts.append(r)
-    return parts[::-1]
+def span_classifier(counts: dict[tuple[int, int], dict[bool, float]], mass: dict[bool, float]) -> tuple[float, list[list[float]]]:
+    """Log-linear weights (bias, by feature and value) from expected counts of real and other spans by (feature, value)."""
+    bias = math.log((mass[True] + 1) / (mass[False] + 1))
+    weights = []
+    for j, size in enumerate(_FEATURES):
+        row = []
+        for x in range(size):
+            n = counts.get((j, x), {True: 0.0, False: 0.0})
+            row.append(math.log((n[True] + 1) / (mass[True] + size)) - math.log((n[False] + 1) / (mass[False] + size)))
+        weights.append(row)
+    return bias, weights
 
 
-def span_classifier(rows: list[tuple[int, float, float]], rounds: int = 300, rate: float = 0.5) -> list[list[float]]:
-    """Logistic weights by feature value, then the bias, from (feature index, posterior, count)."""
-    w = [[0.0] * size for size in _FEATURES] + [[0.0]]
-    total = sum(n for _, _, n in rows) or 1.0
-    split = [(_split(f), p, n / total) for f, p, n in rows]
-    for _ in range(rounds):
-        g = [[0.0] * len(x) for x in w]
-        for parts, p, n in split:
-            z = w[-1][0] + sum(w[i][x] for i, x in enumerate(parts))
-            e = n * (1 / (1 + math.exp(-max(-50.0, min(50.0, z)))) - p)
-            for i, x in enumerate(parts):
-                g[i][x] += e
-            g[-1][0] += e
-        w = [[a - rate * (b + 1e-4 * a) for a, b in zip(x, y)] for x, y in zip(w, g)]
-    return w
-
-
-def learn(found: DataFrame) -> dict[int, list[list[float]]]:
+def learn(found: DataFrame) -> dict[int, tuple[float, list[list[float]]]]:
     """Classifier weights by kind from the candidates of all documents."""
     votes = [f"v{i}" for i in range(4)]
-    table = found.select(F.inline("candidates")).groupBy("kind", *votes, "f").count().collect()
+    rows = found.select(F.inline("candidates")).select("kind", *votes, F.posexplode("f").alias("j", "x"))
+    table = rows.groupBy("kind", *votes, "j", "x").count().collect()
     out = {}
     for k in range(len(KINDS)):
-        mine = [(tuple(r[v] for v in votes), r["f"], float(r["count"])) for r in table if r["kind"] == k]
-        if mine:
-            by: dict[tuple[int, ...], float] = {}
-            for v, _, n in sorted(mine):
-                by[v] = by.get(v, 0.0) + n
-            post, _ = reliabilities(by)
-            out[k] = span_classifier([(f, post[v], n) for v, f, n in sorted(mine)])
+        mine = [(tuple(r[v] for v in votes), r["j"], r["x"], float(r["count"])) for r in table if r["kind"] == k]
+        if not mine:
+            continue
+        by: dict[tuple[int, ...], float] = {}
+        for v, j, _, n in sorted(mine):
+            by[v] = by.get(v, 0.0) + n * (j == 0)
+        post, _ = reliabilities(by)
+        counts: dict[tuple[int, int], dict[bool, float]] = {}
+        for v, j, x, n in sorted(mine):
+            cell = counts.setdefault((j, x), {True: 0.0, False: 0.0})
+            cell[True] += n * post[v]
+            cell[False] += n * (1 - post[v])
+        real = sum(n * post[v] for v, n in sorted(by.items()))
+        out[k] = span_classifier(counts, {True: real, False: sum(by.values()) - real})
     return out
 
 
-def _accepted(weights: dict[int, list[list[float]]]) -> Callable[[Column], Column]:
+def _accepted(weights: dict[int, tuple[float, list[list[float]]]]) -> Callable[[Column], Column]:
     def one(s: Column) -> Column:
         score = F.lit(-50.0)
-        for k, w in weights.items():
-            z, f = F.lit(w[-1][0]), s["f"]
-            for i in reversed(range(len(_FEATURES))):
-                z = z + F.get(F.array(*(F.lit(x) for x in w[i])), F.pmod(f, F.lit(_FEATURES[i])))
-                f = F.floor(f / _FEATURES[i]).cast("int")
+        for k, (bias, w) in weights.items():
+            table = lambda row: F.array(*(F.lit(float(x)) for x in row))
+            z = sum((F.get(table(row), F.get(s["f"], F.lit(j))) for j, row in enumerate(w)), F.lit(bias))
             score = F.when(s["kind"] == k, z).otherwise(score)
-        voted = F.greatest(*(s[f"v{i}"] for i in range(4))) > 0
-        return voted & (s["v0"] >= 0) & (s["v1"] >= 0) & (score >= math.log(ACCEPT / (1 - ACCEPT)))
+        return score >= math.log(ACCEPT / (1 - ACCEPT))
 
     return one
 

@@ -215,8 +215,8 @@ def test_reliabilities_find_the_random_labeler():
         counts[(*good, r.choice((-1, 1)))] += 1
     _, found = pii.reliabilities(dict(counts))
     assert abs(found["prior"] - 0.4) < 0.05 and found["real"][0][1] > 0.85 and abs(found["real"][3][1] - found["not"][3][1]) < 0.1
-    w = pii.span_classifier([(0, 0.95, 100), (287, 0.05, 100)])
-    assert w[0][0] > w[0][7]
+    bias, w = pii.span_classifier({(0, 0): {True: 95.0, False: 5.0}, (0, 7): {True: 5.0, False: 95.0}}, {True: 100.0, False: 100.0})
+    assert bias == 0 and w[0][0] > 0 > w[0][7]
 
 
 def test_sharding(spark, tmp_path):

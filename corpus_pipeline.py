@@ -4,13 +4,19 @@ Every stage takes (spark, docs, sf_dir) and works on all rows that the one befor
 columns of documents.  Its caller writes the result as Parquet before the next stage starts, so a stage begins by
 deleting the working tables of the stage before it.
 
-  language      drops documents without a language: null texts and texts without a letter
+  language      drops documents in no learned language: null texts, texts without a letter and texts that no language describes
+                better than spelling them out; a null lang becomes the predicted one
   near_dedup    keeps the document with the smallest doc_id of each group of near-duplicates
   decontaminate drops documents in which a window of a benchmark item occurs
   mix           thins to rates fitted within 0 to 1, as no document stands twice; scarce domains stay below their targets
   tokens        writes token records and returns their index
 
-Rows with one doc_id count as one document for near_dedup; null doc_ids stay.
+Defined results: without a single labelled row language keeps every text with a letter.  near_dedup judges texts: of several texts
+with one doc_id each stays or goes by itself, and equal rows stay or go together; rows with a null doc_id, and empty
+texts, have no duplicates and stay.  decontaminate and mix keep rows with null or empty texts, which have no words, and treat equal rows
+alike; without benchmark items, or without usable labels, they keep all rows.  tokens gives a null or empty text its end id alone
+and every row, repeated or not, a record.  Empty tables give empty results.  Columns beyond those of documents go
+through the first four stages unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,22 +45,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if not model.langs:
         return docs.filter(F.col("text").rlike(langid.LETTER))
-    known = langid.identify(docs, model)
-    return known.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    # The stage's own columns go by other names where the input has them too.
+    own = {c: f"_own_{c}" for c in docs.columns if c.lower() in ("lang_pred", "score", "fits")}
+    known = langid.identify(docs.withColumnsRenamed(own), model).filter("fits")
+    lang = F.coalesce(F.col("lang"), F.col("lang_pred").cast(docs.schema["lang"].dataType))
+    return known.withColumn("lang", lang).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardup.near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id")
-    return docs.join(common.stored(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    key, _key = F.xxhash64(F.col("doc_id").cast("long"), "text"), common.free_name(docs, "row_key")
+    gone = common.stored(neardup.near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select(F.col("row_key").alias(_key)).distinct(), "gone")
+    return docs.withColumn(_key, key).join(gone, _key, "left_anti").select(*docs.columns)
 
 
 @_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = F.xxhash64("doc_id", "text")
+    key, _key = F.xxhash64(F.col("doc_id").cast("long"), "text"), common.free_name(docs, "row_key")
     hits = decontam.contamination(docs.select(key.alias("row_key"), "text"), common.table(spark, sf_dir, "benchmark"))
-    hits = common.stored(hits.select("row_key"), "contaminated")
-    return docs.withColumn("row_key", key).join(hits, "row_key", "left_anti").select(*docs.columns)
+    hits = common.stored(hits.select(F.col("row_key").alias(_key)), "contaminated")
+    return docs.withColumn(_key, key).join(hits, _key, "left_anti").select(*docs.columns)
 
 
 @_stage

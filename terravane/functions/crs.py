@@ -1,4 +1,4 @@
-"""Map projections as column formulas (G1-G3): UTM north by a Krueger series, Albers equal area, and their inverses.
+"""Map projections as column formulas (G1-G3): UTM by a Krueger series, Albers equal area, and their inverses.
 
 Constants are those of the public EPSG registry.  NAD83 and WGS84 longitudes and latitudes are taken as equal.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Ellipsoids: semi-major axis, inverse flattening.
 WGS84 = (6378137.0, 298.257223563)
 GRS80 = (6378137.0, 298.257222101)
-UTM_SCALE, UTM_EAST = 0.9996, 500000.0
+UTM_SCALE, UTM_EAST, UTM_SOUTH = 0.9996, 500000.0, 10_000_000.0
 ALBERS = {"lat0": 23.0, "lon0": -96.0, "sp1": 29.5, "sp2": 45.5}
 
 
@@ -110,6 +110,9 @@ def project(crs: str, lon: Column, lat: Column) -> tuple[Column, Column]:
         return to_albers(lon, lat)
     if 32601 <= code <= 32660:
         return to_utm(lon, lat, F.lit(code - 32600))
+    if 32701 <= code <= 32760:
+        east, north = to_utm(lon, lat, F.lit(code - 32700))
+        return east, north + UTM_SOUTH
     raise ValueError(f"unsupported reference system {crs}")
 
 
@@ -122,4 +125,6 @@ def unproject(crs: str, x: Column, y: Column) -> tuple[Column, Column]:
         return from_albers(x, y)
     if 32601 <= code <= 32660:
         return from_utm(x, y, F.lit(code - 32600))
+    if 32701 <= code <= 32760:
+        return from_utm(x, y - UTM_SOUTH, F.lit(code - 32700))
     raise ValueError(f"unsupported reference system {crs}")

@@ -11,9 +11,9 @@ still join two components:
   2. every class with the smallest class of each of its buckets, where their components differ,
   3. the pairs of a bucket whose components still differ.
 The third step leaves no candidate pair undecided.  Buckets of at most SMALL_BUCKET classes give their pairs as rows.  The
-classes of larger ones meet by an exact prefix filter instead: with shingles ordered from rare to frequent, two sets at 0.75 share one
-of their n - ceil(0.75 n) + 1 first shingles, so only classes with a common shingle there are compared, and only those of different
-components.  Shingles that over SMALL_BUCKET prefixes still share form groups; their classes are dealt into blocks of about BLOCK, a
+classes of larger ones meet by an exact prefix filter instead: with shingles in one order, two sets at 0.75 share one of their
+n - ceil(0.75 n) + 1 first shingles, so only classes with a common shingle there are compared, and only those of different
+components.  The order goes from rare to frequent by a sketch of SLOTS counts, all that the driver gets; any order is exact.  Shingles that over SMALL_BUCKET prefixes still share form groups; their classes are dealt into blocks of about BLOCK, a
 component of that size into blocks of its own, and every two blocks that hold different components meet in one task of
 bounded size, which compares their full sets and returns a spanning forest of the links.
 
@@ -43,6 +43,8 @@ BANDS = 45
 STRIDE = 0x9E3779B1
 SMALL_BUCKET = 64
 BLOCK = 192
+#: Slots of the sketch of shingle frequencies.
+SLOTS = 1 << 18
 #: Columns of the 0/1 matrices by which a task counts intersections.
 COLUMNS = 16_384
 
@@ -116,7 +118,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     g = common.mix(g * common._B + sig[j * ROWS + i])
                 bands[full, j] = g
         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), keys], ["doc_id", "n_shingles", "k1", "k2", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), keys], ["doc_id", "row_key", "n_shingles", "k1", "k2", "bands"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +129,12 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), members], ["doc_id", "k1", "k2", "members"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of (id, members) rows."""
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of the batch fall into each slot of the frequency sketch."""
     for b in batches:
-        values = np.frombuffer(b"".join(b.column("members").to_pylist()), np.int64)
-        ids = np.repeat(np.asarray(b.column("id")), [len(x) // 8 for x in b.column("members").to_pylist()])
-        yield from common.as_batches({"id": ids, "token": values}, pa.schema([("id", pa.int64()), ("token", pa.int64())]))
+        values = np.frombuffer(b"".join(b.column("members").to_pylist()), np.uint64)
+        slot, count = np.unique(values % np.uint64(SLOTS), return_counts=True)
+        yield from common.as_batches({"slot": slot.astype(np.int64), "c": count}, pa.schema([("slot", pa.int64()), ("c", pa.int64())]))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,15 +246,28 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(token, id, n, l, c) of prefix shingles that classes of different components share; c classes have the shingle in their prefix."""
-    tokens = common.stored(members.select("id").join(sets, "id").mapInArrow(_tokens, "id long, token long"), "tokens")
-    often = tokens.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
-    # Shingles of one set alone are its rarest and meet nothing, so they only take up room in its prefix.
-    mine = tokens.join(often, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
-    room = F.expr(f"n - (({PERCENT} * n + 99) div 100) + 1 - (n - size(t))").cast("int")
-    first = mine.join(members, "id").withColumn("room", room).filter("room > 0").select("id", "n", "l", F.explode(F.slice("t", 1, F.col("room"))["token"]).alias("token"))
-    first = common.stored(first, "prefixes")
-    mixed = first.groupBy("token").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("token", "c")
-    return common.stored(first.join(mixed, "token"), "meeting")
+    rows = common.stored(members.join(sets, "id"), "rows")
+    counts = np.zeros(SLOTS, np.int64)
+    for slot, c in rows.select("members").mapInArrow(_slots, "slot long, c long").groupBy("slot").agg(F.sum("c")).collect():
+        counts[slot] = c
+    shared = members.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("l", pa.int64())])
+        often = shared.value
+        for b in batches:
+            out: list[tuple] = []
+            for i, n, label, raw in zip(*(b.column(c).to_pylist() for c in ("id", "n", "l", "members"))):
+                x = np.frombuffer(raw, np.uint64)
+                count = often[x % np.uint64(SLOTS)]
+                near = np.lexsort((x, count))[: n - (PERCENT * n + 99) // 100 + 1]
+                # A shingle that is alone in its slot is in no other set.
+                out += [(t, i, n, label) for t in x[near[count[near] > 1]].astype(np.int64).tolist()]
+            yield from common.as_batches(dict(zip(schema.names, map(list, zip(*out)))) if out else dict.fromkeys(schema.names, []), schema)
+
+    tokens = common.stored(rows.mapInArrow(first, "token long, id long, n long, l long"), "prefixes")
+    mixed = tokens.groupBy("token").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("token", "c")
+    return common.stored(tokens.join(mixed, "token"), "meeting")
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
@@ -302,10 +317,11 @@ def _fits(n: Column, m: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept and row_key, the hash of (doc_id, text), of every row of ``docs`` (doc_id, text)."""
     common.prepare(docs.sparkSession)
     docs, parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), common.partitions(docs)
-    sketch = common.stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketch")
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    sketch = common.stored(keyed.mapInArrow(_sketch, "doc_id long, row_key long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketch")
     able = sketch.filter("n_shingles > 0 and doc_id is not null")
     # A class is a text's set; its number is fixed once the table is written.
     classes = able.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
@@ -319,7 +335,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centres = common.stored(spread.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("far")).filter("centre <> far").drop("far"), "centres")
     shared = common.stored(spread.join(centres, "bucket"), "shared")
     wanted = common.stored(node.join(shared.select("id").distinct(), "id"), "wanted")
-    sets = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, k1 long, k2 long, members binary")
+    # Both sides grow with the table, so they meet in the same way at every size.
+    sets = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, k1 long, k2 long, members binary")
     sets = common.stored(sets.join(wanted, at).dropDuplicates(at).select("id", "members"), "sets")
 
     done = common.stored(shared.filter("id <> centre").groupBy("id").agg(F.min("centre").alias("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")), "pairs")
@@ -357,11 +374,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = common.stored(labelled(classes, "id", "l").select("k1", "k2", "rep", "l"), "labelled")
     least = common.stored(named.groupBy("l").agg(F.min("rep").alias("component_id")), "least")
     named = common.stored(named.join(least, "l").select("k1", "k2", "component_id"), "named")
-    out = sketch.select("doc_id", "n_shingles", "k1", "k2").withColumn("able", F.expr("n_shingles > 0 and doc_id is not null"))
+    out = sketch.select("doc_id", "row_key", "n_shingles", "k1", "k2").withColumn("able", F.expr("n_shingles > 0 and doc_id is not null"))
     out = out.join(named.withColumn("able", F.lit(True)), ["k1", "k2", "able"], "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "row_key")
 
 
 def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row_key")

@@ -1,7 +1,8 @@
 """Geometry predicates as column expressions.
 
-``polygons``: geom_id, rings: array<array<struct<x, y>>>, closed; a multipart polygon is its parts' rings together, and
-points are inside by the even-odd rule.  Joins meet on square cells of the plane first and are refined exactly.
+``polygons``: geom_id and ``rings``: array<array<struct<x, y>>>, closed, a point being inside by the even-odd rule; or ``parts``, an array
+of such rings, a point being inside where it is inside any part, so that parts may overlap.  Joins meet on square cells first, of the size of
+the larger of the two, so that a geometry of any size takes a few cells, and are refined exactly.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RINGS = "array<array<struct<x:double,y:double>>>"
-#: Cells that the extent of a geometry is dealt over in x and in y, at most.
-CELLS = 16
+_POINT = "struct<x:double,y:double>"
+RINGS = f"array<array<{_POINT}>>"
+PARTS = f"array<{RINGS}>"
+#: Half of the swath that an orbit sees, with a margin, in metres (fixed values: 290 + 10 km).
+SWATH_REACH = 150_000.0
 
 
 def polygons(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -57,40 +60,89 @@ def segment_meets_open_box(a: Column, b: Column, x0: Column, y0: Column, x1: Col
     return ~apart & (F.least(*s) < 0) & (F.greatest(*s) > 0)
 
 
-def _cell_size(polygons: DataFrame) -> float:
-    """Side of the join's cells: the mean extent of the geometries over CELLS."""
-    b = bounds(F.col("rings"))
-    mean = polygons.agg(F.avg(F.greatest(b["maxx"] - b["minx"], b["maxy"] - b["miny"]))).first()[0]
-    return max(float(mean or 1.0) / CELLS, 1e-9)
+def whole(polygons: DataFrame) -> DataFrame:
+    """``polygons`` with ``parts`` in the place of ``rings``, and their extent."""
+    p = polygons if "parts" in polygons.columns else polygons.withColumn("parts", F.array("rings")).drop("rings")
+    return p.withColumns(bounds(F.flatten("parts")))
 
 
-def _dealt(polygons: DataFrame, size: float) -> DataFrame:
-    """A row for each cell that a geometry's extent meets."""
-    p = polygons.withColumns({k: F.floor(v / size).cast("long") for k, v in bounds(F.col("rings")).items()})
-    p = p.withColumn("cx", F.explode(F.sequence("minx", "maxx")))
-    return p.withColumn("cy", F.explode(F.sequence("miny", "maxy"))).drop("minx", "miny", "maxx", "maxy")
+def inside(parts: Column, x: Column, y: Column) -> Column:
+    """Whether a point is inside any part."""
+    return F.exists(parts, lambda rings: contains(rings, x, y))
+
+
+def box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r) rows of the pairs whose extents (minx, miny, maxx, maxy) meet, each pair once: an equi-join on cells.
+
+    A pair has one cell with the lower left corner of the common extent, and counts there only.  Levels of cells are
+    powers of two; the distinct ones of either side, a few dozen numbers, are what the driver gets.
+    """
+    level = F.ceil(F.log2(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(1e-9)))).cast("int")
+
+    def keyed(t: DataFrame, name: str) -> DataFrame:
+        box = F.struct(*(F.col(k).cast("double").alias(k) for k in _BOUNDS)).alias("_box")
+        return t.dropna(subset=list(_BOUNDS)).select(F.struct(*t.columns).alias(name), box, level.alias("_level")).select(name, "_box.*", F.col("_level").alias("level"))
+
+    a, b = keyed(left, "l"), keyed(right, "r")
+    of_a, of_b = ([x[0] for x in t.select("level").distinct().collect()] for t in (a, b))
+    at = ["level", "other", "cx", "cy"]
+    a = _on_levels(a, of_b).select("l", *at, *(F.col(k).alias(f"a_{k}") for k in _BOUNDS))
+    b = _on_levels(b, of_a).select("r", F.col("other").alias("level"), F.col("level").alias("other"), "cx", "cy", *(F.col(k).alias(f"b_{k}") for k in _BOUNDS))
+    size = F.pow(F.lit(2.0), F.greatest("level", "other"))
+    corner = lambda axis: F.floor(F.greatest(f"a_min{axis}", f"b_min{axis}") / size).cast("long")
+    meets = (F.col("a_minx") <= F.col("b_maxx")) & (F.col("a_maxx") >= F.col("b_minx")) & (F.col("a_miny") <= F.col("b_maxy")) & (F.col("a_maxy") >= F.col("b_miny"))
+    return a.join(b, at).filter(meets & (F.col("cx") == corner("x")) & (F.col("cy") == corner("y"))).select("l", "r")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """points (x, y, ...) with geom_id of every polygon that holds them."""
-    size = _cell_size(polygons)
-    p = points.withColumns({"cx": F.floor(F.col("x") / size).cast("long"), "cy": F.floor(F.col("y") / size).cast("long")})
-    return p.join(_dealt(polygons, size), ["cx", "cy"]).filter(contains(F.col("rings"), F.col("x"), F.col("y"))).drop("cx", "cy", "rings")
+    """points (x, y, ...) with geom_id and the other columns of every polygon that holds them."""
+    boxes = points.select(F.struct(*points.columns).alias("row"), F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
+    kept = [c for c in polygons.columns if c not in ("rings", "parts")]
+    hit = box_pairs(boxes, whole(polygons)).filter(inside(F.col("r.parts"), F.col("l.row.x"), F.col("l.row.y")))
+    return hit.select("l.row.*", *(F.col(f"r.{c}") for c in kept))
+
+
+def box_meets(parts: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether the inside of a box meets the inside of a polygon of parts."""
+
+    def part(rings: Column) -> Column:
+        touched = F.exists(edges(rings), lambda e: segment_meets_open_box(e["a"], e["b"], x0, y0, x1, y1))
+        return touched | contains(rings, (x0 + x1) / 2, (y0 + y1) / 2)
+
+    return F.exists(parts, part)
+
 
+def polygons_meet(one: Column, other: Column) -> Column:
+    """Whether two polygons of parts have a point in common: an edge of one crosses or touches one of the other, or one holds the other."""
+    flat = lambda parts: F.flatten(F.transform(parts, edges))
 
-def box_meets(rings: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Whether the inside of a box meets the inside of a polygon."""
-    touched = F.exists(edges(rings), lambda e: segment_meets_open_box(e["a"], e["b"], x0, y0, x1, y1))
-    return touched | contains(rings, (x0 + x1) / 2, (y0 + y1) / 2)
+    def between(a: Column, b: Column, p: Column) -> Column:
+        return p["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & p["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+    def cross(e: Column, f: Column) -> Column:
+        turn = lambda s, p: F.signum(_side(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], p["x"], p["y"]))
+        t = [turn(e, f["a"]), turn(e, f["b"]), turn(f, e["a"]), turn(f, e["b"])]
+        on = ((t[0] == 0) & between(e["a"], e["b"], f["a"])) | ((t[1] == 0) & between(e["a"], e["b"], f["b"])) | ((t[2] == 0) & between(f["a"], f["b"], e["a"])) | ((t[3] == 0) & between(f["a"], f["b"], e["b"]))
+        return ((t[0] * t[1] < 0) & (t[2] * t[3] < 0)) | on
+
+    def holds(a: Column, b: Column) -> Column:
+        return F.exists(b, lambda rings: inside(a, rings[0][0]["x"], rings[0][0]["y"]))
+
+    return F.exists(flat(one), lambda e: F.exists(flat(other), lambda f: cross(e, f))) | holds(one, other) | holds(other, one)
+
+
+def polygons_meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id) of the polygons that meet: extents by cells, then edges."""
+    hit = box_pairs(whole(left), whole(right)).filter(polygons_meet(F.col("l.parts"), F.col("r.parts")))
+    return hit.select(F.col("l.geom_id").alias("left_id"), F.col("r.geom_id").alias("right_id"))
 
 
 def cells_touching(cells: DataFrame, polygons: DataFrame) -> DataFrame:
     """cells (x0, y0, x1, y1, ...) that meet a polygon (R14, all touched)."""
-    size = _cell_size(polygons)
-    low, high = lambda c: F.floor(F.col(c) / size).cast("long"), lambda c: F.floor(F.col(c) / size).cast("long")
-    c = cells.withColumn("cx", F.explode(F.sequence(low("x0"), high("x1")))).withColumn("cy", F.explode(F.sequence(low("y0"), high("y1"))))
-    hit = c.join(_dealt(polygons, size), ["cx", "cy"]).filter(box_meets(F.col("rings"), *(F.col(k) for k in ("x0", "y0", "x1", "y1"))))
-    return hit.drop("cx", "cy", "rings")
+    boxes = cells.select(F.struct(*cells.columns).alias("row"), F.col("x0").alias("minx"), F.col("y0").alias("miny"), F.col("x1").alias("maxx"), F.col("y1").alias("maxy"))
+    kept = [c for c in polygons.columns if c not in ("rings", "parts")]
+    hit = box_pairs(boxes, whole(polygons)).filter(box_meets(F.col("r.parts"), *(F.col(f"l.row.{k}") for k in ("x0", "y0", "x1", "y1"))))
+    return hit.select("l.row.*", *(F.col(f"r.{c}") for c in kept))
 
 
 _BOUNDS = ("minx", "miny", "maxx", "maxy")
@@ -133,9 +185,10 @@ def _boxes_meet() -> Column:
     return (F.col("minx") <= F.col("b_maxx")) & (F.col("maxx") >= F.col("b_minx")) & (F.col("miny") <= F.col("b_maxy")) & (F.col("maxy") >= F.col("b_miny"))
 
 
-def dissolved(parts: DataFrame, key: str) -> DataFrame:
-    """Rings of all parts of a key together."""
-    return parts.groupBy(key).agg(F.flatten(F.collect_list("rings")).alias("rings"))
+def dissolved(polygons: DataFrame, key: str) -> DataFrame:
+    """(key, parts) of all polygons of a key (G11, G12): a point is inside the union where it is inside a part, so parts that overlap leave no hole."""
+    each = F.col("parts") if "parts" in polygons.columns else F.array("rings")
+    return polygons.groupBy(key).agg(F.flatten(F.collect_list(each)).alias("parts"))
 
 
 def parts(multi: DataFrame) -> DataFrame:
@@ -166,13 +219,96 @@ def clip_ring(ring: list[tuple[float, float]], x0: float, y0: float, x1: float,
     return [*pts, pts[0]] if len(pts) > 2 else []
 
 
+def clip_to_half_planes(ring: Column, planes: Column) -> Column:
+    """A closed ring cut to the half-planes a * x + b * y + c >= 0 one after the other; empty where nothing is left.
+
+    ``planes``: array<struct<a, b, c>>.  The result is exact for convex clip areas.
+    """
+    none = F.array().cast(f"array<{_POINT}>")
+
+    def cut(points: Column, h: Column) -> Column:
+        far = lambda p: h["a"] * p["x"] + h["b"] * p["y"] + h["c"]
+
+        def side(p: Column, q: Column) -> Column:
+            dp, dq = far(p), far(q)
+            t = F.try_divide(dp, dp - dq)
+            met = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+            return F.concat(F.when(dp >= 0, F.array(p)).otherwise(none), F.when(dp * dq < 0, F.array(met)).otherwise(none))
+
+        turned = F.concat(F.slice(points, 2, F.size(points) - 1), F.slice(points, 1, 1))
+        return F.when(F.size(points) == 0, none).otherwise(F.flatten(F.zip_with(points, turned, side)))
+
+    open_ring = F.slice(ring, 1, F.size(ring) - 1)
+    left = F.aggregate(planes, open_ring.cast(f"array<{_POINT}>"), cut)
+    return F.transform(F.array(left), lambda r: F.when(F.size(r) > 2, F.concat(r, F.slice(r, 1, 1))).otherwise(none))[0]
+
+
+def box_planes(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The four half-planes of a rectangle."""
+    plane = lambda a, b, c: F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), c.cast("double").alias("c"))
+    return F.array(plane(1, 0, -x0), plane(-1, 0, x1), plane(0, 1, -y0), plane(0, -1, y1))
+
+
+def convex_planes(ring: Column) -> Column:
+    """The half-planes of a convex ring, whichever way it turns."""
+    pairs = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    area = F.aggregate(pairs, F.lit(0.0), lambda s, e: s + e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"])
+    turn = F.when(area >= 0, 1.0).otherwise(-1.0)
+
+    def plane(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        a, b = (p["y"] - q["y"]) * turn, (q["x"] - p["x"]) * turn
+        return F.struct(a.alias("a"), b.alias("b"), (-(a * p["x"] + b * p["y"])).alias("c"))
+
+    return F.transform(pairs, plane)
+
+
+def _cut(rings: Column, planes: Column) -> Column:
+    return F.filter(F.transform(rings, lambda ring: clip_to_half_planes(ring, planes)), lambda ring: F.size(ring) > 0)
+
+
 def clipped(polygons: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
-    """Polygons cut to a rectangle, empty ones dropped."""
+    """Polygons cut to a rectangle, empty ones dropped."""
+    return polygons.withColumn("rings", _cut(F.col("rings"), box_planes(*map(F.lit, (x0, y0, x1, y1))))).filter(F.size("rings") > 0)
+
+
+def clipped_to(polygons: DataFrame, areas: DataFrame) -> DataFrame:
+    """(geom_id, area_id, rings) of polygons cut to each convex area (geom_id, rings of one ring) that they meet."""
+    pairs = box_pairs(polygons.withColumns(bounds(F.col("rings"))), areas.withColumns(bounds(F.col("rings"))))
+    cut = pairs.select(F.col("l.geom_id").alias("geom_id"), F.col("r.geom_id").alias("area_id"), _cut(F.col("l.rings"), convex_planes(F.col("r.rings")[0])).alias("rings"))
+    return cut.filter(F.size("rings") > 0)
+
 
-    def cut(rings):  # noqa: ANN001, ANN202
-        return rings.map(lambda rs: [[{"x": x, "y": y} for x, y in c] for r in rs if (c := clip_ring([(p["x"], p["y"]) for p in r], x0, y0, x1, y1))])
+def area(rings: Column) -> Column:
+    """Area of rings: the first one less the others."""
+    one = lambda ring: F.abs(F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(0.0), lambda s, i: s + F.get(ring, i - 1)["x"] * F.get(ring, i)["y"] - F.get(ring, i)["x"] * F.get(ring, i - 1)["y"])) / 2
+    return F.aggregate(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), one(rings[0]), lambda s, ring: s - one(ring))
 
-    return polygons.withColumn("rings", F.pandas_udf(cut, RINGS)("rings")).filter(F.size("rings") > 0)
+
+def boxes_as_polygons(boxes: DataFrame) -> DataFrame:
+    """``boxes`` (minx, miny, maxx, maxy, ...) with their rings instead of the extent."""
+    point = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ring = F.array(point("minx", "miny"), point("maxx", "miny"), point("maxx", "maxy"), point("minx", "maxy"), point("minx", "miny"))
+    return boxes.select("*", F.array(ring).alias("rings")).drop(*_BOUNDS)
+
+
+def esri_envelope(minx: Column, miny: Column, maxx: Column, maxy: Column, wkid: int = 4326) -> Column:
+    """The JSON text by which a box is sent to a map service."""
+    return F.to_json(F.struct(minx.alias("xmin"), miny.alias("ymin"), maxx.alias("xmax"), maxy.alias("ymax"), F.struct(F.lit(wkid).alias("wkid")).alias("spatialReference")))
+
+
+def swath(track: Column, reach: float = SWATH_REACH) -> Column:
+    """Parts of the strip about a polyline array<struct<x, y>>: a rectangle for each piece, longer by ``reach`` at both ends."""
+    pairs = F.zip_with(F.slice(track, 1, F.size(track) - 1), F.slice(track, 2, F.size(track) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def strip(e: Column) -> Column:
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        long = F.sqrt(dx * dx + dy * dy)
+        ux, uy = F.try_divide(dx * reach, long), F.try_divide(dy * reach, long)
+        at = lambda p, along, across: F.struct((p["x"] + along * ux - across * uy).alias("x"), (p["y"] + along * uy + across * ux).alias("y"))
+        return F.array(F.array(at(e["a"], -1, -1), at(e["b"], 1, -1), at(e["b"], 1, 1), at(e["a"], -1, 1), at(e["a"], -1, -1)))
+
+    return F.transform(pairs, strip)
 
 
 def near_track(x: Column, y: Column, track: Column, reach: float) -> Column:
@@ -202,10 +338,15 @@ def minimal_cover(tiles: list[tuple[str, tuple[float, float, float, float]]], bo
     mids = [((a + b) / 2, (c + d) / 2) for a, b in zip(xs, xs[1:]) for c, d in zip(ys, ys[1:])]
     need = {i for i, (x, y) in enumerate(mids) if any(inside(b, x, y) for b in boxes)}
     cover = [{i for i in need if inside(t, *mids[i])} for _, t in tiles]
-    for k in range(1, len(tiles) + 1):
-        for pick in itertools.combinations(range(len(tiles)), k):
-            if set().union(*(cover[i] for i in pick)) >= need:
-                return [tiles[i][0] for i in pick]
+    return minimal_cover_of([(t, c) for (t, _), c in zip(tiles, cover)], need)
+
+
+def minimal_cover_of(sets: list[tuple[str, set[int]]], need: set[int]) -> list[str]:
+    """Names of the fewest sets whose union holds all of ``need``, the first such choice in order."""
+    for k in range(1, len(sets) + 1):
+        for pick in itertools.combinations(sets, k):
+            if set().union(*(c for _, c in pick)) >= need:
+                return [t for t, _ in pick]
     raise ValueError("the tiles do not cover the area")
 
 

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crs as projections
-from ..functions.grid import grids_align
+from ..functions.grid import align_bounds, grids_align
 from . import geometry
 
 CELL = ["band", "row", "col"]
@@ -73,6 +74,18 @@ def merge_variance(pixels: DataFrame, mean: DataFrame) -> DataFrame:
     return pixels.join(m, CELL).groupBy(*CELL).agg(F.avg(d * d).alias("value"))
 
 
+def source_order(pixels: DataFrame, meta: DataFrame) -> DataFrame:
+    """``meta`` with the source_ord of each raster; the pixels are read for it only where ``meta`` lacks it."""
+    if "source_ord" in meta.columns:
+        return meta
+    return meta.join(pixels.groupBy("raster_id").agg(F.min("source_ord").alias("source_ord")), "raster_id", "left")
+
+
+def base_grid(meta: DataFrame) -> DataFrame:
+    """One row (a0, c0, e0, f0, crs0) with the grid of the first source."""
+    return meta.agg(*(F.min_by(c, F.struct("source_ord", "raster_id")).alias(f"{c}0") for c in ("a", "c", "e", "f", "crs")))
+
+
 def rebased(pixels: DataFrame, meta: DataFrame, allow_resampling: bool = False) -> DataFrame:
     """Rows and columns on the grid of the first source (R1, R9); other grids raise unless resampling is allowed.
 
@@ -80,9 +93,7 @@ def rebased(pixels: DataFrame, meta: DataFrame, allow_resampling: bool = False)
     """
     if not allow_resampling and not grids_align(meta).first()["aligned"]:
         raise ValueError("rasters do not share a pixel grid")
-    first = pixels.groupBy("raster_id").agg(F.min("source_ord").alias("o")).join(meta, "raster_id")
-    base = first.agg(*(F.min_by(c, "o").alias(f"{c}0") for c in ("a", "c", "e", "f")))
-    shift = meta.select("raster_id", "a", "c", "e", "f").crossJoin(F.broadcast(base)).select(
+    shift = meta.select("raster_id", "a", "c", "e", "f").crossJoin(F.broadcast(base_grid(source_order(pixels, meta)))).select(  # one row
         "raster_id", (F.col("a") / F.col("a0")).alias("sx"), (F.col("e") / F.col("e0")).alias("sy"),
         ((F.col("c") - F.col("c0")) / F.col("a0")).alias("dx"), ((F.col("f") - F.col("f0")) / F.col("e0")).alias("dy"),
     )
@@ -90,6 +101,29 @@ def rebased(pixels: DataFrame, meta: DataFrame, allow_resampling: bool = False)
     return pixels.join(shift, "raster_id").withColumns({"row": centre("row", "sy", "dy"), "col": centre("col", "sx", "dx")}).drop("sx", "sy", "dx", "dy")
 
 
+def merged_within(pixels: DataFrame, meta: DataFrame, bounds: tuple[float, float, float, float], method: str | Callable[[pd.Series], float] = "first", allow_resampling: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Mosaic within bounds (minx, miny, maxx, maxy), widened to the first source's pixels (R1, P2), and its metadata.
+
+    Pixels outside are filtered before they meet, and rasters outside are not read.
+    """
+    at = dict(zip(("minx", "miny", "maxx", "maxy"), (F.lit(float(v)) for v in bounds)))
+    base = base_grid(source_order(pixels, meta))
+    t = {k: F.col(f"{k}0") for k in "acef"}
+    box = align_bounds(at, t)
+    window = base.select("*", *(v.alias(k) for k, v in box.items())).select(
+        F.lit("merged").alias("raster_id"), t["a"].alias("a"), F.lit(0.0).alias("b"), F.col("minx").alias("c"), F.lit(0.0).alias("d"), t["e"].alias("e"), F.col("maxy").alias("f"),
+        F.round((F.col("miny") - F.col("maxy")) / t["e"]).cast("long").alias("height"), F.round((F.col("maxx") - F.col("minx")) / t["a"]).cast("long").alias("width"), F.col("crs0").alias("crs"),
+        F.round((F.col("maxy") - t["f"]) / t["e"]).cast("long").alias("row0"), F.round((F.col("minx") - t["c"]) / t["a"]).cast("long").alias("col0"),
+    )
+    x1, y1 = F.col("c") + F.col("a") * F.col("width"), F.col("f") + F.col("e") * F.col("height")
+    near = meta.filter((F.col("c") < bounds[2]) & (x1 > bounds[0]) & (y1 < bounds[3]) & (F.col("f") > bounds[1]))
+    cells = rebased(pixels.join(near.select("raster_id"), "raster_id", "left_semi"), meta, allow_resampling)
+    inside = cells.crossJoin(F.broadcast(window.select("height", "width", "row0", "col0")))  # one row
+    inside = inside.withColumns({"row": F.col("row") - F.col("row0"), "col": F.col("col") - F.col("col0")})
+    inside = inside.filter((F.col("row") >= 0) & (F.col("row") < F.col("height")) & (F.col("col") >= 0) & (F.col("col") < F.col("width")))
+    return merge(inside.drop("height", "width", "row0", "col0"), method), window.drop("row0", "col0")
+
+
 def stack(pixels: DataFrame) -> DataFrame:
     """Each source a band, in source order."""
     return pixels.withColumn("band", F.col("source_ord") + 1)
@@ -100,35 +134,89 @@ def within(pixels: DataFrame, first_row: int, first_col: int, height: int, width
     return pixels.filter(F.col("row").between(first_row - pad, first_row + height + pad - 1) & F.col("col").between(first_col - pad, first_col + width + pad - 1))
 
 
+def extents(meta: DataFrame) -> DataFrame:
+    """``meta`` with minx, miny, maxx, maxy."""
+    x, y = (F.col("c"), F.col("c") + F.col("a") * F.col("width")), (F.col("f"), F.col("f") + F.col("e") * F.col("height"))
+    return meta.withColumns({"minx": F.least(*x), "maxx": F.greatest(*x), "miny": F.least(*y), "maxy": F.greatest(*y)})
+
+
+def covered_spans(meta: DataFrame, polygons: DataFrame, all_touched: bool = False) -> DataFrame:
+    """(raster_id, row, spans): inclusive column ranges of each raster row that the polygons cover; every row once.
+
+    Polygons are cut into rows, once for each raster that they meet; pixels are not read.
+    """
+    pairs = geometry.box_pairs(extents(meta.select("raster_id", "a", "c", "e", "f", "height", "width")), geometry.whole(polygons).select("parts", *geometry._BOUNDS))
+    m, p = (lambda k: F.col(f"l.{k}")), (lambda k: F.col(f"r.{k}"))
+    edge = lambda k: (p(k) - m("f")) / m("e")
+    first = F.greatest(F.lit(0).cast("long"), F.floor(F.least(edge("miny"), edge("maxy"))).cast("long") - 1)
+    last = F.least(m("height").cast("long") - 1, F.ceil(F.greatest(edge("miny"), edge("maxy"))).cast("long") + 1)
+    rows = pairs.withColumns({"r0": first, "r1": last}).filter("r0 <= r1").select(m("raster_id").alias("raster_id"), m("a").alias("a"), m("c").alias("c"), m("e").alias("e"), m("f").alias("f"), m("width").cast("long").alias("width"), p("parts").alias("parts"), F.explode(F.sequence("r0", "r1")).alias("row"))
+    y = F.col("f") + (F.col("row") + 0.5) * F.col("e")
+    column = lambda x: (x - F.col("c")) / F.col("a")
+
+    def centres(rings: Column) -> Column:
+        # Crossings of the row's middle line in order; centres between the first and second, third and fourth and so on are inside.
+        across = F.filter(geometry.edges(rings), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+        xs = F.array_sort(F.transform(across, lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
+        pairs_of = lambda x: F.transform(F.filter(F.transform(x, lambda v, i: F.struct(v.alias("lo"), F.get(x, i + 1).alias("hi"), i.alias("i"))), lambda s: s["i"] % 2 == 0), lambda s: F.struct(F.ceil(column(s["lo"]) - 0.5).cast("long").alias("lo"), (F.ceil(column(s["hi"]) - 0.5) - 1).cast("long").alias("hi")))
+        return F.transform(F.array(xs), pairs_of)[0]
+
+    def touches(rings: Column) -> Column:
+        # The part of each edge strictly within the row, and the open cells that it passes.
+        y0, y1 = F.least(y - F.col("e") / 2, y + F.col("e") / 2), F.greatest(y - F.col("e") / 2, y + F.col("e") / 2)
+
+        def passed(e: Column) -> Column:
+            p, q = e["a"], e["b"]
+            at = lambda t: p["x"] + (q["x"] - p["x"]) * F.try_divide(t - p["y"], q["y"] - p["y"])
+            cut = lambda v: F.when(p["y"] == q["y"], v["x"]).otherwise(F.when(v["y"] < y0, at(y0)).when(v["y"] > y1, at(y1)).otherwise(v["x"]))
+            lo, hi = column(F.least(cut(p), cut(q))), column(F.greatest(cut(p), cut(q)))
+            # A vertical edge on the border of two cells enters neither.
+            return F.struct(F.floor(lo).cast("long").alias("lo"), F.when(lo == hi, F.when(lo == F.floor(lo), F.floor(lo) - 1).otherwise(F.floor(lo))).otherwise(F.ceil(hi) - 1).cast("long").alias("hi"))
+
+        within = lambda e: (F.least(e["a"]["y"], e["b"]["y"]) < y1) & (F.greatest(e["a"]["y"], e["b"]["y"]) > y0)
+        return F.transform(F.filter(geometry.edges(rings), within), passed)
+
+    spans = F.flatten(F.transform("parts", centres))
+    if all_touched:
+        spans = F.concat(spans, F.flatten(F.transform("parts", touches)))
+    spans = F.transform(spans, lambda s: F.struct(F.greatest(s["lo"], F.lit(0).cast("long")).alias("lo"), F.least(s["hi"], F.col("width") - 1).alias("hi")))
+    rows = rows.select("raster_id", "row", F.array_distinct(F.filter(spans, lambda s: s["lo"] <= s["hi"])).alias("spans")).filter(F.size("spans") > 0)
+    return rows.groupBy("raster_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
 def mask(pixels: DataFrame, meta: DataFrame, polygons: DataFrame, all_touched: bool = False, crop: bool = False) -> DataFrame:
     """Values outside all polygons become null, or with ``crop`` cells outside their common extent go.
 
-    A cell is inside where its centre is, or with ``all_touched`` where the cell meets a polygon.
+    A cell is inside where its centre is, or with ``all_touched`` where the cell meets a polygon.  Pixels meet the covered column
+    ranges of their row, so they are read once, and stay where they are if the ranges are small enough for a broadcast.
     """
-    at = pixels.join(meta.select("raster_id", "a", "c", "e", "f"), "raster_id")
-    x0, y0 = F.col("c") + F.col("col") * F.col("a"), F.col("f") + F.col("row") * F.col("e")
-    cells = at.select("raster_id", "row", "col", x0.alias("x0"), (y0 + F.col("e")).alias("y0"), (x0 + F.col("a")).alias("x1"), y0.alias("y1")).distinct()
-    if all_touched:
-        hit = geometry.cells_touching(cells, polygons)
-    else:
-        centres = cells.withColumns({"x": (F.col("x0") + F.col("x1")) / 2, "y": (F.col("y0") + F.col("y1")) / 2})
-        hit = geometry.points_in_polygons(centres, polygons)
-    inside = hit.select("raster_id", "row", "col", F.lit(True).alias("_in")).distinct()
-    out = pixels.join(inside, ["raster_id", "row", "col"], "left").withColumn("value", F.when(F.col("_in"), F.col("value"))).drop("_in")
+    spans = covered_spans(meta, polygons, all_touched)
+    here = F.exists("spans", lambda s: (F.col("col") >= s["lo"]) & (F.col("col") <= s["hi"]))
+    out = pixels.join(spans, ["raster_id", "row"], "left").withColumn("value", F.when(F.coalesce(here, F.lit(False)), F.col("value"))).drop("spans")
     if crop:
-        box = inside.groupBy("raster_id").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+        box = spans.groupBy("raster_id").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min(F.array_min("spans.lo")).alias("c0"), F.max(F.array_max("spans.hi")).alias("c1"))
         out = out.join(box, "raster_id").filter("row between r0 and r1 and col between c0 and c1").drop("r0", "r1", "c0", "c1")
-    return out
+    return out.select(*pixels.columns)
 
 
-def sample(points: DataFrame, pixels: DataFrame, meta: DataFrame, wrap_negative: bool = False) -> DataFrame:
-    """points (point_id, x, y) with row, col, band and value of each raster; outside cells give null."""
-    at = points.crossJoin(F.broadcast(meta.select("raster_id", "a", "c", "e", "f", "height")))  # one row for each raster
-    row = F.floor((F.col("y") - F.col("f")) / F.col("e")).cast("long")
+def cells_of(points: DataFrame, meta: DataFrame, wrap_negative: bool = False) -> DataFrame:
+    """(point_id, raster_id, row, col) of the rasters of ``meta`` that hold each point (x, y): points meet extents on cells."""
+    boxes = extents(meta.select("raster_id", "a", "c", "e", "f", "height", "width"))
     if wrap_negative:
-        row = F.when(row < 0, row + F.col("height")).otherwise(row)
-    at = at.select("point_id", "raster_id", row.alias("row"), F.floor((F.col("x") - F.col("c")) / F.col("a")).cast("long").alias("col"))
-    return at.join(pixels.select("raster_id", "band", "row", "col", "value"), ["raster_id", "row", "col"], "left")
+        # Rows before the first count from the last.
+        boxes = boxes.withColumns({"miny": F.least("miny", F.col("f") - F.col("e") * F.col("height")), "maxy": F.greatest("maxy", F.col("f") - F.col("e") * F.col("height"))})
+    at = points.select("point_id", F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
+    row = F.floor((F.col("l.miny") - F.col("r.f")) / F.col("r.e")).cast("long")
+    if wrap_negative:
+        row = F.when(row < 0, row + F.col("r.height")).otherwise(row)
+    hit = geometry.box_pairs(at, boxes).select(F.col("l.point_id").alias("point_id"), F.col("r.raster_id").alias("raster_id"), row.alias("row"), F.floor((F.col("l.minx") - F.col("r.c")) / F.col("r.a")).cast("long").alias("col"), "r.height", "r.width")
+    return hit.filter("row between 0 and height - 1 and col between 0 and width - 1").drop("height", "width")
+
+
+def sample(points: DataFrame, pixels: DataFrame, meta: DataFrame, wrap_negative: bool = False) -> DataFrame:
+    """(point_id, raster_id, row, col, band, value) of each raster that holds a point (x, y); one row of nulls for a point in none."""
+    at = points.select("point_id").join(cells_of(points, meta, wrap_negative), "point_id", "left")
+    return at.join(pixels.select("raster_id", "band", "row", "col", "value"), ["raster_id", "row", "col"], "left").select("point_id", "raster_id", "row", "col", "band", "value")
 
 
 def upsampled(pixels: DataFrame, times: int = 2) -> DataFrame:
@@ -166,60 +254,152 @@ def _spline(t: Column) -> Column:
     return F.when(u <= 1, 2 / 3 - u * u + u * u * u / 2).when(u < 2, (2 - u) * (2 - u) * (2 - u) / 6).otherwise(0.0)
 
 
+def _gauss(t: Column) -> Column:
+    # Halves at a distance of one cell: 1 2 1 on whole cells.
+    return F.when(F.abs(t) < 2, F.pow(F.lit(2.0), -t * t)).otherwise(0.0)
+
+
 #: Resampling by weights of neighbours: reach in cells and weight of a distance in cells.
 KERNELS: dict[str, tuple[int, Callable[[Column], Column]]] = {
     "bilinear": (1, lambda t: F.greatest(F.lit(0.0), 1 - F.abs(t))),
     "cubic": (2, _cubic),
     "cubic_spline": (2, _spline),
     "lanczos": (3, _lanczos),
+    "gauss": (2, _gauss),
 }
 METHODS = ("nearest", *KERNELS, *AREA, "mode")
 
 
+#: Points on each side of a raster by which its extent in another system is found.
+SIDE_POINTS = 17
+_GRID = ("a", "c", "e", "f", "crs")
+
+
+def _across(codes: list[str], system: str, target: str, x: Column, y: Column) -> tuple[Column, Column]:
+    """x and y in ``target`` from the system that the column ``system`` names, one of ``codes``."""
+    moved = {k: (x, y) if k == target else projections.project(target, *projections.unproject(k, x, y)) for k in codes}
+    pick = lambda i: F.coalesce(*(F.when(F.col(system) == k, v[i]) for k, v in moved.items()))
+    return pick(0), pick(1)
+
+
+def _back(codes: list[str], system: str, target: str, x: Column, y: Column) -> tuple[Column, Column]:
+    """x and y in the system that the column ``system`` names, from ``target``."""
+    moved = {k: (x, y) if k == target else projections.project(k, *projections.unproject(target, x, y)) for k in codes}
+    pick = lambda i: F.coalesce(*(F.when(F.col(system) == k, v[i]) for k, v in moved.items()))
+    return pick(0), pick(1)
+
+
+def extents_in(meta: DataFrame, system: str) -> DataFrame:
+    """``meta`` with the extents of its rasters in another reference system, by points along their sides."""
+    codes = sorted(r[0] for r in meta.select("crs").distinct().collect())
+    ends = extents(meta)
+    share = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SIDE_POINTS - 1)), lambda i: i / float(SIDE_POINTS - 1)))
+    along = ends.withColumn("_t", share).withColumn("_side", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    on = lambda lo, hi, fixed: F.when(F.col("_side") == fixed, F.col(lo)).when(F.col("_side") == fixed + 1, F.col(hi)).otherwise(F.col(lo) + F.col("_t") * (F.col(hi) - F.col(lo)))
+    x, y = _across(codes, "crs", system, on("minx", "maxx", 0), on("miny", "maxy", 2))
+    box = along.select("raster_id", x.alias("x"), y.alias("y")).groupBy("raster_id").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
+    return meta.join(box, "raster_id")
+
+
+def target_grid(meta: DataFrame, system: str, align_to: dict | None = None) -> dict:
+    """The grid in ``system`` that holds all rasters: on the cells of ``align_to`` (a, c, e, f), or of the first raster's size.
+
+    Without ``align_to`` cells are square, and the first raster's diagonal has as many of them as before.
+    """
+    boxes = extents_in(meta, system)
+    order = F.struct("source_ord", "raster_id") if "source_ord" in meta.columns else F.col("raster_id")
+    diagonal = F.sqrt(F.pow(F.col("maxx") - F.col("minx"), 2) + F.pow(F.col("maxy") - F.col("miny"), 2)) / F.sqrt(F.pow(F.col("height").cast("double"), 2) + F.pow(F.col("width").cast("double"), 2))
+    r = boxes.agg(F.min("minx").alias("x0"), F.min("miny").alias("y0"), F.max("maxx").alias("x1"), F.max("maxy").alias("y1"), *(F.min_by(v, order).alias(k) for k, v in (("size", diagonal), ("x", F.col("minx")), ("y", F.col("maxy"))))).first()
+    if r["x0"] is None:
+        raise ValueError("no rasters")
+    a, e = (align_to["a"], align_to["e"]) if align_to else (r["size"], -r["size"])
+    ox, oy = (align_to["c"], align_to["f"]) if align_to else (r["x"], r["y"])
+    # Whole cells from the grid's origin; a corner that is a cell's border to within rounding takes no cell more.
+    col0, row0 = math.floor((r["x0"] - ox) / a + 1e-9), math.floor((r["y1"] - oy) / e + 1e-9)
+    return {"a": a, "c": ox + col0 * a, "e": e, "f": oy + row0 * e, "width": math.ceil((r["x1"] - ox) / a - 1e-9) - col0, "height": math.ceil((r["y0"] - oy) / e - 1e-9) - row0, "crs": system}
+
+
 def reproject(pixels: DataFrame, meta: DataFrame, target: dict, method: str = "nearest") -> DataFrame:
-    """Pixels of one raster on the target grid (a, c, e, f, height, width, crs).
+    """Pixels of every raster on the target grid (a, c, e, f, height, width, crs).
 
-    nearest and the kernels look up source cells around each target centre; the others collect the source cells whose
-    centres fall into a target cell.  All are equi-joins on cells.  A target equal to the source returns it (Q9 with equal crs).
+    nearest and the kernels look up source cells around each target centre within a raster's extent; the others collect the source
+    cells whose centres fall into a target cell.  All are equi-joins on raster and cell.  Rasters that have the target's grid
+    are returned as they are (Q9 with equal crs).
     """
     if method not in METHODS:
         raise ValueError(f"unsupported resampling {method}")
-    m = meta.first()
-    if all(m[k] == target[k] for k in ("a", "c", "e", "f", "crs")):
+    same = F.lit(True)
+    for k in _GRID:
+        same = same & F.col(k).eqNullSafe(F.lit(target[k]))
+    odd = meta.filter(~same)
+    if odd.isEmpty():
         return pixels
-    spark, same = pixels.sparkSession, m["crs"] == target["crs"]
+    out = _resampled(pixels, odd, target, method)
+    return out.unionByName(pixels.join(meta.filter(same).select("raster_id"), "raster_id", "left_semi").select(*out.columns))
+
+
+def _resampled(pixels: DataFrame, meta: DataFrame, target: dict, method: str) -> DataFrame:
+    codes = sorted(r[0] for r in meta.select("crs").distinct().collect())
+    cell = ["raster_id", "source_ord", *CELL]
     if method in AREA or method == "mode":
-        x, y = m["c"] + (F.col("col") + 0.5) * m["a"], m["f"] + (F.col("row") + 0.5) * m["e"]
-        if not same:
-            x, y = projections.project(target["crs"], *projections.unproject(m["crs"], x, y))
-        cell = pixels.withColumns({"row": F.floor((y - target["f"]) / target["e"]).cast("long"), "col": F.floor((x - target["c"]) / target["a"]).cast("long")})
-        cell = cell.filter(F.col("row").between(0, target["height"] - 1) & F.col("col").between(0, target["width"] - 1))
+        at = pixels.join(meta.select("raster_id", *_GRID), "raster_id")
+        x, y = _across(codes, "crs", target["crs"], F.col("c") + (F.col("col") + 0.5) * F.col("a"), F.col("f") + (F.col("row") + 0.5) * F.col("e"))
+        at = at.select("raster_id", "source_ord", "band", "value", F.floor((y - target["f"]) / target["e"]).cast("long").alias("row"), F.floor((x - target["c"]) / target["a"]).cast("long").alias("col"))
+        at = at.filter(F.col("row").between(0, target["height"] - 1) & F.col("col").between(0, target["width"] - 1))
         if method == "mode":
-            tally = cell.filter("value is not null").groupBy(*CELL, "value").count()
-            return tally.groupBy(*CELL).agg(F.max_by("value", F.struct("count", -F.col("value"))).alias("value"))
-        return cell.groupBy(*CELL).agg(AREA[method]().alias("value"))
-    rows = spark.range(target["height"] * target["width"]).select(F.expr(f"id div {target['width']}").alias("row"), (F.col("id") % target["width"]).alias("col"))
-    x, y = target["c"] + (F.col("col") + 0.5) * target["a"], target["f"] + (F.col("row") + 0.5) * target["e"]
-    if not same:
-        x, y = projections.project(m["crs"], *projections.unproject(target["crs"], x, y))
-    grid = rows.withColumns({"sx": (x - m["c"]) / m["a"], "sy": (y - m["f"]) / m["e"]})
-    source = pixels.select("band", F.col("row").alias("sr"), F.col("col").alias("sc"), "value")
+            tally = at.filter("value is not null").groupBy(*cell, "value").count()
+            return tally.groupBy(*cell).agg(F.max_by("value", F.struct("count", -F.col("value"))).alias("value"))
+        return at.groupBy(*cell).agg(AREA[method]().alias("value"))
+    boxes = extents_in(meta.select("raster_id", *_GRID, "height", "width"), target["crs"])
+    ends = lambda lo, hi, o, s, n: (F.greatest(F.lit(0), F.floor(F.least((F.col(lo) - target[o]) / target[s], (F.col(hi) - target[o]) / target[s]))).cast("long"), F.least(F.lit(n - 1), F.ceil(F.greatest((F.col(lo) - target[o]) / target[s], (F.col(hi) - target[o]) / target[s]))).cast("long"))
+    r0, r1 = ends("miny", "maxy", "f", "e", target["height"])
+    c0, c1 = ends("minx", "maxx", "c", "a", target["width"])
+    grid = boxes.withColumns({"r0": r0, "r1": r1, "c0": c0, "c1": c1}).filter("r0 <= r1 and c0 <= c1")
+    grid = grid.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
+    x, y = _back(codes, "crs", target["crs"], target["c"] + (F.col("col") + 0.5) * target["a"], target["f"] + (F.col("row") + 0.5) * target["e"])
+    grid = grid.select("raster_id", "row", "col", ((x - F.col("c")) / F.col("a")).alias("sx"), ((y - F.col("f")) / F.col("e")).alias("sy"))
+    source = pixels.select("raster_id", "source_ord", "band", F.col("row").alias("sr"), F.col("col").alias("sc"), "value")
     if method == "nearest":
         at = grid.withColumns({"sr": F.floor("sy").cast("long"), "sc": F.floor("sx").cast("long")})
-        return at.join(source, ["sr", "sc"]).select("band", "row", "col", "value")
+        return at.join(source, ["raster_id", "sr", "sc"]).select(*cell, "value")
     reach, weight = KERNELS[method]
     near = F.sequence(F.lit(1 - reach), F.lit(reach))
-    at = grid.withColumns({"r0": F.floor(F.col("sy") - 0.5).cast("long"), "c0": F.floor(F.col("sx") - 0.5).cast("long")})
-    at = at.withColumn("i", F.explode(near)).withColumn("j", F.explode(near)).withColumns({"sr": F.col("r0") + F.col("i"), "sc": F.col("c0") + F.col("j")})
+    at = grid.withColumns({"i": F.floor(F.col("sy") - 0.5).cast("long"), "j": F.floor(F.col("sx") - 0.5).cast("long")})
+    at = at.withColumn("sr", F.explode(F.transform(near, lambda k: k + F.col("i")))).withColumn("sc", F.explode(F.transform(near, lambda k: k + F.col("j"))))
     w = weight(F.col("sy") - F.col("sr") - 0.5) * weight(F.col("sx") - F.col("sc") - 0.5)
-    hits = at.join(source.filter("value is not null"), ["sr", "sc"]).withColumn("w", w)
-    return hits.groupBy(*CELL).agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("value"))
+    hits = at.join(source.filter("value is not null"), ["raster_id", "sr", "sc"]).withColumn("w", w)
+    return hits.groupBy(*cell).agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("value"))
+
+
+def align(pixels: DataFrame, meta: DataFrame, to: DataFrame, method: str = "nearest") -> tuple[DataFrame, DataFrame]:
+    """Pixels on the grid of another raster, whose metadata is the one row ``to``, and the metadata of that grid."""
+    return reproject_and_merge(pixels, meta, None, method, None, to)
+
+
+def reproject_and_merge(pixels: DataFrame, meta: DataFrame, system: str | None, method: str, rule: str | Callable[[pd.Series], float] | None = "first", to: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every raster on one grid of a reference system, then merged by a rule; pixels and metadata.
+
+    The grid has the cells of ``to`` (one row of metadata) or else of the first raster, and covers all rasters, so each pixel is
+    resampled once.  Without a rule rasters stay apart.
+    """
+    grid = to.select(*_GRID).first().asDict() if to is not None else None
+    target = target_grid(meta, system or grid["crs"], grid if grid and grid["crs"] == (system or grid["crs"]) else None)
+    out = reproject(pixels, meta, target, method)
+    row = {"raster_id": "merged", **target, "b": 0.0, "d": 0.0}
+    kind = "raster_id string, a double, b double, c double, d double, e double, f double, height long, width long, crs string"
+    made = pixels.sparkSession.createDataFrame([tuple(row[k.split()[0]] for k in kind.split(", "))], kind)
+    return (out if rule is None else merge(out, rule)), made
+
+
+def align_and_merge(pixels: DataFrame, meta: DataFrame, to: DataFrame, method: str, rule: str | Callable[[pd.Series], float] = "first") -> tuple[DataFrame, DataFrame]:
+    """Every raster on the grid of another one, then merged by a rule."""
+    return reproject_and_merge(pixels, meta, None, method, rule, to)
 
 
-def aligned_origin(own: float, other: float, size: float) -> float:
+def aligned_origin(own: Column, other: Column, size: Column) -> Column:
     """Origin moved by the smallest offset, at most half a cell, onto another grid."""
-    off = (other - own) % abs(size)
-    return own + (off - abs(size) if off > abs(size) / 2 else off)
+    off = F.pmod(other - own, F.abs(size))
+    return own + off - F.when(off > F.abs(size) / 2, F.abs(size)).otherwise(0.0)
 
 
 def algebra(left: DataFrame, right: DataFrame, op: Callable[[Column, Column], Column], how: str = "inner") -> DataFrame:

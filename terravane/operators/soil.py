@@ -32,7 +32,7 @@ def horizons_by_component(horizons: DataFrame, fragments: DataFrame, top: float,
     if bottom <= top:
         raise ValueError("the bottom depth must be below the top depth")
     near = horizons.filter((F.col("bottom_depth_cm") > top) & (F.col("top_depth_cm") < bottom))
-    near = near.join(fragments_by_horizon(fragments), "horizon_key", "left")
+    near = unique_key(near, "horizon_key").join(fragments_by_horizon(fragments), "horizon_key", "left")
     w = F.least(F.lit(float(bottom)), F.col("bottom_depth_cm")) - F.greatest(F.lit(float(top)), F.col("top_depth_cm"))
     return near.groupBy("component_key").agg(
         *(depth_average(F.col(m), w).alias(m) for m in MEASURES),
@@ -51,30 +51,38 @@ def horizon_measures(chorizon: DataFrame) -> DataFrame:
 
 
 def primary_components(mapunit: DataFrame, component: DataFrame, copmgrp: DataFrame) -> DataFrame:
-    """The major component with the largest share of each map unit.
+    """The major component with the largest share of each map unit.
 
-    As in a ranking by the component's own key, map units without a major component share one rank (Q5).
-    Ties go to the smaller component key.
+    As in a ranking by the component's own key, map units without a major component share one rank (Q5): the one with the smallest
+    key stays.  Ties go to the smaller component key.  The choice is one aggregation by map unit and one global minimum, so
+    units without a component never meet in one partition.
     """
-    major = component.filter("majcompflag = 'Yes'").withColumnRenamed("mukey", "c_mukey")
-    unit = mapunit.join(major, F.col("mukey") == F.col("c_mukey"), "left")
-    w = Window.partitionBy("c_mukey").orderBy(F.desc("comppct_r"), "cokey", "mukey")
-    first = unit.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "c_mukey")
+    major = component.filter("majcompflag = 'Yes' and mukey is not null")
+    rest = [c for c in major.columns if c not in ("mukey", "cokey", "comppct_r")]
+    share = F.col("comppct_r")
+    best = major.groupBy("mukey").agg(F.min(F.struct(share.isNull().alias("_none"), (-share).alias("_less"), "cokey", "comppct_r", *rest)).alias("_b"))
+    best = best.select("mukey", *(F.col(f"_b.{c}").alias(c) for c in component.columns if c != "mukey"))
+    with_one = mapunit.join(best, "mukey")
+    bare = mapunit.join(best.select("mukey"), "mukey", "left_anti").orderBy("mukey").limit(1)
+    first = with_one.unionByName(bare.select("*", *(F.lit(None).cast(best.schema[c].dataType).alias(c) for c in best.columns if c != "mukey")))
     group = copmgrp.filter("rvindicator = 'Yes'").select("cokey", F.col("pmgroupname").alias("parent_material"))
-    return first.join(group, "cokey", "left").orderBy("mukey")
+    return first.join(group, "cokey", "left")
 
 
 def unique_key(df: DataFrame, key: str) -> DataFrame:
-    """``df``, with an error in any row whose key is not unique."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    """``df``, with an error in any row whose key is not unique (J4, J5); a window on the key of the join that follows, so one shuffle serves both."""
+    n = F.count(key).over(Window.partitionBy(key))
     return df.withColumn("_n", n).filter(F.when(F.col("_n") > 1, F.raise_error(F.lit(f"{key} is not unique")).cast("boolean")).otherwise(True)).drop("_n")
 
 
 def primary_soil_components(mapunit: DataFrame, component: DataFrame, copmgrp: DataFrame, chorizon: DataFrame, chfrags: DataFrame, top: float, bottom: float) -> DataFrame:
-    """Primary components with their depth-weighted measures (E8): one plan, the key lists are joins."""
-    first = primary_components(mapunit, component, copmgrp)
+    """Primary components with their depth-weighted measures, by map unit key (E8, O1, J4, J5): one plan, the key lists are joins.
+
+    A component with several representative parent materials, or a horizon that comes twice, raises.
+    """
+    first = unique_key(primary_components(mapunit, component, copmgrp), "cokey")
     keys = first.select("cokey").filter("cokey is not null").distinct()
     horizons = horizon_measures(chorizon.join(keys, "cokey", "left_semi"))
     frags = chfrags.select(F.col("chkey").alias("horizon_key"), F.col("fragvol_r").cast("double").alias("fragment_percent_by_volume"), F.col("fragsize_r").alias("fragment_size"), F.col("fragkind").alias("fragment_kind"))
     frags = frags.join(horizons.select("horizon_key"), "horizon_key", "left_semi")
-    return first.join(horizons_by_component(horizons, frags, top, bottom), F.col("cokey") == F.col("component_key"), "left").drop("component_key")
+    return first.join(horizons_by_component(horizons, frags, top, bottom), F.col("cokey") == F.col("component_key"), "left").drop("component_key").orderBy("mukey")

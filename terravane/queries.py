@@ -85,16 +85,11 @@ def merge_custom_median(spark, sf):
     return raster.merge(_pixels(spark, sf), lambda v: v.median()).select("row", "col", _r("value").alias("value"))
 
 
-@query(f'WITH {PX} SELECT r AS "row", c AS col, max(CASE WHEN source_ord = 1 THEN v END) AS b1, max(CASE WHEN source_ord = 2 THEN v END) AS b2, max(CASE WHEN source_ord = 3 THEN v END) AS b3 FROM px GROUP BY 1, 2')
-def stack_bands(spark, sf):
-    return raster.stack(_pixels(spark, sf)).groupBy("row", "col").agg(*(F.max(F.when(F.col("band") == k + 1, F.col("value"))).alias(f"b{k}") for k in (1, 2, 3)))
-
+_BANDS_SQL = ", ".join(f"max(CASE WHEN source_ord = {k} THEN v END) AS b{k}" for k in range(1, 8))
 
-_BANDS = ", ".join(f"max(CASE WHEN source_ord = {k} THEN v END) AS b{k}" for k in range(1, 8))
 
-
-@query(f'WITH {PX} SELECT r AS "row", c AS col, {_BANDS} FROM px GROUP BY 1, 2')
-def stack_bands_all(spark, sf):
+@query(f'WITH {PX} SELECT r AS "row", c AS col, {_BANDS_SQL} FROM px GROUP BY 1, 2')
+def stack_bands(spark, sf):
     return raster.stack(_pixels(spark, sf)).groupBy("row", "col").agg(*(F.max(F.when(F.col("band") == k + 1, F.col("value"))).alias(f"b{k}") for k in range(1, 8)))
 
 
@@ -141,13 +136,8 @@ def sample_points(spark, sf):
     return raster.sample(_places(spark, sf), _one(spark, sf), _meta(spark)).select("point_id", "value")
 
 
-@query(f"WITH {PX}, b AS (SELECT * FROM px WHERE source_ord <= 2) SELECT s_suppkey AS point_id, CAST(source_ord + 1 AS INTEGER) AS band, v AS value FROM supplier LEFT JOIN b ON r = 63 - (s_suppkey * 7 % 70) AND c = s_suppkey % 70")
-def sample_points_multiband(spark, sf):
-    return raster.sample(_places(spark, sf), raster.stack(_pixels(spark, sf).filter("source_ord <= 2")).withColumn("raster_id", F.lit("0")), _meta(spark)).select("point_id", "band", "value")
-
-
 @query(f"WITH {PX} SELECT s_suppkey AS point_id, CAST(source_ord + 1 AS INTEGER) AS band, v AS value FROM supplier LEFT JOIN px ON r = 63 - (s_suppkey * 7 % 70) AND c = s_suppkey % 70")
-def sample_points_multiband_all(spark, sf):
+def sample_points_multiband(spark, sf):
     return raster.sample(_places(spark, sf), raster.stack(_pixels(spark, sf)).withColumn("raster_id", F.lit("0")), _meta(spark)).select("point_id", "band", "value")
 
 
@@ -169,12 +159,6 @@ def _boxes(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("lon").alias("minx"), F.col("lat").alias("miny"), (F.col("lon") + 0.7).alias("maxx"), (F.col("lat") + 0.3).alias("maxy"))
 
 
-def _regions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The subset of customers that the SQL of region_intersects and region_missing reads; the queries ending in _all read every one."""
-    g, b = _all_regions(spark, sf)
-    return g, b.filter("c_custkey < 400")
-
-
 _SNAP = f"WITH {LL}, s AS (SELECT DISTINCT CAST(floor(lon) AS BIGINT) AS minx, CAST(floor(lat) AS BIGINT) AS miny, CAST(ceil(lon + 0.7) AS BIGINT) AS maxx, CAST(ceil(lat + 0.3) AS BIGINT) AS maxy FROM ll)"
 _CELLS = _SNAP + ", x AS (SELECT *, unnest(range(minx, maxx)) AS x FROM s), g AS (SELECT DISTINCT x, unnest(range(miny, maxy)) AS y FROM x)"
 
@@ -217,20 +201,11 @@ def align_bounds(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", *(_r(v).alias(n) for n, v in out.items()))
 
 
-def _wobbly(spark: SparkSession, sf: str, which: str = "p_partkey < 40") -> DataFrame:
-    return _t(spark, sf, "part").filter(which).select(F.lit(10.0).alias("a"), F.lit(-10.0).alias("e"), (F.col("p_partkey") * 10.0).alias("c"), (F.col("p_partkey") * 20.0).alias("f"), F.lit(8).alias("height"), F.lit(9).alias("width"))
-
-
-@query("""WITH m AS (SELECT 10.0 a, -10.0 e, p_partkey * 10.0 c, p_partkey * 20.0 f FROM part WHERE p_partkey < 40), x AS (SELECT min(c) x0, max(f) y1 FROM m)
-    SELECT count(DISTINCT (round((x0 - c) / a, 2) - floor(round((x0 - c) / a, 2)), round((y1 - f) / e, 2) - floor(round((y1 - f) / e, 2)))) <= 1 AS aligned FROM m, x""")
-def pixel_grid_alignment(spark, sf):
-    return grid.grids_align(_wobbly(spark, sf))
-
-
 @query("""WITH m AS (SELECT 10.0 a, -10.0 e, p_partkey * 10.0 c, p_partkey * 20.0 f FROM part), x AS (SELECT min(c) x0, max(f) y1 FROM m)
     SELECT count(DISTINCT (round((x0 - c) / a, 2) - floor(round((x0 - c) / a, 2)), round((y1 - f) / e, 2) - floor(round((y1 - f) / e, 2)))) <= 1 AS aligned FROM m, x""")
-def pixel_grid_alignment_all(spark, sf):
-    return grid.grids_align(_wobbly(spark, sf, "true"))
+def pixel_grid_alignment(spark, sf):
+    m = _t(spark, sf, "part").select(F.lit(10.0).alias("a"), F.lit(-10.0).alias("e"), (F.col("p_partkey") * 10.0).alias("c"), (F.col("p_partkey") * 20.0).alias("f"), F.lit(8).alias("height"), F.lit(9).alias("width"))
+    return grid.grids_align(m)
 
 
 @query(f"WITH {LL} SELECT c_custkey, CAST(floor((lon + 180) / 6) + 1 AS INTEGER) AS zone FROM ll")
@@ -416,17 +391,26 @@ def primary_component(spark, sf):
 
 @query("WITH " + _SOIL + " SELECT n_nationkey AS mukey, n_name AS name, prim.cokey AS cokey, discount, tax, price, volume, kinds FROM nation LEFT JOIN prim ON mukey = n_nationkey LEFT JOIN agg ON agg.cokey = prim.cokey")
 def soil_components(spark, sf):
-    """Flagship: primary components with depth-weighted measures and fragment kinds."""
-    first = soil.primary_components(*_soil_tables(spark, sf)).select("mukey", F.col("muname").alias("name"), "cokey")
-    li, orders, part = _t(spark, sf, "lineitem"), _t(spark, sf, "orders"), _t(spark, sf, "part")
-    h = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(first.select(F.col("cokey").alias("o_custkey")), "o_custkey", "left_semi")
+    """Flagship: primary components with depth-weighted measures and fragment kinds, by the library's own entry point."""
+    out = api.soil_components(soil_survey_tables(spark, sf), 0, 30)
+    return out.select(
+        "mukey", F.col("muname").alias("name"), "cokey", _r("sand_percent_of_fine_fraction_by_weight").alias("discount"), _r("silt_percent_of_fine_fraction_by_weight").alias("tax"),
+        _r("clay_percent_of_fine_fraction_by_weight", 4).alias("price"), _r("fragment_percent_by_volume").alias("volume"), F.col("fragment_kind").alias("kinds"),
+    )
+
+
+def soil_survey_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The survey's tables: a line item of a customer's orders is a horizon with its part as the only fragment."""
+    unit, comp, _ = _soil_tables(spark, sf)
+    group = _t(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("cokey"), F.lit("Yes").alias("rvindicator"), F.col("c_mktsegment").alias("pmgroupname"))
+    key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("chkey")
+    li = _t(spark, sf, "lineitem")
     top = 10.0 * (F.col("l_linenumber") - 1)
-    h = h.select(F.col("o_custkey").alias("ck"), top.alias("top"), (top + 10 + F.col("l_quantity")).alias("bottom"), "l_partkey", F.nullif("l_discount", F.lit(0.0)).alias("d"), "l_tax", "l_extendedprice").filter("bottom > 0 and top < 30")
-    h = h.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_size", F.array_compact(F.array(F.when(F.col("p_size") >= 10, F.col("p_type")))).alias("kinds")), "l_partkey", "left")
-    w = F.least(F.lit(30.0), "bottom") - F.greatest(F.lit(0.0), "top")
-    avg = lambda c, n=6: _r(soil.depth_average(F.col(c), w), n)
-    agg = h.groupBy("ck").agg(avg("d").alias("discount"), avg("l_tax").alias("tax"), avg("l_extendedprice", 4).alias("price"), avg("p_size").alias("volume"), soil.kinds_text(F.col("kinds")).alias("kinds"))
-    return first.join(agg, F.col("cokey") == F.col("ck"), "left").drop("ck")
+    horizon = li.select(key, "*").join(_t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "chkey", F.col("o_custkey").alias("cokey"), top.alias("hzdept_r"), (top + 10 + F.col("l_quantity")).alias("hzdepb_r"), (F.col("l_tax") * 100).alias("fraggt10_r"), F.col("l_linenumber").cast("double").alias("frag3to10_r"),
+        (100 - F.col("l_quantity")).alias("sieveno10_r"), F.nullif("l_discount", F.lit(0.0)).alias("sandtotal_r"), F.col("l_tax").alias("silttotal_r"), F.col("l_extendedprice").alias("claytotal_r"), F.col("l_quantity").alias("om_r"), F.col("l_discount").alias("dbovendry_r"))
+    frags = li.select(key, "l_partkey").join(_t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("chkey", F.col("p_size").alias("fragvol_r"), F.lit(None).cast("double").alias("fragsize_r"), F.when(F.col("p_size") >= 10, F.col("p_type")).alias("fragkind"))
+    return {"mapunit": unit, "component": comp, "copmgrp": group, "chorizon": horizon, "chfrags": frags}
 
 
 @query("SELECT l_orderkey AS horizon_key, sum(CASE WHEN p_size >= 10 THEN p_size ELSE 0 END) + 0.0 AS volume, string_agg(DISTINCT CASE WHEN p_size >= 20 THEN p_type END, ', ' ORDER BY CASE WHEN p_size >= 20 THEN p_type END) AS kinds FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
@@ -461,12 +445,11 @@ def catchment_counts(spark, sf):
 
 
 _REGION = "g AS (SELECT n_nationkey AS region_id, -125 + n_nationkey * 2.0 AS minx, 25.0 AS miny, -124 + n_nationkey * 2.0 AS maxx, 35.0 AS maxy FROM nation)"
-_BOX = f"{LL}, b AS (SELECT c_custkey, lon AS bx0, lat AS by0, lon + 0.7 AS bx1, lat + 0.3 AS by1 FROM ll WHERE c_custkey < 400)"
-_ALL_BOXES = f"{LL}, b AS (SELECT c_custkey, lon AS bx0, lat AS by0, lon + 0.7 AS bx1, lat + 0.3 AS by1 FROM ll)"
+_BOX = f"{LL}, b AS (SELECT c_custkey, lon AS bx0, lat AS by0, lon + 0.7 AS bx1, lat + 0.3 AS by1 FROM ll)"
 _MEET = "minx <= bx1 AND maxx >= bx0 AND miny <= by1 AND maxy >= by0"
 
 
-def _all_regions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _regions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("n_nationkey") * 2.0
     g = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("region_id"), (k - 125).alias("minx"), F.lit(25.0).alias("miny"), (k - 124).alias("maxx"), F.lit(35.0).alias("maxy"))
     return g, _lonlat(spark, sf).select("c_custkey", F.col("lon").alias("minx"), F.col("lat").alias("miny"), (F.col("lon") + 0.7).alias("maxx"), (F.col("lat") + 0.3).alias("maxy"))
@@ -483,17 +466,6 @@ def region_missing(spark, sf):
     return geometry.boxes_without_region(b, g).select("c_custkey")
 
 
-@query(f"WITH {_REGION}, {_ALL_BOXES} SELECT region_id FROM g WHERE EXISTS (SELECT 1 FROM b WHERE {_MEET})")
-def region_intersects_all(spark, sf):
-    return geometry.regions_meeting(*_all_regions(spark, sf)).select("region_id")
-
-
-@query(f"WITH {_REGION}, {_ALL_BOXES} SELECT c_custkey FROM b WHERE NOT EXISTS (SELECT 1 FROM g WHERE {_MEET})")
-def region_missing_all(spark, sf):
-    g, b = _all_regions(spark, sf)
-    return geometry.boxes_without_region(b, g).select("c_custkey")
-
-
 @query(f"WITH {LL} SELECT c_custkey, n_nationkey AS geom_id FROM ll JOIN nation ON lon >= -125 + n_nationkey * 2.0 AND lon < -122.5 + n_nationkey * 2.0 AND lat > 25.5 AND lat <= 35.5")
 def points_in_polygons(spark, sf):
     ring = lambda i: [[(-125 + i * 2.0, 25.5), (-122.5 + i * 2.0, 25.5), (-122.5 + i * 2.0, 35.5), (-125 + i * 2.0, 35.5), (-125 + i * 2.0, 25.5)]]
@@ -508,12 +480,6 @@ def orbit_swath(spark, sf):
     return _lonlat(spark, sf).filter(geometry.near_track(F.col("lon"), F.col("lat"), track, 1.5)).select("c_custkey")
 
 
-@query("SELECT unnest(['a', 'd']) AS tile")
-def min_tile_cover(spark, sf):
-    tiles = [("a", (0, 0, 5, 10)), ("b", (4, 0, 6, 10)), ("c", (0, 0, 3, 10)), ("d", (5, 0, 10, 10))]
-    return spark.createDataFrame([(t,) for t in geometry.minimal_cover(tiles, [(1, 1, 9, 9)])], "tile string")
-
-
 _TARGET = {"a": 64 / 24, "c": 0.0, "e": -64 / 24, "f": 64.0, "height": 24, "width": 24, "crs": "EPSG:32614"}
 _UNDER = 'SELECT CAST(floor((r + 0.5) / (64.0 / 24)) AS BIGINT) AS "row", CAST(floor((c + 0.5) / (64.0 / 24)) AS BIGINT) AS col, v FROM f'
 _AREA_SQL = {"average": "avg(v)", "max": "max(v)", "min": "min(v)", "sum": "sum(v)", "rms": "sqrt(avg(v * v))", "med": "quantile_cont(v, 0.5)", "q1": "quantile_cont(v, 0.25)", "q3": "quantile_cont(v, 0.75)"}
@@ -559,14 +525,6 @@ def map_algebra(spark, sf):
     return raster.algebra(raster.merge(p, "first"), raster.merge(p, "last"), lambda a, b: a * b).select("row", "col", _r("value").alias("value"))
 
 
-@query(f"""WITH {_FIRST_SQL} SELECT s_suppkey AS point_id, CAST(s_suppkey % 70 + 0.25 AS DOUBLE) AS x, CAST(s_suppkey * 7 % 70 + 0.25 AS DOUBLE) AS y, v AS topography_elevation, v * 2 AS ndvi_mean FROM supplier LEFT JOIN f ON r = 63 - (s_suppkey * 7 % 70) AND c = s_suppkey % 70""")
-def point_facade(spark, sf):
-    cells = _first(spark, sf)
-    meta = _meta(spark, "EPSG:4326")
-    sources = {"topography_pixels": cells.select("row", "col", F.col("value").alias("elevation")), "topography_meta": meta, "ndvi_pixels": cells.select("row", "col", (F.col("value") * 2).alias("mean")), "ndvi_meta": meta}
-    return api.fetch_point_data(_places(spark, sf), ["topography", "ndvi"], sources, year=2024, month=9)
-
-
 @query("SELECT date_trunc('day', ts) AS start, event_type, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, round(stddev_pop(value), 6) AS stddev FROM events GROUP BY 1, 2")
 def windowed_statistics(spark, sf):
     out = windows.windowed_statistics(_t(spark, sf, "events"), "event_type", "value")

@@ -6,7 +6,10 @@ Binary formats are read by ``binaryFile`` and decoded by Arrow batches, so any H
 from __future__ import annotations
 
 import io
+import re
 import struct
+import tempfile
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -21,6 +24,16 @@ _PIXELS = "raster_id string, band int, row long, col long, value double"
 _META = "raster_id string, a double, b double, c double, d double, e double, f double, height long, width long, bands int, crs string"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the place that ``spark.checkpoint.dir`` names; on one machine a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        root = "file://" + tempfile.mkdtemp(prefix="shared-")
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def geojson(spark: SparkSession, path: str) -> DataFrame:
     """Features as (geom_id, geom_type, parts, crs, props); parts: polygons of rings of points; no crs member is EPSG:4326."""
     kind = "struct<crs:struct<properties:struct<name:string>>,features:array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>>"
@@ -177,6 +190,37 @@ def write_tiff(pixels: np.ndarray, meta: dict, nodata: float = -9999.0) -> bytes
     return out.getvalue()
 
 
+def save_tiffs(pixels: DataFrame, meta: DataFrame) -> DataFrame:
+    """(raster_id, content): a TIFF file of each raster (S2); a raster is one row, so it must fit into a task's memory."""
+    m = meta.select("raster_id", F.struct("a", "c", "e", "f", "crs", "height", "width").alias("m"))
+    cells = pixels.filter("value is not null").groupBy("raster_id").agg(F.collect_list(F.struct("band", "row", "col", "value")).alias("cells"), F.max("band").alias("bands"))
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for name, g, cells, bands in zip(frame["raster_id"], frame["m"], frame["cells"], frame["bands"]):
+                px = np.full((bands, g["height"], g["width"]), np.nan)
+                for c in cells:
+                    px[c["band"] - 1, c["row"], c["col"]] = c["value"]
+                out.append((name, write_tiff(px, g)))
+            yield pd.DataFrame(out, columns=["raster_id", "content"])
+
+    return m.join(cells, "raster_id").select("raster_id", "m", "cells", "bands").mapInPandas(write, "raster_id string, content binary")
+
+
+def decoded_tiffs(files: DataFrame) -> DataFrame:
+    """Long pixel table of TIFF contents (raster_id, content), nodata and NaN null."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, content in zip(f["raster_id"], f["content"]):
+                for band, plane in enumerate(read_tiff(content)[0], 1):
+                    row, col = np.indices(plane.shape)
+                    yield pd.DataFrame({"raster_id": name, "band": band, "row": row.ravel(), "col": col.ravel(), "value": plane.ravel()})
+
+    return files.mapInPandas(read, _PIXELS).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
 def tiff_meta(spark: SparkSession, path: str) -> DataFrame:
     """One row of metadata for each raster file; the raster_id is its path."""
 

@@ -181,13 +181,13 @@ _CORNER = "greatest(0, {u} + {v} - 3) * greatest(0, {u} + {v} - 3) / 2"
 
 @query(f"""WITH {_EACH}, {_TRI}, k AS (SELECT c_custkey, k, greatest(x0 - a, 0) AS u0, greatest(y0 - b, 0) AS v0, least(x1 - a, 3) AS u1, least(y1 - b, 3) AS v1 FROM b, t),
     s AS (SELECT c_custkey, k, (u1 - u0) * (v1 - v0) - ({_CORNER.format(u='u1', v='v1')} - {_CORNER.format(u='u0', v='v1')} - {_CORNER.format(u='u1', v='v0')} + {_CORNER.format(u='u0', v='v0')}) AS area FROM k WHERE u1 > u0 AND v1 > v0)
-    SELECT c_custkey, k AS area_id, round(area, 5) AS area FROM s WHERE area > 1e-9""")
+    SELECT c_custkey, k AS area_id, round(area, 7) AS area FROM s WHERE area > 1e-9""")
 def clip_to_polygons(spark, sf):
     a, b = -125 + F.col("n_nationkey") * 2.0, 26.0 + F.col("n_nationkey") % 5 * 4
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     tri = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("geom_id"), F.array(F.array(point(a, b), point(a + 3, b), point(a, b + 3), point(a, b))).alias("rings"))
     cut = geometry.clipped_to(_boxes_of(spark, sf), tri).select(F.col("geom_id").alias("c_custkey"), "area_id", geometry.area(F.col("rings")).alias("area"))
-    return cut.filter("area > 1e-9").select("c_custkey", "area_id", _r("area", 5).alias("area"))
+    return cut.filter("area > 1e-9").select("c_custkey", "area_id", _r("area", 7).alias("area"))
 
 
 @query(f"WITH {_EACH}, p AS (SELECT s_suppkey, -125 + ((s_suppkey * 131) % 5870) / 100.0 AS x, 25 + ((s_suppkey * 71) % 2430) / 100.0 AS y FROM supplier) SELECT DISTINCT s_suppkey, c_nationkey AS nation FROM p JOIN (SELECT b.*, c_nationkey FROM b JOIN customer USING (c_custkey)) ON x > x0 AND x < x1 AND y > y0 AND y < y1")
@@ -316,9 +316,9 @@ def manifest_keys(spark, sf):
 def geojson_points(spark, sf):
     path = files.scratch(spark, "geojson")
     rows = _lonlat(spark, sf).select(F.col("c_nationkey").alias("k"), F.format_string('{"type":"Feature","properties":{"id":"%d"},"geometry":{"type":"Point","coordinates":[%.6f,%.6f]}}', "c_custkey", "lon", "lat").alias("f"))
-    text = rows.groupBy("k").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value")).select("value")
-    # A file for each nation: a reader takes a file as one document.
-    text.repartition(25, F.xxhash64("value")).write.text(path)
+    text = rows.groupBy("k").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
+    # A folder for each nation, so that no file holds two documents: a reader takes a file as one.
+    text.write.partitionBy("k").text(path)
     got = files.geojson(spark, path).select(F.col("props")["id"].alias("id"), F.col("parts")[0][0][0].alias("p"))
     return got.select("id", _r("p.x", 4).alias("x"), _r("p.y", 4).alias("y"))
 

@@ -324,10 +324,15 @@ def reproject(pixels: DataFrame, meta: DataFrame, target: dict, method: str = "n
 
     nearest and the kernels look up source cells around each target centre within a raster's extent; the others collect the source
     cells whose centres fall into a target cell.  All are equi-joins on raster and cell.  Rasters that have the target's grid
-    are returned as they are (Q9 with equal crs).
+    are returned as they are (Q9 with equal crs).  Merged pixels, which carry no raster, belong to the only raster of ``meta``.
     """
     if method not in METHODS:
         raise ValueError(f"unsupported resampling {method}")
+    if "raster_id" not in pixels.columns:
+        ids = [r[0] for r in meta.select("raster_id").limit(2).collect()]
+        if len(ids) != 1:
+            raise ValueError("pixels without raster_id need the metadata of one raster")
+        pixels = pixels.withColumns({"raster_id": F.lit(ids[0]), "source_ord": F.lit(0)})
     same = F.lit(True)
     for k in _GRID:
         same = same & F.col(k).eqNullSafe(F.lit(target[k]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def _kernel(name: str, reach: int, sql: str) -> None:
         return raster.reproject(_first(spark, sf), _meta(spark), _TARGET, name).filter("value is not null").select("row", "col", _r("value").alias("value"))
 
     run.__name__ = f"reproject_{name}"
-    weight = lambda t: "(" + sql.replace("T", f"abs({t})") + ")"
+    weight = lambda t: "(" + re.sub(r"\bT\b", f"abs({t})", sql) + ")"
     query(f"""WITH {_FIRST_SQL}, g AS (SELECT i, j, (i + 0.5) * CAST(64.0 / 24 AS DOUBLE) AS y, (j + 0.5) * CAST(64.0 / 24 AS DOUBLE) AS x FROM range(24) AS a(i), range(24) AS b(j)),
         w AS (SELECT i, j, v, {weight('y - r - 0.5')} * {weight('x - c - 0.5')} AS w FROM g JOIN f ON r BETWEEN floor(y - 0.5) + {1 - reach} AND floor(y - 0.5) + {reach} AND c BETWEEN floor(x - 0.5) + {1 - reach} AND floor(x - 0.5) + {reach} WHERE v IS NOT NULL)
         SELECT i AS "row", j AS col, round(sum(w * v) / nullif(sum(w), 0), 6) AS value FROM w GROUP BY 1, 2 HAVING sum(w) <> 0""")(run)
@@ -151,7 +153,7 @@ def vegetation_bands(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", names.ndvi_band(band).alias("band"))
 
 
-_WEIGHTED = ", ".join(f"round(sum(w * {c}) / nullif(sum(CASE WHEN {c} IS NOT NULL THEN w END), 0), 5) AS {n}" for c, n in (("fine", "fine"), ("100 - fine", "gravel"), ("q", "om"), ("dens", "density"), ("vol", "volume")))
+_WEIGHTED = ", ".join(f"round(sum(w * {c}) / nullif(sum(CASE WHEN {c} IS NOT NULL THEN w END), 0), 5) AS {n}" for c, n in (("fine", "fine"), ("(100 - fine)", "gravel"), ("q", "om"), ("dens", "density"), ("vol", "volume")))
 
 
 @query("WITH " + _SOIL + f""", hz AS (SELECT o_custkey AS cokey, least(80, 10.0 * l_linenumber + l_quantity) - greatest(20, 10.0 * (l_linenumber - 1)) AS w, (100 - l_tax * 100 - l_linenumber) * ((100 - l_quantity) / 100) AS fine, l_quantity AS q, l_discount AS dens, p_size AS vol, CASE WHEN p_size >= 10 THEN p_type END AS kind

@@ -39,3 +39,19 @@ SQL["op10_winnowing"] = r"""WITH d AS (SELECT doc_id, list_filter(string_split_r
     t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY 1)
     SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
     FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""".replace("@LOW", _LOW)
+
+# CRC-32 byte by byte: the table of the reflected polynomial 0xEDB88320, then the bytes of each distinct word.
+SQL["op12_word_trie_resampling"] = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(@LOW, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+    b AS (SELECT list_filter(string_split_regex(@LOW, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+    du AS (SELECT row_id, unnest(w) AS f FROM (SELECT w, row_number() OVER () AS row_id FROM d)), bu AS (SELECT unnest(w) AS f FROM b),
+    tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+    v AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen(f)), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8))) % 10000 AS k
+        FROM (SELECT f FROM du UNION SELECT f FROM bu), tab),
+    s AS (SELECT k, count(*) AS s FROM du JOIN v USING (f) GROUP BY 1), t AS (SELECT k, count(*) AS t FROM bu JOIN v USING (f) GROUP BY 1),
+    a AS (SELECT (SELECT count(*) FROM du) AS sa, (SELECT count(*) FROM bu) AS ta),
+    g AS (SELECT f, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sa + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (ta + 10000)::DOUBLE)))::BIGINT AS gain FROM v LEFT JOIN s USING (k) LEFT JOIN t USING (k), a),
+    e AS (SELECT row_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*)::DOUBLE)::BIGINT AS weight FROM du JOIN g USING (f) GROUP BY 1),
+    c AS (SELECT doc_id, len(w) AS n, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+        FROM (SELECT *, row_number() OVER () AS row_id FROM d) LEFT JOIN e USING (row_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n >= 20) OVER () AS able FROM c)
+    SELECT doc_id, n AS n_features, weight, score, CASE WHEN n >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM r""".replace("@LOW", _LOW)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, neardup, oracles, pii, records, sharding, substring, templates, topk
+from . import align, decontam, langid, mixing, neardup, oracles, pii, records, resample, sharding, simhash, substring, templates, topk
 
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     sharding.op4_hilbert_sharding,
@@ -19,6 +19,9 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     neardup.op2_circulant_minhash,
     substring.op1_fm_substring,
     decontam.op10_winnowing,
+    align.op11_byte_owner_alignment,
+    resample.op12_word_trie_resampling,
+    simhash.op13_covering_simhash,
 ]
 
 

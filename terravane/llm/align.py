@@ -20,6 +20,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pieces in a generation of a worker's cache, and the longest piece that is kept.
-CACHE_PIECES = 200_000
+#: Pieces in a generation of a worker's cache, and characters of the longest piece that is kept.
+CACHE_PIECES = 500_000
 KEPT_CHARS = 64
+#: Pieces that are encoded and aligned together.
+PART_PIECES = 4096
 #: Bound of the rows of the pair table that are broadcast.
 FREQUENT = 500_000
 
@@ -68,14 +71,16 @@ class ByteLevel:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-        self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in self.tok.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in t)}
+        tokens = {i: bytes(byte_of[c] for c in t) for t, i in self.tok.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in t)}
+        self.bytes_of = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.feed = self.ids("\n")
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, text: str) -> list[int]:
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 class Pieces:
-    """Ids and token bytes of a sentencepiece model that puts a space before a text."""
+    """Ids and token bytes of a sentencepiece model that puts a space before a text; texts are given with that space."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -83,58 +88,94 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.splits = not any(re.search("[^▁]▁", p) for p in names)
-        self.bytes_of = {i: bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)}
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        # A line feed is a token that no other piece holds.
+        self.feed = [i for i, b in enumerate(self.bytes_of) if b == b"\n"] if sum(b"\n" in b for b in self.bytes_of) == 1 else []
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def ids(self, text: str) -> list[int]:
+        return self.model.encode(text[1:])
 
 
-#: (tokens of A, tokens of B, groups, links, groups as text, pair of ids of each link), None where bytes differ.
-Aligned = tuple[int, int, int, int, bytes, bytes] | None
+#: (tokens of A, tokens of B, groups, groups as text, pair of ids of each link), None where bytes differ.
+Aligned = tuple[int, int, int, bytes, bytes] | None
 
 
 class Aligner:
     """Alignments of whole texts, with those of their pieces worked out once."""
 
     def __init__(self, a: str, b: str):
-        self.a, self.b = ByteLevel(a), Pieces(b)
-        self.splits = self.a.splits and self.b.splits
+        self.sides = ByteLevel(a), Pieces(b)
+        self.splits = all(x.splits for x in self.sides)
+        self.sizes = [np.array([len(t) for t in x.bytes_of], np.int64) for x in self.sides]
         self.known: dict[str, Aligned] = {}
         self.older: dict[str, Aligned] = {}
 
-    def _align(self, text: str, a: list[int], b: list[int]) -> Aligned:
-        raw = text.encode()
-        x, y = [self.a.bytes_of.get(i, b"") for i in a], [self.b.bytes_of[i] for i in b]
-        if b"".join(x) != raw or b"".join(y) != raw:
-            return None
-        i, j, cut = overlaps(np.array(list(map(len, x)), np.int64), np.array(list(map(len, y)), np.int64))
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-        first = np.flatnonzero(cut)
-        ends_a, ends_b = [*i[first[1:]].tolist(), len(a)], [*j[first[1:]].tolist(), len(b)]
-        groups = [f"{','.join(map(str, a[p:q]))}|{','.join(map(str, b[r:s]))}" for p, q, r, s in zip(i[first].tolist(), ends_a, j[first].tolist(), ends_b)]
-        return len(a), len(b), len(groups), len(i), ";".join(groups).encode(), (ids_a[i] << 32 | ids_b[j]).tobytes()
-
-    def learn(self, pieces: set[str]) -> dict[str, Aligned]:
-        """Alignments of pieces that begin with a space."""
-        out, new = {}, []
+    def _ids(self, side: ByteLevel | Pieces, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and how many each has.  Pieces without other white space go through one call, a line feed between two."""
+        if len(side.feed) == 1 and all(len(p.split()) == 1 and "\u180e" not in p for p in pieces):
+            ids = np.array(side.ids("\n".join(pieces)), np.int64)
+            at = np.flatnonzero(ids == side.feed[0])
+            if len(at) == len(pieces) - 1:
+                return np.delete(ids, at), np.diff(at, prepend=-1, append=len(ids)) - 1
+        each = [side.ids(p) for p in pieces]
+        return np.array(list(itertools.chain.from_iterable(each)), np.int64), np.array(list(map(len, each)), np.int64)
+
+    def _align(self, pieces: list[str]) -> Iterator[tuple[str, Aligned]]:
+        """Alignments of pieces that begin with a space, all by the same two owner arrays."""
+        raw = [p.encode() for p in pieces]
+        long = np.array(list(map(len, raw)), np.int64)
+        ids, counts, ok = [], [], np.ones(len(pieces), bool)
+        for side, size in zip(self.sides, self.sizes):
+            i, n = self._ids(side, pieces)
+            got = np.zeros(len(pieces), np.int64)
+            np.add.at(got, np.repeat(np.arange(len(n)), n), size[i])
+            ok &= got == long
+            if b"".join(map(side.bytes_of.__getitem__, i.tolist())) != b"".join(raw):
+                end = np.cumsum(n)
+                ok &= [b"".join(map(side.bytes_of.__getitem__, i[e - k : e].tolist())) == r for e, k, r in zip(end.tolist(), n.tolist(), raw)]
+            ids.append(i)
+            counts.append(n)
+        if not ok.all():
+            yield from ((p, None) for p, good in zip(pieces, ok) if not good)
+            ids = [i[np.repeat(ok, n)] for i, n in zip(ids, counts)]
+            counts, pieces = [n[ok] for n in counts], [p for p, good in zip(pieces, ok) if good]
+        (a, b), (n_a, n_b) = ids, counts
+        x, y, cut = overlaps(self.sizes[0][a], self.sizes[1][b])
+        owner = np.repeat(np.arange(len(pieces)), n_a)[x]
+        n_links, n_groups = np.bincount(owner, minlength=len(pieces)), np.bincount(owner[cut], minlength=len(pieces))
+        links = (a[x] << 32 | b[y]).tobytes()
+        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        p, q = x[cut].tolist(), y[cut].tolist()
+        groups = [f"{text_a[i] if j - i == 1 else ','.join(text_a[i:j])}|{text_b[k] if m - k == 1 else ','.join(text_b[k:m])}" for i, j, k, m in zip(p, [*p[1:], len(a)], q, [*q[1:], len(b)])]
+        g = l = 0
+        for piece, i, j, k, m in zip(pieces, n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist()):
+            yield piece, (i, j, k, ";".join(groups[g : g + k]).encode(), links[8 * l : 8 * (l + m)])
+            g, l = g + k, l + m
+
+    def learn(self, pieces: set[str]) -> None:
+        new = []
         for p in pieces:
             if p in self.older:
-                out[p] = self.older[p]
+                self.known[p] = self.older[p]
             else:
                 new.append(p)
-        for p, a, b in zip(new, self.a.ids(new), self.b.ids([p[1:] for p in new])):
-            out[p] = self._align(p, a, b)
-        self.known.update((p, v) for p, v in out.items() if len(p) <= KEPT_CHARS)
-        return out
+        # Odd pieces apart, as one of them sends its whole part through single calls.
+        for some in ([p for p in new if len(p.split()) == 1 and "\u180e" not in p], [p for p in new if len(p.split()) != 1 or "\u180e" in p]):
+            for i in range(0, len(some), PART_PIECES):
+                self.known.update(self._align(some[i : i + PART_PIECES]))
 
     def texts(self, texts: list[str | None]) -> list[list[Aligned]]:
         """Alignments of the pieces of space + text, in order; none of null and empty texts."""
         cut = [[] if not t else _CUT.split(" " + t) if self.splits else [" " + t] for t in texts]
         if len(self.known) > CACHE_PIECES:
             self.known, self.older = {}, self.known
-        late = self.learn(set().union(*cut) - self.known.keys())
-        get = lambda p: late[p] if p in late else self.known[p]
-        return [list(map(get, pieces)) for pieces in cut]
+        new = set().union(*cut) - self.known.keys()
+        self.learn(new)
+        out = [list(map(self.known.__getitem__, pieces)) for pieces in cut]
+        for p in new:
+            if len(p) > KEPT_CHARS:
+                del self.known[p]
+        return out
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -173,10 +214,10 @@ def aligned(docs: DataFrame, tokenizers: tuple[str, str] | None = None, texts: b
                 if not got or None in got:
                     out.append((0, 0, 0, 0, "", [], [], ""))
                     continue
-                n_a, n_b, n_groups, n_links, groups, links = zip(*got)
-                whole = b";".join(groups)
-                pairs, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
-                out.append((sum(n_a), sum(n_b), sum(n_groups), sum(n_links), hashlib.sha256(whole).hexdigest(), pairs, times, whole.decode() if texts else ""))
+                n_a, n_b, n_groups, groups, links = zip(*got)
+                whole, linked = b";".join(groups), np.frombuffer(b"".join(links), np.int64)
+                pairs, times = np.unique(linked, return_counts=True)
+                out.append((sum(n_a), sum(n_b), sum(n_groups), len(linked), hashlib.sha256(whole).hexdigest(), pairs, times, whole.decode() if texts else ""))
             cols = list(zip(*out)) or [()] * 8
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:]))], schema=schema)
 

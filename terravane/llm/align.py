@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Pieces in a generation of a worker's cache, and characters of the longest piece that is kept.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 100_000
 KEPT_CHARS = 64
 #: Pieces that are encoded and aligned together.
 PART_PIECES = 4096

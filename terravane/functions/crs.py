@@ -6,14 +6,16 @@ Constants are those of the public EPSG registry.  NAD83 and WGS84 longitudes and
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ellipsoids: semi-major axis, inverse flattening.
 WGS84 = (6378137.0, 298.257223563)
 GRS80 = (6378137.0, 298.257222101)
 UTM_SCALE, UTM_EAST, UTM_SOUTH = 0.9996, 500000.0, 10_000_000.0
+LONLAT, ALBERS_CODES = {4326, 4269}, {5070, 102039}
 ALBERS = {"lat0": 23.0, "lon0": -96.0, "sp1": 29.5, "sp2": 45.5}
 
 
@@ -31,15 +33,41 @@ def _series(inverse_f: float) -> tuple[float, float, list[float], list[float]]:
     return n, radius, alpha, beta
 
 
-def to_utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
+#: Names a part of a formula; where it makes a column of it, the formula's parts are worked out once and plans stay small.
+Let = Callable[[str, Column], Column]
+
+
+def _inline(name: str, value: Column) -> Column:
+    return value
+
+
+class Steps:
+    """A DataFrame that takes the named parts of formulas as columns, each in a projection of its own."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.names = df, []
+
+    def __call__(self, name: str, value: Column) -> Column:
+        name = f"_{len(self.names)}_{name}"
+        self.names.append(name)
+        self.df = self.df.withColumn(name, value)
+        return F.col(name)
+
+    def done(self, **columns: Column) -> DataFrame:
+        """The DataFrame with the results, which come out of a generator: a later filter on them is not written out as a formula of the inputs."""
+        kept = [c for c in self.df.columns if c not in columns and c not in self.names]
+        return self.df.select(*kept, F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
+
+
+def to_utm(lon: Column, lat: Column, zone: Column, let: Let = _inline) -> tuple[Column, Column]:
     """Easting and northing in a northern zone."""
     a, inv = WGS84
     n, radius, alpha, _ = _series(inv)
     ecc = 2 * math.sqrt(n) / (1 + n)
-    dlon = F.radians(lon - (zone * 6 - 183))
-    s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - ecc * F.atanh(ecc * s))
-    xi, eta = F.atan2(t, F.cos(dlon)), F.atanh(F.sin(dlon) / F.sqrt(1 + t * t))
+    dlon = let("dlon", F.radians(lon - (zone * 6 - 183)))
+    s = let("s", F.sin(F.radians(lat)))
+    t = let("t", F.sinh(F.atanh(s) - ecc * F.atanh(ecc * s)))
+    xi, eta = let("xi", F.atan2(t, F.cos(dlon))), let("eta", F.atanh(F.sin(dlon) / F.sqrt(1 + t * t)))
     x, y = eta, xi
     for j, c in enumerate(alpha, 1):
         x = x + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
@@ -48,17 +76,18 @@ def to_utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
     return UTM_EAST + k * x, k * y
 
 
-def from_utm(east: Column, north: Column, zone: Column) -> tuple[Column, Column]:
+def from_utm(east: Column, north: Column, zone: Column, let: Let = _inline) -> tuple[Column, Column]:
     """Longitude and latitude of a northern zone's coordinates."""
     a, inv = WGS84
     n, radius, _, beta = _series(inv)
     k = UTM_SCALE * a * radius
-    xi, eta = north / k, (east - UTM_EAST) / k
+    xi, eta = let("xi", north / k), let("eta", (east - UTM_EAST) / k)
     xp, ep = xi, eta
     for j, c in enumerate(beta, 1):
         xp = xp - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         ep = ep - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xp) / F.cosh(ep))
+    xp, ep = let("xp", xp), let("ep", ep)
+    chi = let("chi", F.asin(F.sin(xp) / F.cosh(ep)))
     delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
     lat = chi
     for j, c in enumerate(delta, 1):
@@ -81,50 +110,93 @@ def _albers() -> tuple[float, float, float, float, float]:
     return a, e, n, c, a / n * math.sqrt(c - n * q(ALBERS["lat0"]))
 
 
-def to_albers(lon: Column, lat: Column) -> tuple[Column, Column]:
+def to_albers(lon: Column, lat: Column, let: Let = _inline) -> tuple[Column, Column]:
     a, e, n, c, rho0 = _albers()
-    s = F.sin(F.radians(lat))
+    s = let("s", F.sin(F.radians(lat)))
     q = (1 - e * e) * (s / (1 - e * e * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
-    rho = a / n * F.sqrt(c - n * q)
-    theta = n * F.radians(lon - ALBERS["lon0"])
+    rho = let("rho", a / n * F.sqrt(c - n * q))
+    theta = let("theta", n * F.radians(lon - ALBERS["lon0"]))
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
 
 
-def from_albers(x: Column, y: Column) -> tuple[Column, Column]:
+def from_albers(x: Column, y: Column, let: Let = _inline) -> tuple[Column, Column]:
     a, e, n, c, rho0 = _albers()
-    rho2 = x * x + (rho0 - y) * (rho0 - y)
+    rho2 = let("rho2", x * x + (rho0 - y) * (rho0 - y))
     q = (c - rho2 * n * n / (a * a)) / n
     qp = _q(1.0, e)
-    beta = F.asin(q / qp)
+    beta = let("beta", F.asin(q / qp))
     e2 = e * e
     lat = beta + (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040) * F.sin(2 * beta) + (23 * e2**2 / 360 + 251 * e2**3 / 3780) * F.sin(4 * beta) + 761 * e2**3 / 45360 * F.sin(6 * beta)
     return ALBERS["lon0"] + F.degrees(F.atan2(x, rho0 - y)) / n, F.degrees(lat)
 
 
-def project(crs: str, lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Coordinates in a supported reference system, from longitude and latitude."""
+def _code(crs: str) -> int:
     code = int(crs.rsplit(":", 1)[-1])
-    if code in (4326, 4269):
-        return lon, lat
-    if code in (5070, 102039):
-        return to_albers(lon, lat)
-    if 32601 <= code <= 32660:
-        return to_utm(lon, lat, F.lit(code - 32600))
-    if 32701 <= code <= 32760:
-        east, north = to_utm(lon, lat, F.lit(code - 32700))
-        return east, north + UTM_SOUTH
+    if code in LONLAT or code in ALBERS_CODES or 1 <= code - 32600 <= 60 or 1 <= code - 32700 <= 60:
+        return code
     raise ValueError(f"unsupported reference system {crs}")
 
 
-def unproject(crs: str, x: Column, y: Column) -> tuple[Column, Column]:
+def project(crs: str, lon: Column, lat: Column, let: Let = _inline) -> tuple[Column, Column]:
+    """Coordinates in a supported reference system, from longitude and latitude."""
+    code = _code(crs)
+    if code in LONLAT:
+        return lon, lat
+    if code in ALBERS_CODES:
+        return to_albers(lon, lat, let)
+    east, north = to_utm(lon, lat, F.lit(code % 100), let)
+    return east, north + UTM_SOUTH if code > 32700 else north
+
+
+def unproject(crs: str, x: Column, y: Column, let: Let = _inline) -> tuple[Column, Column]:
     """Longitude and latitude of coordinates in a supported reference system."""
-    code = int(crs.rsplit(":", 1)[-1])
-    if code in (4326, 4269):
+    code = _code(crs)
+    if code in LONLAT:
         return x, y
-    if code in (5070, 102039):
-        return from_albers(x, y)
-    if 32601 <= code <= 32660:
-        return from_utm(x, y, F.lit(code - 32600))
-    if 32701 <= code <= 32760:
-        return from_utm(x, y - UTM_SOUTH, F.lit(code - 32700))
-    raise ValueError(f"unsupported reference system {crs}")
+    if code in ALBERS_CODES:
+        return from_albers(x, y, let)
+    return from_utm(x, y - UTM_SOUTH if code > 32700 else y, F.lit(code % 100), let)
+
+
+def moved(df: DataFrame, source: str, target: str, x: str = "x", y: str = "y") -> DataFrame:
+    """``df`` with the columns x and y taken from one reference system to another (G1)."""
+    if source == target:
+        return df
+    let = Steps(df)
+    lon, lat = unproject(source, F.col(x), F.col(y), let)
+    east, north = project(target, let("lon", lon), let("lat", lat), let)
+    return let.done(**{x: east, y: north})
+
+
+def moved_each(df: DataFrame, systems: list[str], column: str, other: str, back: bool = False, x: str = "x", y: str = "y") -> DataFrame:
+    """``df`` with x and y taken from the system that ``column`` names, one of ``systems``, to ``other``, or with ``back`` the other way.
+
+    Zones differ in a number only, so whatever the systems are, there is one formula for each of three kinds.
+    """
+    let = Steps(df)
+    codes = {_code(k) for k in systems} - {_code(other)}
+    if not codes:
+        return df
+    code = let("code", F.substring_index(F.col(column), ":", -1).cast("int"))
+    px, py = F.col(x), F.col(y)
+    south = F.when(code > 32700, UTM_SOUTH).otherwise(0.0)
+    if back:
+        lon, lat = unproject(other, px, py, let)
+        px, py = let("lon", lon), let("lat", lat)
+    kinds = []
+    if codes & LONLAT:
+        kinds.append((code.isin(*LONLAT), (px, py)))
+    if codes & ALBERS_CODES:
+        kinds.append((code.isin(*ALBERS_CODES), to_albers(px, py, let) if back else from_albers(px, py, let)))
+    if codes - LONLAT - ALBERS_CODES:
+        zone = code % 100
+        if back:
+            east, north = to_utm(px, py, zone, let)
+            kinds.append((code > 32600, (east, north + south)))
+        else:
+            kinds.append((code > 32600, from_utm(px, py - south, zone, let)))
+    px, py = (F.coalesce(*(F.when(is_kind, v[i]) for is_kind, v in kinds)) for i in (0, 1))
+    if not back:
+        px, py = project(other, let("lon", px), let("lat", py), let)
+    same = F.col(column) == other
+    return let.done(**{x: F.when(same, F.col(x)).otherwise(px), y: F.when(same, F.col(y)).otherwise(py)})

@@ -7,7 +7,10 @@ the larger of the two, so that a geometry of any size takes a few cells, and are
 
 from __future__ import annotations
 
+import collections
+import functools
 import itertools
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,13 +43,13 @@ def bounds(rings: Column) -> dict[str, Column]:
 
 def contains(rings: Column, x: Column, y: Column) -> Column:
     """Even-odd rule by the crossings of a ray to the right."""
+    return F.aggregate(edges(rings), F.lit(False), lambda odd, e: odd != _crosses(e, x, y))
 
-    def crosses(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        at = F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"]
-        return ((a["y"] > y) != (b["y"] > y)) & F.coalesce(x < at, F.lit(False))
 
-    return F.aggregate(edges(rings), F.lit(False), lambda odd, e: odd != crosses(e))
+def _crosses(e: Column, x: Column, y: Column) -> Column:
+    a, b = e["a"], e["b"]
+    at = F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"]
+    return ((a["y"] > y) != (b["y"] > y)) & F.coalesce(x < at, F.lit(False))
 
 
 def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
@@ -94,12 +97,103 @@ def box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, at).filter(meets & (F.col("cx") == corner("x")) & (F.col("cy") == corner("y"))).select("l", "r")
 
 
+#: Cells to a side of the grid that covers one extent, as a power of two, and cells of all extents of one size together.
+COVER_DEPTH, COVER_CELLS = 4, 1 << 20
+
+
+def _cover_level(boxes: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``boxes`` (minx, miny, maxx, maxy, ...) with ``level``, and the levels: cells of size 2^level cover each extent by a grid.
+
+    The grid has up to 17 x 17 cells, fewer where very many extents have one size; so a huge extent spreads its rows over many keys, and
+    small ones take few rows.  The driver gets how many extents there are of each size, a few dozen numbers.
+    """
+    size = F.ceil(F.log2(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(1e-9)))).cast("int")
+    held = {r[0]: r[1] for r in boxes.groupBy(size.alias("s")).count().collect() if r[0] is not None}
+    depth = {k: max(0, min(COVER_DEPTH, int(math.log(COVER_CELLS / n, 4)))) for k, n in held.items()}
+    level = F.coalesce(*(F.when(size == k, k - d) for k, d in depth.items())) if depth else F.lit(0)
+    return boxes.dropna(subset=list(_BOUNDS)).withColumn("level", level.cast("int")), sorted({k - d for k, d in depth.items()})
+
+
+def _keyed_points(points: DataFrame, levels: list[int]) -> DataFrame:
+    """(row, level, cx, cy): every point (x, y, ...) in its cell of each level."""
+    rows = points.filter("x is not null and y is not null").select(F.struct(*points.columns).alias("row"), F.explode(F.lit(levels).cast("array<int>")).alias("level"))
+    cell = lambda k: F.floor(F.col(f"row.{k}") / F.pow(F.lit(2.0), "level")).cast("long")
+    return rows.select("row", "level", cell("x").alias("cx"), cell("y").alias("cy"))
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(l, r) rows of the points (x, y, ...) and the closed boxes (minx, miny, maxx, maxy, ...) that hold them."""
+    own, levels = _cover_level(boxes.select(F.struct(*boxes.columns).alias("r"), *_BOUNDS))
+    size = F.pow(F.lit(2.0), "level")
+    span = lambda k: F.explode(F.sequence(F.floor(F.col(f"min{k}") / size).cast("long"), F.floor(F.col(f"max{k}") / size).cast("long")))
+    cells = own.withColumn("cx", span("x")).withColumn("cy", span("y"))
+    hit = _keyed_points(points, levels).join(cells, ["level", "cx", "cy"])
+    return hit.filter("row.x between minx and maxx and row.y between miny and maxy").select(F.col("row").alias("l"), "r")
+
+
+def rows_of_edges(edges: DataFrame, ids: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
+    """(ids, part, row, xs, touched, edges, carried) of each part and grid row that its edges enter; ids decide the carried columns.
+
+    ``edges``: ids, part, a, b (points) and the grid gx, gy, sx, sy (corner and signed cell size), r0, r1 (rows wanted, null for all).  An edge
+    is dealt to the rows that it enters.  xs: where edges cross the row's middle line, in order, in columns; touched: open column ranges that edges pass.
+    """
+    line = lambda v: (v - F.col("gy")) / F.col("sy")
+    column = lambda v: (v - F.col("gx")) / F.col("sx")
+    ya, yb = line(F.col("a.y")), line(F.col("b.y"))
+    lo, hi = F.floor(F.least(ya, yb)).cast("long"), (F.ceil(F.greatest(ya, yb)) - 1).cast("long")
+    lo, hi = F.greatest(lo, F.coalesce("r0", lo)), F.least(hi, F.coalesce("r1", hi))
+    each = edges.withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi").withColumn("row", F.explode(F.sequence("_lo", "_hi")))
+    top, bottom = F.col("gy") + F.col("row") * F.col("sy"), F.col("gy") + (F.col("row") + 1) * F.col("sy")
+    y, y0, y1 = F.col("gy") + (F.col("row") + 0.5) * F.col("sy"), F.least(top, bottom), F.greatest(top, bottom)
+    p, q = F.col("a"), F.col("b")
+    at = lambda t: p["x"] + (q["x"] - p["x"]) * F.try_divide(t - p["y"], q["y"] - p["y"])
+    cut = lambda v: F.when(p["y"] == q["y"], v["x"]).otherwise(F.when(v["y"] < y0, at(y0)).when(v["y"] > y1, at(y1)).otherwise(v["x"]))
+    left, right = column(F.least(cut(p), cut(q))), column(F.greatest(cut(p), cut(q)))
+    left, right = F.least(left, right), F.greatest(left, right)
+    # An upright edge on the border of two cells enters neither.
+    last = F.when(left == right, F.when(left == F.floor(left), F.floor(left) - 1).otherwise(F.floor(left))).otherwise(F.ceil(right) - 1)
+    crossed = F.when((p["y"] > y) != (q["y"] > y), column((q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"]))
+    span = F.struct(F.floor(left).cast("long").alias("lo"), last.cast("long").alias("hi"))
+    each = each.select(*ids, *carried, "part", "row", crossed.alias("x"), F.when(last >= F.floor(left), span).alias("span"), F.struct("a", "b").alias("edge"))
+    return each.groupBy(*ids, "part", "row").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.collect_set("span").alias("touched"), F.collect_list("edge").alias("edges"), *(F.first(c).alias(c) for c in carried))
+
+
+def centre_spans(xs: Column) -> Column:
+    """Inclusive ranges of the columns whose middles lie between the first and second crossing, the third and fourth and so on."""
+    pairs = F.filter(F.transform(xs, lambda v, i: F.struct(v.alias("lo"), F.get(xs, i + 1).alias("hi"), i.alias("i"))), lambda s: s["i"] % 2 == 0)
+    spans = F.transform(pairs, lambda s: F.struct(F.ceil(s["lo"] - 0.5).cast("long").alias("lo"), (F.ceil(s["hi"] - 0.5) - 1).cast("long").alias("hi")))
+    return F.filter(spans, lambda s: s["lo"] <= s["hi"])
+
+
+def covering(polygons: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(level, cx, cy, r, inner, edges) of the cells that cover each polygon, r being its other columns, and the levels.
+
+    A cell that no edge enters and whose middle is inside is an inner one; the others carry the edges of their row by part, which decide for
+    every point of the row.
+    """
+    kept = [c for c in polygons.columns if c not in ("rings", "parts")]
+    own, levels = _cover_level(whole(polygons))
+    size = F.pow(F.lit(2.0), "level")
+    each = own.select(F.monotonically_increasing_id().alias("p"), F.struct(*(kept or [F.lit(0).alias("_none")])).alias("r"), "level", F.posexplode("parts").alias("part", "rings")).withColumn("e", F.explode(edges(F.col("rings"))))
+    each = each.select("p", "r", "level", "part", F.col("e.a").alias("a"), F.col("e.b").alias("b"), F.lit(0.0).alias("gx"), F.lit(0.0).alias("gy"), size.alias("sx"), size.alias("sy"), F.lit(None).cast("long").alias("r0"), F.lit(None).cast("long").alias("r1"))
+    rows = rows_of_edges(each, ["p", "level"], ("r",)).withColumnRenamed("row", "cy")
+    cells = lambda spans: F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["lo"], s["hi"]))))
+    rows = rows.withColumn("border", cells(F.col("touched"))).withColumn("inner", F.array_except(cells(centre_spans(F.col("xs"))), "border"))
+    # A polygon has at most 17 rows of at most 17 cells.
+    rows = rows.groupBy("p", "level", "cy").agg(F.first("r").alias("r"), F.array_distinct(F.flatten(F.collect_list("inner"))).alias("inner"), F.array_distinct(F.flatten(F.collect_list("border"))).alias("border"), F.collect_list("edges").alias("edges"))
+    inner = rows.select("level", F.explode("inner").alias("cx"), "cy", "r", F.lit(True).alias("inner"), F.lit(None).cast(rows.schema["edges"].dataType).alias("edges"))
+    border = rows.select("level", F.explode(F.array_except("border", "inner")).alias("cx"), "cy", "r", F.lit(False).alias("inner"), "edges")
+    return inner.unionByName(border), levels
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """points (x, y, ...) with geom_id and the other columns of every polygon that holds them."""
-    boxes = points.select(F.struct(*points.columns).alias("row"), F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
+    cells, levels = covering(polygons)
     kept = [c for c in polygons.columns if c not in ("rings", "parts")]
-    hit = box_pairs(boxes, whole(polygons)).filter(inside(F.col("r.parts"), F.col("l.row.x"), F.col("l.row.y")))
-    return hit.select("l.row.*", *(F.col(f"r.{c}") for c in kept))
+    x, y = F.col("row.x"), F.col("row.y")
+    within = F.col("inner") | F.exists("edges", lambda part: F.aggregate(part, F.lit(False), lambda odd, e: odd != _crosses(e, x, y)))
+    hit = _keyed_points(points, levels).join(cells, ["level", "cx", "cy"]).filter(within)
+    return hit.select("row.*", *(F.col(f"r.{c}") for c in kept))
 
 
 def box_meets(parts: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -185,12 +279,6 @@ def _boxes_meet() -> Column:
     return (F.col("minx") <= F.col("b_maxx")) & (F.col("maxx") >= F.col("b_minx")) & (F.col("miny") <= F.col("b_maxy")) & (F.col("maxy") >= F.col("b_miny"))
 
 
-def dissolved(polygons: DataFrame, key: str) -> DataFrame:
-    """(key, parts) of all polygons of a key (G11, G12): a point is inside the union where it is inside a part, so parts that overlap leave no hole."""
-    each = F.col("parts") if "parts" in polygons.columns else F.array("rings")
-    return polygons.groupBy(key).agg(F.flatten(F.collect_list(each)).alias("parts"))
-
-
 def parts(multi: DataFrame) -> DataFrame:
     """A row for each part of (geom_id, parts)."""
     return multi.select("geom_id", F.posexplode("parts").alias("part", "rings"))
@@ -249,20 +337,6 @@ def box_planes(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(plane(1, 0, -x0), plane(-1, 0, x1), plane(0, 1, -y0), plane(0, -1, y1))
 
 
-def convex_planes(ring: Column) -> Column:
-    """The half-planes of a convex ring, whichever way it turns."""
-    pairs = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-    area = F.aggregate(pairs, F.lit(0.0), lambda s, e: s + e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"])
-    turn = F.when(area >= 0, 1.0).otherwise(-1.0)
-
-    def plane(e: Column) -> Column:
-        p, q = e["p"], e["q"]
-        a, b = (p["y"] - q["y"]) * turn, (q["x"] - p["x"]) * turn
-        return F.struct(a.alias("a"), b.alias("b"), (-(a * p["x"] + b * p["y"])).alias("c"))
-
-    return F.transform(pairs, plane)
-
-
 def _cut(rings: Column, planes: Column) -> Column:
     return F.filter(F.transform(rings, lambda ring: clip_to_half_planes(ring, planes)), lambda ring: F.size(ring) > 0)
 
@@ -272,13 +346,6 @@ def clipped(polygons: DataFrame, x0: float, y0: float, x1: float, y1: float) ->
     return polygons.withColumn("rings", _cut(F.col("rings"), box_planes(*map(F.lit, (x0, y0, x1, y1))))).filter(F.size("rings") > 0)
 
 
-def clipped_to(polygons: DataFrame, areas: DataFrame) -> DataFrame:
-    """(geom_id, area_id, rings) of polygons cut to each convex area (geom_id, rings of one ring) that they meet."""
-    pairs = box_pairs(polygons.withColumns(bounds(F.col("rings"))), areas.withColumns(bounds(F.col("rings"))))
-    cut = pairs.select(F.col("l.geom_id").alias("geom_id"), F.col("r.geom_id").alias("area_id"), _cut(F.col("l.rings"), convex_planes(F.col("r.rings")[0])).alias("rings"))
-    return cut.filter(F.size("rings") > 0)
-
-
 def area(rings: Column) -> Column:
     """Area of rings: the first one less the others."""
     one = lambda ring: F.abs(F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(0.0), lambda s, i: s + F.get(ring, i - 1)["x"] * F.get(ring, i)["y"] - F.get(ring, i)["x"] * F.get(ring, i - 1)["y"])) / 2
@@ -342,12 +409,75 @@ def minimal_cover(tiles: list[tuple[str, tuple[float, float, float, float]]], bo
 
 
 def minimal_cover_of(sets: list[tuple[str, set[int]]], need: set[int]) -> list[str]:
-    """Names of the fewest sets whose union holds all of ``need``, the first such choice in order."""
-    for k in range(1, len(sets) + 1):
-        for pick in itertools.combinations(sets, k):
-            if set().union(*(c for _, c in pick)) >= need:
-                return [t for t, _ in pick]
-    raise ValueError("the tiles do not cover the area")
+    """Names of the fewest sets whose union holds all of ``need``, the first such choice in order.
+
+    Elements with the same sets are one, and an element whose sets include all of another's is held with it.  What is left falls into parts
+    that share no set; in each the size is found by branch and bound, and the sets by trying them in order.
+    """
+    holders = {e: sum(1 << i for i, (_, held) in enumerate(sets) if e in held) for e in need}
+    if not all(holders.values()):
+        raise ValueError("the tiles do not cover the area")
+    picked = [i for part in _apart(_minimal(list(holders.values()))) for i in _first_cover(part)]
+    return [sets[i][0] for i in sorted(picked)]
+
+
+def _apart(masks: list[int]) -> list[list[int]]:
+    """Groups of masks that share no bit."""
+    groups: list[tuple[int, list[int]]] = []
+    for m in masks:
+        joined = [g for g in groups if g[0] & m]
+        groups = [g for g in groups if not g[0] & m]
+        groups.append((functools.reduce(int.__or__, (g[0] for g in joined), m), [m, *itertools.chain.from_iterable(g[1] for g in joined)]))
+    return [g[1] for g in groups]
+
+
+def _minimal(masks: list[int]) -> list[int]:
+    """Masks that include no other one: what meets these meets all."""
+    out: list[int] = []
+    for m in sorted(set(masks), key=int.bit_count):
+        if not any(o & m == o for o in out):
+            out.append(m)
+    return out
+
+
+def _coverable(masks: list[int], most: int) -> bool:
+    """Whether ``most`` bits meet every mask."""
+    masks = _minimal(masks)
+    if not masks:
+        return True
+    forced = functools.reduce(int.__or__, (m for m in masks if m.bit_count() == 1), 0)
+    if forced:
+        return forced.bit_count() <= most and _coverable([m for m in masks if not m & forced], most - forced.bit_count())
+    degree = collections.Counter(i for m in masks for i in _bits(m))
+    # Masks that share no bit need one each; those whose bits are in few masks first.
+    seen, least = 0, 0
+    for m in sorted(masks, key=lambda m: (m.bit_count(), sum(degree[i] for i in _bits(m)))):
+        if not m & seen:
+            seen, least = seen | m, least + 1
+    if least > most:
+        return False
+    i = max(degree, key=lambda i: (degree[i], -i))
+    return _coverable([m for m in masks if not m >> i & 1], most - 1) or _coverable([m & ~(1 << i) for m in masks], most)
+
+
+def _bits(m: int) -> list[int]:
+    return [i for i in range(m.bit_length()) if m >> i & 1]
+
+
+def _first_cover(masks: list[int]) -> list[int]:
+    """The first choice in order of the fewest bits that meet every mask."""
+    most = next(k for k in itertools.count(1) if _coverable(masks, k))
+    out: list[int] = []
+    for i in range(max(m.bit_length() for m in masks)):
+        if not masks:
+            break
+        rest = [m >> i + 1 << i + 1 for m in masks if not m >> i & 1]
+        if all(rest) and len(rest) < len(masks) and _coverable(rest, most - len(out) - 1):
+            out.append(i)
+            masks = rest
+        else:
+            masks = [m & ~(1 << i) for m in masks]
+    return out
 
 
 def wkt_bounds(text: str) -> tuple[float, float, float, float]:

@@ -6,12 +6,14 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import crs as projections
@@ -44,22 +46,74 @@ def without_nan(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
-def merge(pixels: DataFrame, method: str | Callable[[pd.Series], float] = "first", keys: list[str] | None = None) -> DataFrame:
-    """Mosaic of co-registered sources by a rule over the valid values of each cell.
+#: Cells to a side of the chunks in which user-given rules see pixels.
+FOLD_CHUNK, STACK_CHUNK = 512, 64
+Rule = Callable[..., object]
 
-    A callable gets a cell's valid values in source order, by Arrow batches.
+
+def merge(pixels: DataFrame, method: str | Rule = "first", keys: list[str] | None = None) -> DataFrame:
+    """Mosaic of co-registered sources by a rule over the valid values of each cell.
+
+    A callable works on arrays, a chunk of cells at a time.  With four parameters (merged, new, merged_mask, new_mask) it is called for each
+    source in order and changes ``merged`` in place; masks are true where a value is missing, and cells left NaN are missing.
+    With one parameter it gets all sources of a chunk as (sources, cells), NaN where missing, and returns a value for each cell.
     """
-    cell = keys or CELL
     if isinstance(method, str):
         if method not in RULES:
             raise ValueError(f"unknown merge method {method}")
-        return pixels.groupBy(*cell).agg(RULES[method]().alias("value"))
-
-    def apply(values: pd.Series) -> pd.Series:
-        return pd.Series([None if not len(v) else float(method(pd.Series(v))) for v in values])
-
-    held = F.transform(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("source_ord", "value")))), lambda x: x["value"])
-    return pixels.groupBy(*cell).agg(held.alias("values")).select(*cell, F.pandas_udf(apply, "double")("values").alias("value"))
+        return pixels.groupBy(*(keys or CELL)).agg(RULES[method]().alias("value"))
+    if keys:
+        raise ValueError("callables merge whole rasters")
+    return _merged_by(pixels, method)
+
+
+def _merged_by(pixels: DataFrame, rule: Rule) -> DataFrame:
+    """Cells come sorted by chunk and source, so a task holds one chunk: two arrays for a fold, or its sources for a stack."""
+    fold = len(inspect.signature(rule).parameters) == 4
+    side = FOLD_CHUNK if fold else STACK_CHUNK
+
+    def finish(key: tuple, merged: np.ndarray, stack: list[np.ndarray], seen: np.ndarray) -> pd.DataFrame:
+        value = merged if fold else np.asarray(rule(np.stack(stack)), float)
+        at = np.flatnonzero(seen)
+        band, up, left = key
+        return pd.DataFrame({"band": band, "row": up * side + at // side, "col": left * side + at % side, "value": value[at]})
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, source, merged, new, seen, stack = None, None, None, None, None, []
+
+        def close_source() -> None:
+            if fold:
+                gone = np.isnan(merged)
+                rule(merged, new, gone, np.isnan(new))
+            else:
+                stack.append(new)
+
+        for f in frames:
+            starts = np.flatnonzero((f[["band", "up", "left", "source_ord"]].diff().fillna(1) != 0).any(axis=1).to_numpy())
+            for i, j in zip(starts, [*starts[1:], len(f)]):
+                part = f.iloc[i:j]
+                k, src = tuple(part.iloc[0][["band", "up", "left"]].astype(int)), part["source_ord"].iloc[0]
+                if source is not None and (k, src) != (key, source):
+                    close_source()
+                    source = None
+                if k != key:
+                    if key is not None:
+                        yield finish(key, merged, stack, seen)
+                    key, merged, seen, stack = k, np.full(side * side, np.nan), np.zeros(side * side, bool), []
+                if source is None:
+                    source, new = src, np.full(side * side, np.nan)
+                at = (part["row"].to_numpy() - k[1] * side) * side + part["col"].to_numpy() - k[2] * side
+                new[at] = part["value"].to_numpy(float)
+                seen[at] = True
+        if key is not None:
+            close_source()
+            yield finish(key, merged, stack, seen)
+
+    chunk = {"up": F.floor(F.col("row") / side).cast("long"), "left": F.floor(F.col("col") / side).cast("long")}
+    rows = pixels.select("band", "source_ord", "row", "col", F.col("value").cast("double").alias("value")).withColumns(chunk)
+    rows = rows.repartition("band", "up", "left").sortWithinPartitions("band", "up", "left", "source_ord")
+    out = rows.mapInPandas(work, "band int, row long, col long, value double")
+    return without_nan(out)
 
 
 def merge_flagged(pixels: DataFrame) -> DataFrame:
@@ -101,7 +155,7 @@ def rebased(pixels: DataFrame, meta: DataFrame, allow_resampling: bool = False)
     return pixels.join(shift, "raster_id").withColumns({"row": centre("row", "sy", "dy"), "col": centre("col", "sx", "dx")}).drop("sx", "sy", "dx", "dy")
 
 
-def merged_within(pixels: DataFrame, meta: DataFrame, bounds: tuple[float, float, float, float], method: str | Callable[[pd.Series], float] = "first", allow_resampling: bool = False) -> tuple[DataFrame, DataFrame]:
+def merged_within(pixels: DataFrame, meta: DataFrame, bounds: tuple[float, float, float, float], method: str | Rule = "first", allow_resampling: bool = False) -> tuple[DataFrame, DataFrame]:
     """Mosaic within bounds (minx, miny, maxx, maxy), widened to the first source's pixels (R1, P2), and its metadata.
 
     Pixels outside are filtered before they meet, and rasters outside are not read.
@@ -143,43 +197,17 @@ def extents(meta: DataFrame) -> DataFrame:
 def covered_spans(meta: DataFrame, polygons: DataFrame, all_touched: bool = False) -> DataFrame:
     """(raster_id, row, spans): inclusive column ranges of each raster row that the polygons cover; every row once.
 
-    Polygons are cut into rows, once for each raster that they meet; pixels are not read.
+    Edges are dealt to the raster rows that they enter, one row for each crossing; pixels are not read.
     """
-    pairs = geometry.box_pairs(extents(meta.select("raster_id", "a", "c", "e", "f", "height", "width")), geometry.whole(polygons).select("parts", *geometry._BOUNDS))
-    m, p = (lambda k: F.col(f"l.{k}")), (lambda k: F.col(f"r.{k}"))
-    edge = lambda k: (p(k) - m("f")) / m("e")
-    first = F.greatest(F.lit(0).cast("long"), F.floor(F.least(edge("miny"), edge("maxy"))).cast("long") - 1)
-    last = F.least(m("height").cast("long") - 1, F.ceil(F.greatest(edge("miny"), edge("maxy"))).cast("long") + 1)
-    rows = pairs.withColumns({"r0": first, "r1": last}).filter("r0 <= r1").select(m("raster_id").alias("raster_id"), m("a").alias("a"), m("c").alias("c"), m("e").alias("e"), m("f").alias("f"), m("width").cast("long").alias("width"), p("parts").alias("parts"), F.explode(F.sequence("r0", "r1")).alias("row"))
-    y = F.col("f") + (F.col("row") + 0.5) * F.col("e")
-    column = lambda x: (x - F.col("c")) / F.col("a")
-
-    def centres(rings: Column) -> Column:
-        # Crossings of the row's middle line in order; centres between the first and second, third and fourth and so on are inside.
-        across = F.filter(geometry.edges(rings), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
-        xs = F.array_sort(F.transform(across, lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
-        pairs_of = lambda x: F.transform(F.filter(F.transform(x, lambda v, i: F.struct(v.alias("lo"), F.get(x, i + 1).alias("hi"), i.alias("i"))), lambda s: s["i"] % 2 == 0), lambda s: F.struct(F.ceil(column(s["lo"]) - 0.5).cast("long").alias("lo"), (F.ceil(column(s["hi"]) - 0.5) - 1).cast("long").alias("hi")))
-        return F.transform(F.array(xs), pairs_of)[0]
-
-    def touches(rings: Column) -> Column:
-        # The part of each edge strictly within the row, and the open cells that it passes.
-        y0, y1 = F.least(y - F.col("e") / 2, y + F.col("e") / 2), F.greatest(y - F.col("e") / 2, y + F.col("e") / 2)
-
-        def passed(e: Column) -> Column:
-            p, q = e["a"], e["b"]
-            at = lambda t: p["x"] + (q["x"] - p["x"]) * F.try_divide(t - p["y"], q["y"] - p["y"])
-            cut = lambda v: F.when(p["y"] == q["y"], v["x"]).otherwise(F.when(v["y"] < y0, at(y0)).when(v["y"] > y1, at(y1)).otherwise(v["x"]))
-            lo, hi = column(F.least(cut(p), cut(q))), column(F.greatest(cut(p), cut(q)))
-            # A vertical edge on the border of two cells enters neither.
-            return F.struct(F.floor(lo).cast("long").alias("lo"), F.when(lo == hi, F.when(lo == F.floor(lo), F.floor(lo) - 1).otherwise(F.floor(lo))).otherwise(F.ceil(hi) - 1).cast("long").alias("hi"))
-
-        within = lambda e: (F.least(e["a"]["y"], e["b"]["y"]) < y1) & (F.greatest(e["a"]["y"], e["b"]["y"]) > y0)
-        return F.transform(F.filter(geometry.edges(rings), within), passed)
-
-    spans = F.flatten(F.transform("parts", centres))
+    own = ["raster_id", "a", "c", "e", "f", "height", "width"]
+    pairs = geometry.box_pairs(extents(meta.select(*own)), geometry.whole(polygons).select("parts", *geometry._BOUNDS).withColumn("p", F.monotonically_increasing_id()))
+    each = pairs.select("l.*", F.col("r.p").alias("p"), F.posexplode("r.parts").alias("k", "rings")).select(*own, F.struct("p", "k").alias("part"), F.explode(geometry.edges(F.col("rings"))).alias("edge"))
+    each = each.select("raster_id", "width", "part", F.col("edge.a").alias("a"), F.col("edge.b").alias("b"), F.col("c").alias("gx"), F.col("f").alias("gy"), F.col("a").alias("sx"), F.col("e").alias("sy"), F.lit(0).cast("long").alias("r0"), (F.col("height") - 1).cast("long").alias("r1"))
+    rows = geometry.rows_of_edges(each, ["raster_id", "width"])
+    spans = geometry.centre_spans(F.col("xs"))
     if all_touched:
-        spans = F.concat(spans, F.flatten(F.transform("parts", touches)))
-    spans = F.transform(spans, lambda s: F.struct(F.greatest(s["lo"], F.lit(0).cast("long")).alias("lo"), F.least(s["hi"], F.col("width") - 1).alias("hi")))
+        spans = F.concat(spans, F.col("touched"))
+    spans = F.transform(spans, lambda s: F.struct(F.greatest(s["lo"], F.lit(0).cast("long")).alias("lo"), F.least(s["hi"], F.col("width").cast("long") - 1).alias("hi")))
     rows = rows.select("raster_id", "row", F.array_distinct(F.filter(spans, lambda s: s["lo"] <= s["hi"])).alias("spans")).filter(F.size("spans") > 0)
     return rows.groupBy("raster_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
@@ -205,11 +233,10 @@ def cells_of(points: DataFrame, meta: DataFrame, wrap_negative: bool = False) ->
     if wrap_negative:
         # Rows before the first count from the last.
         boxes = boxes.withColumns({"miny": F.least("miny", F.col("f") - F.col("e") * F.col("height")), "maxy": F.greatest("maxy", F.col("f") - F.col("e") * F.col("height"))})
-    at = points.select("point_id", F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
-    row = F.floor((F.col("l.miny") - F.col("r.f")) / F.col("r.e")).cast("long")
+    row = F.floor((F.col("l.y") - F.col("r.f")) / F.col("r.e")).cast("long")
     if wrap_negative:
         row = F.when(row < 0, row + F.col("r.height")).otherwise(row)
-    hit = geometry.box_pairs(at, boxes).select(F.col("l.point_id").alias("point_id"), F.col("r.raster_id").alias("raster_id"), row.alias("row"), F.floor((F.col("l.minx") - F.col("r.c")) / F.col("r.a")).cast("long").alias("col"), "r.height", "r.width")
+    hit = geometry.points_in_boxes(points.select("point_id", "x", "y"), boxes).select(F.col("l.point_id").alias("point_id"), F.col("r.raster_id").alias("raster_id"), row.alias("row"), F.floor((F.col("l.x") - F.col("r.c")) / F.col("r.a")).cast("long").alias("col"), "r.height", "r.width")
     return hit.filter("row between 0 and height - 1 and col between 0 and width - 1").drop("height", "width")
 
 
@@ -226,17 +253,18 @@ def upsampled(pixels: DataFrame, times: int = 2) -> DataFrame:
     return wide.withColumns({"row": F.col("row") * times + F.col("_i"), "col": F.col("col") * times + F.col("_j")}).drop("_i", "_j")
 
 
-#: Resampling by aggregation over the source cells under a target cell.
+#: Resampling by aggregation over the source cells that a target cell overlaps, ``w`` being the share of the source cell.
 AREA: dict[str, Callable[[], Column]] = {
-    "average": lambda: F.avg("value"),
+    "average": lambda: F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum(F.when(F.col("value").isNotNull(), F.col("w")))),
     "max": lambda: F.max("value"),
     "min": lambda: F.min("value"),
-    "sum": lambda: F.sum("value"),
-    "rms": lambda: F.sqrt(F.avg(F.col("value") * F.col("value"))),
-    "med": lambda: F.percentile("value", 0.5),
-    "q1": lambda: F.percentile("value", 0.25),
-    "q3": lambda: F.percentile("value", 0.75),
+    "sum": lambda: F.sum(F.col("w") * F.col("value")),
+    "rms": lambda: F.sqrt(F.try_divide(F.sum(F.col("w") * F.col("value") * F.col("value")), F.sum(F.when(F.col("value").isNotNull(), F.col("w"))))),
 }
+#: The smallest value that, with the smaller ones, has this part of the shares.
+QUANTILES = {"med": 0.5, "q1": 0.25, "q3": 0.75}
+#: Shares below this come from rounding.
+LEAST_SHARE = 1e-9
 
 
 def _lanczos(t: Column) -> Column:
@@ -267,7 +295,7 @@ KERNELS: dict[str, tuple[int, Callable[[Column], Column]]] = {
     "lanczos": (3, _lanczos),
     "gauss": (2, _gauss),
 }
-METHODS = ("nearest", *KERNELS, *AREA, "mode")
+METHODS = ("nearest", *KERNELS, *AREA, *QUANTILES, "mode")
 
 
 #: Points on each side of a raster by which its extent in another system is found.
@@ -275,20 +303,6 @@ SIDE_POINTS = 17
 _GRID = ("a", "c", "e", "f", "crs")
 
 
-def _across(codes: list[str], system: str, target: str, x: Column, y: Column) -> tuple[Column, Column]:
-    """x and y in ``target`` from the system that the column ``system`` names, one of ``codes``."""
-    moved = {k: (x, y) if k == target else projections.project(target, *projections.unproject(k, x, y)) for k in codes}
-    pick = lambda i: F.coalesce(*(F.when(F.col(system) == k, v[i]) for k, v in moved.items()))
-    return pick(0), pick(1)
-
-
-def _back(codes: list[str], system: str, target: str, x: Column, y: Column) -> tuple[Column, Column]:
-    """x and y in the system that the column ``system`` names, from ``target``."""
-    moved = {k: (x, y) if k == target else projections.project(k, *projections.unproject(target, x, y)) for k in codes}
-    pick = lambda i: F.coalesce(*(F.when(F.col(system) == k, v[i]) for k, v in moved.items()))
-    return pick(0), pick(1)
-
-
 def extents_in(meta: DataFrame, system: str) -> DataFrame:
     """``meta`` with the extents of its rasters in another reference system, by points along their sides."""
     codes = sorted(r[0] for r in meta.select("crs").distinct().collect())
@@ -296,8 +310,8 @@ def extents_in(meta: DataFrame, system: str) -> DataFrame:
     share = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SIDE_POINTS - 1)), lambda i: i / float(SIDE_POINTS - 1)))
     along = ends.withColumn("_t", share).withColumn("_side", F.explode(F.sequence(F.lit(0), F.lit(3))))
     on = lambda lo, hi, fixed: F.when(F.col("_side") == fixed, F.col(lo)).when(F.col("_side") == fixed + 1, F.col(hi)).otherwise(F.col(lo) + F.col("_t") * (F.col(hi) - F.col(lo)))
-    x, y = _across(codes, "crs", system, on("minx", "maxx", 0), on("miny", "maxy", 2))
-    box = along.select("raster_id", x.alias("x"), y.alias("y")).groupBy("raster_id").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
+    along = projections.moved_each(along.select("raster_id", "crs", on("minx", "maxx", 0).alias("x"), on("miny", "maxy", 2).alias("y")), codes, "crs", system)
+    box = along.groupBy("raster_id").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
     return meta.join(box, "raster_id")
 
 
@@ -319,12 +333,17 @@ def target_grid(meta: DataFrame, system: str, align_to: dict | None = None) -> d
     return {"a": a, "c": ox + col0 * a, "e": e, "f": oy + row0 * e, "width": math.ceil((r["x1"] - ox) / a - 1e-9) - col0, "height": math.ceil((r["y0"] - oy) / e - 1e-9) - row0, "crs": system}
 
 
-def reproject(pixels: DataFrame, meta: DataFrame, target: dict, method: str = "nearest") -> DataFrame:
+#: Target cells to a side of a block in which places are interpolated before refinement, and the error allowed, in source cells.
+BLOCK, TOLERANCE = 64, 0.125
+
+
+def reproject(pixels: DataFrame, meta: DataFrame, target: dict, method: str = "nearest", tolerance: float = TOLERANCE) -> DataFrame:
     """Pixels of every raster on the target grid (a, c, e, f, height, width, crs).
 
-    nearest and the kernels look up source cells around each target centre within a raster's extent; the others collect the source
-    cells whose centres fall into a target cell.  All are equi-joins on raster and cell.  Rasters that have the target's grid
-    are returned as they are (Q9 with equal crs).  Merged pixels, which carry no raster, belong to the only raster of ``meta``.
+    nearest and the kernels look up source cells around each target centre within a raster's extent; the others weigh the source
+    cells that a target cell overlaps by their shares.  Places in another system are exact at the nodes of a grid that is as fine as ``tolerance``
+    needs, and bilinear between them.  Rasters that have the target's grid are returned as they are (Q9 with equal crs).  Merged
+    pixels, which carry no raster, belong to the only raster of ``meta``.
     """
     if method not in METHODS:
         raise ValueError(f"unsupported resampling {method}")
@@ -339,30 +358,130 @@ def reproject(pixels: DataFrame, meta: DataFrame, target: dict, method: str = "n
     odd = meta.filter(~same)
     if odd.isEmpty():
         return pixels
-    out = _resampled(pixels, odd, target, method)
+    out = _resampled(pixels, odd, target, method, tolerance)
     return out.unionByName(pixels.join(meta.filter(same).select("raster_id"), "raster_id", "left_semi").select(*out.columns))
 
 
-def _resampled(pixels: DataFrame, meta: DataFrame, target: dict, method: str) -> DataFrame:
+def _blocks(boxes: DataFrame, codes: list[str], target: dict, tolerance: float) -> DataFrame:
+    """(raster_id, r0, c0, n, p): blocks of n x n target cells, p being the source places (sx, sy) of their corners.
+
+    The places at the middle and the sides' middles of blocks of ``BLOCK`` cells show the error of interpolation there.  It falls with
+    the square of the size, so each block is cut as finely as it needs, with a factor of two to spare, and the nodes projected.
+    """
+
+    def placed(df: DataFrame, steps: list[tuple[float, float]]) -> DataFrame:
+        own = [c for c in df.columns if c not in ("a", "c", "e", "f", "crs")]
+        k = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.lit(u).alias("u"), F.lit(v).alias("v")) for i, (u, v) in enumerate(steps))))
+        at = df.withColumn("_k", k).withColumns({"x": target["c"] + (F.col("c0") + F.col("_k.v") * F.col("n")) * target["a"], "y": target["f"] + (F.col("r0") + F.col("_k.u") * F.col("n")) * target["e"]})
+        at = projections.moved_each(at, codes, "crs", target["crs"], back=True)
+        sx, sy = (F.col("x") - F.col("c")) / F.col("a"), (F.col("y") - F.col("f")) / F.col("e")
+        point = F.struct(F.col("_k.k").alias("k"), sx.alias("sx"), sy.alias("sy"))
+        # At most nine points a block.
+        return at.groupBy(*own, "a", "c", "e", "f", "crs").agg(F.array_sort(F.collect_list(point)).alias("p"))
+
+    first = lambda k: F.expr(f"explode(sequence({k}0 div {BLOCK} * {BLOCK}, {k}1, {BLOCK}L))")
+    rough = boxes.withColumn("_r", first("r")).withColumn("_c", first("c")).select("raster_id", *_GRID, F.col("_r").alias("r0"), F.col("_c").alias("c0"), F.lit(BLOCK).alias("n"))
+    rough = placed(rough, [(0, 0), (0, 1), (1, 0), (1, 1), (0.5, 0.5), (0, 0.5), (0.5, 0), (0.5, 1), (1, 0.5)])
+    p = F.col("p")
+    mean = lambda k, *at: sum(p[i][k] for i in at) / len(at)
+    tests = {4: (0, 1, 2, 3), 5: (0, 1), 6: (0, 2), 7: (1, 3), 8: (2, 3)}
+    error = F.greatest(*(F.abs(p[i][k] - mean(k, *at)) for i, at in tests.items() for k in ("sx", "sy")))
+    most = BLOCK.bit_length() - 1
+    cuts = F.lit(most) if tolerance <= 0 else F.least(F.lit(most), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(2 * error / tolerance, F.lit(1e-9))) / 2)))
+    fine = rough.withColumn("n", F.pow(F.lit(2.0), most - cuts).cast("int")).drop("p")
+    step = lambda k: F.explode(F.expr(f"sequence({k}0, {k}0 + {BLOCK} - n, cast(n as long))"))
+    fine = fine.withColumn("_r", step("r")).withColumn("_c", step("c")).withColumns({"r0": F.col("_r"), "c0": F.col("_c")}).drop("_r", "_c")
+    return placed(fine, [(0, 0), (0, 1), (1, 0), (1, 1)]).select("raster_id", "r0", "c0", "n", "p")
+
+
+def source_places(meta: DataFrame, target: dict, corners: bool = False, tolerance: float = TOLERANCE) -> DataFrame:
+    """(raster_id, row, col, sx, sy) of the target cells over each raster: where their centres lie in the raster, in its cells.
+
+    With ``corners`` the box x0, x1, y0, y1 about the places of a cell's corners stands for the centre.
+    """
     codes = sorted(r[0] for r in meta.select("crs").distinct().collect())
-    cell = ["raster_id", "source_ord", *CELL]
-    if method in AREA or method == "mode":
-        at = pixels.join(meta.select("raster_id", *_GRID), "raster_id")
-        x, y = _across(codes, "crs", target["crs"], F.col("c") + (F.col("col") + 0.5) * F.col("a"), F.col("f") + (F.col("row") + 0.5) * F.col("e"))
-        at = at.select("raster_id", "source_ord", "band", "value", F.floor((y - target["f"]) / target["e"]).cast("long").alias("row"), F.floor((x - target["c"]) / target["a"]).cast("long").alias("col"))
-        at = at.filter(F.col("row").between(0, target["height"] - 1) & F.col("col").between(0, target["width"] - 1))
-        if method == "mode":
-            tally = at.filter("value is not null").groupBy(*cell, "value").count()
-            return tally.groupBy(*cell).agg(F.max_by("value", F.struct("count", -F.col("value"))).alias("value"))
-        return at.groupBy(*cell).agg(AREA[method]().alias("value"))
     boxes = extents_in(meta.select("raster_id", *_GRID, "height", "width"), target["crs"])
     ends = lambda lo, hi, o, s, n: (F.greatest(F.lit(0), F.floor(F.least((F.col(lo) - target[o]) / target[s], (F.col(hi) - target[o]) / target[s]))).cast("long"), F.least(F.lit(n - 1), F.ceil(F.greatest((F.col(lo) - target[o]) / target[s], (F.col(hi) - target[o]) / target[s]))).cast("long"))
     r0, r1 = ends("miny", "maxy", "f", "e", target["height"])
     c0, c1 = ends("minx", "maxx", "c", "a", target["width"])
-    grid = boxes.withColumns({"r0": r0, "r1": r1, "c0": c0, "c1": c1}).filter("r0 <= r1 and c0 <= c1")
-    grid = grid.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
-    x, y = _back(codes, "crs", target["crs"], target["c"] + (F.col("col") + 0.5) * target["a"], target["f"] + (F.col("row") + 0.5) * target["e"])
-    grid = grid.select("raster_id", "row", "col", ((x - F.col("c")) / F.col("a")).alias("sx"), ((y - F.col("f")) / F.col("e")).alias("sy"))
+    boxes = boxes.withColumns({"r0": r0, "r1": r1, "c0": c0, "c1": c1}).filter("r0 <= r1 and c0 <= c1")
+    out = []
+    row, col = F.col("row"), F.col("col")
+
+    def places(cells: DataFrame, at: Callable[[Column, Column], tuple[Column, Column]]) -> DataFrame:
+        if not corners:
+            sx, sy = at(row + 0.5, col + 0.5)
+            return cells.select("raster_id", "row", "col", sx.alias("sx"), sy.alias("sy"))
+        xs, ys = zip(*(at(row + i, col + j) for i in (0, 1) for j in (0, 1)))
+        return cells.select("raster_id", "row", "col", F.least(*xs).alias("x0"), F.greatest(*xs).alias("x1"), F.least(*ys).alias("y0"), F.greatest(*ys).alias("y1"))
+
+    if target["crs"] in codes:
+        own = boxes.filter(F.col("crs") == target["crs"]).withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
+        out.append(places(own, lambda r, c: ((target["c"] + c * target["a"] - F.col("c")) / F.col("a"), (target["f"] + r * target["e"] - F.col("f")) / F.col("e"))))
+    others = [k for k in codes if k != target["crs"]]
+    if others:
+        blocks = _blocks(boxes.filter(F.col("crs") != target["crs"]), others, target, tolerance)
+        inner = F.expr("sequence(0L, cast(n - 1 as long))")
+        cells = blocks.withColumn("row", F.explode(inner)).withColumn("col", F.explode(inner)).withColumns({"row": F.col("row") + F.col("r0"), "col": F.col("col") + F.col("c0")})
+        cells = cells.filter((row < target["height"]) & (col < target["width"]))
+
+        def between(r: Column, c: Column) -> tuple[Column, Column]:
+            u, v, p = (r - F.col("r0")) / F.col("n"), (c - F.col("c0")) / F.col("n"), F.col("p")
+            return tuple((p[0][k] * (1 - v) + p[1][k] * v) * (1 - u) + (p[2][k] * (1 - v) + p[3][k] * v) * u for k in ("sx", "sy"))
+
+        out.append(places(cells, between))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def _covered(lo: Column, hi: Column) -> Column:
+    """The whole cells that an interval enters."""
+    return F.sequence(F.floor(lo + LEAST_SHARE).cast("long"), F.greatest(F.floor(lo + LEAST_SHARE), F.ceil(hi - LEAST_SHARE) - 1).cast("long"))
+
+
+def _common(lo: Column, hi: Column, cell: Column) -> Column:
+    return F.least(hi, cell + 1) - F.greatest(lo, cell)
+
+
+def shares(pixels: DataFrame, meta: DataFrame, target: dict, tolerance: float = TOLERANCE) -> DataFrame:
+    """(raster_id, source_ord, band, row, col, value, w): source cells under each target cell, w being the part of the source cell that it has.
+
+    In the target's own system each source cell is dealt to the target cells that it overlaps, without a join.  In another system a
+    target cell has the cells of the box about its corners' places, which are joined.
+    """
+    kept = ["raster_id", "source_ord", *CELL, "value", "w"]
+    own, other = meta.filter(F.col("crs") == target["crs"]), meta.filter(F.col("crs") != target["crs"])
+    at = pixels.join(own.select("raster_id", *_GRID), "raster_id")
+    ends = lambda k, o, s: tuple((F.col(o) + (F.col(k) + i) * F.col(s) - target[o]) / target[s] for i in (0, 1))
+    (x, x1), (y, y1) = ends("col", "c", "a"), ends("row", "f", "e")
+    at = at.select("raster_id", "source_ord", "band", "value", *(f(v, w).alias(n) for n, f, v, w in (("x0", F.least, x, x1), ("x1", F.greatest, x, x1), ("y0", F.least, y, y1), ("y1", F.greatest, y, y1))))
+    at = at.filter((F.col("x1") > 0) & (F.col("x0") < target["width"]) & (F.col("y1") > 0) & (F.col("y0") < target["height"]))
+    at = at.withColumn("row", F.explode(_covered(F.col("y0"), F.col("y1")))).withColumn("col", F.explode(_covered(F.col("x0"), F.col("x1"))))
+    part = _common(F.col("x0"), F.col("x1"), F.col("col")) * _common(F.col("y0"), F.col("y1"), F.col("row")) / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    at = at.withColumn("w", part).filter((F.col("w") > LEAST_SHARE) & F.col("row").between(0, target["height"] - 1) & F.col("col").between(0, target["width"] - 1)).select(*kept)
+    if other.isEmpty():
+        return at
+    cells = source_places(other, target, corners=True, tolerance=tolerance)
+    cells = cells.withColumn("sr", F.explode(_covered(F.col("y0"), F.col("y1")))).withColumn("sc", F.explode(_covered(F.col("x0"), F.col("x1"))))
+    cells = cells.withColumn("w", _common(F.col("x0"), F.col("x1"), F.col("sc")) * _common(F.col("y0"), F.col("y1"), F.col("sr"))).filter(F.col("w") > LEAST_SHARE)
+    source = pixels.select("raster_id", "source_ord", "band", F.col("row").alias("sr"), F.col("col").alias("sc"), "value")
+    return at.unionByName(cells.join(source, ["raster_id", "sr", "sc"]).select(*kept))
+
+
+def _resampled(pixels: DataFrame, meta: DataFrame, target: dict, method: str, tolerance: float) -> DataFrame:
+    cell = ["raster_id", "source_ord", *CELL]
+    if method in AREA:
+        return shares(pixels, meta, target, tolerance).groupBy(*cell).agg(AREA[method]().alias("value"))
+    if method in QUANTILES or method == "mode":
+        each = shares(pixels, meta, target, tolerance).groupBy(*cell, "value").agg(F.sum("w").alias("w"))
+        if method == "mode":
+            # Of equal shares the smallest value.
+            return each.groupBy(*cell).agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.struct(F.round("w", 9), -F.col("value")))).alias("value"))
+        valid = F.when(F.col("value").isNotNull(), F.col("w"))
+        here = Window.partitionBy(*cell)
+        each = each.withColumns({"below": F.sum(valid).over(here.orderBy(F.col("value").asc_nulls_last())), "all": F.sum(valid).over(here)})
+        enough = F.col("below") >= (QUANTILES[method] - LEAST_SHARE) * F.col("all")
+        return each.groupBy(*cell).agg(F.min(F.when(enough, F.col("value"))).alias("value"))
+    grid = source_places(meta, target, tolerance=tolerance)
     source = pixels.select("raster_id", "source_ord", "band", F.col("row").alias("sr"), F.col("col").alias("sc"), "value")
     if method == "nearest":
         at = grid.withColumns({"sr": F.floor("sy").cast("long"), "sc": F.floor("sx").cast("long")})
@@ -381,7 +500,7 @@ def align(pixels: DataFrame, meta: DataFrame, to: DataFrame, method: str = "near
     return reproject_and_merge(pixels, meta, None, method, None, to)
 
 
-def reproject_and_merge(pixels: DataFrame, meta: DataFrame, system: str | None, method: str, rule: str | Callable[[pd.Series], float] | None = "first", to: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def reproject_and_merge(pixels: DataFrame, meta: DataFrame, system: str | None, method: str, rule: str | Rule | None = "first", to: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Every raster on one grid of a reference system, then merged by a rule; pixels and metadata.
 
     The grid has the cells of ``to`` (one row of metadata) or else of the first raster, and covers all rasters, so each pixel is
@@ -396,7 +515,7 @@ def reproject_and_merge(pixels: DataFrame, meta: DataFrame, system: str | None,
     return (out if rule is None else merge(out, rule)), made
 
 
-def align_and_merge(pixels: DataFrame, meta: DataFrame, to: DataFrame, method: str, rule: str | Callable[[pd.Series], float] = "first") -> tuple[DataFrame, DataFrame]:
+def align_and_merge(pixels: DataFrame, meta: DataFrame, to: DataFrame, method: str, rule: str | Rule = "first") -> tuple[DataFrame, DataFrame]:
     """Every raster on the grid of another one, then merged by a rule."""
     return reproject_and_merge(pixels, meta, None, method, rule, to)
 

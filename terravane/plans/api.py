@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crs, names, soil_math
-from ..operators import geometry, ndvi, raster, soil
+from ..operators import geometry, ndvi, overlay, raster, soil
 from ..sources import catalog
 
 #: Values that can be asked for, with the prefix of their columns (fixed values: names of the public data products).
@@ -129,8 +129,8 @@ def vegetation_of(geometries: DataFrame, year: int, month: int, tiles: DataFrame
 
 
 def projected(points: DataFrame, system: str) -> DataFrame:
-    x, y = crs.project(system, F.col("x"), F.col("y"))
-    return points.select("point_id", x.alias("x"), y.alias("y"))
+    """(point_id, x, y) in a reference system, from longitude and latitude."""
+    return crs.moved(points.select("point_id", "x", "y"), "EPSG:4326", system)
 
 
 def placed(points: DataFrame, meta: DataFrame, own_zone: bool = False) -> DataFrame:
@@ -236,7 +236,8 @@ def soil_components(tables: dict[str, DataFrame], top: float, bottom: float) ->
 def soil_components_of(geometries: DataFrame, units: DataFrame, tables: dict[str, DataFrame], top: float, bottom: float, crop: bool = True) -> DataFrame:
     """Primary soil components of the map units that geometries meet (E8, G10-G13): units (mukey, rings) are dissolved by key.
 
-    With ``crop`` there is a row for each convex geometry and part of a unit, cut to it; otherwise one for each unit, with its parts.
+    With ``crop`` there is a row for each geometry and piece of a unit (parts and area of what they have in common), whatever their shapes;
+    otherwise one for each unit, with the parts and area of its union.
     """
     pieces = units.withColumn("geom_id", F.monotonically_increasing_id())
     hit = geometry.polygons_meeting(pieces, geometries).select(F.col("left_id").alias("geom_id"))
@@ -244,6 +245,6 @@ def soil_components_of(geometries: DataFrame, units: DataFrame, tables: dict[str
     own = tables | {"mapunit": tables["mapunit"].join(near.select("mukey"), "mukey", "left_semi")}
     out = soil_components(own, top, bottom)
     if not crop:
-        return out.join(geometry.dissolved(near, "mukey"), "mukey")
-    cut = geometry.clipped_to(near, geometries).join(near.select("geom_id", "mukey"), "geom_id").select("mukey", "area_id", "rings")
+        return out.join(overlay.dissolved(near, "mukey"), "mukey")
+    cut = overlay.clipped_to(near, geometries).join(near.select("geom_id", "mukey"), "geom_id").select("mukey", "area_id", "parts", "area")
     return out.join(cut, "mukey")

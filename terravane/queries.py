@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +61,11 @@ _RULE_SQL = {
 
 def _merge_query(rule: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return raster.merge(_pixels(spark, sf), rule).select("row", "col", _r(F.col("value").cast("double")).alias("value"))
+        # Means of hundredths end or repeat before place ten, so no tie depends on the order of a sum.
+        return raster.merge(_pixels(spark, sf), rule).select("row", "col", _r(F.col("value").cast("double"), 10).alias("value"))
 
     run.__name__ = f"merge_{rule}"
-    query(f'WITH {PX} SELECT r AS "row", c AS col, round(CAST({_RULE_SQL[rule]} AS DOUBLE), 6) AS value FROM px GROUP BY 1, 2')(run)
+    query(f'WITH {PX} SELECT r AS "row", c AS col, round(CAST({_RULE_SQL[rule]} AS DOUBLE), 10) AS value FROM px GROUP BY 1, 2')(run)
 
 
 for _rule in _RULE_SQL:
@@ -80,9 +82,28 @@ def merge_variance_of_given_mean(spark, sf):
     return raster.merge_variance(_pixels(spark, sf), _first(spark, sf)).select("row", "col", _r("value", 8).alias("value"))
 
 
+def _median(stack: np.ndarray) -> np.ndarray:
+    """The middle of the valid values of each cell; missing ones sort last."""
+    stack = np.sort(stack, axis=0)
+    n, at = np.sum(~np.isnan(stack), axis=0), np.arange(stack.shape[1])
+    return (stack[np.maximum(n - 1, 0) // 2, at] + stack[np.minimum(n // 2, len(stack) - 1), at]) / 2
+
+
+def _smoothed(merged: np.ndarray, new: np.ndarray, merged_mask: np.ndarray, new_mask: np.ndarray) -> None:
+    """A quarter of each later source over three quarters of what the earlier ones gave."""
+    both = ~merged_mask & ~new_mask
+    np.copyto(merged, new, where=merged_mask)
+    merged[both] = merged[both] * 0.75 + new[both] * 0.25
+
+
 @query(f'WITH {PX} SELECT r AS "row", c AS col, round(median(v), 6) AS value FROM px GROUP BY 1, 2')
 def merge_custom_median(spark, sf):
-    return raster.merge(_pixels(spark, sf), lambda v: v.median()).select("row", "col", _r("value").alias("value"))
+    return raster.merge(_pixels(spark, sf), _median).select("row", "col", _r("value").alias("value"))
+
+
+@query(f'WITH {PX} SELECT r AS "row", c AS col, round(list_reduce(list(v ORDER BY source_ord) FILTER (WHERE v IS NOT NULL), lambda a, b: a * 0.75 + b * 0.25), 10) AS value FROM px GROUP BY 1, 2')
+def merge_custom_fold(spark, sf):
+    return raster.merge(_pixels(spark, sf), _smoothed).select("row", "col", _r("value", 10).alias("value"))
 
 
 _BANDS_SQL = ", ".join(f"max(CASE WHEN source_ord = {k} THEN v END) AS b{k}" for k in range(1, 8))
@@ -481,25 +502,41 @@ def orbit_swath(spark, sf):
 
 
 _TARGET = {"a": 64 / 24, "c": 0.0, "e": -64 / 24, "f": 64.0, "height": 24, "width": 24, "crs": "EPSG:32614"}
-_UNDER = 'SELECT CAST(floor((r + 0.5) / (64.0 / 24)) AS BIGINT) AS "row", CAST(floor((c + 0.5) / (64.0 / 24)) AS BIGINT) AS col, v FROM f'
-_AREA_SQL = {"average": "avg(v)", "max": "max(v)", "min": "min(v)", "sum": "sum(v)", "rms": "sqrt(avg(v * v))", "med": "quantile_cont(v, 0.5)", "q1": "quantile_cont(v, 0.25)", "q3": "quantile_cont(v, 0.75)"}
 
 
-def _resample_query(method: str) -> None:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return raster.reproject(_first(spark, sf), _meta(spark), _TARGET, method).select("row", "col", _r("value").alias("value"))
+def _over(cells: int) -> str:
+    """Source cells over each of ``cells`` x ``cells`` target cells, with the part that the target cell has."""
+    s = f"CAST(64.0 / {cells} AS DOUBLE)"
+    return f"""o AS (SELECT i AS "row", j AS col, v, (least(r + 1, (i + 1) * {s}) - greatest(r, i * {s})) * (least(c + 1, (j + 1) * {s}) - greatest(c, j * {s})) AS w
+        FROM f JOIN range({cells}) AS a(i) ON r < (i + 1) * {s} AND r + 1 > i * {s} JOIN range({cells}) AS b(j) ON c < (j + 1) * {s} AND c + 1 > j * {s}), u AS (SELECT * FROM o WHERE w > 1e-9)"""
+
+
+_VALID = "sum(w) FILTER (WHERE v IS NOT NULL)"
+_AREA_SQL = {"average": f"sum(w * v) / {_VALID}", "max": "max(v)", "min": "min(v)", "sum": "sum(w * v)", "rms": f"sqrt(sum(w * v * v) / {_VALID})"}
+_BELOW = ", e AS (SELECT \"row\", col, v, sum(w) AS w FROM u GROUP BY 1, 2, 3), q AS (SELECT *, sum(CASE WHEN v IS NOT NULL THEN w END) OVER (PARTITION BY \"row\", col ORDER BY v NULLS LAST) AS below, sum(CASE WHEN v IS NOT NULL THEN w END) OVER (PARTITION BY \"row\", col) AS whole FROM e)"
 
-    run.__name__ = f"resample_{method}"
-    query(f'WITH {_FIRST_SQL}, u AS ({_UNDER}) SELECT "row", col, round({_AREA_SQL[method]}, 6) AS value FROM u GROUP BY 1, 2')(run)
 
+def _resample_query(method: str, name: str, cells: int) -> None:
+    """A grid of ``cells`` x ``cells`` over 64 x 64: neither whole multiples of the source's cells nor whole parts of them."""
+    target = {"a": 64 / cells, "c": 0.0, "e": -64 / cells, "f": 64.0, "height": cells, "width": cells, "crs": "EPSG:32614"}
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return raster.reproject(_first(spark, sf), _meta(spark), target, method).select("row", "col", _r("value", 10).alias("value"))
 
-for _method in _AREA_SQL:
-    _resample_query(_method)
+    run.__name__ = f"{name}_{method}"
+    head = f"WITH {_FIRST_SQL}, {_over(cells)}"
+    if method in raster.QUANTILES:
+        sql = f'{head}{_BELOW} SELECT "row", col, min(CASE WHEN below >= ({raster.QUANTILES[method]} - 1e-9) * whole THEN v END) AS value FROM q GROUP BY 1, 2'
+    elif method == "mode":
+        sql = f'{head}, n AS (SELECT "row", col, v, round(sum(w), 9) AS k FROM u GROUP BY 1, 2, 3) SELECT "row", col, arg_min(v, (-k, v)) FILTER (WHERE v IS NOT NULL) AS value FROM n GROUP BY 1, 2'
+    else:
+        sql = f'{head} SELECT "row", col, round({_AREA_SQL[method]}, 10) AS value FROM u GROUP BY 1, 2'
+    query(sql)(run)
 
 
-@query(f'WITH {_FIRST_SQL}, u AS ({_UNDER}), n AS (SELECT "row", col, v, count(*) AS k FROM u WHERE v IS NOT NULL GROUP BY 1, 2, 3) SELECT "row", col, round(arg_min(v, (-k, v)), 6) AS value FROM n GROUP BY 1, 2')
-def resample_mode(spark, sf):
-    return raster.reproject(_first(spark, sf), _meta(spark), _TARGET, "mode").select("row", "col", _r("value").alias("value"))
+for _method in (*raster.AREA, *raster.QUANTILES, "mode"):
+    _resample_query(_method, "resample", 24)
+    _resample_query(_method, "resample_finer", 96)
 
 
 @query(f'WITH {_FIRST_SQL}, g AS (SELECT i AS "row", j AS col, CAST(floor((i + 0.5) * (64.0 / 24)) AS BIGINT) AS r, CAST(floor((j + 0.5) * (64.0 / 24)) AS BIGINT) AS c FROM range(24) AS a(i), range(24) AS b(j)) SELECT "row", col, v AS value FROM g JOIN f USING (r, c)')
@@ -509,9 +546,9 @@ def reproject_nearest(spark, sf):
 
 @query(f"""WITH {_FIRST_SQL}, g AS (SELECT i, j, (i + 0.5) * (64.0 / 24) AS y, (j + 0.5) * (64.0 / 24) AS x FROM range(24) AS a(i), range(24) AS b(j)),
     w AS (SELECT i, j, v, greatest(0, 1 - abs(y - r - 0.5)) * greatest(0, 1 - abs(x - c - 0.5)) AS w FROM g JOIN f ON abs(y - r - 0.5) <= 1 AND abs(x - c - 0.5) <= 1 WHERE v IS NOT NULL)
-    SELECT i AS "row", j AS col, round(sum(w * v) / nullif(sum(w), 0), 6) AS value FROM w GROUP BY 1, 2 HAVING sum(w) > 0""")
+    SELECT i AS "row", j AS col, round(sum(w * v) / nullif(sum(w), 0), 10) AS value FROM w GROUP BY 1, 2 HAVING sum(w) > 0""")
 def reproject_bilinear(spark, sf):
-    return raster.reproject(_first(spark, sf), _meta(spark), _TARGET, "bilinear").filter("value is not null").select("row", "col", _r("value").alias("value"))
+    return raster.reproject(_first(spark, sf), _meta(spark), _TARGET, "bilinear").filter("value is not null").select("row", "col", _r("value", 10).alias("value"))
 
 
 @query("SELECT p_partkey, CASE p_size % 10 WHEN 0 THEN 'SINK' WHEN 1 THEN 'E' WHEN 2 THEN 'SE' WHEN 4 THEN 'S' WHEN 8 THEN 'SW' END AS direction FROM part")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import crs, grid, names, soil_math
-from .operators import geometry, ndvi, raster
+from .operators import geometry, ndvi, overlay, raster
 from .plans import api
 from .queries import _FIRST_SQL, _SOIL, _SOIL_PX, _TARGET, LL, PX, _first, _lonlat, _meta, _pixels, _r, _soil_layers, _t, query, soil_survey_tables
 from .sources import catalog, files
@@ -49,29 +49,35 @@ def _spread(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 _SPREAD = "w AS (SELECT source_ord, r + 16 * (source_ord - 1) AS r, c + 16 * (source_ord - 1) AS c, v FROM px)"
 
 
-@query(f'WITH {PX}, {_SPREAD} SELECT r - 25 AS "row", c - 30 AS col, round(avg(v), 6) AS value FROM w WHERE r BETWEEN 25 AND 57 AND c BETWEEN 30 AND 80 GROUP BY 1, 2')
+@query(f'WITH {PX}, {_SPREAD} SELECT r - 25 AS "row", c - 30 AS col, round(avg(v), 10) AS value FROM w WHERE r BETWEEN 25 AND 57 AND c BETWEEN 30 AND 80 GROUP BY 1, 2')
 def merge_within_bounds(spark, sf):
     # Bounds within cells; an exact right edge takes one more column.
     pixels, meta = _spread(spark, sf)
-    return raster.merged_within(pixels, meta, (30.25, 6.5, 80.0, 38.75), "mean")[0].select("row", "col", _r("value").alias("value"))
+    return raster.merged_within(pixels, meta, (30.25, 6.5, 80.0, 38.75), "mean")[0].select("row", "col", _r("value", 10).alias("value"))
 
 
-@query("SELECT CAST(64 - 7 AS DOUBLE) - 25 + 1 AS height, 51.0 AS width, 30.0 AS c, 39.0 AS f")
+@query("""WITH m AS (SELECT 0.5 * (1 + min(s_suppkey) % 3) AS a, min(s_suppkey) * 0.25 + 10 AS c, 64 - arg_min(s_nationkey, s_suppkey) * 0.125 AS f FROM supplier),
+    k AS (SELECT *, floor((30.3 - c) / a) AS x0, floor((80.3 - c) / a) + 1 AS x1, floor((f - 38.7) / a) AS y0, floor((f - 6.6) / a) + 1 AS y1 FROM m)
+    SELECT CAST(y1 - y0 AS DOUBLE) AS height, CAST(x1 - x0 AS DOUBLE) AS width, CAST(c + x0 * a AS DOUBLE) AS c, CAST(f - y0 * a AS DOUBLE) AS f FROM k""")
 def merge_bounds_grid(spark, sf):
-    pixels, meta = _spread(spark, sf)
-    return raster.merged_within(pixels, meta, (30.25, 6.5, 80.0, 38.75))[1].select(F.col("height").cast("double").alias("height"), F.col("width").cast("double").alias("width"), "c", "f")
+    # A raster for each supplier; the first one's grid decides.
+    size = 0.5 * (1 + F.col("s_suppkey") % 3)
+    meta = _t(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("raster_id"), F.col("s_suppkey").alias("source_ord"), size.alias("a"), F.lit(0.0).alias("b"), (F.col("s_suppkey") * 0.25 + 10).alias("c"), F.lit(0.0).alias("d"), (-size).alias("e"), (64 - F.col("s_nationkey") * 0.125).alias("f"), F.lit(64).alias("height"), F.lit(64).alias("width"), F.lit("EPSG:32614").alias("crs"))
+    cells = meta.select("raster_id", "source_ord", F.lit(1).alias("band"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("col"), F.lit(1.0).alias("value"))
+    grid_of = raster.merged_within(cells, meta, (30.3, 6.6, 80.3, 38.7), allow_resampling=True)[1]
+    return grid_of.select(F.col("height").cast("double").alias("height"), F.col("width").cast("double").alias("width"), "c", "f")
 
 
 def _kernel(name: str, reach: int, sql: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        # Weights of 256ths give cubic means that end in a five at place seven: twelve places drop what the order of the sum adds to them.
-        return raster.reproject(_first(spark, sf), _meta(spark), _TARGET, name).filter("value is not null").select("row", "col", _r(_r("value", 12)).alias("value"))
+        # Weights of 256ths give means that end at place ten, so none is a tie there that depends on the order of the sum.
+        return raster.reproject(_first(spark, sf), _meta(spark), _TARGET, name).filter("value is not null").select("row", "col", _r("value", 10).alias("value"))
 
     run.__name__ = f"reproject_{name}"
     weight = lambda t: "(" + re.sub(r"\bT\b", f"abs({t})", sql) + ")"
     query(f"""WITH {_FIRST_SQL}, g AS (SELECT i, j, (i + 0.5) * CAST(64.0 / 24 AS DOUBLE) AS y, (j + 0.5) * CAST(64.0 / 24 AS DOUBLE) AS x FROM range(24) AS a(i), range(24) AS b(j)),
         w AS (SELECT i, j, v, {weight('y - r - 0.5')} * {weight('x - c - 0.5')} AS w FROM g JOIN f ON r BETWEEN floor(y - 0.5) + {1 - reach} AND floor(y - 0.5) + {reach} AND c BETWEEN floor(x - 0.5) + {1 - reach} AND floor(x - 0.5) + {reach} WHERE v IS NOT NULL)
-        SELECT i AS "row", j AS col, round(sum(w * v) / nullif(sum(w), 0), 6) AS value FROM w GROUP BY 1, 2 HAVING sum(w) <> 0""")(run)
+        SELECT i AS "row", j AS col, round(sum(w * v) / nullif(sum(w), 0), 10) AS value FROM w GROUP BY 1, 2 HAVING sum(w) <> 0""")(run)
 
 
 _kernel("cubic", 2, "CASE WHEN T <= 1 THEN 1.5 * T * T * T - 2.5 * T * T + 1 WHEN T < 2 THEN -0.5 * T * T * T + 2.5 * T * T - 4 * T + 2 ELSE 0 END")
@@ -80,10 +86,30 @@ _kernel("lanczos", 3, "CASE WHEN T = 0 THEN 1 WHEN T < 3 THEN 3 * sin(pi() * T)
 _kernel("gauss", 2, "CASE WHEN T < 2 THEN pow(2.0, -T * T) ELSE 0 END")
 
 
-@query(f'WITH {PX}, {_SPREAD} SELECT CAST(source_ord AS VARCHAR) AS raster_id, CAST(floor((r + 0.5) / 4) AS BIGINT) AS "row", CAST(floor((c + 0.5) / 4) AS BIGINT) AS col, round(avg(v), 6) AS value FROM w GROUP BY 1, 2, 3')
+def _lonlat_sql() -> str:
+    """Longitude and latitude of (i, j, east, north) of a zone whose middle is 99 degrees west, a step a table."""
+    n, radius, _, beta = crs._series(crs.WGS84[1])
+    k = crs.UTM_SCALE * crs.WGS84[0] * radius
+    term = lambda f, g: "".join(f" - {b!r} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, b in enumerate(beta, 1))
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    return f"""p1 AS (SELECT i, j, north / {k!r} AS xi, (east - 500000) / {k!r} AS eta FROM g), p2 AS (SELECT i, j, xi{term('sin', 'cosh')} AS xp, eta{term('cos', 'sinh')} AS ep FROM p1),
+        p3 AS (SELECT *, asin(sin(xp) / cosh(ep)) AS chi FROM p2), ll AS (SELECT i, j, -99 + degrees(atan2(sinh(ep), cos(xp))) AS lon, degrees(chi{"".join(f" + {d!r} * sin({2 * m} * chi)" for m, d in enumerate(delta, 1))}) AS lat FROM p3)"""
+
+
+# A raster in hundredths of a degree on a grid of 1 km: every target centre is taken back to longitude and latitude.
+@query(f"""WITH {_FIRST_SQL}, g AS (SELECT i, j, 455000 + (j + 0.5) * 1000 AS east, 4430000 - (i + 0.5) * 1000 AS north FROM range(75) AS a(i), range(60) AS b(j)), {_lonlat_sql()}
+    SELECT i AS "row", j AS col, v AS value FROM ll JOIN f ON r = floor((40 - lat) / 0.01) AND c = floor((lon + 99.5) / 0.01)""")
+def reproject_across_systems(spark, sf):
+    meta = _tiles(spark, ("0", 0.01, -99.5, 40.0, 64, "EPSG:4326"))
+    target = {"a": 1000.0, "c": 455000.0, "e": -1000.0, "f": 4430000.0, "height": 75, "width": 60, "crs": "EPSG:32614"}
+    # Nodes at every cell, as the SQL has exact places.
+    return raster.reproject(_first(spark, sf), meta, target, "nearest", tolerance=0).select("row", "col", "value")
+
+
+@query(f'WITH {PX}, {_SPREAD} SELECT CAST(source_ord AS VARCHAR) AS raster_id, CAST(floor((r + 0.5) / 4) AS BIGINT) AS "row", CAST(floor((c + 0.5) / 4) AS BIGINT) AS col, round(avg(v), 10) AS value FROM w GROUP BY 1, 2, 3')
 def reproject_each_raster(spark, sf):
     target = {"a": 4.0, "c": 0.0, "e": -4.0, "f": 64.0, "height": 40, "width": 40, "crs": "EPSG:32614"}
-    return raster.reproject(*_spread(spark, sf), target, "average").select("raster_id", "row", "col", _r("value").alias("value"))
+    return raster.reproject(*_spread(spark, sf), target, "average").select("raster_id", "row", "col", _r("value", 10).alias("value"))
 
 
 # The other grid has cells of 4 whose borders lie one to the right and one above: the rasters' extent takes cells from -3 and 65 on.
@@ -99,9 +125,9 @@ def align_rasters(spark, sf):
     return raster.align(*_spread(spark, sf), _four(spark), "max")[0].select("raster_id", "row", "col", "value")
 
 
-@query(f'WITH {PX}, {_SPREAD}, e AS (SELECT source_ord, {_ON_FOUR}, avg(v) AS v FROM w GROUP BY 1, 2, 3) SELECT "row", col, round(avg(v), 6) AS value FROM e GROUP BY 1, 2')
+@query(f'WITH {PX}, {_SPREAD}, e AS (SELECT source_ord, {_ON_FOUR}, avg(v) AS v FROM w GROUP BY 1, 2, 3) SELECT "row", col, round(avg(v), 10) AS value FROM e GROUP BY 1, 2')
 def align_and_merge(spark, sf):
-    return raster.align_and_merge(*_spread(spark, sf), _four(spark), "average", "mean")[0].select("row", "col", _r("value").alias("value"))
+    return raster.align_and_merge(*_spread(spark, sf), _four(spark), "average", "mean")[0].select("row", "col", _r("value", 10).alias("value"))
 
 
 @query(f'WITH {PX}, {_SPREAD}, e AS (SELECT source_ord, r, c, v FROM w) SELECT r AS "row", c AS col, arg_min(v, CAST(source_ord AS VARCHAR)) FILTER (WHERE v IS NOT NULL) AS value FROM e GROUP BY 1, 2')
@@ -189,15 +215,64 @@ def clip_to_polygons(spark, sf):
     a, b = -125 + F.col("n_nationkey") * 2.0, 26.0 + F.col("n_nationkey") % 5 * 4
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     tri = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("geom_id"), F.array(F.array(point(a, b), point(a + 3, b), point(a, b + 3), point(a, b))).alias("rings"))
-    cut = geometry.clipped_to(_boxes_of(spark, sf), tri).select(F.col("geom_id").alias("c_custkey"), "area_id", geometry.area(F.col("rings")).alias("area"))
+    cut = overlay.clipped_to(_boxes_of(spark, sf), tri).select(F.col("geom_id").alias("c_custkey"), "area_id", "area")
     return cut.filter("area > 1e-9").select("c_custkey", "area_id", _r("area", 7).alias("area"))
 
 
+def _shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """For each nation an L of two squares of 3 and 1.5 (keys 0 to 24) and a square of 3 with a square hole of 1 (keys 100 to 124)."""
+    a, b = -125 + F.col("n_nationkey") * 2.0, 26.0 + F.col("n_nationkey") % 5 * 4
+    ring = lambda *at: F.array(*(F.struct((a + x).alias("x"), (b + y).alias("y")) for x, y in (*at, at[0])))
+    square = ring((0, 0), (3, 0), (3, 3), (0, 3))
+    each = F.array(F.struct(F.col("n_nationkey").alias("geom_id"), F.array(ring((0, 0), (3, 0), (3, 1.5), (1.5, 1.5), (1.5, 3), (0, 3))).alias("rings")), F.struct((F.col("n_nationkey") + 100).alias("geom_id"), F.array(square, ring((1, 1), (2, 1), (2, 2), (1, 2))).alias("rings")))
+    return _t(spark, sf, "nation").select(F.inline(each))
+
+
+# A box's part in a shape is its part in the outer square less that in the square that the shape lacks.
+_SHAPES = """s AS (SELECT n_nationkey AS k, -125 + n_nationkey * 2.0 AS a, 26.0 + n_nationkey % 5 * 4 AS b FROM nation),
+    t AS (SELECT k, a, b, 1.5 AS u0, 3.0 AS u1 FROM s UNION ALL SELECT k + 100, a, b, 1.0, 2.0 FROM s),
+    o AS (SELECT c_custkey, k, greatest(0, least(x1, a + 3) - greatest(x0, a)) * greatest(0, least(y1, b + 3) - greatest(y0, b)) AS outer_part, greatest(0, least(x1, a + u1) - greatest(x0, a + u0)) * greatest(0, least(y1, b + u1) - greatest(y0, b + u0)) AS lacking, (x1 - x0) * (y1 - y0) AS whole FROM b, t)"""
+
+
+@query(f"WITH {_EACH}, {_SHAPES} SELECT c_custkey, CAST(k AS BIGINT) AS area_id, round(outer_part - lacking, 7) AS area FROM o WHERE outer_part - lacking > 1e-9")
+def clip_to_concave(spark, sf):
+    cut = overlay.clipped_to(_boxes_of(spark, sf), _shapes(spark, sf)).filter("area > 1e-9")
+    return cut.select(F.col("geom_id").alias("c_custkey"), F.col("area_id").cast("long").alias("area_id"), _r("area", 7).alias("area"))
+
+
+# The same shapes as areas to keep out of: shapes of one kind do not overlap within a row of nations five apart.
+@query(f"WITH {_EACH}, {_SHAPES} SELECT c_custkey, round(any_value(whole) - sum(outer_part - lacking), 7) AS area FROM o WHERE k >= 100 GROUP BY 1 HAVING any_value(whole) - sum(outer_part - lacking) > 1e-9")
+def outside_of_shapes(spark, sf):
+    left = overlay.without(_boxes_of(spark, sf), _shapes(spark, sf).filter("geom_id >= 100")).filter("area > 1e-9")
+    return left.select(F.col("geom_id").alias("c_custkey"), _r("area", 7).alias("area"))
+
+
+# Boxes are whole hundredths, so a union's area and boundary can be counted in cells of a hundredth.
+_UNION_CELLS = "u AS (SELECT DISTINCT c_nationkey AS k, x, y FROM (SELECT c_nationkey, x, unnest(range(j, j + 30)) AS y FROM (SELECT c_nationkey, (c_custkey * 53) % 2400 AS j, unnest(range((c_custkey * 37) % 5800, (c_custkey * 37) % 5800 + 70)) AS x FROM customer)))"
+
+
+def _boxes_of_nations(spark: SparkSession, sf: str) -> DataFrame:
+    return _boxes_of(spark, sf).join(_lonlat(spark, sf).select(F.col("c_custkey").alias("geom_id"), "c_nationkey"), "geom_id")
+
+
+@query(f"WITH {_UNION_CELLS} SELECT k AS c_nationkey, round(count(*) / 10000.0, 6) AS area FROM u GROUP BY 1")
+def dissolved_area(spark, sf):
+    found = overlay.union_pieces(_boxes_of_nations(spark, sf), "c_nationkey")
+    return found.groupBy("c_nationkey").agg(_r(F.sum(overlay.piece_area())).alias("area"))
+
+
+@query(f"WITH {_UNION_CELLS}, n AS (SELECT u.k, u.x, u.y, d.dx, d.dy FROM u, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dx, dy)) SELECT n.k AS c_nationkey, round(count(*) / 100.0, 6) AS length FROM n WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.k = n.k AND u.x = n.x + n.dx AND u.y = n.y + n.dy) GROUP BY 1")
+def dissolved_boundary(spark, sf):
+    found = overlay.union_pieces(_boxes_of_nations(spark, sf), "c_nationkey")
+    long = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
+    return overlay.boundary(found, "c_nationkey").groupBy("c_nationkey").agg(_r(F.sum(long)).alias("length"))
+
+
 @query(f"WITH {_EACH}, p AS (SELECT s_suppkey, -125 + ((s_suppkey * 131) % 5870) / 100.0 AS x, 25 + ((s_suppkey * 71) % 2430) / 100.0 AS y FROM supplier) SELECT DISTINCT s_suppkey, c_nationkey AS nation FROM p JOIN (SELECT b.*, c_nationkey FROM b JOIN customer USING (c_custkey)) ON x > x0 AND x < x1 AND y > y0 AND y < y1")
 def inside_dissolved(spark, sf):
     # Boxes of one nation overlap; a point in two of them is inside their union.
     boxes = _boxes_of(spark, sf).join(_lonlat(spark, sf).select(F.col("c_custkey").alias("geom_id"), "c_nationkey"), "geom_id")
-    union = geometry.dissolved(boxes, "c_nationkey").withColumnRenamed("c_nationkey", "geom_id")
+    union = overlay.dissolved(boxes, "c_nationkey").withColumnRenamed("c_nationkey", "geom_id")
     p = _t(spark, sf, "supplier").select("s_suppkey", (F.lit(-125) + (F.col("s_suppkey") * 131 % 5870) / 100.0).alias("x"), (F.lit(25) + (F.col("s_suppkey") * 71 % 2430) / 100.0).alias("y"))
     return geometry.points_in_polygons(p, union).select("s_suppkey", F.col("geom_id").alias("nation"))
 
@@ -288,12 +363,16 @@ def tiles_and_orbits(spark, sf):
     return catalog.tiles_and_orbits(_boxes_of(spark, sf), tiles, orbits, 2.0)
 
 
-@query("SELECT DISTINCT CASE WHEN r_regionkey < 3 THEN 'low' ELSE 'high' END AS tile FROM region")
+# Ten strips, of which some overlap; the SQL tries all sets of them, a set's first tile in its highest bit.
+@query("""WITH t AS (SELECT n_nationkey AS k, 6 * (n_nationkey * 3 % 10) - 1.0 AS a, 6 * (n_nationkey * 3 % 10) + 7.0 + n_nationkey % 3 * 6 AS b FROM nation WHERE n_nationkey < 10),
+    g AS (SELECT (c_custkey * 37 % 5600) / 100.0 AS x0, (c_custkey * 37 % 5600) / 100.0 + 0.7 AS x1 FROM customer), p AS (SELECT DISTINCT unnest([a, b]) AS x FROM t), c AS (SELECT x AS lo, lead(x) OVER (ORDER BY x) AS hi FROM p),
+    need AS (SELECT DISTINCT CAST((SELECT sum(1 << CAST(9 - k AS INTEGER)) FROM t WHERE a <= lo AND hi <= b) AS BIGINT) AS m FROM c WHERE EXISTS (SELECT 1 FROM g WHERE x0 < hi AND x1 > lo)),
+    best AS (SELECT r.m FROM range(1, 1024) AS r(m) WHERE NOT EXISTS (SELECT 1 FROM need WHERE need.m & r.m = 0) ORDER BY bit_count(r.m), r.m DESC LIMIT 1)
+    SELECT concat('t', k) AS tile FROM t, best WHERE (m >> CAST(9 - k AS INTEGER)) & 1 = 1""")
 def min_tile_cover(spark, sf):
-    # Regions are intervals of length 10; two of the six tiles cover them all.
-    spans = _t(spark, sf, "region").select(F.col("r_regionkey").alias("geom_id"), (F.col("r_regionkey") * 10.0).alias("minx"), F.lit(0.0).alias("miny"), (F.col("r_regionkey") * 10.0 + 10).alias("maxx"), F.lit(5.0).alias("maxy"))
-    tiles = [("a", 0, 20), ("b", 20, 40), ("c", 10, 30), ("high", 30, 50), ("low", 0, 30), ("z", 40, 50)]
-    tiles = spark.createDataFrame([(t, float(x), 0.0, float(y), 5.0) for t, x, y in tiles], "tile_id string, minx double, miny double, maxx double, maxy double")
+    x, a = F.col("c_custkey") * 37 % 5600 / 100.0, 6 * (F.col("n_nationkey") * 3 % 10) - 1.0
+    spans = _t(spark, sf, "customer").select(F.col("c_custkey").alias("geom_id"), x.alias("minx"), F.lit(0.0).alias("miny"), (x + 0.7).alias("maxx"), F.lit(5.0).alias("maxy"))
+    tiles = _t(spark, sf, "nation").filter("n_nationkey < 10").select(F.format_string("t%d", "n_nationkey").alias("tile_id"), a.alias("minx"), F.lit(0.0).alias("miny"), (a + 8 + F.col("n_nationkey") % 3 * 6).alias("maxx"), F.lit(5.0).alias("maxy"))
     return catalog.select_tiles(geometry.boxes_as_polygons(spans), tiles).select(F.col("tile_id").alias("tile"))
 
 
@@ -390,9 +469,8 @@ def point_ndvi_zones(spark, sf):
     fine = lambda k: F.when(F.col("band") == "SCL", F.col(k)).otherwise(F.col(k) * 2)
     pixels = b.withColumns({"row": fine("row"), "col": fine("col")})
     meta = _tiles(spark, ("z14", 10.0, 500000.0, 4400000.0, 70, "EPSG:32614"), ("z15", 10.0, 500000.0, 4400000.0, 70, "EPSG:32615"))
-    p, z = _t(spark, sf, "supplier"), F.when(F.col("s_suppkey") % 2 == 0, 14).otherwise(15)
-    lon, lat = crs.from_utm(500000.0 + (F.col("s_suppkey") % 70 + 0.5) * 10, 4400000.0 - (F.col("s_suppkey") * 7 % 70 + 0.5) * 10, z)
-    points = p.select(F.col("s_suppkey").alias("point_id"), lon.alias("x"), lat.alias("y"))
+    places = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("point_id"), F.when(F.col("s_suppkey") % 2 == 0, "EPSG:32614").otherwise("EPSG:32615").alias("zone"), (500000.0 + (F.col("s_suppkey") % 70 + 0.5) * 10).alias("x"), (4400000.0 - (F.col("s_suppkey") * 7 % 70 + 0.5) * 10).alias("y"))
+    points = crs.moved_each(places, ["EPSG:32614", "EPSG:32615"], "zone", "EPSG:4326").select("point_id", "x", "y")
     out = api.fetch_point_data(points, ["sentinel2_ndvi"], {"scene_pixels": pixels, "scene_meta": meta}, year=1997, month=4)
     return out.select("point_id", *(_r(f"sentinel2_ndvi_{s}").alias(s) for s in ndvi.STATS))
 
@@ -418,11 +496,11 @@ def point_soil(spark, sf):
 
 
 # Elevation: sources side by side as degree tiles of four cells, those named after a tile that the area touches.
-@query('WITH e AS (SELECT l_linenumber AS k, l_orderkey % 4 AS r, l_partkey % 4 AS c, max(l_discount) AS v FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2, 3), w AS (SELECT r, c + 4 * (k - 1) AS c, v FROM e) SELECT r AS "row", c AS col, v AS value FROM w WHERE r BETWEEN 1 AND 2 AND c BETWEEN 2 AND 9')
+@query('WITH e AS (SELECT l_linenumber AS k, l_orderkey % 4 AS r, l_partkey % 4 AS c, max(l_discount) AS v FROM lineitem GROUP BY 1, 2, 3), w AS (SELECT r, c + 4 * (k - 1) AS c, v FROM e) SELECT r AS "row", c AS col, v AS value FROM w WHERE r BETWEEN 1 AND 2 AND c BETWEEN 2 AND 9')
 def elevation_mosaic(spark, sf):
-    e = _t(spark, sf, "lineitem").filter("l_linenumber <= 4").groupBy(F.col("l_linenumber").alias("source_ord"), (F.col("l_orderkey") % 4).alias("row"), (F.col("l_partkey") % 4).alias("col")).agg(F.max("l_discount").alias("value"))
+    e = _t(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("source_ord"), (F.col("l_orderkey") % 4).alias("row"), (F.col("l_partkey") % 4).alias("col")).agg(F.max("l_discount").alias("value"))
     pixels = e.select(F.format_string("n41w%03d", 101 - F.col("source_ord")).alias("raster_id"), "source_ord", F.lit(1).alias("band"), "row", "col", "value")
-    meta = _tiles(spark, *((f"n41w{100 - k:03d}", 0.25, -100.0 + k, 41.0, 4, "EPSG:4326") for k in range(4)))
+    meta = _tiles(spark, *((f"n41w{100 - k:03d}", 0.25, -100.0 + k, 41.0, 4, "EPSG:4326") for k in range(7)))
     field = geometry.polygons(spark, [(1, [[(-99.45, 40.3), (-97.55, 40.3), (-97.55, 40.7), (-99.45, 40.7), (-99.45, 40.3)]])])
     return api.elevation(field, pixels, meta).filter("value is not null").select("row", "col", "value")
 
@@ -436,7 +514,8 @@ def _hydro(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     pixels = h.select(F.format_string("%04d", F.col("k") + 1).alias("hu4"), F.col("k").cast("string").alias("raster_id"), F.col("k").cast("int").alias("source_ord"), F.lit(1).alias("band"), "row", "col", "value")
     meta = _tiles(spark, ("0", 1.0, 0.0, 16.0, 16, "EPSG:5070"), ("1", 1.0, 16.0, 16.0, 16, "EPSG:5070")).withColumn("hu4", F.format_string("%04d", F.col("raster_id").cast("int") + 1))
     regions = geometry.polygons(spark, [(k + 1, [[(16.0 * k, 0.0), (16.0 * k + 16, 0.0), (16.0 * k + 16, 16.0), (16.0 * k, 16.0), (16.0 * k, 0.0)]]) for k in range(3)]).withColumn("hu4", F.format_string("%04d", "geom_id"))
-    side = spark.createDataFrame([(f"{k + 1:04d}", v, "none" if v == 3 else str(21001200000000 + k * 1000 + v), 10 * v + k) for k in range(2) for v in range(5)], "hu4 string, value int, id string, count long")
+    coded = _t(spark, sf, "part").select((F.col("p_partkey") % 25 % 2).alias("k"), (F.col("p_size") % 5).cast("int").alias("value"))
+    side = coded.groupBy(F.format_string("%04d", F.col("k") + 1).alias("hu4"), "value", F.when(F.col("value") == 3, "none").otherwise((21001200000000 + F.col("k") * 1000 + F.col("value")).cast("string")).alias("id")).count()
     field = geometry.polygons(spark, [(1, [[(3.5, 2.5), (29.5, 2.5), (29.5, 9.5), (3.5, 9.5), (3.5, 2.5)]])])
     return api.hydrography(field, regions, pixels, meta, side)
 
@@ -446,7 +525,7 @@ def hydrography_mosaic(spark, sf):
     return _hydro(spark, sf)[0].select("row", "col", F.col("value").cast("long").alias("value"))
 
 
-@query("SELECT 21001200000000 + k * 1000 + v AS value, CAST(10 * v + k AS BIGINT) AS count FROM range(2) AS a(k), range(5) AS b(v) WHERE v <> 3")
+@query("SELECT 21001200000000 + p_partkey % 25 % 2 * 1000 + p_size % 5 AS value, count(*) AS count FROM part WHERE p_size % 5 <> 3 GROUP BY 1")
 def hydrography_counts(spark, sf):
     return _hydro(spark, sf)[1]
 
@@ -455,5 +534,25 @@ def hydrography_counts(spark, sf):
 def soil_components_cropped(spark, sf):
     a = -125 + F.col("n_nationkey") * 2.0
     units = geometry.boxes_as_polygons(_t(spark, sf, "nation").select(F.col("n_nationkey").alias("mukey"), a.alias("minx"), F.lit(20.0).alias("miny"), (a + 2.0).alias("maxx"), F.lit(60.0).alias("maxy")))
-    out = api.soil_components_of(_boxes_of(spark, sf), units, soil_survey_tables(spark, sf), 0, 30).withColumn("area", geometry.area(F.col("rings")))
+    out = api.soil_components_of(_boxes_of(spark, sf), units, soil_survey_tables(spark, sf), 0, 30)
     return out.filter("area > 1e-9").select("mukey", "area_id", _r("area").alias("area"))
+
+
+# Fields with a corner cut out: each is two boxes beside one another.
+@query(f"WITH {_EACH}, u AS (SELECT n_nationkey AS mukey, -125 + n_nationkey * 2.0 AS a FROM nation), f AS (SELECT c_custkey, mukey, greatest(0, least(x1, a + 2.0) - greatest(x0, a)) AS low, greatest(0, least(x0 + 0.35, a + 2.0) - greatest(x0, a)) AS high FROM b JOIN u ON x0 < a + 2.0 AND x1 > a) SELECT mukey, c_custkey AS area_id, round((low + high) * 0.15, 6) AS area FROM f WHERE low + high > 1e-9")
+def soil_components_cropped_concave(spark, sf):
+    a = -125 + F.col("n_nationkey") * 2.0
+    units = geometry.boxes_as_polygons(_t(spark, sf, "nation").select(F.col("n_nationkey").alias("mukey"), a.alias("minx"), F.lit(20.0).alias("miny"), (a + 2.0).alias("maxx"), F.lit(60.0).alias("maxy")))
+    x, y = F.col("lon"), F.col("lat")
+    ring = F.array(*(F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in ((0, 0), (0.7, 0), (0.7, 0.15), (0.35, 0.15), (0.35, 0.3), (0, 0.3), (0, 0))))
+    fields = _lonlat(spark, sf).select(F.col("c_custkey").alias("geom_id"), F.array(ring).alias("rings"))
+    out = api.soil_components_of(fields, units, soil_survey_tables(spark, sf), 0, 30)
+    return out.filter("area > 1e-9").select("mukey", "area_id", _r("area").alias("area"))
+
+
+@query(f'WITH {_SOIL_PX.replace("least(45, bottom) - greatest(10, top)", "bottom - top").replace("10 < bottom AND 45 > top", "top >= 5 AND bottom <= 60")}, o AS (SELECT r, c, CASE WHEN count(*) = 3 THEN sum(w * m) / sum(w) END AS xm, CASE WHEN count(*) = 3 THEN sqrt(sum(w * w * pow((p5 - p95) / 3.29, 2)) / sum(w * w)) END AS xs, CASE WHEN count(*) = 3 THEN sum(w * (m + 1)) / sum(w) END AS ym, CASE WHEN count(*) = 3 THEN sqrt(sum(w * w * pow((p5 + 1 - p95) / 3.29, 2)) / sum(w * w)) END AS ys FROM d GROUP BY 1, 2) SELECT r AS "row", c AS col, round(xm * ym, 6) AS mean, round(sqrt(xs * xs * ys * ys + xs * xs * ym * ym + ys * ys * xm * xm), 6) AS stddev FROM o')
+def carbon_stock_national(spark, sf):
+    # The national grid has organic carbon itself, and its depths must be whole layers.
+    up = lambda k: F.when(F.col("property") == "bd", F.col(k) + 1).otherwise(F.col(k))
+    layers = _soil_layers(spark, sf, ("soc", "bd")).withColumns({"p5": up("p5"), "mean": up("mean")})
+    return api.carbon_stock(layers, 5, 60, national=True).select("row", "col", _r("mean").alias("mean"), _r("stddev").alias("stddev"))

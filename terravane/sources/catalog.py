@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crs, grid, names
-from ..operators import geometry
+from ..operators import geometry, overlay
 
 _BOX = ["minx", "miny", "maxx", "maxy"]
+#: Pieces of less than this area come from rounding.
+LEAST_AREA = 1e-12
 
 
 def part_boxes(geometries: DataFrame) -> DataFrame:
@@ -125,22 +127,33 @@ def _projected(points: Column, zone: int) -> Column:
 
 
 def select_tiles(geometries: DataFrame, tiles: DataFrame) -> DataFrame:
-    """The fewest of ``tiles`` (tile_id, minx, miny, maxx, maxy) that cover the geometries (geom_id, rings).
+    """The fewest of ``tiles`` (tile_id, minx, miny, maxx, maxy) that cover the geometries (geom_id, rings or parts).
 
-    Geometries are cut by the lines of all tile borders, each piece once; the driver gets the tiles that meet them and the
-    distinct cells of that grid that hold a piece, and never a geometry.
+    Every tile that meets them is cut by the borders of the tiles that overlap it, and each piece counts for its first tile; the driver
+    gets those tiles and the numbers of the pieces that hold a part of a geometry, and never a geometry.
     """
     boxes = tiles.select(F.col("tile_id").alias("geom_id"), *_BOX)
-    meets = geometry.polygons_meeting(geometry.boxes_as_polygons(boxes), geometries).select(F.col("left_id").alias("geom_id")).distinct()
+    areas = geometry.boxes_as_polygons(boxes)
+    meets = geometry.polygons_meeting(areas, geometries).select(F.col("left_id").alias("geom_id")).distinct()
     near = [tuple(r) for r in boxes.join(meets, "geom_id", "left_semi").orderBy("geom_id").collect()]
-    far = 1e12
-    xs, ys = (sorted({-far, far, *(b[i] for b in near), *(b[i + 2] for b in near)}) for i in (1, 2))
-    cells = [(i, float(x0), float(y0), float(x1), float(y1)) for i, (x0, x1, y0, y1) in enumerate((a, b, c, d) for a, b in zip(xs, xs[1:]) for c, d in zip(ys, ys[1:]))]
+    if not overlay.without(geometries, areas).filter(F.col("area") > LEAST_AREA).isEmpty():
+        raise ValueError("the tiles do not cover the area")
+    cells, holders = [], []
+    for n, (_, x0, y0, x1, y1) in enumerate(near):
+        beside = [(k, b) for k, (_, *b) in enumerate(near) if b[0] < x1 and b[2] > x0 and b[1] < y1 and b[3] > y0]
+        xs, ys = (sorted({lo, hi, *(v for _, b in beside for v in (b[i], b[i + 2]) if lo < v < hi)}) for i, lo, hi in ((0, x0, x1), (1, y0, y1)))
+        for a, b in zip(xs, xs[1:]):
+            for c, d in zip(ys, ys[1:]):
+                held = [k for k, t in beside if t[0] <= a and b <= t[2] and t[1] <= c and d <= t[3]]
+                if held[0] == n:
+                    cells.append((len(cells), float(a), float(c), float(b), float(d)))
+                    holders.append(held)
+    if not cells:
+        return tiles.limit(0)
     lines = tiles.sparkSession.createDataFrame(cells, "geom_id long, minx double, miny double, maxx double, maxy double")
-    pieces = geometry.clipped_to(geometries, geometry.boxes_as_polygons(lines)).filter(geometry.area(F.col("rings")) > 0)
-    need = [r[0] for r in pieces.select("area_id").distinct().collect()]
-    mids = [((cells[i][1] + cells[i][3]) / 2, (cells[i][2] + cells[i][4]) / 2) for i in sorted(need)]
-    picked = geometry.minimal_cover_of([(t, {k for k, (x, y) in enumerate(mids) if b[0] <= x <= b[2] and b[1] <= y <= b[3]}) for t, *b in near], set(range(len(mids))))
+    pieces = overlay.clipped_to(geometries, geometry.boxes_as_polygons(lines)).filter(F.col("area") > LEAST_AREA)
+    need = {r[0] for r in pieces.select("area_id").distinct().collect()}
+    picked = geometry.minimal_cover_of([(t, {i for i in need if n in holders[i]}) for n, (t, *_) in enumerate(near)], need)
     return tiles.filter(F.col("tile_id").isin(picked))
 
 
@@ -151,7 +164,7 @@ def tiles_and_orbits(geometries: DataFrame, tiles: DataFrame, orbits: DataFrame,
     """
     chosen = select_tiles(geometries, tiles)
     areas = geometry.boxes_as_polygons(chosen.select(F.col("tile_id").alias("geom_id"), *_BOX))
-    pieces = geometry.clipped_to(geometries, areas).select(F.col("area_id").alias("geom_id"), "rings")
+    pieces = overlay.clipped_to(geometries, areas).filter(F.col("area") > LEAST_AREA).select(F.col("area_id").alias("geom_id"), "parts")
     strips = orbits.select(F.col("orbit").alias("geom_id"), geometry.swath(F.col("track"), reach).alias("parts"))
     return geometry.polygons_meeting(pieces, strips).select(F.col("left_id").alias("tile_id"), F.col("right_id").alias("orbit")).distinct()
 

@@ -5,6 +5,7 @@ Binary formats are read by ``binaryFile`` and decoded by Arrow batches, so any H
 
 from __future__ import annotations
 
+import atexit
 import io
 import re
 import struct
@@ -31,7 +32,31 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Delete the scratch folders of this program."""
+    spark = SparkSession.getActiveSession()
+    while spark is not None and _SCRATCH:
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the JVM may have gone already
+            _SCRATCH.clear()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read again, so that what reads it several times has it worked out once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:

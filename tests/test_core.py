@@ -49,7 +49,11 @@ def test_merge_rules(spark, rule, want):
 def test_merge_first_fills_gaps_and_custom(spark):
     p = pixels(spark, [[6, None], [9, 4]], [[4, 3], [5, 5]])
     assert grid_of(raster.merge(p)) == [[6, 3], [9, 4]]
-    assert grid_of(raster.merge(p, lambda v: v.iloc[-1])) == [[4, 3], [5, 5]]
+    def later(merged, new, merged_mask, new_mask):
+        np.copyto(merged, new, where=~new_mask)
+
+    assert grid_of(raster.merge(p, later)) == [[4, 3], [5, 5]]
+    assert grid_of(raster.merge(p, lambda stack: np.nanmax(stack, axis=0))) == [[6, 3], [9, 5]]
     with pytest.raises(ValueError):
         raster.merge(p, "nonsense")
 
@@ -99,7 +103,7 @@ def test_resampling(spark):
     p = pixels(spark, np.arange(16.0).reshape(4, 4).tolist())
     m = meta(spark, ("0", 1, 0, -1, 4, 4, 4))
     target = {"a": 2.0, "c": 0.0, "e": -2.0, "f": 4.0, "height": 2, "width": 2, "crs": "EPSG:5070"}
-    want = {"average": [[2.5, 4.5], [10.5, 12.5]], "max": [[5, 7], [13, 15]], "q1": [[0.75, 2.75], [8.75, 10.75]], "bilinear": [[2.5, 4.5], [10.5, 12.5]], "nearest": [[5, 7], [13, 15]]}
+    want = {"average": [[2.5, 4.5], [10.5, 12.5]], "max": [[5, 7], [13, 15]], "q1": [[0, 2], [8, 10]], "med": [[1, 3], [9, 11]], "sum": [[10, 18], [42, 50]], "bilinear": [[2.5, 4.5], [10.5, 12.5]], "nearest": [[5, 7], [13, 15]]}
     for method, values in want.items():
         assert grid_of(raster.reproject(p, m, target, method)) == values, method
     for method in ("cubic", "cubic_spline", "lanczos", "gauss"):
@@ -109,7 +113,8 @@ def test_resampling(spark):
     assert raster.reproject(p, m, same) is p
     with pytest.raises(ValueError):
         raster.reproject(p, m, target, "nonsense")
-    assert raster.aligned_origin(3.0, 10.5, 1.0) == 3.5 and raster.aligned_origin(3.0, 10.9, 1.0) == pytest.approx(2.9)
+    origin = spark.range(1).select(*(F.round(raster.aligned_origin(F.lit(3.0), F.lit(v), F.lit(1.0)), 9) for v in (10.5, 10.9))).first()
+    assert tuple(origin) == (3.5, 2.9)
 
 
 def test_align_bounds_and_grids(spark):
@@ -282,12 +287,15 @@ def test_recode_and_counts(spark):
 def test_facade(spark):
     points = spark.createDataFrame([(1, 0.5, 1.5), (2, 7.0, 7.0)], "point_id long, x double, y double")
     p = pixels(spark, [[6, 0], [9, 4]])
-    sources = {"topography_pixels": p.select("row", "col", F.col("value").alias("elevation")), "topography_meta": meta(spark, ("0", 1, 0, -1, 2, 2, 2), crs_name="EPSG:4326"), "soil_polygons": square(spark, (0, 0, 2, 2)), "soil_components": spark.createDataFrame([(0, 372099)], "geom_id long, map_unit_key long")}
-    got = {r["point_id"]: (r["topography_elevation"], r["soil_map_unit_key"]) for r in api.fetch_point_data(points, ["topography", "soil"], sources, end_depth=30).collect()}
+    sources = {"elevation_pixels": p, "elevation_meta": meta(spark, ("0", 1, 0, -1, 2, 2, 2), crs_name="EPSG:4326"), "soil_polygons": square(spark, (0, 0, 2, 2)), "soil_components": spark.createDataFrame([(0, 372099)], "geom_id long, map_unit_key long")}
+    got = {r["point_id"]: (r["usgs_elevation"], r["ssurgo_map_unit_key"]) for r in api.fetch_point_data(points, ["usgs_topography", "ssurgo_primary_component"], sources, end_depth=30).collect()}
     assert got == {1: (6.0, 372099), 2: (None, None)}
-    for bad in ({"values": []}, {"values": ["soil"]}, {"values": ["ndvi"]}, {"values": ["soil"], "end_depth": -1}):
+    soil_value = ["ssurgo_primary_component"]
+    for bad in ({"values": []}, {"values": ["soil"]}, {"values": soil_value}, {"values": ["sentinel2_ndvi"]}, {"values": soil_value, "end_depth": -1}, {"values": soil_value, "start_depth": 30, "end_depth": 30}):
         with pytest.raises(ValueError):
             api.fetch_point_data(points, sources=sources, **bad)
+    with pytest.raises(ValueError):
+        api.fetch_point_data(points.drop("x"), soil_value, sources, end_depth=30)
 
 
 def test_stream(spark, tmp_path):

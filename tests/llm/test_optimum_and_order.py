@@ -113,7 +113,7 @@ def test_large_unresolved_buckets_lose_no_link(spark, monkeypatch):
 def test_language_columns_and_ties(spark):
     docs = spark.createDataFrame([(i, "aa bb", k, "x") for i, k in enumerate(("b", "a", None))] + [(9, "aa bb", None, "x")] * 2, "doc_id long, text string, lang string, has_letter string")
     got = langid.identify(docs, langid.train(docs))
-    assert got.columns == [*docs.columns, "lang_pred", "score"] and {(r["lang_pred"], r["score"], r["has_letter"]) for r in got.collect()} == {("a", 0.0, "x")}
+    assert got.columns == [*docs.columns, "lang_pred", "score", "fits"] and {(r["lang_pred"], r["score"], r["has_letter"]) for r in got.collect()} == {("a", 0.0, "x")}
     long = spark.createDataFrame([(0, "cd " * 40_000, "z")], "doc_id long, text string, lang string")
     assert langid.identify(long, langid.train(long)).first()["lang_pred"] == "z"
 

@@ -39,6 +39,10 @@ def edge_rows(polygons: DataFrame, group: list[str]) -> DataFrame:
     return each.select(*group, "side", "part", end(True, "x").alias("x0"), end(True, "y").alias("y0"), end(False, "x").alias("x1"), end(False, "y").alias("y1"))
 
 
+def _thin(a: Column | str, b: Column | str) -> Column:
+    return THIN * F.greatest(F.abs(a), F.abs(b))
+
+
 def _at(y: Column) -> Column:
     """x of an edge at a height; its own ends exactly."""
     x = F.col("x0") + (F.col("x1") - F.col("x0")) * ((y - F.col("y0")) / (F.col("y1") - F.col("y0")))
@@ -74,13 +78,14 @@ def pieces(edges: DataFrame, group: list[str], inside: Callable[[Column, Column]
     met = met.withColumn("y", y).filter((F.col("y") > F.greatest("a_y0", "b_y0")) & (F.col("y") < F.least("a_y1", "b_y1"))).select(*group, "y")
     heights = edges.select(*group, F.explode(F.array("y0", "y1")).alias("y")).unionByName(met).unionByName(borders).distinct()
     up = Window.partitionBy(*group).orderBy("y")
-    slabs = heights.withColumn("hi", F.lead("y").over(up)).withColumnRenamed("y", "lo")
-    slabs = slabs.filter(F.col("hi") - F.col("lo") > THIN * F.greatest(F.abs("lo"), F.abs("hi")))
+    # Heights that differ by rounding are one, the lowest of them.
+    heights = heights.withColumn("below", F.lag("y").over(up)).filter(F.col("below").isNull() | (F.col("y") - F.col("below") > _thin("y", "below")))
+    slabs = heights.select(*group, F.col("y").alias("lo"), F.lead("y").over(up).alias("hi")).filter("hi is not null")
 
     middle = (F.col("lo") + F.col("hi")) / 2
     span = rows.select(*group, "_lo", "_hi", "_k").distinct()
     slabs = slabs.join(span, group).withColumn("band", F.least(F.col("_k") - 1, F.floor((middle - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / F.col("_k")))).cast("int")).select(*key, "lo", "hi")
-    cut = rows.select(*key, "side", "part", *_EDGE).join(slabs, key).filter((F.col("y0") <= F.col("lo")) & (F.col("y1") >= F.col("hi")))
+    cut = rows.select(*key, "side", "part", *_EDGE).join(slabs, key).filter((F.col("y0") <= F.col("lo") + _thin("lo", "hi")) & (F.col("y1") >= F.col("hi")))
     cut = cut.select(*group, "side", "part", "lo", "hi", F.struct(*_EDGE).alias("edge"), _at(middle).alias("at"), _at(F.col("lo")).alias("x_lo"), _at(F.col("hi")).alias("x_hi"))
     # One shuffle serves the windows of a slab.
     slab = [*group, "lo"]
@@ -91,10 +96,13 @@ def pieces(edges: DataFrame, group: list[str], inside: Callable[[Column, Column]
     so_far = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     count = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("enter"))).over(so_far), F.lit(0))
     cut = cut.withColumns({"n0": count(0), "n1": count(1)}).withColumn("within", inside(F.col("n0"), F.col("n1")))
+    # A gap of no width, between sides that differ by rounding, is none.
+    closed = F.lead("within").over(across) & (F.lead("at").over(across) - F.col("at") <= _thin("at", F.lead("at").over(across)))
+    cut = cut.withColumn("within", F.col("within") | F.coalesce(closed, F.lit(False)))
     cut = cut.withColumn("before", F.coalesce(F.lag("within").over(across), F.lit(False))).filter("within <> before")
     right = lambda c: F.lead(c).over(across)
     found = cut.withColumns({"r": right("edge"), "r_at": right("at"), "r_lo": right("x_lo"), "r_hi": right("x_hi")}).filter("within")
-    found = found.filter(F.col("r_at") - F.col("at") > THIN * F.greatest(F.abs("at"), F.abs("r_at")))
+    found = found.filter(F.col("r_at") - F.col("at") > _thin("at", "r_at"))
     # Trapezoids between the same two edges, one above the other, are one.
     stack = Window.partitionBy(*group, "edge", "r").orderBy("lo")
     found = found.withColumn("new", F.coalesce(F.lag("hi").over(stack) != F.col("lo"), F.lit(True)).cast("int"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import crs, names, soil_math
 from ..operators import geometry, ndvi, overlay, raster, soil
 from ..sources import catalog
+from ..sources.files import stored
 
 #: Values that can be asked for, with the prefix of their columns (fixed values: names of the public data products).
 VALUES = {"polaris_carbon_stock": "polaris_carbon_stock_", "sentinel2_ndvi": "sentinel2_ndvi_", "usgs_hydrography": "usgs_", "usgs_topography": "usgs_", "ssurgo_primary_component": "ssurgo_"}
@@ -97,7 +98,7 @@ def hydrography(geometries: DataFrame, regions: DataFrame, pixels: DataFrame, me
     ``pixels`` and ``meta`` have the region in ``hu4``; meta and regions are in one reference system with the geometries.  ``side``:
     (hu4, value, id, count) for catchments, whose codes become ids of the whole country before regions are merged.
     """
-    codes = catalog.find_regions(geometries, regions).select("hu4")
+    codes = stored(catalog.find_regions(geometries, regions).select("hu4"), "codes")
     near, cells = meta.join(codes, "hu4", "left_semi"), pixels.join(codes, "hu4", "left_semi")
     counts = pixels.sparkSession.createDataFrame([], "value long, count long")
     if side is not None:
@@ -136,6 +137,7 @@ def projected(points: DataFrame, system: str) -> DataFrame:
 def placed(points: DataFrame, meta: DataFrame, own_zone: bool = False) -> DataFrame:
     """(point_id, raster_id, row, col) of the rasters that hold each point, whatever their systems; with ``own_zone`` only those of its UTM zone."""
     out = []
+    points = stored(points.select("point_id", "x", "y"), "points")
     for code in sorted(r[0] for r in meta.select("crs").distinct().collect()):
         some = points.filter(F.concat(F.lit("EPSG:326"), F.lpad(crs.utm_zone(F.col("x")).cast("string"), 2, "0")) == code) if own_zone else points
         out.append(raster.cells_of(projected(some, code), meta.filter(F.col("crs") == code)))
@@ -165,7 +167,7 @@ def point_vegetation(points: DataFrame, pixels: DataFrame, meta: DataFrame, year
     first = F.make_date(F.lit(year), F.lit(month), F.lit(1))
     seen = F.to_timestamp("datatake", "yyyyMMdd'T'HHmmss")
     pixels = pixels.filter((seen >= first.cast("timestamp")) & (seen <= F.last_day(first).cast("timestamp")))
-    at = placed(points, meta, own_zone=True).join(meta.select("raster_id", "crs"), "raster_id").drop("raster_id")
+    at = stored(placed(points, meta, own_zone=True).join(meta.select("raster_id", "crs"), "raster_id").drop("raster_id"), "placed")
     coarse = F.col("band") == "SCL"
     near = at.select("crs", F.expr("row div 2").alias("br"), F.expr("col div 2").alias("bc")).distinct()
     block = pixels.withColumns({"br": F.when(coarse, F.col("row")).otherwise(F.expr("row div 2")), "bc": F.when(coarse, F.col("col")).otherwise(F.expr("col div 2"))})

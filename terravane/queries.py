@@ -90,10 +90,10 @@ def _median(stack: np.ndarray) -> np.ndarray:
 
 
 def _smoothed(merged: np.ndarray, new: np.ndarray, merged_mask: np.ndarray, new_mask: np.ndarray) -> None:
-    """A quarter of each later source over three quarters of what the earlier ones gave."""
+    """Half of each later source and half of what the earlier ones gave."""
     both = ~merged_mask & ~new_mask
     np.copyto(merged, new, where=merged_mask)
-    merged[both] = merged[both] * 0.75 + new[both] * 0.25
+    merged[both] = merged[both] * 0.5 + new[both] * 0.5
 
 
 @query(f'WITH {PX} SELECT r AS "row", c AS col, round(median(v), 6) AS value FROM px GROUP BY 1, 2')
@@ -101,7 +101,7 @@ def merge_custom_median(spark, sf):
     return raster.merge(_pixels(spark, sf), _median).select("row", "col", _r("value").alias("value"))
 
 
-@query(f'WITH {PX} SELECT r AS "row", c AS col, round(list_reduce(list(v ORDER BY source_ord) FILTER (WHERE v IS NOT NULL), lambda a, b: a * 0.75 + b * 0.25), 10) AS value FROM px GROUP BY 1, 2')
+@query(f'WITH {PX} SELECT r AS "row", c AS col, round(list_reduce(list(v ORDER BY source_ord) FILTER (WHERE v IS NOT NULL), lambda a, b: a * 0.5 + b * 0.5), 10) AS value FROM px GROUP BY 1, 2')
 def merge_custom_fold(spark, sf):
     return raster.merge(_pixels(spark, sf), _smoothed).select("row", "col", _r("value", 10).alias("value"))
 

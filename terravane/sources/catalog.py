@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs, grid, names
 from ..operators import geometry, overlay
+from . import files
 
 _BOX = ["minx", "miny", "maxx", "maxy"]
 #: Pieces of less than this area come from rounding.
@@ -48,7 +49,8 @@ def elevation_tiles(geometries: DataFrame) -> DataFrame:
 
 def find_regions(geometries: DataFrame, regions: DataFrame) -> DataFrame:
     """Regions (geom_id, rings, ...) that geometries meet; raises where a geometry meets none."""
-    meets = geometry.polygons_meeting(regions, geometries)
+    # Read for the check, for the regions and by what follows.
+    meets = files.stored(geometry.polygons_meeting(regions, geometries), "meets")
     lost = sorted(r[0] for r in geometries.select("geom_id").join(meets.select(F.col("right_id").alias("geom_id")), "geom_id", "left_anti").limit(20).collect())
     if lost:
         raise ValueError(f"geometries without a region: {lost}")
@@ -134,6 +136,7 @@ def select_tiles(geometries: DataFrame, tiles: DataFrame) -> DataFrame:
     """
     boxes = tiles.select(F.col("tile_id").alias("geom_id"), *_BOX)
     areas = geometry.boxes_as_polygons(boxes)
+    geometries = files.stored(geometries, "geometries")
     meets = geometry.polygons_meeting(areas, geometries).select(F.col("left_id").alias("geom_id")).distinct()
     near = [tuple(r) for r in boxes.join(meets, "geom_id", "left_semi").orderBy("geom_id").collect()]
     if not overlay.without(geometries, areas).filter(F.col("area") > LEAST_AREA).isEmpty():
@@ -181,8 +184,11 @@ def tiles_for_geometries(geometries: DataFrame, tiles: DataFrame, orbits: DataFr
         mine = geometries.join(zones.filter(F.col("zone") == zone).select("geom_id"), "geom_id", "left_semi")
         mine = geometry.clipped(mine, zone * 6.0 - 186, 0.0, zone * 6.0 - 180, 84.0).withColumn("rings", F.transform("rings", lambda r: _projected(r, zone)))
         own = tiles.filter(F.col("tile_id").startswith(f"{zone:02d}")).withColumn("rings", F.transform("rings", lambda r: _projected(r, zone)))
+        # Written once, so that the projection is not part of every plan that follows.
+        own = files.stored(own.select("tile_id", "rings"), "tiles")
         boxes = own.select("tile_id", *(v.alias(k) for k, v in geometry.bounds(F.col("rings")).items()))
-        out.append(tiles_and_orbits(mine, boxes, orbits.withColumn("track", _projected(F.col("track"), zone))))
+        tracks = files.stored(orbits.withColumn("track", _projected(F.col("track"), zone)), "tracks")
+        out.append(tiles_and_orbits(files.stored(mine, "geometries"), boxes, tracks))
     if not out:
         raise ValueError("no geometries")
     for df in out[1:]:

@@ -181,9 +181,9 @@ def covering(polygons: DataFrame) -> tuple[DataFrame, list[int]]:
     rows = rows.withColumn("border", cells(F.col("touched"))).withColumn("inner", F.array_except(cells(centre_spans(F.col("xs"))), "border"))
     # A polygon has at most 17 rows of at most 17 cells.
     rows = rows.groupBy("p", "level", "cy").agg(F.first("r").alias("r"), F.array_distinct(F.flatten(F.collect_list("inner"))).alias("inner"), F.array_distinct(F.flatten(F.collect_list("border"))).alias("border"), F.collect_list("edges").alias("edges"))
-    inner = rows.select("level", F.explode("inner").alias("cx"), "cy", "r", F.lit(True).alias("inner"), F.lit(None).cast(rows.schema["edges"].dataType).alias("edges"))
-    border = rows.select("level", F.explode(F.array_except("border", "inner")).alias("cx"), "cy", "r", F.lit(False).alias("inner"), "edges")
-    return inner.unionByName(border), levels
+    kind = lambda cells, inner: F.transform(cells, lambda c: F.struct(c.alias("cx"), F.lit(inner).alias("inner")))
+    each = rows.select("level", "cy", "r", "edges", F.explode(F.concat(kind("inner", True), kind(F.array_except("border", "inner"), False))).alias("c"))
+    return each.select("level", "c.cx", "cy", "r", "c.inner", F.when(~F.col("c.inner"), F.col("edges")).alias("edges")), levels
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:

@@ -96,6 +96,11 @@ class Pieces:
         return self.model.encode(text[1:])
 
 
+def _plain(piece: str) -> bool:
+    """Whether a piece has no white space but its first character; a line feed at its end would run into the one after it."""
+    return piece[1:].split() == [piece[1:]] and "\u180e" not in piece
+
+
 #: (tokens of A, tokens of B, groups, groups as text, pair of ids of each link), None where bytes differ.
 Aligned = tuple[int, int, int, bytes, bytes] | None
 
@@ -112,7 +117,7 @@ class Aligner:
 
     def _ids(self, side: ByteLevel | Pieces, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces, and how many each has.  Pieces without other white space go through one call, a line feed between two."""
-        if len(side.feed) == 1 and all(len(p.split()) == 1 and "\u180e" not in p for p in pieces):
+        if len(side.feed) == 1 and all(map(_plain, pieces)):
             ids = np.array(side.ids("\n".join(pieces)), np.int64)
             at = np.flatnonzero(ids == side.feed[0])
             if len(at) == len(pieces) - 1:
@@ -160,7 +165,7 @@ class Aligner:
             else:
                 new.append(p)
         # Odd pieces apart, as one of them sends its whole part through single calls.
-        for some in ([p for p in new if len(p.split()) == 1 and "\u180e" not in p], [p for p in new if len(p.split()) != 1 or "\u180e" in p]):
+        for some in (list(filter(_plain, new)), [p for p in new if not _plain(p)]):
             for i in range(0, len(some), PART_PIECES):
                 self.known.update(self._align(some[i : i + PART_PIECES]))
 

@@ -434,4 +434,4 @@ def test_pipeline(spark):
 
 
 def test_registry():
-    assert {re.match(r"op(\d+)_", n)[1] for n in queries.queries()} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.queries()} == {str(i) for i in range(1, 14)}

@@ -11,7 +11,7 @@ from .functions import crs, grid, names, soil_math
 from .operators import geometry, ndvi, overlay, raster
 from .plans import api
 from .queries import _FIRST_SQL, _SOIL, _SOIL_PX, _TARGET, LL, PX, _first, _lonlat, _meta, _pixels, _r, _soil_layers, _t, query, soil_survey_tables
-from .sources import catalog, files
+from .sources import catalog, files, tiff
 
 _META = "raster_id string, source_ord int, a double, b double, c double, d double, e double, f double, height long, width long, crs string"
 
@@ -414,8 +414,22 @@ def features_in_box(spark, sf):
 
 @query(f'WITH {PX} SELECT CAST(source_ord AS VARCHAR) AS raster_id, r AS "row", c AS col, v AS value FROM px WHERE v IS NOT NULL')
 def tiff_round_trip(spark, sf):
+    path = files.scratch(spark, "tiff")
     pixels, meta = _spread(spark, sf)
-    return files.decoded_tiffs(files.save_tiffs(pixels, meta)).filter("value is not null").select("raster_id", "row", "col", "value")
+    tiff.write_tiffs(pixels, meta, path, tile=32)
+    name = F.regexp_extract("raster_id", r"([^/]+)\.tif$", 1)
+    return tiff.tiff_pixels(spark, path).filter("value is not null").select(name.alias("raster_id"), "row", "col", "value")
+
+
+@query(f"""WITH {PX}, {_SPREAD} SELECT CAST(source_ord AS VARCHAR) AS raster_id, r - 16 * (source_ord - 1) AS "row", c - 16 * (source_ord - 1) AS col, v AS value FROM w
+    WHERE v IS NOT NULL AND r BETWEEN 25 AND 57 AND c BETWEEN 30 AND 80""")
+def tiff_window(spark, sf):
+    path = files.scratch(spark, "tiff")
+    pixels, meta = _spread(spark, sf)
+    tiff.write_tiffs(pixels, meta, path, tile=16)
+    name = F.regexp_extract("raster_id", r"([^/]+)\.tif$", 1)
+    got = tiff.tiff_pixels(spark, path, bounds=(30.25, 6.5, 80.5, 38.75))
+    return got.filter("value is not null").select(name.alias("raster_id"), "row", "col", "value")
 
 
 # --- Points and areas through the facade.

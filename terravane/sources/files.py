@@ -1,6 +1,6 @@
-"""Readers and writers: GeoJSON, zipped members, DBF side tables, manifests, TIFF rasters, pixel tables.
+"""Readers and writers: GeoJSON, zipped members, DBF side tables, manifests, pixel tables.
 
-Binary formats are read by ``binaryFile`` and decoded by Arrow batches, so any Hadoop file system works.
+Zipped and DBF files are read by ``binaryFile`` and decoded by Arrow batches, so any Hadoop file system works. Rasters: ``sources/tiff.py``.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _POSITION = "array<array<array<array<double>>>>"
-_PIXELS = "raster_id string, band int, row long, col long, value double"
-_META = "raster_id string, a double, b double, c double, d double, e double, f double, height long, width long, bands int, crs string"
+_TYPES = {2: "s", 3: "H", 4: "I", 12: "d"}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -128,60 +127,8 @@ def count_tables(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(read, "archive string, value long, count long")
 
 
-_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
-
-
-def read_tiff(data: bytes) -> tuple[np.ndarray, dict]:
-    """Pixels (bands, rows, columns; NaN where nodata) and metadata of a baseline TIFF: strips or tiles, plain or deflate, chunky or planar."""
-    order = "<" if data[:2] == b"II" else ">"
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    tags = {}
-    for i in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        code = _TYPES.get(kind)
-        if code is None:
-            continue
-        size = struct.calcsize("=" + code) * n
-        pos = at + 10 + 12 * i
-        if size > 4:
-            pos = struct.unpack_from(order + "I", data, pos)[0]
-        raw = data[pos : pos + size]
-        tags[tag] = raw.rstrip(b"\0").decode("latin-1") if kind == 2 else list(struct.unpack(f"{order}{n}{code}", raw))
-    width, height = tags[256][0], tags[257][0]
-    bands, planar, packed = tags.get(277, [1])[0], tags.get(284, [1])[0], tags.get(259, [1])[0]
-    if packed not in (1, 8, 32946):
-        raise ValueError(f"unsupported TIFF compression {packed}")
-    dtype = np.dtype(order + {1: "u", 2: "i", 3: "f"}[tags.get(339, [1])[0]] + str(tags[258][0] // 8))
-    tiled = 324 in tags
-    tw, th = (tags[322][0], tags[323][0]) if tiled else (width, tags.get(278, [height])[0])
-    offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-    across, down = -(-width // tw), -(-height // th)
-    out = np.zeros((bands, height, width), dtype)
-    deep = 1 if planar == 2 else bands
-    for i, (o, s) in enumerate(zip(offsets, sizes)):
-        block = data[o : o + s] if packed == 1 else zlib.decompress(data[o : o + s])
-        band, rest = divmod(i, across * down)
-        y, x = divmod(rest, across)
-        rows = th if tiled else min(th, height - y * th)
-        px = np.frombuffer(block, dtype, rows * tw * deep).reshape(rows, tw, deep)
-        if tags.get(317, [1])[0] == 2:
-            px = np.cumsum(px, axis=1, dtype=dtype)
-        h, w = min(rows, height - y * th), min(tw, width - x * tw)
-        part = px[:h, :w].transpose(2, 0, 1)
-        out[(band if planar == 2 else 0) : (band + 1 if planar == 2 else bands), y * th : y * th + h, x * tw : x * tw + w] = part
-    value = out.astype(float)
-    if 42113 in tags:
-        value[out == np.array(float(tags[42113])).astype(dtype)] = np.nan
-    scale, tie = tags.get(33550, [1.0, 1.0, 0.0]), tags.get(33922, [0.0] * 6)
-    keys = tags.get(34735, [])
-    codes = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4)}
-    code = codes.get(3072) or codes.get(2048)
-    meta = {"a": scale[0], "b": 0.0, "c": tie[3] - tie[0] * scale[0], "d": 0.0, "e": -scale[1], "f": tie[4] + tie[1] * scale[1], "height": height, "width": width, "bands": bands, "crs": f"EPSG:{code}" if code else None}
-    return value, meta
-
-
 def write_tiff(pixels: np.ndarray, meta: dict, nodata: float = -9999.0) -> bytes:
-    """A float64, deflated, one-strip-per-band TIFF of (bands, rows, columns) pixels; NaN becomes nodata."""
+    """A float64, deflated, one-strip-per-band TIFF of (bands, rows, columns) pixels; NaN becomes nodata; for small rasters in memory."""
     bands, height, width = pixels.shape
     strips = [zlib.compress(np.where(np.isnan(b), nodata, b).astype("<f8").tobytes()) for b in pixels]
     code = int(str(meta.get("crs") or "EPSG:4326").rsplit(":", 1)[-1])
@@ -215,64 +162,6 @@ def write_tiff(pixels: np.ndarray, meta: dict, nodata: float = -9999.0) -> bytes
     return out.getvalue()
 
 
-def save_tiffs(pixels: DataFrame, meta: DataFrame) -> DataFrame:
-    """(raster_id, content): a TIFF file of each raster (S2); a raster is one row, so it must fit into a task's memory."""
-    m = meta.select("raster_id", F.struct("a", "c", "e", "f", "crs", "height", "width").alias("m"))
-    cells = pixels.filter("value is not null").groupBy("raster_id").agg(F.collect_list(F.struct("band", "row", "col", "value")).alias("cells"), F.max("band").alias("bands"))
-
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for name, g, cells, bands in zip(frame["raster_id"], frame["m"], frame["cells"], frame["bands"]):
-                px = np.full((bands, g["height"], g["width"]), np.nan)
-                for c in cells:
-                    px[c["band"] - 1, c["row"], c["col"]] = c["value"]
-                out.append((name, write_tiff(px, g)))
-            yield pd.DataFrame(out, columns=["raster_id", "content"])
-
-    return m.join(cells, "raster_id").select("raster_id", "m", "cells", "bands").mapInPandas(write, "raster_id string, content binary")
-
-
-def decoded_tiffs(files: DataFrame) -> DataFrame:
-    """Long pixel table of TIFF contents (raster_id, content), nodata and NaN null."""
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, content in zip(f["raster_id"], f["content"]):
-                for band, plane in enumerate(read_tiff(content)[0], 1):
-                    row, col = np.indices(plane.shape)
-                    yield pd.DataFrame({"raster_id": name, "band": band, "row": row.ravel(), "col": col.ravel(), "value": plane.ravel()})
-
-    return files.mapInPandas(read, _PIXELS).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-
-
-def tiff_meta(spark: SparkSession, path: str) -> DataFrame:
-    """One row of metadata for each raster file; the raster_id is its path."""
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([{"raster_id": p, **read_tiff(c)[1]} for p, c in zip(f["path"], f["content"])], columns=[x.split()[0] for x in _META.split(", ")])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, _META)
-
-
-def tiff_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """Long pixel table of raster files; nodata and NaN are null."""
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for p, c in zip(f["path"], f["content"]):
-                v, _ = read_tiff(c)
-                for band, plane in enumerate(v, 1):
-                    for top in range(0, len(plane), 512):
-                        part = plane[top : top + 512]
-                        row, col = np.indices(part.shape)
-                        yield pd.DataFrame({"raster_id": p, "band": band, "row": row.ravel() + top, "col": col.ravel(), "value": part.ravel()})
-
-    out = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, _PIXELS)
-    return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-
-
 def save_pixels(pixels: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Pixel tables at rest: chunks of 512 x 512 cells side by side, so that window filters skip row groups."""
     rows = pixels.withColumns({"brow": F.expr("row div 512"), "bcol": F.expr("col div 512")})

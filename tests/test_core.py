@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from terravane.functions import crs, grid, names, soil_math
 from terravane.operators import geometry, ndvi, raster, soil
 from terravane.plans import api
-from terravane.sources import files
+from terravane.sources import files, tiff
 
 NAN = None
 
@@ -267,10 +267,10 @@ def test_sources(spark, tmp_path):
     px[1, 2, 3] = np.nan
     m = {"a": 10.0, "c": 100.0, "e": -10.0, "f": 500.0, "crs": "EPSG:5070"}
     (tmp_path / "r.tif").write_bytes(files.write_tiff(px, m))
-    back, got = files.read_tiff((tmp_path / "r.tif").read_bytes())
+    back, got = tiff.read_tiff((tmp_path / "r.tif").read_bytes())
     assert np.array_equal(back, px, equal_nan=True) and {k: got[k] for k in m} == m
-    table = files.tiff_pixels(spark, str(tmp_path / "r.tif"))
-    assert table.count() == 24 and table.filter("value is null").count() == 1 and files.tiff_meta(spark, str(tmp_path / "r.tif")).first()["width"] == 4
+    table = tiff.tiff_pixels(spark, str(tmp_path / "r.tif"))
+    assert table.count() == 24 and table.filter("value is null").count() == 1 and tiff.tiff_meta(spark, str(tmp_path / "r.tif")).first()["width"] == 4
     files.save_pixels(table, str(tmp_path / "px"))
     assert files.load_window(spark, str(tmp_path / "px"), (0, 1), (1, 2)).count() == 8
 

@@ -11,7 +11,7 @@ from .functions import crs, grid, names, soil_math
 from .operators import geometry, ndvi, overlay, raster
 from .plans import api
 from .queries import _FIRST_SQL, _SOIL, _SOIL_PX, _TARGET, LL, PX, _first, _lonlat, _meta, _pixels, _r, _soil_layers, _t, query, soil_survey_tables
-from .sources import catalog, files, tiff
+from .sources import catalog, features, files, tiff
 
 _META = "raster_id string, source_ord int, a double, b double, c double, d double, e double, f double, height long, width long, crs string"
 
@@ -394,17 +394,31 @@ def manifest_keys(spark, sf):
     return names.wanted_keys(names.manifest_hrefs(scenes.withColumn("xml", F.lit(xml)))).select("key")
 
 
-@query(f"WITH {LL} SELECT CAST(c_custkey AS VARCHAR) AS id, round(lon, 4) AS x, round(lat, 4) AS y FROM ll")
-def geojson_points(spark, sf):
+def _points_written(spark: SparkSession, sf: str) -> str:
+    """Customers as points in order, a document and a folder for each nation, as a reader of whole files takes a file as one document."""
     path = files.scratch(spark, "geojson")
-    rows = _lonlat(spark, sf).select(F.col("c_nationkey").alias("k"), F.format_string('{"type":"Feature","properties":{"id":"%d"},"geometry":{"type":"Point","coordinates":[%.6f,%.6f]}}', "c_custkey", "lon", "lat").alias("f"))
-    text = rows.groupBy("k").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
-    # A folder for each nation, so that no file holds two documents: a reader takes a file as one.
+    feature = F.format_string('{"type":"Feature","properties":{"id":"%d"},"geometry":{"type":"Point","coordinates":[%.6f,%.6f]}}', "c_custkey", "lon", "lat")
+    rows = _lonlat(spark, sf).select(F.col("c_nationkey").alias("k"), F.struct("c_custkey", feature.alias("f")).alias("f"))
+    text = rows.groupBy("k").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.sort_array(F.collect_list("f"))["f"], ","), F.lit("]}")).alias("value"))
     text.write.partitionBy("k").text(path)
-    got = files.geojson(spark, path).select(F.col("props")["id"].alias("id"), F.col("parts")[0][0][0].alias("p"))
+    return path
+
+
+@query(f"WITH {LL} SELECT CAST(c_custkey AS VARCHAR) AS id, round(lon, 4) AS x, round(lat, 4) AS y FROM ll")
+def geojson_points(spark, sf):
+    got = files.geojson(spark, _points_written(spark, sf)).select(F.col("props")["id"].alias("id"), F.col("parts")[0][0][0].alias("p"))
     return got.select("id", _r("p.x", 4).alias("x"), _r("p.y", 4).alias("y"))
 
 
+@query(f"""WITH {LL} SELECT CAST(c_custkey AS VARCHAR) AS id, c_nationkey, round(lon, 4) AS x, round(lat, 4) AS y,
+    row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS geom_id FROM ll""")
+def geojson_split(spark, sf):
+    # Ranges much shorter than a file, so that features lie across their borders.
+    rows = features.split_geojson(spark, _points_written(spark, sf), 4096).select("path", "geom_id", F.col("props")["id"].alias("id"), F.col("parts")[0][0][0].alias("p"))
+    nation = F.regexp_extract("path", r"/k=(\d+)/", 1).cast("long")
+    return rows.select("id", nation.alias("c_nationkey"), _r("p.x", 4).alias("x"), _r("p.y", 4).alias("y"), "geom_id")
+
+
 @query(f"WITH {_EACH} SELECT c_custkey FROM b WHERE x0 <= -95 AND x1 >= -100 AND y0 <= 35 AND y1 >= 30")
 def features_in_box(spark, sf):
     path = files.scratch(spark, "vectors")

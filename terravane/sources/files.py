@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _POSITION = "array<array<array<array<double>>>>"
@@ -58,16 +58,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_of(geometry: Column) -> Column:
+    """Polygons of rings of points of a GeoJSON geometry (type, coordinates as text)."""
+    coordinates, kind = geometry["coordinates"], geometry["type"]
+    nested = F.when(kind == "MultiPolygon", coordinates).when(kind == "Polygon", F.concat(F.lit("["), coordinates, F.lit("]"))).otherwise(F.concat(F.lit("[[["), coordinates, F.lit("]]]")))
+    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    return F.transform(F.from_json(nested, _POSITION), lambda poly: F.transform(poly, lambda ring: F.transform(ring, point)))
+
+
 def geojson(spark: SparkSession, path: str) -> DataFrame:
     """Features as (geom_id, geom_type, parts, crs, props); parts: polygons of rings of points; no crs member is EPSG:4326."""
     kind = "struct<crs:struct<properties:struct<name:string>>,features:array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>>"
     text = spark.read.text(path, wholetext=True)
     doc = text.select(F.from_json("value", kind).alias("d")).select(F.coalesce("d.crs.properties.name", F.lit("EPSG:4326")).alias("crs"), F.posexplode("d.features").alias("geom_id", "f"))
-    coordinates = F.col("f.geometry.coordinates")
-    nested = F.when(F.col("f.geometry.type") == "MultiPolygon", coordinates).when(F.col("f.geometry.type") == "Polygon", F.concat(F.lit("["), coordinates, F.lit("]"))).otherwise(F.concat(F.lit("[[["), coordinates, F.lit("]]]")))
-    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
-    parts = F.transform(F.from_json(nested, _POSITION), lambda poly: F.transform(poly, lambda ring: F.transform(ring, point)))
-    return doc.select(F.col("geom_id").cast("long").alias("geom_id"), F.col("f.geometry.type").alias("geom_type"), parts.alias("parts"), "crs", F.col("f.properties").alias("props"))
+    return doc.select(F.col("geom_id").cast("long").alias("geom_id"), F.col("f.geometry.type").alias("geom_type"), parts_of(F.col("f.geometry")).alias("parts"), "crs", F.col("f.properties").alias("props"))
 
 
 def features_in(vectors: DataFrame, minx: float, miny: float, maxx: float, maxy: float, columns: list[str]) -> DataFrame:

@@ -13,8 +13,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import crs as projections
 from ..functions.grid import align_bounds, grids_align
@@ -267,33 +270,24 @@ QUANTILES = {"med": 0.5, "q1": 0.25, "q3": 0.75}
 LEAST_SHARE = 1e-9
 
 
-def _lanczos(t: Column) -> Column:
-    p = t * np.pi
-    return F.when(t == 0, 1.0).when(F.abs(t) < 3, 3 * F.sin(p) * F.sin(p / 3) / F.nullif(p * p, F.lit(0.0))).otherwise(0.0)
+def _cubic(t: np.ndarray) -> np.ndarray:
+    u = np.abs(t)
+    return np.where(u <= 1, 1.5 * u * u * u - 2.5 * u * u + 1, np.where(u < 2, -0.5 * u * u * u + 2.5 * u * u - 4 * u + 2, 0.0))
 
 
-def _cubic(t: Column) -> Column:
-    u = F.abs(t)
-    return F.when(u <= 1, 1.5 * u * u * u - 2.5 * u * u + 1).when(u < 2, -0.5 * u * u * u + 2.5 * u * u - 4 * u + 2).otherwise(0.0)
+def _spline(t: np.ndarray) -> np.ndarray:
+    u = np.abs(t)
+    return np.where(u <= 1, 2 / 3 - u * u + u * u * u / 2, np.where(u < 2, (2 - u) * (2 - u) * (2 - u) / 6, 0.0))
 
 
-def _spline(t: Column) -> Column:
-    u = F.abs(t)
-    return F.when(u <= 1, 2 / 3 - u * u + u * u * u / 2).when(u < 2, (2 - u) * (2 - u) * (2 - u) / 6).otherwise(0.0)
-
-
-def _gauss(t: Column) -> Column:
-    # Halves at a distance of one cell: 1 2 1 on whole cells.
-    return F.when(F.abs(t) < 2, F.pow(F.lit(2.0), -t * t)).otherwise(0.0)
-
-
-#: Resampling by weights of neighbours: reach in cells and weight of a distance in cells.
-KERNELS: dict[str, tuple[int, Callable[[Column], Column]]] = {
-    "bilinear": (1, lambda t: F.greatest(F.lit(0.0), 1 - F.abs(t))),
+#: Resampling by weights of neighbours: reach in cells and weights of distances in cells.
+KERNELS: dict[str, tuple[int, Callable[[np.ndarray], np.ndarray]]] = {
+    "bilinear": (1, lambda t: np.maximum(0.0, 1 - np.abs(t))),
     "cubic": (2, _cubic),
     "cubic_spline": (2, _spline),
-    "lanczos": (3, _lanczos),
-    "gauss": (2, _gauss),
+    "lanczos": (3, lambda t: np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0.0)),
+    # Halves at a distance of one cell: 1 2 1 on whole cells.
+    "gauss": (2, lambda t: np.where(np.abs(t) < 2, np.exp2(-t * t), 0.0)),
 }
 METHODS = ("nearest", *KERNELS, *AREA, *QUANTILES, "mode")
 
@@ -394,17 +388,22 @@ def _blocks(boxes: DataFrame, codes: list[str], target: dict, tolerance: float)
     return placed(fine, [(0, 0), (0, 1), (1, 0), (1, 1)]).select("raster_id", "r0", "c0", "n", "p")
 
 
+def _over(meta: DataFrame, target: dict) -> DataFrame:
+    """Rasters with the rows r0 to r1 and columns c0 to c1 of the target's cells over them."""
+    boxes = extents_in(meta.select("raster_id", *_GRID, "height", "width"), target["crs"])
+    ends = lambda lo, hi, o, s, n: (F.greatest(F.lit(0), F.floor(F.least((F.col(lo) - target[o]) / target[s], (F.col(hi) - target[o]) / target[s]))).cast("long"), F.least(F.lit(n - 1), F.ceil(F.greatest((F.col(lo) - target[o]) / target[s], (F.col(hi) - target[o]) / target[s]))).cast("long"))
+    r0, r1 = ends("miny", "maxy", "f", "e", target["height"])
+    c0, c1 = ends("minx", "maxx", "c", "a", target["width"])
+    return boxes.withColumns({"r0": r0, "r1": r1, "c0": c0, "c1": c1}).filter("r0 <= r1 and c0 <= c1")
+
+
 def source_places(meta: DataFrame, target: dict, corners: bool = False, tolerance: float = TOLERANCE) -> DataFrame:
     """(raster_id, row, col, sx, sy) of the target cells over each raster: where their centres lie in the raster, in its cells.
 
     With ``corners`` the box x0, x1, y0, y1 about the places of a cell's corners stands for the centre.
     """
     codes = sorted(r[0] for r in meta.select("crs").distinct().collect())
-    boxes = extents_in(meta.select("raster_id", *_GRID, "height", "width"), target["crs"])
-    ends = lambda lo, hi, o, s, n: (F.greatest(F.lit(0), F.floor(F.least((F.col(lo) - target[o]) / target[s], (F.col(hi) - target[o]) / target[s]))).cast("long"), F.least(F.lit(n - 1), F.ceil(F.greatest((F.col(lo) - target[o]) / target[s], (F.col(hi) - target[o]) / target[s]))).cast("long"))
-    r0, r1 = ends("miny", "maxy", "f", "e", target["height"])
-    c0, c1 = ends("minx", "maxx", "c", "a", target["width"])
-    boxes = boxes.withColumns({"r0": r0, "r1": r1, "c0": c0, "c1": c1}).filter("r0 <= r1 and c0 <= c1")
+    boxes = _over(meta, target)
     out = []
     row, col = F.col("row"), F.col("col")
 
@@ -467,6 +466,93 @@ def shares(pixels: DataFrame, meta: DataFrame, target: dict, tolerance: float =
     return at.unionByName(cells.join(source, ["raster_id", "sr", "sc"]).select(*kept))
 
 
+#: Cells to a side of the chunks of source cells on which kernels work.
+KERNEL_CHUNK = 512
+
+
+def _weighed(pixels: DataFrame, meta: DataFrame, target: dict, method: str, tolerance: float) -> DataFrame:
+    """Weighted means of the valid source cells about each target centre, a chunk of source cells at a time.
+
+    Source cells are shuffled once, to the chunk that they lie in and to those neighbours whose kernels reach them (the halo).  Target
+    cells are not shuffled: a chunk's task makes those whose neighbourhood begins in it, from the few blocks of cells that meet it.
+    Chunks are smaller where the target is finer, so a task holds about ``KERNEL_CHUNK`` squared cells of each band on either side.
+    Weights are added in the order of rows and columns, so results do not depend on the partitions.
+    """
+    reach, weight = KERNELS[method]
+    boxes = _over(meta, target)
+    finer = F.sqrt((F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1) / (F.col("height") * F.col("width")))
+    found = boxes.agg(F.max(finer).alias("finer"), F.collect_set("crs").alias("codes")).first()
+    # From about 30 times finer on, a task's target cells grow.
+    side = max(16, int(KERNEL_CHUNK / max(1.0, found["finer"] or 1.0)))
+    chunks = lambda k: F.explode(F.expr(f"sequence(cast(floor(({k} - {reach}) / {side}) as long), cast(floor(({k} + {reach - 1}) / {side}) as long))"))
+    source = pixels.filter("value is not null").select("raster_id", "source_ord", "band", F.col("row").cast("long").alias("sr"), F.col("col").cast("long").alias("sc"), F.col("value").cast("double").alias("value"))
+    source = source.withColumn("cr", chunks("sr")).withColumn("cc", chunks("sc"))
+
+    last = lambda k: F.expr(f"({k} + {reach}) div {side}")
+    own = boxes.filter(F.col("crs") == target["crs"]).withColumns({"place": F.array("a", "c", "e", "f"), "nr": F.col("r1") - F.col("r0") + 1, "nc": F.col("c1") - F.col("c0") + 1, "n": F.lit(0)})
+    own = own.withColumn("cr", F.explode(F.sequence(F.lit(-1).cast("long"), last("height")))).withColumn("cc", F.explode(F.sequence(F.lit(-1).cast("long"), last("width"))))
+    kept = ["raster_id", "cr", "cc", "r0", "c0", "nr", "nc", "n", "place"]
+    blocks = own.select(*kept)
+    others = sorted(k for k in found["codes"] if k != target["crs"])
+    if others:
+        made = _blocks(boxes.filter(F.col("crs") != target["crs"]), others, target, tolerance).join(boxes.select("raster_id", "height", "width"), "raster_id")
+        made = made.withColumns({"nr": F.least(F.col("n"), target["height"] - F.col("r0")), "nc": F.least(F.col("n"), target["width"] - F.col("c0"))}).filter("nr > 0 and nc > 0")
+        for at, k, size in (("cr", "sy", "height"), ("cc", "sx", "width")):
+            ends = F.array(*(F.floor(F.floor(F.col("p")[m][k] - 0.5) / side).cast("long") for m in range(4)))
+            made = made.withColumns({"_lo": F.greatest(F.array_min(ends), F.lit(-1)), "_hi": F.least(F.array_max(ends), last(size))}).filter("_lo <= _hi").withColumn(at, F.explode(F.sequence("_lo", "_hi")))
+        blocks = blocks.unionByName(made.withColumn("place", F.flatten(F.transform("p", lambda p: F.array(p["sx"], p["sy"])))).select(*kept))
+
+    def centres(block: dict, i0: int, j0: int) -> tuple[np.ndarray, ...]:
+        """Rows, columns, and source places (sy, sx) of a block's cells whose neighbourhoods begin in the chunk at (i0, j0)."""
+        place, rows, cols = block["place"], np.arange(block["r0"], block["r0"] + block["nr"]), np.arange(block["c0"], block["c0"] + block["nc"])
+        r, c = rows + 0.5, cols + 0.5
+        inside = lambda s, first: (np.floor(s - 0.5) >= first) & (np.floor(s - 0.5) < first + side)
+        if len(place) == 4:
+            a, x, e, y = place
+            sy, sx = (target["f"] + r * target["e"] - y) / e, (target["c"] + c * target["a"] - x) / a
+            on_r, on_c = inside(sy, i0), inside(sx, j0)
+            shape = (int(on_r.sum()), int(on_c.sum()))
+            return tuple(np.broadcast_to(v, shape).ravel() for v in (rows[on_r][:, None], cols[on_c][None, :], sy[on_r][:, None], sx[on_c][None, :]))
+        u, v = ((r - block["r0"]) / block["n"])[:, None], ((c - block["c0"]) / block["n"])[None, :]
+        sx, sy = ((place[k] * (1 - v) + place[k + 2] * v) * (1 - u) + (place[k + 4] * (1 - v) + place[k + 6] * v) * u for k in (0, 1))
+        on = inside(sy, i0) & inside(sx, j0)
+        return np.broadcast_to(rows[:, None], on.shape)[on], np.broadcast_to(cols[None, :], on.shape)[on], sy[on], sx[on]
+
+    kinds = {f.name: f.dataType for f in pixels.schema}
+    schema = T.StructType([T.StructField("raster_id", kinds["raster_id"]), T.StructField("source_ord", kinds["source_ord"]), T.StructField("band", kinds["band"]), T.StructField("row", T.LongType()), T.StructField("col", T.LongType()), T.StructField("value", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def weigh(key: tuple, cells: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not cells.num_rows or not blocks.num_rows:
+            return arrow.empty_table()
+        i0, j0 = key[1].as_py() * side, key[2].as_py() * side
+        row, col, sy, sx = (np.concatenate(v) for v in zip(*(centres(b, i0, j0) for b in blocks.to_pylist())))
+        i, j = np.floor(sy - 0.5).astype(np.int64), np.floor(sx - 0.5).astype(np.int64)
+        steps = range(1 - reach, reach + 1)
+        wy, wx = ([weight(s - (k + d) - 0.5) for d in steps] for s, k in ((sy, i), (sx, j)))
+        wide = side + 2 * reach - 1
+        begin = (i - i0) * wide + j - j0
+        out = []
+        for (order, band), part in cells.select(["source_ord", "band", "sr", "sc", "value"]).to_pandas().groupby(["source_ord", "band"], dropna=False):
+            at = ((part["sr"] - i0 + reach - 1) * wide + part["sc"] - j0 + reach - 1).to_numpy()
+            total, held = np.bincount(at, part["value"], wide * wide), np.bincount(at, minlength=wide * wide)
+            top, below, seen = np.zeros(len(row)), np.zeros(len(row)), np.zeros(len(row), np.int64)
+            for m, across in enumerate(wy):
+                for n, along in enumerate(wx):
+                    near, w = begin + m * wide + n, across * along
+                    top, below, seen = top + w * total[near], below + w * held[near], seen + held[near]
+            on = seen > 0
+            lost = below[on] == 0
+            value = pa.array(top[on] / np.where(lost, 1.0, below[on]), mask=lost)
+            fixed = [pa.array([v], from_pandas=True).cast(arrow.field(k).type) for k, v in (("source_ord", order), ("band", band))]
+            same = [pa.repeat(v, int(on.sum())) for v in (key[0].cast(arrow.field(0).type), *(f[0] for f in fixed))]
+            out.append(pa.Table.from_arrays([*same, pa.array(row[on], pa.int64()), pa.array(col[on], pa.int64()), value], schema=arrow))
+        return pa.concat_tables(out)
+
+    keys = ("raster_id", "cr", "cc")
+    return source.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(weigh, schema)
+
+
 def _resampled(pixels: DataFrame, meta: DataFrame, target: dict, method: str, tolerance: float) -> DataFrame:
     cell = ["raster_id", "source_ord", *CELL]
     if method in AREA:
@@ -481,18 +567,11 @@ def _resampled(pixels: DataFrame, meta: DataFrame, target: dict, method: str, to
         each = each.withColumns({"below": F.sum(valid).over(here.orderBy(F.col("value").asc_nulls_last())), "all": F.sum(valid).over(here)})
         enough = F.col("below") >= (QUANTILES[method] - LEAST_SHARE) * F.col("all")
         return each.groupBy(*cell).agg(F.min(F.when(enough, F.col("value"))).alias("value"))
-    grid = source_places(meta, target, tolerance=tolerance)
+    if method in KERNELS:
+        return _weighed(pixels, meta, target, method, tolerance)
+    at = source_places(meta, target, tolerance=tolerance).withColumns({"sr": F.floor("sy").cast("long"), "sc": F.floor("sx").cast("long")})
     source = pixels.select("raster_id", "source_ord", "band", F.col("row").alias("sr"), F.col("col").alias("sc"), "value")
-    if method == "nearest":
-        at = grid.withColumns({"sr": F.floor("sy").cast("long"), "sc": F.floor("sx").cast("long")})
-        return at.join(source, ["raster_id", "sr", "sc"]).select(*cell, "value")
-    reach, weight = KERNELS[method]
-    near = F.sequence(F.lit(1 - reach), F.lit(reach))
-    at = grid.withColumns({"i": F.floor(F.col("sy") - 0.5).cast("long"), "j": F.floor(F.col("sx") - 0.5).cast("long")})
-    at = at.withColumn("sr", F.explode(F.transform(near, lambda k: k + F.col("i")))).withColumn("sc", F.explode(F.transform(near, lambda k: k + F.col("j"))))
-    w = weight(F.col("sy") - F.col("sr") - 0.5) * weight(F.col("sx") - F.col("sc") - 0.5)
-    hits = at.join(source.filter("value is not null"), ["raster_id", "sr", "sc"]).withColumn("w", w)
-    return hits.groupBy(*cell).agg(F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("value"))
+    return at.join(source, ["raster_id", "sr", "sc"]).select(*cell, "value")
 
 
 def align(pixels: DataFrame, meta: DataFrame, to: DataFrame, method: str = "nearest") -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,8 @@ recurring one can hold them.  A template that at least ``MIN_DOCS`` documents ha
 dropped from all of them.
 
 Only leaves that ``MIN_DOCS`` documents reach go on past the first count, and documents with the same lines in a leaf are
-counted before their tokens are dealt out, so a line that a third of all documents hold is one weighted row.
+counted before their tokens are dealt out, so a line that a third of all documents hold is one weighted row.  What recurs is decided
+on distinct lines; line rows meet the decision last, those of hot lines dealt over several tasks.
 
 Defined results: lines end at a line feed; tokens are runs of anything but ASCII white space; a line without
 tokens is kept; null and empty texts have no lines and keep their text (null gives null); a document counts once for
@@ -35,6 +36,9 @@ MIN_DOCS = 5
 MIN_TOKENS = 3
 MAX_VARIABLE = 0.34
 WILD = "<*>"
+#: Rows from which a line or a template is split over several tasks, and the most that are.
+HOT_ROWS = 1_000
+MAX_HOT = 20_000
 
 #: Tokens with a digit; the look-behind only keeps the search from starting again within a token.
 _DIGIT = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*")
@@ -71,15 +75,38 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, max_variable: float = MAX_VARIABLE) -> DataFrame:
     """(row_key, line_no, template, docs) of the lines to drop, a row for each recurring template, from rows (row_key, text)."""
+    lines, decided, hot = _decided(docs, min_docs, min_tokens, max_variable)
+    return _meet(lines, decided, hot, ["leaf", "line_id"], "row_key").select("row_key", "line_no", "template", "docs")
+
+
+def _hot(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, parts) of the keys of counts (keys, n) that have too many rows for one task; at most ``MAX_HOT`` of them.
+
+    The parts of all hot keys together are at most twice ``MAX_HOT``, as each but a key's last has ``limit`` rows.
+    """
+    limit = max(HOT_ROWS, -(-(counts.agg(F.sum("n")).first()[0] or 0) // MAX_HOT))
+    return counts.filter(F.col("n") >= limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("parts"))
+
+
+def _meet(many: DataFrame, few: DataFrame, hot: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Inner join on ``keys``; rows of ``many`` with a hot key are dealt by ``by`` over its parts, each with its own copy from ``few``."""
+    at = [k for k in keys if k in hot.columns]
+    dealt = many.join(F.broadcast(hot), at, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    copies = few.join(F.broadcast(hot), at, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [*keys, "part"]).drop("part")
+
+
+def _decided(docs: DataFrame, min_docs: int, min_tokens: int, max_variable: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Line rows (row_key, line_no, leaf, line_id), recurring distinct lines (leaf, line_id, template, docs), and hot lines."""
     common.prepare(docs.sparkSession)
     texts = docs.select("text").filter("text is not null")
     leaves = texts.mapInArrow(_leaves, "leaf long").groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
     lines = docs.select("row_key", "text").filter("text is not null").mapInArrow(_lines, "row_key long, line_no int, leaf long, line string")
-    lines = common.stored(lines.join(leaves, "leaf", "left_semi"), "lines")
-    distinct = common.stored(lines.select("leaf", "line", F.xxhash64("leaf", "line").alias("line_id")).distinct(), "distinct")
+    lines = common.stored(lines.join(leaves, "leaf", "left_semi").withColumn("line_id", F.xxhash64("leaf", "line")), "lines")
+    distinct = common.stored(lines.groupBy("leaf", "line", "line_id").agg(F.count("*").alias("n")), "distinct")
     # Equal rows share a key; the rows over the line numbers are the number of such rows.  The lists are bounded by one document.
     held = lines.groupBy("leaf", "row_key").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.expr("count(*) div size(collect_set(line_no))").alias("n"))
-    held = held.groupBy("leaf", "lines").agg(F.sum("n").alias("n"))
+    held = common.stored(held.groupBy("leaf", "lines").agg(F.sum("n").alias("n")), "held")
     at = lambda line: F.transform(F.split(line, " "), lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
     had = held.select("leaf", "n", F.explode(F.array_distinct(F.flatten(F.transform("lines", at)))).alias("at")).select("leaf", "n", "at.*").filter(F.col("token") != WILD)
     had = had.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("had")).filter(F.col("had") >= min_docs)
@@ -92,17 +119,23 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
     over = F.coalesce(F.get(F.array_sort(ranks), F.floor(F.size("parts") * max_variable).cast("int")), F.lit((1 << 63) - 1))
     cuts = F.filter(F.array_union(F.array(F.lit(0).cast("long")), ranks), lambda r: (r < F.col("over")) & ((F.size("parts") >= min_tokens) | (r < F.array_min(ranks))))
     named_at = lambda cut: F.array_join(F.transform("parts", lambda p: F.when(p["had"] > cut, p["token"]).otherwise(F.lit(WILD))), " ")
-    template = ranked.withColumn("over", over).select("leaf", "line_id", F.explode(F.transform(cuts, named_at)).alias("template"))
-    named = common.stored(lines.select("row_key", "line_no", "leaf", F.xxhash64("leaf", "line").alias("line_id")).join(template, ["leaf", "line_id"]).select("row_key", "line_no", "leaf", "template"), "named")
-    often = named.groupBy("leaf", "template", "row_key").agg(F.count("*").alias("c"), F.countDistinct("line_no").alias("lines"))
-    often = often.groupBy("leaf", "template").agg(F.sum(F.expr("c div lines")).alias("docs")).filter(F.col("docs") >= min_docs)
-    return named.join(often, ["leaf", "template"]).select("row_key", "line_no", "template", "docs")
-
-
-def drop_recurring_lines(docs: DataFrame, **limits: float) -> DataFrame:
+    named = ranked.withColumn("over", over).select("leaf", "line_id", F.explode(F.transform(cuts, named_at)).alias("template"))
+    named = common.stored(named.withColumn("template_id", F.xxhash64("template")), "named")
+    # Documents are counted by their distinct sets of lines, and a set once for a template.
+    hot = common.stored(_hot(distinct, ["leaf", "line_id"]), "hot")
+    sets = held.select("leaf", F.xxhash64("leaf", "lines").alias("set_id"), "n", F.explode("lines").alias("line")).withColumn("line_id", F.xxhash64("leaf", "line")).drop("line")
+    often = _meet(sets, named, hot, ["leaf", "line_id"], "set_id").groupBy("leaf", "template_id", "template", "set_id").agg(F.max("n").alias("n"))
+    often = common.stored(often.groupBy("leaf", "template_id", "template").agg(F.sum("n").alias("docs")).filter(F.col("docs") >= min_docs), "often")
+    wide = common.stored(_hot(named.groupBy("leaf", "template_id").agg(F.count("*").alias("n")), ["leaf", "template_id"]), "wide")
+    decided = _meet(named, often, wide, ["leaf", "template_id", "template"], "line_id").select("leaf", "line_id", "template", "docs")
+    return lines.select("row_key", "line_no", "leaf", "line_id"), common.stored(decided, "decided"), hot
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, max_variable: float = MAX_VARIABLE) -> DataFrame:
     """``docs`` with text without its recurring lines, n_lines and n_dropped."""
     key = F.xxhash64("doc_id", "text")
-    drops = recurring_lines(docs.select(key.alias("row_key"), "text"), **limits)
+    found, decided, hot = _decided(docs.select(key.alias("row_key"), "text"), min_docs, min_tokens, max_variable)
+    drops = _meet(found, decided.select("leaf", "line_id").distinct(), hot, ["leaf", "line_id"], "row_key")
     drops = drops.groupBy(F.col("row_key").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i))

@@ -55,21 +55,17 @@ def masked_lines(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        leaves: list[int] = []
-        for text in b.column("text").to_pylist():
-            leaves += {leaf for _, leaf, _ in masked_lines(text or "")}
-        yield from common.as_batches({"leaf": leaves}, pa.schema([("leaf", pa.int64())]))
-
-
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("row_key", pa.int64()), ("line_no", pa.int32()), ("leaf", pa.int64()), ("line", pa.string())])
+    """Line rows; ``opens`` marks a text's first line of each leaf."""
+    schema = pa.schema([("row_key", pa.int64()), ("line_no", pa.int32()), ("leaf", pa.int64()), ("opens", pa.bool_()), ("line", pa.string())])
     for b in batches:
         out: list[tuple] = []
         for key, text in zip(b.column("row_key").to_pylist(), b.column("text").to_pylist()):
-            out += [(key, *x) for x in masked_lines(text or "")]
-        cols = list(zip(*out)) or [()] * 4
+            seen: set[int] = set()
+            for i, leaf, line in masked_lines(text or ""):
+                out.append((key, i, leaf, leaf not in seen, line))
+                seen.add(leaf)
+        cols = list(zip(*out)) or [()] * 5
         yield from common.as_batches({f.name: pa.array(c, pa.binary()).cast(pa.string()) if f.name == "line" else list(c) for f, c in zip(schema, cols)}, schema, 5_000)
 
 
@@ -99,10 +95,13 @@ def _meet(many: DataFrame, few: DataFrame, hot: DataFrame, keys: list[str], by:
 def _decided(docs: DataFrame, min_docs: int, min_tokens: int, max_variable: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Line rows (row_key, line_no, leaf, line_id), recurring distinct lines (leaf, line_id, template, docs), and hot lines."""
     common.prepare(docs.sparkSession)
-    texts = docs.select("text").filter("text is not null")
-    leaves = texts.mapInArrow(_leaves, "leaf long").groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
-    lines = docs.select("row_key", "text").filter("text is not null").mapInArrow(_lines, "row_key long, line_no int, leaf long, line string")
-    lines = common.stored(lines.join(leaves, "leaf", "left_semi").withColumn("line_id", F.xxhash64("leaf", "line")), "lines")
+    raw = docs.select("row_key", "text").filter("text is not null").mapInArrow(_lines, "row_key long, line_no int, leaf long, opens boolean, line string")
+    raw = common.stored(raw, "raw")
+    leaves = raw.groupBy("leaf").agg(F.count_if("opens").alias("docs"), F.count("*").alias("n"))
+    leaves = common.stored(leaves.filter(F.col("docs") >= min_docs), "leaves")
+    large = common.stored(_hot(leaves, ["leaf"]), "large")
+    lines = _meet(raw.drop("opens"), leaves.select("leaf"), large, ["leaf"], "row_key")
+    lines = common.stored(lines.withColumn("line_id", F.xxhash64("leaf", "line")), "lines")
     distinct = common.stored(lines.groupBy("leaf", "line", "line_id").agg(F.count("*").alias("n")), "distinct")
     # Equal rows share a key; the rows over the line numbers are the number of such rows.  The lists are bounded by one document.
     held = lines.groupBy("leaf", "row_key").agg(F.array_sort(F.collect_set("line")).alias("lines"), F.expr("count(*) div size(collect_set(line_no))").alias("n"))

@@ -5,8 +5,10 @@ cross, so their order from left to right tells where a polygon begins and ends:
 enter it, and a running sum of entries less exits says how many parts cover the place (even-odd within a part, so parts may overlap).  What
 is inside becomes a trapezoid between two edges; trapezoids between the same two edges are joined over slabs.
 
-Everything is an equi-join or a window by group and slab: no task holds a polygon.  Groups of many edges are cut into bands, so that edges and
-slabs meet within a band only, and unions of many parts are cut by a grid of cells first.
+Groups of few edges, as nearly all pairs of polygons and cells of a union are, stay rows and are worked out batch by batch (``slabs``).  For the
+others everything is an equi-join or a window by group and slab: no task holds a polygon.  They are cut into bands, so that edges and
+slabs meet within a band only.  Unions of many parts are cut by a grid of cells first; where parts lie on one another the cells are
+smaller than parts, and a cell that one part covers is a piece whatever else meets it, so the work grows with the distinct parts, not their depth.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import stored
-from . import geometry
+from . import geometry, slabs
 
 #: Edges of a band, parts of a union that are not cut into cells, and parts of a cell.
 BAND_EDGES, WHOLE_PARTS, CELL_PARTS = 64, 256, 64
+#: Points of a group that stays a row; parts over one another, on average, from which cells are smaller than parts; cells of a part, then.
+ROW_POINTS, DEEP, DEEP_CELLS = 320, 2, 32
 #: Slabs and pieces thinner than this part of their coordinates come from rounding.
 THIN = 1e-13
 
@@ -32,8 +36,8 @@ def edge_rows(polygons: DataFrame, group: list[str]) -> DataFrame:
 
     ``polygons``: group, side (0 or 1), own (what tells the polygons of a side apart) and parts.
     """
-    each = polygons.select(*group, "side", "own", F.posexplode("parts").alias("k", "rings"))
-    each = each.select(*group, "side", F.struct("own", "k").alias("part"), F.explode(geometry.edges(F.col("rings"))).alias("e")).filter("e.a.y <> e.b.y")
+    each = polygons.select(*group, "side", "own", F.posexplode("parts").alias("_k", "rings"))
+    each = each.select(*group, "side", F.struct("own", "_k").alias("part"), F.explode(geometry.edges(F.col("rings"))).alias("e")).filter("e.a.y <> e.b.y")
     up = F.col("e.a.y") < F.col("e.b.y")
     end = lambda first, k: F.when(up, F.col(f"e.{'a' if first else 'b'}.{k}")).otherwise(F.col(f"e.{'b' if first else 'a'}.{k}"))
     return each.select(*group, "side", "part", end(True, "x").alias("x0"), end(True, "y").alias("y0"), end(False, "x").alias("x1"), end(False, "y").alias("y1"))
@@ -111,6 +115,50 @@ def pieces(edges: DataFrame, group: list[str], inside: Callable[[Column, Column]
     return found.groupBy(*group, "edge", "r", "run").agg(*ends).select(*group, F.col("_l").alias("lo"), F.col("_h").alias("hi"), "l_lo", "l_hi", "r_lo", "r_hi")
 
 
+def _points(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0), lambda n, rings: n + F.aggregate(rings, F.lit(0), lambda m, ring: m + F.size(ring)))
+
+
+def _found(rows: DataFrame, group: list[str], inside: Callable[[Column, Column], Column]) -> DataFrame:
+    """(group, found) of groups that are rows (group, mine, other): their trapezoids as an array."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*group).schema)
+    return rows.select(*group, "mine", "other").mapInArrow(slabs.found_in(group, inside, THIN), f"{kinds}, found {slabs.FOUND}")
+
+
+def _gathered(found: DataFrame, group: list[str]) -> DataFrame:
+    """(group, found) of single trapezoids."""
+    return found.groupBy(*group).agg(F.collect_list(F.struct(*slabs.FIELDS)).alias("found"))
+
+
+def _by_pair(pairs: DataFrame, group: list[str], most: int, inside: Callable[[Column, Column], Column]) -> DataFrame:
+    """(group, found) of ``pairs`` (group, mine, other), of which none has more than ``most`` points."""
+    if most <= ROW_POINTS:
+        return _found(pairs, group, inside)
+    pairs = pairs.withColumn("_n", _points(F.col("mine")) + _points(F.col("other")))
+    few, many = _found(pairs.filter(F.col("_n") <= ROW_POINTS), group, inside), pairs.filter(F.col("_n") > ROW_POINTS)
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("mine").alias("parts")), F.struct(F.lit(1).alias("side"), F.col("other").alias("parts")))
+    many = many.select(*group, F.explode(sides).alias("s")).select(*group, "s.side", F.lit(0).alias("own"), "s.parts")
+    return few.unionByName(_gathered(pieces(edge_rows(many, group), group, inside), group))
+
+
+def _by_group(items: DataFrame, group: list[str], inside: Callable[[Column, Column], Column]) -> DataFrame:
+    """(group, found) of ``items`` (group, side, own, parts): those of a group together where they have few points."""
+    every = Window.partitionBy(*group)
+    so_far = every.orderBy("side", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    items = items.withColumn("_p", _points(F.col("parts"))).withColumns({"_n": F.sum("_p").over(every), "_at": F.sum("_p").over(so_far)})
+    # Larger groups are stored in lots of about as many points, so no row is large.
+    lot = F.when(F.col("_n") <= ROW_POINTS, F.lit(0)).otherwise(F.floor(F.col("_at") / ROW_POINTS)).cast("long")
+    items = items.groupBy(*group, lot.alias("_lot")).agg(F.first("_n").alias("_n"), F.collect_list(F.struct("side", "own", "parts")).alias("items"))
+    items = stored(items, "groups")
+    of = lambda side: F.flatten(F.transform(F.filter("items", lambda i: i["side"] == side), lambda i: i["parts"]))
+    few = _found(items.filter(F.col("_n") <= ROW_POINTS).select(*group, of(0).alias("mine"), of(1).alias("other")), group, inside)
+    many = items.filter(F.col("_n") > ROW_POINTS)
+    if many.isEmpty():
+        return few
+    many = many.select(*group, F.explode("items").alias("i")).select(*group, "i.*")
+    return few.unionByName(_gathered(pieces(edge_rows(many, group), group, inside), group))
+
+
 def piece_area() -> Column:
     return (F.col("hi") - F.col("lo")) * ((F.col("r_lo") - F.col("l_lo")) + (F.col("r_hi") - F.col("l_hi"))) / 2
 
@@ -122,30 +170,41 @@ def piece_ring() -> Column:
 
 def as_parts(found: DataFrame, group: list[str]) -> DataFrame:
     """(group, parts, area): the trapezoids of a group as the parts of one polygon."""
-    return found.groupBy(*group).agg(F.collect_list(F.array(piece_ring())).alias("parts"), F.sum(piece_area()).alias("area"))
+    return _as_parts(_gathered(found, group), group)
+
+
+def _as_parts(found: DataFrame, group: list[str]) -> DataFrame:
+    point = lambda t, x, y: F.struct(t[x].alias("x"), t[y].alias("y"))
+    ring = lambda t: F.array(F.array(*(point(t, *at) for at in (("l_lo", "lo"), ("r_lo", "lo"), ("r_hi", "hi"), ("l_hi", "hi"), ("l_lo", "lo")))))
+    area = F.aggregate("found", F.lit(0.0), lambda s, t: s + (t["hi"] - t["lo"]) * ((t["r_lo"] - t["l_lo"]) + (t["r_hi"] - t["l_hi"])) / 2)
+    return found.select(*group, F.transform("found", ring).alias("parts"), area.alias("area"))
+
+
+def _common(polygons: DataFrame, areas: DataFrame) -> DataFrame:
+    """(geom_id, area_id, found): the trapezoids that each polygon has in common with each area."""
+    a, b = (geometry.whole(t.select("geom_id", "parts" if "parts" in t.columns else "rings")) for t in (polygons, areas))
+    pairs = geometry.box_pairs(a, b).select(F.col("l.geom_id").alias("geom_id"), F.col("r.geom_id").alias("area_id"), F.col("l.parts").alias("mine"), F.col("r.parts").alias("other"))
+    # Two numbers: points of the largest of either side.
+    most = sum(t.agg(F.max(_points(F.col("parts")))).first()[0] or 0 for t in (a, b))
+    return _by_pair(pairs, ["geom_id", "area_id"], most, lambda mine, other: (mine > 0) & (other > 0))
 
 
 def common_pieces(polygons: DataFrame, areas: DataFrame) -> DataFrame:
     """(geom_id, area_id, lo, hi, l_lo, l_hi, r_lo, r_hi): what each polygon has in common with each area; geom_id is a key of either side."""
-    a, b = geometry.whole(polygons.select("geom_id", "parts" if "parts" in polygons.columns else "rings")), geometry.whole(areas.select("geom_id", "parts" if "parts" in areas.columns else "rings"))
-    group = ["geom_id", "area_id"]
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("l.parts").alias("parts")), F.struct(F.lit(1).alias("side"), F.col("r.parts").alias("parts")))
-    pairs = geometry.box_pairs(a, b).select(F.col("l.geom_id").alias("geom_id"), F.col("r.geom_id").alias("area_id"), F.explode(sides).alias("s"))
-    edges = edge_rows(pairs.select(*group, "s.side", F.lit(0).alias("own"), "s.parts"), group)
-    return pieces(edges, group, lambda mine, other: (mine > 0) & (other > 0))
+    return _common(polygons, areas).select("geom_id", "area_id", F.inline("found"))
 
 
 def clipped_to(polygons: DataFrame, areas: DataFrame) -> DataFrame:
     """(geom_id, area_id, parts, area) of polygons cut to each area that they share more than a border with."""
-    return as_parts(common_pieces(polygons, areas), ["geom_id", "area_id"])
+    return _as_parts(_common(polygons, areas), ["geom_id", "area_id"])
 
 
 def without(polygons: DataFrame, areas: DataFrame) -> DataFrame:
     """(geom_id, parts, area) of what polygons have outside all areas; those wholly inside go."""
-    a, b = geometry.whole(polygons.select("geom_id", "parts" if "parts" in polygons.columns else "rings")), geometry.whole(areas.select("geom_id", "parts" if "parts" in areas.columns else "rings"))
+    a, b = (geometry.whole(t.select("geom_id", "parts" if "parts" in t.columns else "rings")) for t in (polygons, areas))
     near = geometry.box_pairs(a, b).select(F.col("l.geom_id").alias("geom_id"), F.lit(1).alias("side"), F.col("r.geom_id").cast("string").alias("own"), F.col("r.parts").alias("parts"))
-    edges = edge_rows(a.select("geom_id", F.lit(0).alias("side"), F.lit("").alias("own"), "parts").unionByName(near), ["geom_id"])
-    return as_parts(pieces(edges, ["geom_id"], lambda mine, other: (mine > 0) & (other == 0)), ["geom_id"])
+    items = a.select("geom_id", F.lit(0).alias("side"), F.lit("").alias("own"), "parts").unionByName(near)
+    return _as_parts(_by_group(items, ["geom_id"], lambda mine, other: (mine > 0) & (other == 0)), ["geom_id"])
 
 
 def _in_cells(polygons: DataFrame, key: str) -> DataFrame:
@@ -168,7 +227,7 @@ def union_pieces(polygons: DataFrame, key: str) -> DataFrame:
     """(key, cx, cy, lo, hi, l_lo, l_hi, r_lo, r_hi): the union of the polygons (geom_id, key, rings or parts) of each key."""
     whole = polygons if "parts" in polygons.columns else polygons.withColumn("parts", F.array("rings"))
     group = [key, "cx", "cy"]
-    return pieces(edge_rows(_in_cells(whole, key), group), group, lambda n, _: n > 0)
+    return _by_group(_in_cells(whole, key), group, lambda n, _: n > 0).select(*group, F.inline("found"))
 
 
 def dissolved(polygons: DataFrame, key: str) -> DataFrame:

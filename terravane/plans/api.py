@@ -243,7 +243,8 @@ def soil_components_of(geometries: DataFrame, units: DataFrame, tables: dict[str
     """
     pieces = units.withColumn("geom_id", F.monotonically_increasing_id())
     hit = geometry.polygons_meeting(pieces, geometries).select(F.col("left_id").alias("geom_id"))
-    near = pieces.join(hit.distinct(), "geom_id", "left_semi")
+    # Stored: a few rows that took all pairs to find, read several times.
+    near = stored(pieces.join(hit.distinct(), "geom_id", "left_semi"), "units")
     own = tables | {"mapunit": tables["mapunit"].join(near.select("mukey"), "mukey", "left_semi")}
     out = soil_components(own, top, bottom)
     if not crop:

@@ -206,6 +206,20 @@ def box_meets(parts: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
     return F.exists(parts, part)
 
 
+def covers_box(rings: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether a box lies inside rings."""
+    touched = F.exists(edges(rings), lambda e: segment_meets_open_box(e["a"], e["b"], x0, y0, x1, y1))
+    return ~touched & contains(rings, (x0 + x1) / 2, (y0 + y1) / 2)
+
+
+def upright(rings: Column) -> Column:
+    """Whether rings are one rectangle along the axes."""
+    p = [F.get(F.get(rings, 0), k) for k in range(5)]
+    aside = [(a["x"] == b["x"]) != (a["y"] == b["y"]) for a, b in zip(p, p[1:])]
+    across = [(a[k] != b[k]) for a, b in ((p[0], p[2]), (p[1], p[3])) for k in ("x", "y")]
+    return F.coalesce((F.size(rings) == 1) & (F.size(F.get(rings, 0)) == 5) & (p[0] == p[4]) & functools.reduce(Column.__and__, aside + across), F.lit(False))
+
+
 def polygons_meet(one: Column, other: Column) -> Column:
     """Whether two polygons of parts have a point in common: an edge of one crosses or touches one of the other, or one holds the other."""
     flat = lambda parts: F.flatten(F.transform(parts, edges))
@@ -353,6 +367,12 @@ def area(rings: Column) -> Column:
     return F.aggregate(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), one(rings[0]), lambda s, ring: s - one(ring))
 
 
+def box_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The closed ring of a box."""
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0))
+
+
 def boxes_as_polygons(boxes: DataFrame) -> DataFrame:
     """``boxes`` (minx, miny, maxx, maxy, ...) with their rings instead of the extent."""
     point = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))

@@ -22,7 +22,7 @@ from ..sources.files import stored
 from . import geometry, slabs
 
 #: Edges of a band, parts of a union that are not cut into cells, and parts of a cell.
-BAND_EDGES, WHOLE_PARTS, CELL_PARTS = 64, 256, 64
+BAND_EDGES, WHOLE_PARTS, CELL_PARTS = 64, 256, 16
 #: Points of a group that stays a row; parts over one another, on average, from which cells are smaller than parts; cells of a part, then.
 ROW_POINTS, DEEP, DEEP_CELLS = 320, 2, 32
 #: Slabs and pieces thinner than this part of their coordinates come from rounding.
@@ -208,19 +208,40 @@ def without(polygons: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 def _in_cells(polygons: DataFrame, key: str) -> DataFrame:
-    """(key, cx, cy, size, own, parts): polygons of keys with many parts cut by a grid of about ``CELL_PARTS`` parts a cell."""
-    each = polygons.select(key, F.col("geom_id").alias("own"), F.posexplode("parts").alias("k", "rings"))
-    each = each.withColumns(geometry.bounds(F.col("rings")))
-    of_key = each.groupBy(key).agg(F.count("*").alias("n"), ((F.max("maxx") - F.min("minx")) * (F.max("maxy") - F.min("miny"))).alias("all"), F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))).alias("side"))
+    """(key, cx, cy, side, own, parts): the distinct parts of each key, those of keys with many parts cut by a grid.
+
+    A cell has about ``CELL_PARTS`` parts; where more than ``DEEP`` lie on one another it is half as wide as a part, and what one part covers is
+    one part of that extent.
+    """
+    each = polygons.select(key, F.explode("parts").alias("rings")).dropDuplicates([key, "rings"])
+    each = each.withColumns(geometry.bounds(F.col("rings"))).withColumn("upright", geometry.upright(F.col("rings")))
+    wide, tall = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
+    of_key = each.groupBy(key).agg(F.count("*").alias("n"), ((F.max("maxx") - F.min("minx")) * (F.max("maxy") - F.min("miny"))).alias("all"), F.avg(F.greatest(wide, tall)).alias("side"), F.avg(F.least(wide, tall)).alias("short"), F.avg(wide * tall).alias("box"))
+    power = lambda v, way: F.pow(F.lit(2.0), way(F.log2(F.greatest(v, F.lit(1e-12)))))
     # Cells are no smaller than twice the mean part, so a part is in few of them.
-    size = F.when(F.col("n") > WHOLE_PARTS, F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.sqrt(F.col("all") * CELL_PARTS / F.col("n")), 2 * F.col("side"), F.lit(1e-12))))))
+    loose = power(F.greatest(F.sqrt(F.col("all") * CELL_PARTS / F.col("n")), 2 * F.col("side")), F.ceil)
+    # The parts of a key are in no more than DEEP_CELLS cells each, on average: box / size^2 + girth / size + 1.
+    girth = F.col("side") + F.col("short")
+    least = (girth + F.sqrt(girth * girth + 4 * (DEEP_CELLS - 1) * F.col("box"))) / (2 * (DEEP_CELLS - 1))
+    close = F.least(loose, F.greatest(power(F.col("short") / 2, F.floor), power(least, F.ceil)))
+    size = F.when(F.col("n") > WHOLE_PARTS, F.when(F.col("n") * F.col("box") > DEEP * F.col("all"), close).otherwise(loose))
     each = each.join(of_key.select(key, size.alias("size")), key)
     cells = lambda lo, hi: F.when(F.col("size").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor(F.col(lo) / F.col("size")).cast("long"), F.floor(F.col(hi) / F.col("size")).cast("long")))
     each = each.withColumn("cx", F.explode(cells("minx", "maxx"))).withColumn("cy", F.explode(cells("miny", "maxy")))
-    planes = geometry.box_planes(*((F.col(c) + i) * F.col("size") for i in (0, 1) for c in ("cx", "cy")))
-    within = (F.col("size").isNull()) | ((F.col("minx") >= F.col("cx") * F.col("size")) & (F.col("maxx") <= (F.col("cx") + 1) * F.col("size")) & (F.col("miny") >= F.col("cy") * F.col("size")) & (F.col("maxy") <= (F.col("cy") + 1) * F.col("size")))
-    rings = F.when(within, F.col("rings")).otherwise(geometry._cut(F.col("rings"), planes))
-    return each.select(key, "cx", "cy", F.lit(0).alias("side"), F.struct("own", "k").alias("own"), F.array(rings).alias("parts"))
+    corners = [(F.col(c) + i) * F.col("size") for i in (0, 1) for c in ("cx", "cy")]
+    x0, y0, x1, y1 = corners
+    whole = F.col("size").isNull()
+    within = whole | ((F.col("minx") >= x0) & (F.col("maxx") <= x1) & (F.col("miny") >= y0) & (F.col("maxy") <= y1))
+    over = ~whole & (F.col("minx") <= x0) & (F.col("maxx") >= x1) & (F.col("miny") <= y0) & (F.col("maxy") >= y1)
+    covers = F.when(over, F.when(F.col("upright"), True).otherwise(geometry.covers_box(F.col("rings"), x0, y0, x1, y1))).otherwise(False)
+    # What only touches a cell has no part in it.
+    touches = whole | ((F.col("minx") < x1) & (F.col("maxx") > x0) & (F.col("miny") < y1) & (F.col("maxy") > y0))
+    each = each.filter(touches).withColumn("covers", covers)
+    best = F.row_number().over(Window.partitionBy(key, "cx", "cy").orderBy(F.desc("covers")))
+    each = each.withColumns({"_k": best, "covered": F.max("covers").over(Window.partitionBy(key, "cx", "cy"))}).filter("not covered or _k = 1")
+    box = geometry.box_ring(F.greatest("minx", x0), F.greatest("miny", y0), F.least("maxx", x1), F.least("maxy", y1))
+    rings = F.when(F.col("covered") | (~within & F.col("upright")), F.array(F.when(F.col("covered"), geometry.box_ring(x0, y0, x1, y1)).otherwise(box))).when(within, F.col("rings")).otherwise(geometry._cut(F.col("rings"), geometry.box_planes(*corners)))
+    return each.select(key, "cx", "cy", F.lit(0).alias("side"), F.col("_k").alias("own"), F.array(rings).alias("parts"))
 
 
 def union_pieces(polygons: DataFrame, key: str) -> DataFrame:

@@ -43,3 +43,20 @@ def test_small_and_large_groups_agree(spark, monkeypatch):
     monkeypatch.setattr(overlay, "ROW_POINTS", 14)
     for a, b in zip(small, all_of()):
         assert len(a) and a == pytest.approx(b, rel=1e-9)
+
+
+def test_work_of_a_deep_union_is_that_of_its_distinct_parts(spark, monkeypatch):
+    # 900 different boxes that lie some fifty deep, three times each, and triangles among them.
+    rings = [[(x / 8, y / 8), (x / 8 + 2, y / 8), (x / 8 + 2, y / 8 + 1.5), (x / 8, y / 8 + 1.5), (x / 8, y / 8)] for x, y in itertools.product(range(30), range(30))]
+    rings += [[(x, 0.3), (x + 2.3, 0.3), (x, 6.1), (x, 0.3)] for x in (0.1, 1.3, 2.9)]
+    rows = [(i, [ring]) for i, ring in enumerate(rings * 3)]
+    each = geometry.polygons(spark, rows).withColumn("k", F.lit(1))
+    long = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
+    cells = overlay._in_cells(each.withColumn("parts", F.array("rings")), "k")
+    covered = cells.groupBy("cx", "cy").count().filter("count = 1").count()
+    assert covered > 30 and cells.count() < len(rows)
+    found = overlay.union_pieces(each, "k")
+    got = found.agg(F.sum(overlay.piece_area())).first()[0], overlay.boundary(found, "k").agg(F.sum(long)).first()[0]
+    once = geometry.polygons(spark, [(0, [[(0, 0), (5.625, 0), (5.625, 5.125), (0, 5.125), (0, 0)]]), *((i + 1, [ring]) for i, ring in enumerate(rings[900:]))]).withColumn("k", F.lit(1))
+    found = overlay.union_pieces(once, "k")
+    assert got == pytest.approx((found.agg(F.sum(overlay.piece_area())).first()[0], overlay.boundary(found, "k").agg(F.sum(long)).first()[0]), rel=1e-9)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 _POINT = "struct<x:double,y:double>"
 RINGS = f"array<array<{_POINT}>>"
 PARTS = f"array<{RINGS}>"
+#: Parts of a polygon that are covered together.
+MANY_PARTS = 64
 #: Half of the swath that an orbit sees, with a margin, in metres (fixed values: 290 + 10 km).
 SWATH_REACH = 150_000.0
 
@@ -188,8 +190,17 @@ def covering(polygons: DataFrame) -> tuple[DataFrame, list[int]]:
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """points (x, y, ...) with geom_id and the other columns of every polygon that holds them."""
-    cells, levels = covering(polygons)
     kept = [c for c in polygons.columns if c not in ("rings", "parts")]
+    if "parts" in polygons.columns and not polygons.filter(F.size("parts") > MANY_PARTS).isEmpty():
+        # Cells of such a polygon's size would carry the edges of many parts, so its parts are covered each by itself and a point counts once.
+        few, many = polygons.filter(F.size("parts") <= MANY_PARTS), polygons.filter(F.size("parts") > MANY_PARTS)
+        marked = points.withColumn("_point", F.monotonically_increasing_id())
+        each = many.withColumn("_polygon", F.monotonically_increasing_id()).select(*kept, "_polygon", F.explode("parts").alias("rings"))
+        once = points_in_polygons(marked, each)
+        of = F.struct(*(c for c in once.columns if c not in ("_point", "_polygon")))
+        once = once.groupBy("_point", "_polygon").agg(F.first(of).alias("_of")).select("_of.*")
+        return points_in_polygons(points, few).unionByName(once)
+    cells, levels = covering(polygons)
     x, y = F.col("row.x"), F.col("row.y")
     within = F.col("inner") | F.exists("edges", lambda part: F.aggregate(part, F.lit(False), lambda odd, e: odd != _crosses(e, x, y)))
     hit = _keyed_points(points, levels).join(cells, ["level", "cx", "cy"]).filter(within)

@@ -271,8 +271,7 @@ def dissolved_boundary(spark, sf):
 @query(f"WITH {_EACH}, p AS (SELECT s_suppkey, -125 + ((s_suppkey * 131) % 5870) / 100.0 AS x, 25 + ((s_suppkey * 71) % 2430) / 100.0 AS y FROM supplier) SELECT DISTINCT s_suppkey, c_nationkey AS nation FROM p JOIN (SELECT b.*, c_nationkey FROM b JOIN customer USING (c_custkey)) ON x > x0 AND x < x1 AND y > y0 AND y < y1")
 def inside_dissolved(spark, sf):
     # Boxes of one nation overlap; a point in two of them is inside their union.
-    boxes = _boxes_of(spark, sf).join(_lonlat(spark, sf).select(F.col("c_custkey").alias("geom_id"), "c_nationkey"), "geom_id")
-    union = overlay.dissolved(boxes, "c_nationkey").withColumnRenamed("c_nationkey", "geom_id")
+    union = files.stored(overlay.dissolved(_boxes_of_nations(spark, sf), "c_nationkey").withColumnRenamed("c_nationkey", "geom_id"), "union")
     p = _t(spark, sf, "supplier").select("s_suppkey", (F.lit(-125) + (F.col("s_suppkey") * 131 % 5870) / 100.0).alias("x"), (F.lit(25) + (F.col("s_suppkey") * 71 % 2430) / 100.0).alias("y"))
     return geometry.points_in_polygons(p, union).select("s_suppkey", F.col("geom_id").alias("nation"))
 

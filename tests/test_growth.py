@@ -60,3 +60,23 @@ def test_work_of_a_deep_union_is_that_of_its_distinct_parts(spark, monkeypatch):
     once = geometry.polygons(spark, [(0, [[(0, 0), (5.625, 0), (5.625, 5.125), (0, 5.125), (0, 0)]]), *((i + 1, [ring]) for i, ring in enumerate(rings[900:]))]).withColumn("k", F.lit(1))
     found = overlay.union_pieces(once, "k")
     assert got == pytest.approx((found.agg(F.sum(overlay.piece_area())).first()[0], overlay.boundary(found, "k").agg(F.sum(long)).first()[0]), rel=1e-9)
+
+
+def test_points_in_a_polygon_of_many_parts_count_once(spark, monkeypatch):
+    ring = lambda x, y: [(x, y), (x + 1.5, y), (x + 1.5, y + 1.5), (x, y + 1.5), (x, y)]
+    parts = [[[{"x": float(x), "y": float(y)} for x, y in ring(i, j)]] for i, j in itertools.product(range(9), range(9))]
+    polygon = spark.createDataFrame([(1, parts)], f"geom_id long, parts {geometry.PARTS}")
+    points = spark.createDataFrame([(i % 40, i % 40 * 0.3 + 0.05, i % 40 * 0.27 + 0.05) for i in range(80)], "id long, x double, y double")
+    got = sorted(geometry.points_in_polygons(points, polygon).collect())
+    assert [r.id for r in got] == [i for i in range(40) if i * 0.3 + 0.05 < 9.5 and i * 0.27 + 0.05 < 9.5 for _ in (0, 1)]
+    # A cell of such a polygon carries the edges of the parts near it.
+    seen, covering = [], geometry.covering
+
+    def cells_of(polygons):
+        cells, levels = covering(polygons)
+        seen.append(cells.agg(F.max(F.size(F.flatten("edges")))).first()[0] or 0)
+        return cells, levels
+
+    monkeypatch.setattr(geometry, "covering", cells_of)
+    geometry.points_in_polygons(points, polygon).count()
+    assert max(seen) <= 4

@@ -369,7 +369,14 @@ def _cut(rings: Column, planes: Column) -> Column:
 
 def clipped(polygons: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
     """Polygons cut to a rectangle, empty ones dropped."""
-    return polygons.withColumn("rings", _cut(F.col("rings"), box_planes(*map(F.lit, (x0, y0, x1, y1))))).filter(F.size("rings") > 0)
+    kept = polygons.columns
+    # Only what crosses the rectangle's border is cut.
+    p = polygons.withColumns({f"_{k}": v for k, v in bounds(F.col("rings")).items()})
+    p = p.filter((F.col("_maxx") >= x0) & (F.col("_minx") <= x1) & (F.col("_maxy") >= y0) & (F.col("_miny") <= y1))
+    within = (F.col("_minx") >= x0) & (F.col("_maxx") <= x1) & (F.col("_miny") >= y0) & (F.col("_maxy") <= y1) & F.forall("rings", lambda r: (F.size(r) > 3) & (r[0] == r[F.size(r) - 1]))
+    rings = F.when(within, F.col("rings")).otherwise(_cut(F.col("rings"), box_planes(*map(F.lit, (x0, y0, x1, y1)))))
+    # Out of a generator, as filters on what comes of the rings would have them cut again for each mention.
+    return p.select(*(c for c in kept if c != "rings"), F.explode(F.array(rings)).alias("rings")).filter(F.size("rings") > 0).select(*kept)
 
 
 def area(rings: Column) -> Column:

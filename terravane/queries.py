@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import crs, grid, names, soil_math
 from .operators import geometry, ndvi, raster, soil
 from .plans import api
+from .sources import files
 from .streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,7 +173,7 @@ LL = "ll AS (SELECT c_custkey, c_nationkey, -125 + ((c_custkey * 37) % 5800) / 1
 
 
 def _lonlat(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "customer").select("c_custkey", "c_nationkey", (F.lit(-125) + (F.col("c_custkey") * 37 % 5800) / 100.0 + 0.005).alias("lon"), (F.lit(25) + (F.col("c_custkey") * 53 % 2400) / 100.0 + 0.005).alias("lat"))
+    return files.spread(_t(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select("c_custkey", "c_nationkey", (F.lit(-125) + (F.col("c_custkey") * 37 % 5800) / 100.0 + 0.005).alias("lon"), (F.lit(25) + (F.col("c_custkey") * 53 % 2400) / 100.0 + 0.005).alias("lat"))
 
 
 def _boxes(spark: SparkSession, sf: str) -> DataFrame:

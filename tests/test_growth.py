@@ -16,6 +16,18 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["clip_to_rectangle", "wkt_part_bounds"])
+def test_rows_of_one_file_go_to_several_tasks(spark, name):
+    assert entry.queries()[name](spark, SF).rdd.getNumPartitions() >= 4
+
+
+def test_a_ring_is_cut_once(spark):
+    box = geometry.boxes_as_polygons(spark.range(3).select(F.col("id").alias("geom_id"), (F.col("id") * 4.0).alias("minx"), F.lit(0.0).alias("miny"), (F.col("id") * 4.0 + 3).alias("maxx"), F.lit(3.0).alias("maxy")))
+    cut = geometry.clipped(box, 5.0, 1.0, 9.0, 9.0).filter(geometry.area(F.col("rings")) > 0)
+    assert plan(cut).count("aggregate(array(") <= 1
+    assert {r[0]: r[1] for r in cut.select("geom_id", geometry.area(F.col("rings"))).collect()} == {1: 4.0, 2: 2.0}
+
+
 def stars(spark, n, seed):
     r = random.Random(seed)
     rows = []

@@ -313,8 +313,8 @@ def parts(multi: DataFrame) -> DataFrame:
 def wkt_rings(text: Column) -> Column:
     """Rings of POLYGON and MULTIPOLYGON texts."""
     body = F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), 1)
-    pair = lambda p: F.struct(F.split(F.trim(p), r"\s+")[0].cast("double").alias("x"), F.split(F.trim(p), r"\s+")[1].cast("double").alias("y"))
-    return F.transform(body, lambda ring: F.transform(F.split(ring, ","), pair))
+    pair = lambda v: F.struct(v[0].cast("double").alias("x"), v[1].cast("double").alias("y"))
+    return F.transform(body, lambda ring: F.transform(F.transform(F.split(ring, ","), lambda p: F.split(F.trim(p), r"\s+")), pair))
 
 
 def clip_ring(ring: list[tuple[float, float]], x0: float, y0: float, x1: float, y1: float) -> list[tuple[float, float]]:

@@ -370,7 +370,7 @@ def tiles_and_orbits(spark, sf):
     SELECT concat('t', k) AS tile FROM t, best WHERE (m >> CAST(9 - k AS INTEGER)) & 1 = 1""")
 def min_tile_cover(spark, sf):
     x, a = F.col("c_custkey") * 37 % 5600 / 100.0, 6 * (F.col("n_nationkey") * 3 % 10) - 1.0
-    spans = _t(spark, sf, "customer").select(F.col("c_custkey").alias("geom_id"), x.alias("minx"), F.lit(0.0).alias("miny"), (x + 0.7).alias("maxx"), F.lit(5.0).alias("maxy"))
+    spans = files.spread(_t(spark, sf, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("geom_id"), x.alias("minx"), F.lit(0.0).alias("miny"), (x + 0.7).alias("maxx"), F.lit(5.0).alias("maxy"))
     tiles = _t(spark, sf, "nation").filter("n_nationkey < 10").select(F.format_string("t%d", "n_nationkey").alias("tile_id"), a.alias("minx"), F.lit(0.0).alias("miny"), (a + 8 + F.col("n_nationkey") % 3 * 6).alias("maxx"), F.lit(5.0).alias("maxy"))
     return catalog.select_tiles(geometry.boxes_as_polygons(spans), tiles).select(F.col("tile_id").alias("tile"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
+
 MEASURES = (
     "fine_fraction_percent_by_weight", "sand_percent_of_fine_fraction_by_weight", "silt_percent_of_fine_fraction_by_weight",
     "clay_percent_of_fine_fraction_by_weight", "organic_matter_percent_of_fine_fraction_by_weight", "oven_dry_bulk_density_g_per_cm3",
@@ -81,8 +83,10 @@ def primary_soil_components(mapunit: DataFrame, component: DataFrame, copmgrp: D
     A component with several representative parent materials, or a horizon that comes twice, raises.
     """
     first = unique_key(primary_components(mapunit, component, copmgrp), "cokey")
+    # Stored, so that Spark knows their sizes: a few keys, and then a few horizons, go to the large tables, which are not shuffled for them.
+    first = stored(first, "components")
     keys = first.select("cokey").filter("cokey is not null").distinct()
-    horizons = horizon_measures(chorizon.join(keys, "cokey", "left_semi"))
+    horizons = stored(horizon_measures(chorizon.join(keys, "cokey", "left_semi")), "horizons")
     frags = chfrags.select(F.col("chkey").alias("horizon_key"), F.col("fragvol_r").cast("double").alias("fragment_percent_by_volume"), F.col("fragsize_r").alias("fragment_size"), F.col("fragkind").alias("fragment_kind"))
     frags = frags.join(horizons.select("horizon_key"), "horizon_key", "left_semi")
     return first.join(horizons_by_component(horizons, frags, top, bottom), F.col("cokey") == F.col("component_key"), "left").drop("component_key").orderBy("mukey")

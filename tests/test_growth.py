@@ -92,3 +92,13 @@ def test_points_in_a_polygon_of_many_parts_count_once(spark, monkeypatch):
     monkeypatch.setattr(geometry, "covering", cells_of)
     geometry.points_in_polygons(points, polygon).count()
     assert max(seen) <= 4
+
+
+def test_large_tables_are_not_shuffled_for_few_components(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30k")
+    try:
+        text = plan(entry.queries()["soil_survey"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange hashpartitioning(chkey" not in text and "Exchange hashpartitioning(horizon_key#" in text

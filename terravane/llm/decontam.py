@@ -2,7 +2,7 @@
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  A window is ``WINDOW`` consecutive words
 of an item; an item of fewer words, but not none, is one window.  Of every ``WINDOW`` consecutive words the smallest
-hash of their ``GRAM``-word grams is kept as a fingerprint, with its position, on both sides.  Equal windows have
+hash (by its leading 33 bits, leftmost on ties) of their ``GRAM``-word grams is kept as a fingerprint, with its position, on both sides.  Equal windows have
 equal smallest grams at equal offsets, so every shared window is met in the join of the fingerprints.  A gram that many
 documents and items have would give every pair of them; so only meetings count whose SIDE words before, or after, the gram agree
 as well, as those of a shared window do on one side at least.  Each meeting is extended word by word to both sides on the texts themselves, and runs as long as a window are hits.
@@ -40,30 +40,54 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(low, F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
+def n_words(text: Column) -> Column:
+    """How many words ``text`` has: as many as when capitals, instead of being lower-cased, are word characters."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long")
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, with the value computed once: the optimiser would copy it into the inner lambdas."""
     return F.transform(F.array(value), body)[0]
 
 
+def run_hash(codes: Column, at: Column, k: int) -> Column:
+    """Hash of the k codes from ``at`` on, which must be there: elements one by one, as a slice copies them through a Scala view."""
+    return F.xxhash64(*(F.get(codes, at + j if j else at) for j in range(k)))
+
+
 def gram_hashes(words: Column, k: int) -> Column:
-    """Hash of each run of k words, by position; empty where there are fewer."""
+    """Hash of each run of k consecutive word codes, by position; empty where there are fewer."""
+    return bound(words, lambda w: F.transform(_starts(F.size(w) - k + 1), lambda i: run_hash(w, i, k)))
+
+
+def _starts(n: Column, least: int = 1) -> Column:
+    """0 to n - 1; empty where n is below ``least``."""
+    return F.when(n >= least, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    def hashes(w: Column) -> Column:
-        starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, k)))
 
-    return bound(words, hashes)
+#: Low bits that hold a gram's position where grams are ordered by hash and then by position.
+_PLACE = (1 << 31) - 1
 
 
-def winnowed(grams: Column, window: int = WINDOW - GRAM + 1) -> Column:
-    """(pos, hash) of the grams that are the smallest, leftmost on ties, of some run of ``window`` grams."""
+def winnowed(codes: Column, window: int = WINDOW - GRAM + 1) -> Column:
+    """Positions of the grams that are the smallest, leftmost on ties, of some run of ``window`` grams."""
 
-    def selected(g: Column) -> Column:
-        starts = F.when(F.size(g) >= window, F.sequence(F.lit(1), F.size(g) - window + 1)).otherwise(F.array().cast("array<int>"))
-        at = F.transform(starts, lambda i: bound(F.slice(g, i, window), lambda run: i + F.array_position(run, F.array_min(run)).cast("int") - 2))
-        return F.transform(F.array_distinct(at), lambda p: F.struct(p.alias("pos"), F.get(g, p).alias("hash")))
+    def selected(c: Column) -> Column:
+        starts = _starts(F.size(c) - GRAM + 1, window)
+        return bound(F.transform(starts, lambda i: run_hash(c, i, GRAM).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i)), by_half)
 
-    return bound(grams, selected)
+    # The smallest of a run is that of two runs of half the length, which overlap if it is odd; least() skips what lies behind the end.
+    half = (window + 1) // 2
+
+    def by_half(keyed: Column) -> Column:
+        return bound(F.transform(keyed, lambda x, i: F.least(x, *(F.get(keyed, i + j) for j in range(1, half)))), by_window)
+
+    def by_window(low: Column) -> Column:
+        whole = F.slice(low, 1, F.greatest(F.size(low) - window + 1, F.lit(0)))
+        found = F.transform(whole, lambda x, i: F.least(x, F.get(low, i + window - half)))
+        return F.transform(F.array_distinct(found), lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int"))
+
+    return bound(codes, selected)
 
 
 def fingerprints(words: Column, lengths: list[int], whole: bool = False) -> Column:
@@ -80,14 +104,11 @@ def fingerprints(words: Column, lengths: list[int], whole: bool = False) -> Colu
         return F.transform(runs, lambda h, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), h.alias("hash"), none.alias("before"), none.alias("after")))
 
     def kinds(codes: Column) -> Column:
-        side = gram_hashes(codes, SIDE)
-
-        def beside(s: Column) -> Column:
-            prints = F.transform(winnowed(gram_hashes(codes, GRAM)), lambda p: F.struct(
-                F.lit(WINDOW).alias("n"), p["pos"].alias("pos"), p["hash"].alias("hash"), F.get(s, p["pos"] - SIDE).alias("before"), F.get(s, p["pos"] + GRAM).alias("after")))
-            return F.concat(prints, *(run_of(codes, n) for n in lengths))
-
-        return bound(side, beside)
+        prints = F.transform(winnowed(codes), lambda p: F.struct(
+            F.lit(WINDOW).alias("n"), p.alias("pos"), run_hash(codes, p, GRAM).alias("hash"),
+            F.when(p >= SIDE, run_hash(codes, p - SIDE, SIDE)).alias("before"),
+            F.when(p + GRAM + SIDE <= F.size(codes), run_hash(codes, p + GRAM, SIDE)).alias("after")))
+        return F.concat(prints, *(run_of(codes, n) for n in lengths))
 
     return bound(F.transform(words, lambda w: F.xxhash64(w)), kinds)
 
@@ -97,20 +118,21 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``spans`` are [first, last) word ranges, merged; ``item_ids`` those of all items with an occurring window.
     """
-    docs = docs.select("row_key", words_of(F.col("text")).alias("words"))
+    words = words_of(F.col("text")).alias("words")
     items = items.filter("item_id is not null").select(F.col("item_id").alias("item"), words_of(F.col("text")).alias("item_words"))
     items = common.stored(items.filter(F.size("item_words") > 0), "items")
     # At most WINDOW - 1 rows, whatever the size of the tables.
     lengths = sorted(r[0] for r in items.filter(F.size("item_words") < WINDOW).select(F.size("item_words")).distinct().collect())
 
-    mine = docs.select("row_key", F.inline(fingerprints(F.col("words"), lengths)))
+    mine = docs.select("row_key", words).select("row_key", F.inline(fingerprints(F.col("words"), lengths)))
     theirs = items.select("item", F.inline(fingerprints(F.col("item_words"), lengths, whole=True)))
     theirs = theirs.withColumnsRenamed({"pos": "item_pos", "before": "item_before", "after": "item_after"})
     agree = (F.col("n") < WINDOW) | F.coalesce(F.col("before") == F.col("item_before"), F.lit(False)) | F.coalesce(F.col("after") == F.col("item_after"), F.lit(False))
     meets = mine.join(theirs, ["n", "hash"]).filter(agree).select("row_key", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
 
     meets = common.stored(meets.distinct(), "meets")
-    texts = docs.join(meets.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
+    # Only the texts that meet an item are split again.
+    texts = docs.join(meets.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", words)
     return _extended(meets.join(texts, "row_key").join(items, "item"))
 
 
@@ -157,10 +179,11 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     names = ["n_words", "spans", "item_ids", "n_hit", "contaminated"]
     key = F.xxhash64("doc_id", "text")
     hits = contamination(docs.select(key.alias("row_key"), "text"), items)
-    out = docs.drop(*names).withColumn("_row", key).join(hits.withColumnRenamed("row_key", "_key"), F.col("_row") == F.col("_key"), "left").drop("_row", "_key")
+    # Words are counted before the join, so that it need not move texts that its caller does not ask for.
+    out = docs.drop(*names).withColumns({"_row": key, "n_words": n_words(F.col("text"))})
+    out = out.join(hits.withColumnRenamed("row_key", "_key"), F.col("_row") == F.col("_key"), "left").drop("_row", "_key")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     return out.withColumns({
-        "n_words": F.size(words_of(F.col("text"))).cast("long"),
         "n_hit": F.coalesce(n_hit, F.lit(0)).cast("long"),
         "contaminated": F.col("spans").isNotNull(),
     })

@@ -22,10 +22,12 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ NO_ID = 128
 FILE_TEXT_BYTES = 16 << 20
 #: Pieces in a generation of a worker's encoder.
 CACHE_PIECES = 700_000
+#: About the characters of the texts whose pieces are looked up together.
+GROUP_CHARS = 4 << 20
 
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qB")
@@ -75,6 +79,13 @@ def frames(content: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
         at = body + n + 5
 
 
+def _distinct(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Which of 0 to n - 1 occur, ascending."""
+    seen = np.zeros(n, bool)
+    seen[numbers] = True
+    return np.flatnonzero(seen)
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, with the pieces between spaces encoded once.
 
@@ -91,6 +102,13 @@ class Encoder:
     """
 
     cut = re.compile("(?<=[^\\s\u180e])(?= [^\\s\u180e])")
+    #: A piece, perhaps with the line feed that it opens, without any other white space.
+    clean = staticmethod(re.compile("\n?[^\\s\u180e]+").fullmatch)
+
+    #: A piece of letters alone is one word of the pre-tokenizer, so the library's model can have it without the rest of the library.
+    letters = staticmethod(re.compile("\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+").fullmatch)
+    #: The pre-tokenizer's characters of bytes that are not printable ones, by Latin-1 character.
+    signs = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -104,6 +122,8 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.feed = self.tok.encode("\n", add_special_tokens=False).ids
         self.splits = self._splits()
+        self.model = self.tok.model
+        self.code = "H" if self.wide == 2 else "I"
 
     def _splits(self) -> bool:
         rules = json.loads(self.tok.to_str())
@@ -112,6 +132,13 @@ class Encoder:
         level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         return bool(plain and level and model.get("type") == "BPE" and not model.get("dropout") and not model.get("unk_token"))
 
+    @staticmethod
+    def all_clean(pieces: list[str]) -> bool:
+        """Whether all pieces are clean, in one pass over all of them."""
+        stems = [p[1:] if p[:1] == "\n" else p for p in pieces]
+        text = " ".join(stems)
+        return text.split() == stems and "\u180e" not in text
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -140,7 +167,24 @@ class Encoder:
         else:
             self._encode(new)
 
+    def word(self, word: str, space: bool) -> bytes:
+        """Ids of a word of letters, with the space before it or without."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.signs)
+        return array(self.code, [t.id for t in self.model.tokenize("\u0120" + word if space else word)]).tobytes()
+
     def _encode(self, new: list[str]) -> None:
+        rest, feed = [], array(self.code, self.feed).tobytes()
+        for p in new:
+            if not self.letters(p):
+                rest.append(p)
+            elif p[0] == "\n":
+                self.known[p] = feed + self.word(p[1:], False)
+            else:
+                self.known[p] = self.word(p, True)
+        self._encode_mixed(rest)
+
+    def _encode_mixed(self, new: list[str]) -> None:
         if len(self.feed) != 1:
             self.known.update(zip(new, self.whole([p if p[:1] == "\n" else " " + p for p in new])))
             return
@@ -162,32 +206,53 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.splits:
             return [np.frombuffer(x, self.kind) for x in self.whole(texts)]
-        out: list[np.ndarray] = []
-        heads, cuts, odd = [], [], []
-        for t in texts:
-            if not t:
-                heads.append("")
-                cuts.append([])
-            # Single spaces and line feeds are all the white space of a text that splits alike by both.
-            elif t.split() == t.replace("\n", " ").split(" ") and "\u180e" not in t:
-                pieces = t.replace("\n", " \n").split(" ")
-                heads.append(pieces[0])
-                cuts.append(pieces[1:])
-            else:
-                heads.append(None)
-                cuts.append([])
-                odd.append(t)
+        # Long texts go in smaller groups, which bounds the arrays over a group's pieces.
+        group = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // GROUP_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        return [ids for a, b in zip(cuts, cuts[1:]) for ids in self._encode_group(texts[a:b])]
+
+    def _encode_group(self, texts: list[str]) -> list[np.ndarray]:
+        # Pieces are split and made distinct by Arrow; Python sees each of a batch once.
+        parts = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
+        off = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.values.dictionary_encode()
+        # No piece holds a space, and one long string is read far faster than each by itself.
+        every = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        names = pc.binary_join(every, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(coded.dictionary) else []
+        at = coded.indices.to_numpy().astype(np.int64)
+        text_of = np.repeat(np.arange(len(texts)), np.diff(off))
+        inner = np.ones(len(at), bool)
+        inner[off[:-1]] = False
         if len(self.known) > CACHE_PIECES:
             self.known, self.older = {}, self.known
-        new: set[str] = set().union(*cuts)
-        self.learn(new - self.known.keys())
-        first = dict(zip(names := list({h for h in heads if h}), self.whole(names)))
+        # Single spaces and line feeds are all the white space of a text that splits alike by both.
+        heads = [names[i] for i in at[off[:-1]].tolist()]
+        odd = np.array([t != "" and not self.clean(h) for t, h in zip(texts, heads)], bool)
+        new = [i for i in _distinct(at[inner], len(names)).tolist() if names[i] not in self.known]
+        if not self.all_clean([names[i] for i in new]):
+            bad = np.zeros(len(names), bool)
+            bad[[i for i in new if not self.clean(names[i])]] = True
+            odd[text_of[inner & bad[at]]] = True
+        inner &= ~odd[text_of]
+        used = _distinct(at[inner], len(names))
+        pieces = [names[i] for i in used.tolist()]
+        self.learn({p for p in pieces if p not in self.known})
+        first = dict(zip(own := list({h for h, o in zip(heads, odd.tolist()) if h and not o}), self.whole(own)))
         first[""] = b""
-        rare = iter(self.odd_texts(odd))
-        get = self.known.__getitem__
-        for h, rest in zip(heads, cuts):
-            raw = next(rare) if h is None else first[h] + b"".join(map(get, rest))
-            out.append(np.frombuffer(raw, self.kind))
+        # The ids of the distinct pieces in one array; a text's ids are gathered from it.
+        raw = list(map(self.known.__getitem__, pieces))
+        size = np.zeros(len(names), np.int64)
+        size[used] = np.fromiter(map(len, raw), np.int64, len(raw)) // self.wide
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(raw), self.kind)
+        n = np.where(inner, size[at], 0)
+        end = np.cumsum(n)
+        ids = flat[np.repeat(start[at] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        ends = np.concatenate([[0], end])[off].tolist()
+        rare = iter(self.odd_texts([t for t, o in zip(texts, odd.tolist()) if o]))
+        out: list[np.ndarray] = []
+        for h, o, a, b in zip(heads, odd.tolist(), ends, ends[1:]):
+            out.append(np.frombuffer(next(rare), self.kind) if o else np.concatenate([np.frombuffer(first[h], self.kind), ids[a:b]]))
         return out
 
     def odd_texts(self, texts: list[str]) -> list[bytes]:
